@@ -1,0 +1,163 @@
+"""Named queries over the driver tables: each is ``(spark, sf_dir) -> DataFrame``.
+
+A query binds the raw tables to the frame an operator expects (``tessera.sources.bindings``) and
+runs the operator over the whole table. "now" is always the data's own maximum timestamp,
+passed as a scalar subquery, never the wall clock.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import reports as R
+from tessera.sources import bindings as B
+
+QUERIES: dict = {}
+
+
+def query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _tel(spark, d):
+    return B.telemetry(spark, d)
+
+
+def _now(df, ts="timestamp"):
+    return df.select(F.max(ts)).scalar()
+
+
+# --- telemetry reports -----------------------------------------------------------------------
+@query
+def cost_by_model(spark, d):
+    return R.cost_by_model(_tel(spark, d))
+
+
+@query
+def error_rate_by_model(spark, d):
+    return R.error_rate_by_model(_tel(spark, d))
+
+
+@query
+def latency_by_model(spark, d):
+    return R.latency_by_model(_tel(spark, d))
+
+
+@query
+def cache_savings(spark, d):
+    return R.cache_savings(_tel(spark, d))
+
+
+@query
+def router_decisions(spark, d):
+    return R.router_decisions(_tel(spark, d))
+
+
+@query
+def router_decisions_by_model(spark, d):
+    return R.router_decisions(_tel(spark, d), by=("selected_model",))
+
+
+@query
+def agent_performance(spark, d):
+    return R.agent_performance(_tel(spark, d))
+
+
+@query
+def top_users(spark, d):
+    return R.top_users(_tel(spark, d), n=10)
+
+
+@query
+def model_performance(spark, d):
+    return R.model_performance(_tel(spark, d))
+
+
+@query
+def cache_hit_rate(spark, d):
+    return R.cache_hit_rate(_tel(spark, d))
+
+
+@query
+def kpi_tiles(spark, d):
+    return R.kpi_tiles(_tel(spark, d))
+
+
+@query
+def calls_by_model(spark, d):
+    return R.calls_by_model(_tel(spark, d))
+
+
+@query
+def system_health(spark, d):
+    return R.system_health(_tel(spark, d), budget=12.0)
+
+
+@query
+def component_health(spark, d):
+    t = _tel(spark, d)
+    now = _now(t)
+    recent = t.filter(F.col("timestamp") >= now - F.expr("INTERVAL 5 MINUTES"))
+    return R.component_health(recent)
+
+
+@query
+def error_rate_alert(spark, d):
+    t = _tel(spark, d)
+    return R.error_rate_alert(t, _now(t), threshold=0.15, minutes=10)
+
+
+@query
+def model_statistics(spark, d):
+    return R.model_statistics(_tel(spark, d))
+
+
+@query
+def complexity_breakdown(spark, d):
+    return R.complexity_breakdown(_tel(spark, d))
+
+
+@query
+def overall_summary(spark, d):
+    return R.overall_summary(_tel(spark, d))
+
+
+@query
+def daily_costs(spark, d):
+    return R.daily_costs(_tel(spark, d))
+
+
+@query
+def model_costs(spark, d):
+    return R.model_costs(_tel(spark, d))
+
+
+@query
+def cost_summary(spark, d):
+    return R.cost_summary(_tel(spark, d), budget=10.0)
+
+
+@query
+def routing_statistics(spark, d):
+    return R.routing_statistics(_tel(spark, d))
+
+
+@query
+def span_statistics(spark, d):
+    return R.span_statistics(B.spans_from_events(B.table(spark, d, "events")))
+
+
+@query
+def trace_summary(spark, d):
+    return R.trace_summary(B.spans_from_events(B.table(spark, d, "events")), n=None)
+
+
+@query
+def cache_statistics(spark, d):
+    return R.cache_statistics(_tel(spark, d))
+
+
+@query
+def events_quality_summary(spark, d):
+    return R.quality_summary(B.table(spark, d, "events"))
