@@ -2,6 +2,7 @@
 
 from tessera.functions.core import (  # noqa: F401
     col_or,
+    fround,
     epoch_ms,
     md5_bucket,
     regex,

@@ -55,3 +55,15 @@ def md5_bucket(c, dim: int) -> Column:
         word = F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")
         acc = F.pmod(acc * F.lit(4294967296) + word, F.lit(dim).cast("long"))
     return acc.cast("int")
+
+
+def fround(c, digits: int = 0) -> Column:
+    """Round half away from zero on the binary double: sign(x) * floor(|x| * 10^d + 0.5) / 10^d.
+
+    ``F.round`` rounds the shortest decimal text of the double (65.75125 -> 65.7513 even when
+    the stored binary value is 65.751249999...). This helper rounds the stored value, which is
+    what C's ``round`` and most SQL engines do, so results agree across engines bit for bit.
+    """
+    x = col_or(c)
+    m = float(10 ** digits)
+    return (F.signum(x) * F.floor(F.abs(x) * m + F.lit(0.5)) / F.lit(m)).cast("double")

@@ -45,3 +45,48 @@ def with_one_row_if_empty(df: DataFrame, row: dict, schema: T.StructType | None
     present = df.limit(1).select(F.lit(1).alias("_present"))
     extra = fallback.join(present, how="left_anti", on=F.lit(True))
     return df.unionByName(extra)
+
+
+def global_order_index(df: DataFrame, order_cols: list, out: str = "_idx",
+                       num_partitions: int | None = None) -> DataFrame:
+    """0-based position of every row in a total order over ``order_cols`` (include a unique key).
+
+    A plain ``row_number()`` without ``partitionBy`` moves every row into one task. Here the rows
+    are range-partitioned and sorted in parallel; each partition's offset is the prefix sum of
+    the partition sizes (one row per partition, broadcast). The ranged frame is checkpointed to
+    the shared checkpoint folder so sizes and positions come from one materialisation.
+    """
+    from tessera.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_off"))
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, F.col("_off") + local).drop("_pid", "_mid", "_off"))
+
+
+def running_total(df: DataFrame, partition_by: list[str], ts: str, tie: str, value, out: str,
+                  chunk_seconds: int = 3600) -> DataFrame:
+    """Running sum of ``value`` per partition in (ts, tie) order, rows frame.
+
+    Skew-safe two-level prefix sum: rows are split into time chunks; a window runs inside each
+    (partition, chunk) and adds the prefix of the earlier chunks' totals, which comes from a
+    window over one row per chunk. No task ever holds a whole partition.
+    """
+    v = value if not isinstance(value, str) else F.col(value)
+    chunk = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / chunk_seconds)
+    base = df.withColumn("_chunk", chunk).withColumn("_v", v)
+    totals = base.groupBy(*partition_by, "_chunk").agg(F.sum("_v").alias("_ct"))
+    w_prev = Window.partitionBy(*partition_by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*partition_by, "_chunk", F.coalesce(F.sum("_ct").over(w_prev), F.lit(0)).alias("_off"))
+    w_in = Window.partitionBy(*partition_by, "_chunk").orderBy(F.col(ts), F.col(tie)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    inner = base.withColumn("_in", F.sum("_v").over(w_in))
+    return (inner.join(offsets, [*partition_by, "_chunk"])
+            .withColumn(out, F.col("_off") + F.col("_in")).drop("_chunk", "_v", "_in", "_off"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import safe_div, truthy
+from tessera.functions import fround, safe_div, truthy
 from tessera.operators.common import index_quantile, with_one_row_if_empty
 from tessera.sources import telemetry as tel
 
@@ -32,7 +32,7 @@ def cost_by_model(df: DataFrame, event_type: str | None = tel.LLM_CALL, model: s
     """Sum of cost, call count and tokens by model, most expensive first."""
     return (_of(df, *([event_type] if event_type else []))
             .groupBy(model)
-            .agg(F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"),
+            .agg(fround(F.sum("cost_usd"), 6).alias("total_cost_usd"),
                  F.count(F.lit(1)).alias("call_count"),
                  F.sum("total_tokens").cast("long").alias("total_tokens"))
             .orderBy(F.desc("total_cost_usd"), F.asc(model)))
@@ -45,7 +45,7 @@ def error_rate_by_model(df: DataFrame, event_type: str | None = tel.LLM_CALL, mo
     return (_of(df, *([event_type] if event_type else []))
             .groupBy(model)
             .agg(F.count(F.lit(1)).alias("total"), _count_if(_is_false(success)).alias("errors"))
-            .withColumn("error_rate", F.round(F.col("errors") / F.col("total") * 100, 2))
+            .withColumn("error_rate", fround(F.col("errors") / F.col("total") * 100, 2))
             .orderBy(F.desc("error_rate"), F.asc(model)))
 
 
@@ -65,7 +65,7 @@ def latency_by_model(df: DataFrame, event_type: str | None = tel.LLM_CALL, model
     p95 = (F.percentile(latency, 0.95) if exact else F.percentile_approx(latency, 0.95, 10000))
     return (_of(df, *([event_type] if event_type else []))
             .groupBy(model)
-            .agg(F.round(F.avg(latency), 6).alias("avg_ms"), F.round(p95, 6).alias("p95_ms"),
+            .agg(fround(F.avg(latency), 6).alias("avg_ms"), fround(p95, 6).alias("p95_ms"),
                  F.max(latency).alias("max_ms"))
             .orderBy(F.desc("avg_ms")))
 
@@ -73,8 +73,8 @@ def latency_by_model(df: DataFrame, event_type: str | None = tel.LLM_CALL, model
 # A05
 def cache_savings(df: DataFrame, event_type: str | None = tel.CACHE_HIT) -> DataFrame:
     return (_of(df, *([event_type] if event_type else []))
-            .agg(F.round(F.sum("saved_cost"), 6).alias("total_saved_usd"),
-                 F.round(F.sum("saved_latency_ms"), 6).alias("total_saved_ms"),
+            .agg(fround(F.sum("saved_cost"), 6).alias("total_saved_usd"),
+                 fround(F.sum("saved_latency_ms"), 6).alias("total_saved_ms"),
                  F.count(F.lit(1)).alias("cache_hits")))
 
 
@@ -89,12 +89,12 @@ def router_decisions(df: DataFrame, by=("query_complexity", "selected_model", "s
 # A07
 def agent_performance(df: DataFrame, event_type: str | None = tel.AGENT_COMPLETE) -> DataFrame:
     return (_of(df, *([event_type] if event_type else []))
-            .agg(F.round(F.avg("duration_ms"), 6).alias("avg_duration"),
-                 F.round(F.avg("total_cost"), 6).alias("avg_cost"),
-                 F.round(F.avg("total_tokens"), 6).alias("avg_tokens"),
+            .agg(fround(F.avg("duration_ms"), 6).alias("avg_duration"),
+                 fround(F.avg("total_cost"), 6).alias("avg_cost"),
+                 fround(F.avg("total_tokens"), 6).alias("avg_tokens"),
                  _count_if(truthy("success")).alias("success_count"),
                  F.count(F.lit(1)).alias("total_count"))
-            .withColumn("success_rate", F.round(F.col("success_count") / F.col("total_count") * 100, 2)))
+            .withColumn("success_rate", fround(F.col("success_count") / F.col("total_count") * 100, 2)))
 
 
 # A08
@@ -108,7 +108,7 @@ def anomalies_by_type(df: DataFrame, event_type: str | None = tel.ANOMALY) -> Da
 def top_users(df: DataFrame, n: int = 10, user: str = "user_id", cost: str = "cost_usd") -> DataFrame:
     """Top ``n`` users by cost (ties: user id ascending). TakeOrderedAndProject keeps n rows per task."""
     return (df.groupBy(user)
-            .agg(F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 6).alias("total_cost"),
+            .agg(fround(F.coalesce(F.sum(cost), F.lit(0.0)), 6).alias("total_cost"),
                  F.count(F.lit(1)).alias("total_calls"))
             .orderBy(F.desc("total_cost"), F.asc(user)).limit(n))
 
@@ -127,10 +127,10 @@ def model_performance(df: DataFrame, event_type: str | None = tel.LLM_CALL, mode
     return (_of(df, *([event_type] if event_type else []))
             .groupBy(model)
             .agg(F.count(F.lit(1)).alias("calls"),
-                 F.round(F.avg("latency_ms"), 6).alias("avg_latency"),
-                 F.round(F.avg("cost_usd"), 9).alias("avg_cost"),
+                 fround(F.avg("latency_ms"), 6).alias("avg_latency"),
+                 fround(F.avg("cost_usd"), 9).alias("avg_cost"),
                  _count_if(truthy("success")).alias("success_count"))
-            .withColumn("success_rate", F.round(F.col("success_count") / F.col("calls") * 100, 1))
+            .withColumn("success_rate", fround(F.col("success_count") / F.col("calls") * 100, 1))
             .orderBy(F.desc("calls")))
 
 
@@ -140,8 +140,8 @@ def cache_hit_rate(df: DataFrame, by=("model",)) -> DataFrame:
     return (_of(df, tel.CACHE_HIT, tel.CACHE_MISS)
             .groupBy(*by)
             .agg(_count_if(et == tel.CACHE_HIT).alias("hits"), _count_if(et == tel.CACHE_MISS).alias("misses"),
-                 F.round(F.sum("saved_cost"), 6).alias("total_saved_usd"))
-            .withColumn("hit_rate", F.round(F.col("hits") / (F.col("hits") + F.col("misses")) * 100, 1)))
+                 fround(F.sum("saved_cost"), 6).alias("total_saved_usd"))
+            .withColumn("hit_rate", fround(F.col("hits") / (F.col("hits") + F.col("misses")) * 100, 1)))
 
 
 # A13
@@ -150,12 +150,12 @@ def kpi_tiles(df: DataFrame) -> DataFrame:
     et = F.col("event_type")
     is_cache = et.isin(tel.CACHE_HIT, tel.CACHE_MISS)
     out = df.agg(
-        F.round(F.sum(F.when(et == tel.LLM_CALL, F.col("cost_usd"))), 6).alias("total_cost"),
+        fround(F.sum(F.when(et == tel.LLM_CALL, F.col("cost_usd"))), 6).alias("total_cost"),
         _count_if(et == tel.LLM_CALL).alias("calls"),
         _count_if(et == tel.CACHE_HIT).alias("_hits"), _count_if(is_cache).alias("_cache_total"),
         _count_if(et == tel.DLP_VIOLATION).alias("violations"))
     return out.select("total_cost", "calls",
-                      F.round(safe_div(F.col("_hits"), F.col("_cache_total")) * 100, 1).alias("hit_rate"),
+                      fround(safe_div(F.col("_hits"), F.col("_cache_total")) * 100, 1).alias("hit_rate"),
                       "violations")
 
 
@@ -171,9 +171,9 @@ def system_health(df: DataFrame, budget: float = 12.0, event_type: str = tel.LLM
                                   F.count(F.lit(1)).alias("_total"))
     tot = F.greatest(F.col("_total"), F.lit(1))
     return agg.select(
-        F.round(F.least(F.coalesce(F.col("_cost"), F.lit(0.0)) / budget * 100, F.lit(100.0)), 1).alias("cpu_pct"),
-        F.round((1 - F.col("_err") / tot) * 100, 1).alias("mem_pct"),
-        F.round(F.col("_err") / tot * 100, 2).alias("disk_pct"))
+        fround(F.least(F.coalesce(F.col("_cost"), F.lit(0.0)) / budget * 100, F.lit(100.0)), 1).alias("cpu_pct"),
+        fround((1 - F.col("_err") / tot) * 100, 1).alias("mem_pct"),
+        fround(F.col("_err") / tot * 100, 2).alias("disk_pct"))
 
 
 # Event type -> dashboard component.
@@ -209,7 +209,7 @@ def error_rate_alert(df: DataFrame, now, threshold: float = 0.15, minutes: int =
     recent = _of(df, tel.LLM_CALL).filter((F.col(ts) >= now - F.expr(f"INTERVAL {int(minutes)} MINUTES"))
                                           & (F.col(ts) <= now))
     agg = recent.groupBy(model).agg(F.count(F.lit(1)).alias("total"), _count_if(_is_false("success")).alias("errors"))
-    rate = F.round(F.col("errors") / F.col("total"), 4)
+    rate = fround(F.col("errors") / F.col("total"), 4)
     return agg.filter(rate > threshold).select(F.lit("error_rate_high").alias("anomaly_type"),
                                                rate.alias("metric_value"), F.col(model).alias("model"))
 
@@ -225,14 +225,14 @@ def dlp_burst_alert(df: DataFrame, now, threshold: int = 10, minutes: int = 10,
 
 def _stat_block(latency: str, cost: str, success: str, cached: str):
     return [F.count(F.lit(1)).alias("total_requests"),
-            F.round(_count_if(~truthy(success)) / F.count(F.lit(1)), 6).alias("error_rate"),
-            F.round(_count_if(truthy(cached)) / F.count(F.lit(1)), 6).alias("cache_hit_rate"),
-            F.round(F.avg(latency), 6).alias("latency_mean"),
-            F.round(F.median(latency), 6).alias("latency_median"),
+            fround(_count_if(~truthy(success)) / F.count(F.lit(1)), 6).alias("error_rate"),
+            fround(_count_if(truthy(cached)) / F.count(F.lit(1)), 6).alias("cache_hit_rate"),
+            fround(F.avg(latency), 6).alias("latency_mean"),
+            fround(F.median(latency), 6).alias("latency_median"),
             F.min(latency).alias("latency_min"), F.max(latency).alias("latency_max"),
-            F.round(F.sum(cost), 6).alias("cost_total"),
-            F.round(F.avg(cost), 9).alias("cost_mean"),
-            F.round(F.median(cost), 9).alias("cost_median")]
+            fround(F.sum(cost), 6).alias("cost_total"),
+            fround(F.avg(cost), 9).alias("cost_mean"),
+            fround(F.median(cost), 9).alias("cost_median")]
 
 
 # A18
@@ -252,9 +252,9 @@ def complexity_breakdown(df: DataFrame, complexity: str = "complexity", model: s
     """Per complexity: count, mean latency/cost, total cost and the most used model (ties: name asc)."""
     base = _of(df, *([event_type] if event_type else []))
     stats = base.groupBy(complexity).agg(F.count(F.lit(1)).alias("count"),
-                                         F.round(F.avg(latency), 6).alias("avg_latency"),
-                                         F.round(F.avg(cost), 9).alias("avg_cost"),
-                                         F.round(F.sum(cost), 6).alias("total_cost"))
+                                         fround(F.avg(latency), 6).alias("avg_latency"),
+                                         fround(F.avg(cost), 9).alias("avg_cost"),
+                                         fround(F.sum(cost), 6).alias("total_cost"))
     per_model = base.groupBy(complexity, model).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(complexity).orderBy(F.desc("_n"), F.asc(model))
     mode = (per_model.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
@@ -278,13 +278,13 @@ def overall_summary(df: DataFrame, model: str = "model", latency: str = "latency
 def daily_costs(df: DataFrame, ts: str = "timestamp", cost: str = "cost_usd",
                 event_type: str | None = tel.LLM_CALL) -> DataFrame:
     return (_of(df, *([event_type] if event_type else []))
-            .groupBy(F.to_date(ts).alias("day")).agg(F.round(F.sum(cost), 6).alias("daily_cost")))
+            .groupBy(F.to_date(ts).alias("day")).agg(fround(F.sum(cost), 6).alias("daily_cost")))
 
 
 def model_costs(df: DataFrame, model: str = "model", cost: str = "cost_usd",
                 event_type: str | None = tel.LLM_CALL) -> DataFrame:
     return (_of(df, *([event_type] if event_type else []))
-            .groupBy(model).agg(F.round(F.sum(cost), 6).alias("model_cost")))
+            .groupBy(model).agg(fround(F.sum(cost), 6).alias("model_cost")))
 
 
 def cost_summary(df: DataFrame, budget: float = 10.0, today=None, ts: str = "timestamp", cost: str = "cost_usd",
@@ -300,12 +300,12 @@ def cost_summary(df: DataFrame, budget: float = 10.0, today=None, ts: str = "tim
                    _count_if(truthy(cached)).alias("_cached"), today_col.alias("_today"))
     spent_today = base.groupBy(day.alias("_today")).agg(F.sum(cost).alias("_today_cost"))
     return (agg.join(spent_today, "_today", "left")
-            .select(F.round(F.col("_total"), 6).alias("total_cost"), "total_requests",
-                    F.round(safe_div("_total", "total_requests"), 9).alias("average_cost_per_request"),
+            .select(fround(F.col("_total"), 6).alias("total_cost"), "total_requests",
+                    fround(safe_div("_total", "total_requests"), 9).alias("average_cost_per_request"),
                     "total_input_tokens", "total_output_tokens",
-                    F.round(safe_div("_cached", "total_requests"), 6).alias("cache_hit_rate"),
+                    fround(safe_div("_cached", "total_requests"), 6).alias("cache_hit_rate"),
                     F.col("_today").alias("today"),
-                    F.round(F.lit(budget) - F.coalesce(F.col("_today_cost"), F.lit(0.0)), 6).alias("budget_remaining")))
+                    fround(F.lit(budget) - F.coalesce(F.col("_today_cost"), F.lit(0.0)), 6).alias("budget_remaining")))
 
 
 # A22
@@ -319,8 +319,8 @@ def routing_statistics(df: DataFrame, model: str = "selected_model", complexity:
             .unionByName(base.groupBy(F.lit("complexity").alias("dimension"), F.col(complexity).alias("key"))
                          .agg(F.count(F.lit(1)).alias("count"))))
     totals = base.agg(F.count(F.lit(1)).alias("total_routings"),
-                      F.round(F.coalesce(F.sum(est_cost), F.lit(0.0)), 6).alias("total_estimated_cost"),
-                      F.round(F.coalesce(F.avg(est_latency), F.lit(0.0)), 6).alias("avg_estimated_latency"))
+                      fround(F.coalesce(F.sum(est_cost), F.lit(0.0)), 6).alias("total_estimated_cost"),
+                      fround(F.coalesce(F.avg(est_latency), F.lit(0.0)), 6).alias("avg_estimated_latency"))
     return dist.crossJoin(F.broadcast(totals))
 
 
@@ -330,11 +330,11 @@ def span_statistics(spans: DataFrame) -> DataFrame:
     err = F.col("status") == "error"
     by = spans.groupBy("span_type", "status").agg(F.count(F.lit(1)).alias("spans"))
     tot = spans.agg(F.countDistinct("trace_id").alias("total_traces"), F.count(F.lit(1)).alias("total_spans"),
-                    F.round(F.sum(F.coalesce("duration_ms", F.lit(0.0))), 6).alias("total_duration_ms"),
-                    F.round(F.avg(F.coalesce("duration_ms", F.lit(0.0))), 6).alias("avg_span_duration_ms"),
+                    fround(F.sum(F.coalesce("duration_ms", F.lit(0.0))), 6).alias("total_duration_ms"),
+                    fround(F.avg(F.coalesce("duration_ms", F.lit(0.0))), 6).alias("avg_span_duration_ms"),
                     F.sum("tokens_used").cast("long").alias("total_tokens"),
-                    F.round(F.sum("cost"), 6).alias("total_cost"), _count_if(err).alias("error_count"))
-    tot = tot.withColumn("error_rate", F.round(F.col("error_count") / F.col("total_spans"), 6))
+                    fround(F.sum("cost"), 6).alias("total_cost"), _count_if(err).alias("error_count"))
+    tot = tot.withColumn("error_rate", fround(F.col("error_count") / F.col("total_spans"), 6))
     return by.crossJoin(F.broadcast(tot))
 
 
@@ -345,8 +345,8 @@ def trace_summary(spans: DataFrame, n: int | None = 20) -> DataFrame:
     out = spans.groupBy("trace_id").agg(
         F.first("trace_name", ignorenulls=True).alias("name"), F.first("user_id", ignorenulls=True).alias("user_id"),
         F.min("start_time").alias("start_time"), F.count(F.lit(1)).alias("span_count"),
-        F.sum("tokens_used").cast("long").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"),
-        F.round(F.max(start + F.coalesce(F.col("duration_ms"), F.lit(0.0))) - F.min(start), 3).alias("duration_ms"))
+        F.sum("tokens_used").cast("long").alias("tokens"), fround(F.sum("cost"), 6).alias("cost"),
+        fround(F.max(start + F.coalesce(F.col("duration_ms"), F.lit(0.0))) - F.min(start), 3).alias("duration_ms"))
     if n is not None:
         out = out.orderBy(F.desc("start_time"), F.asc("trace_id")).limit(n)
     return out
@@ -386,8 +386,8 @@ def cache_statistics(df: DataFrame, semantic: str | None = None) -> DataFrame:
         _count_if(sem).alias("semantic_hits"))
     total = F.col("hits") + F.col("misses")
     return agg.select("hits", "misses", "semantic_hits", total.alias("total_requests"),
-                      F.round(safe_div(F.col("hits"), total), 6).alias("hit_rate"),
-                      F.round(safe_div(F.col("semantic_hits"), F.col("hits")), 6).alias("semantic_hit_ratio"))
+                      fround(safe_div(F.col("hits"), total), 6).alias("hit_rate"),
+                      fround(safe_div(F.col("semantic_hits"), F.col("hits")), 6).alias("semantic_hit_ratio"))
 
 
 # A27
@@ -395,17 +395,17 @@ def campaign_summary(metrics: DataFrame, channel: str | None = None) -> DataFram
     """Totals over campaign metric rows (see S08) and overall ctr/cpa with zero guards."""
     df = metrics.filter(F.col("channel") == channel) if channel else metrics
     agg = df.agg(F.count(F.lit(1)).alias("campaigns"), F.sum("impressions").cast("long").alias("impressions"),
-                 F.sum("clicks").cast("long").alias("clicks"), F.round(F.sum("spend"), 2).alias("spend"),
-                 F.round(F.sum("conversions"), 4).alias("conversions"))
-    return agg.select("*", F.round(safe_div("clicks", "impressions"), 4).alias("ctr"),
-                      F.round(safe_div("spend", "conversions"), 2).alias("cpa"))
+                 F.sum("clicks").cast("long").alias("clicks"), fround(F.sum("spend"), 2).alias("spend"),
+                 fround(F.sum("conversions"), 4).alias("conversions"))
+    return agg.select("*", fround(safe_div("clicks", "impressions"), 4).alias("ctr"),
+                      fround(safe_div("spend", "conversions"), 2).alias("cpa"))
 
 
 # Sales report over cleaned orders (order_id, order_date, category, customer_region,
 # channel, quantity, unit_price, revenue)
 def sales_kpis(df: DataFrame) -> DataFrame:
-    return df.agg(F.round(F.sum("revenue"), 2).alias("total_revenue"), F.count(F.lit(1)).alias("orders"),
-                  F.round(F.avg("revenue"), 4).alias("aov"), F.round(F.avg("quantity"), 4).alias("avg_units"))
+    return df.agg(fround(F.sum("revenue"), 2).alias("total_revenue"), F.count(F.lit(1)).alias("orders"),
+                  fround(F.avg("revenue"), 4).alias("aov"), fround(F.avg("quantity"), 4).alias("avg_units"))
 
 
 def monthly_revenue(df: DataFrame, date_col: str = "order_date") -> DataFrame:
@@ -419,11 +419,11 @@ def monthly_revenue(df: DataFrame, date_col: str = "order_date") -> DataFrame:
     cal = (df.agg(F.min(month).alias("_lo"), F.max(month).alias("_hi"))
            .select(F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias("month")))
     return cal.join(sums, "month", "left").select(
-        "month", F.round(F.coalesce(F.col("_rev"), F.lit(0.0)), 2).alias("revenue"))
+        "month", fround(F.coalesce(F.col("_rev"), F.lit(0.0)), 2).alias("revenue"))
 
 
 def revenue_by_category(df: DataFrame, category: str = "category") -> DataFrame:
-    return (df.groupBy(category).agg(F.round(F.sum("revenue"), 2).alias("revenue"),
+    return (df.groupBy(category).agg(fround(F.sum("revenue"), 2).alias("revenue"),
                                      F.count("order_id").alias("orders"))
             .orderBy(F.desc("revenue")))
 
@@ -432,7 +432,7 @@ def revenue_by_weekday(df: DataFrame, date_col: str = "order_date") -> DataFrame
     """Revenue by day name in Monday-first order (``weekday_index`` 0 = Monday)."""
     idx = F.weekday(F.col(date_col))
     return (df.groupBy(idx.alias("weekday_index"), F.date_format(F.col(date_col), "EEEE").alias("weekday"))
-            .agg(F.round(F.sum("revenue"), 2).alias("revenue")).orderBy("weekday_index"))
+            .agg(fround(F.sum("revenue"), 2).alias("revenue")).orderBy("weekday_index"))
 
 
 def revenue_pivot(df: DataFrame, index: str = "customer_region", columns: str = "channel",
@@ -441,7 +441,7 @@ def revenue_pivot(df: DataFrame, index: str = "customer_region", columns: str =
     distinct-values pre-pass; otherwise Spark computes them (bounded by the pivot cardinality)."""
     g = df.groupBy(index)
     p = g.pivot(columns, values) if values is not None else g.pivot(columns)
-    out = p.agg(F.round(F.sum("revenue"), 0))
+    out = p.agg(fround(F.sum("revenue"), 0))
     return out.na.fill(0.0, [c for c in out.columns if c != index])
 
 
@@ -451,7 +451,7 @@ def quality_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     exprs = []
     for c in df.columns:
         distinct = F.approx_count_distinct(c) if approx else F.count_distinct(c)
-        exprs += [F.round(F.avg(F.col(c).isNull().cast("double")) * 100, 2).alias(f"m__{c}"),
+        exprs += [fround(F.avg(F.col(c).isNull().cast("double")) * 100, 2).alias(f"m__{c}"),
                   distinct.alias(f"d__{c}")]
     row = df.agg(*exprs)
     entries = [F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
@@ -467,5 +467,5 @@ def tool_statistics(df: DataFrame, tool: str = "tool_name", category: str | None
     by = [tool] + ([category] if category else [])
     return (_of(df, *([event_type] if event_type else []))
             .groupBy(*by).agg(F.count(F.lit(1)).alias("calls"),
-                              F.round(F.avg(truthy("success").cast("double")), 6).alias("success_rate"),
-                              F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms")))
+                              fround(F.avg(truthy("success").cast("double")), 6).alias("success_rate"),
+                              fround(F.avg("latency_ms"), 6).alias("avg_latency_ms")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import fround
 from tessera.operators import reports as R
 from tessera.sources import bindings as B
 
@@ -161,3 +162,75 @@ def cache_statistics(spark, d):
 @query
 def events_quality_summary(spark, d):
     return R.quality_summary(B.table(spark, d, "events"))
+
+
+# --- filters and time series -----------------------------------------------------------------
+from tessera.operators import filters as FL  # noqa: E402
+from tessera.operators import timeseries as TS  # noqa: E402
+from tessera.sources import telemetry as TEL  # noqa: E402
+
+
+@query
+def last_day_llm_calls(spark, d):
+    t = _tel(spark, d)
+    scoped = FL.time_range(FL.events_of(t, TEL.LLM_CALL), "-24h@h", _now(t))
+    return scoped.select("event_id", "timestamp", "model", "cost_usd")
+
+
+@query
+def raw_events(spark, d):
+    t = _tel(spark, d)
+    return FL.raw_events(t, 50).select("event_id", "timestamp", "event_type", "user_id")
+
+
+@query
+def hourly_cost_timechart(spark, d):
+    t = FL.events_of(_tel(spark, d), TEL.LLM_CALL)
+    return TS.timechart(t, {"total_cost": fround(F.sum("cost_usd"), 6), "call_count": F.count(F.lit(1))},
+                        span_seconds=3600, by="model", fill=0)
+
+
+@query
+def cost_anomaly_band(spark, d):
+    t = FL.events_of(_tel(spark, d), TEL.LLM_CALL)
+    series = TS.timechart(t, {"cost_5m": fround(F.sum("cost_usd"), 6)}, span_seconds=300, fill=0)
+    out = TS.anomaly_band(series, "cost_5m", history=12, z=1.96)
+    return out.select("_time", "cost_5m", fround("expected", 6).alias("expected"), fround("sd", 6).alias("sd"),
+                      fround("upper95", 6).alias("upper95"), "breach")
+
+
+@query
+def latency_anomaly_trend(spark, d):
+    t = FL.events_of(_tel(spark, d), TEL.LLM_CALL)
+    series = TS.timechart(t, {"avg_latency": fround(F.avg("latency_ms"), 6)}, span_seconds=3600, by="model",
+                          fill=None)
+    out = TS.anomaly_band(series, "avg_latency", by="model", history=12, z=1.96, trend=True, limit=5000.0)
+    # latency is recorded with 2 decimals; the band is reported at the same precision
+    return out.select("_time", "model", "avg_latency", fround("expected", 2).alias("expected"),
+                      fround("upper95", 2).alias("upper95"), "breach")
+
+
+@query
+def bucket_analysis(spark, d):
+    t = FL.events_of(_tel(spark, d), TEL.LLM_CALL)
+    return TS.bucket_analysis(t, _now(t), interval_minutes=60, lookback_hours=24)
+
+
+@query
+def budget_alerts(spark, d):
+    t = FL.events_of(_tel(spark, d), TEL.LLM_CALL)
+    return TS.budget_alerts(t, budget=5.0, threshold=4.0).select("event_id", "timestamp", "daily_cost",
+                                                                  "budget_status")
+
+
+@query
+def performance_alerts(spark, d):
+    t = FL.events_of(_tel(spark, d), TEL.LLM_CALL)
+    return TS.performance_alerts(t, latency_ms=400.0).select(
+        "event_id", "model", "running_count", "running_error_rate", "latency_alert", "error_rate_alert")
+
+
+@query
+def streamstats_rows(spark, d):
+    t = _tel(spark, d)
+    return TS.streamstats_count(t, "timestamp", "event_id", by=["event_type"]).select("event_id", "event_type", "row")

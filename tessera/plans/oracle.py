@@ -299,3 +299,88 @@ UNION ALL SELECT 'value', 'double', round(avg(CASE WHEN value IS NULL THEN 1.0 E
          count(DISTINCT value) FROM events
 UNION ALL SELECT 'props', 'string', round(avg(CASE WHEN props IS NULL THEN 1.0 ELSE 0.0 END) * 100, 2),
          count(DISTINCT props) FROM events"""
+
+# --- filters and time series -------------------------------------------------------------------
+SQL["last_day_llm_calls"] = _llm("""
+SELECT event_id, timestamp, model, cost_usd FROM telemetry
+WHERE event_type = 'mcp_llm_call'
+  AND timestamp >= date_trunc('hour', (SELECT max(timestamp) FROM telemetry) - INTERVAL 24 HOUR)
+  AND timestamp <= (SELECT max(timestamp) FROM telemetry)""")
+
+SQL["raw_events"] = _llm("""
+SELECT event_id, timestamp, event_type, user_id FROM telemetry ORDER BY timestamp DESC, event_id DESC LIMIT 50""")
+
+
+def _timechart_sql(where: str, aggs: str, names: list[str], span: int, by: str | None) -> str:
+    byc = f"{by}, " if by else ""
+    fill = ", ".join(f"coalesce(a.{n}, 0) AS {n}" for n in names)
+    series = f"(SELECT DISTINCT {by} FROM agg)" if by else "(SELECT 1 AS _one)"
+    join_by = f" AND a.{by} = s.{by}" if by else ""
+    sel_by = f"s.{by}, " if by else ""
+    return with_telemetry(f""",
+src AS (SELECT * FROM telemetry WHERE {where}),
+agg AS (SELECT make_timestamp(CAST(floor(epoch(timestamp) / {span}) * {span} AS BIGINT) * 1000000) AS _time,
+               {byc}{aggs} FROM src GROUP BY ALL),
+bounds AS (SELECT CAST(epoch(min(_time)) AS BIGINT) AS lo, CAST(epoch(max(_time)) AS BIGINT) AS hi FROM agg),
+grid AS (SELECT s.*, make_timestamp(g.x * 1000000) AS _time
+         FROM {series} s, bounds, LATERAL (SELECT unnest(range(lo, hi + 1, {span})) AS x) g)
+SELECT {sel_by}s._time, {fill} FROM grid s LEFT JOIN agg a ON a._time = s._time{join_by}""")
+
+
+SQL["hourly_cost_timechart"] = _timechart_sql(
+    "event_type = 'mcp_llm_call'", "round(sum(cost_usd), 6) AS total_cost, count(*) AS call_count",
+    ["total_cost", "call_count"], 3600, "model")
+
+SQL["cost_anomaly_band"] = _timechart_sql(
+    "event_type = 'mcp_llm_call'", "round(sum(cost_usd), 6) AS cost_5m", ["cost_5m"], 300, None).replace(
+    "SELECT s._time, coalesce(a.cost_5m, 0) AS cost_5m FROM grid s LEFT JOIN agg a ON a._time = s._time",
+    """, series AS (SELECT s._time, coalesce(a.cost_5m, 0) AS cost_5m FROM grid s LEFT JOIN agg a ON a._time = s._time),
+banded AS (SELECT _time, cost_5m,
+    avg(cost_5m) OVER w AS expected, stddev_samp(cost_5m) OVER w AS sd FROM series
+    WINDOW w AS (ORDER BY _time ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
+SELECT _time, cost_5m, round(expected, 6) AS expected, round(sd, 6) AS sd,
+       round(expected + 1.96 * sd, 6) AS upper95, coalesce(cost_5m > expected + 1.96 * sd, false) AS breach
+FROM banded""").replace("SELECT s._time, coalesce", "SELECT s._time, coalesce", 1)
+
+SQL["latency_anomaly_trend"] = with_telemetry(""",
+src AS (SELECT * FROM telemetry WHERE event_type = 'mcp_llm_call'),
+series AS (SELECT make_timestamp(CAST(floor(epoch(timestamp) / 3600) * 3600 AS BIGINT) * 1000000) AS _time, model,
+                  round(avg(latency_ms), 6) AS avg_latency FROM src GROUP BY ALL),
+x AS (SELECT *, CAST(row_number() OVER (PARTITION BY model ORDER BY _time) AS DOUBLE) AS _x FROM series),
+b AS (SELECT *, regr_intercept(avg_latency, _x) OVER w + regr_slope(avg_latency, _x) OVER w * _x AS expected,
+             stddev_samp(avg_latency) OVER w AS sd
+      FROM x WINDOW w AS (PARTITION BY model ORDER BY _time ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
+SELECT _time, model, avg_latency, round(expected, 2) AS expected, round(expected + 1.96 * sd, 2) AS upper95,
+       coalesce(avg_latency > expected + 1.96 * sd, false) OR avg_latency > 5000.0 AS breach
+FROM b""")
+
+SQL["bucket_analysis"] = with_telemetry(""",
+src AS (SELECT * FROM telemetry WHERE event_type = 'mcp_llm_call'),
+st AS (SELECT epoch_us(max(timestamp)) - 24 * 3600 * CAST(1000000 AS BIGINT) AS s FROM src),
+b AS (SELECT src.*, CAST(floor((epoch_us(timestamp) - st.s) / 3600000000.0) AS BIGINT) AS _b, st.s FROM src, st)
+SELECT make_timestamp(s + _b * 3600000000) AS start, make_timestamp(s + (_b + 1) * 3600000000) AS "end",
+       count(*) AS request_count, round(avg(latency_ms), 6) AS avg_latency, round(sum(cost_usd), 6) AS total_cost,
+       CAST(sum(CASE WHEN lower(CAST(success AS VARCHAR)) = 'true' THEN 0 ELSE 1 END) AS BIGINT) AS error_count,
+       CAST(sum(CASE WHEN lower(CAST(cached AS VARCHAR)) = 'true' THEN 1 ELSE 0 END) AS BIGINT) AS cache_hit_count
+FROM b WHERE _b >= 0 AND _b < 24 GROUP BY s, _b""")
+
+SQL["budget_alerts"] = with_telemetry(""",
+src AS (SELECT * FROM telemetry WHERE event_type = 'mcp_llm_call'),
+r AS (SELECT event_id, timestamp, sum(coalesce(cost_usd, 0.0)) OVER (PARTITION BY CAST(timestamp AS DATE)
+        ORDER BY timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dc FROM src)
+SELECT event_id, timestamp, round(dc, 6) AS daily_cost,
+       CASE WHEN dc >= 5.0 THEN 'exceeded' WHEN dc >= 4.0 THEN 'warning' ELSE 'ok' END AS budget_status FROM r""")
+
+SQL["performance_alerts"] = with_telemetry(""",
+src AS (SELECT * FROM telemetry WHERE event_type = 'mcp_llm_call'),
+r AS (SELECT event_id, model, latency_ms,
+        count(*) OVER w AS c,
+        sum(CASE WHEN lower(CAST(success AS VARCHAR)) = 'true' THEN 0 ELSE 1 END) OVER w AS e
+      FROM src WINDOW w AS (PARTITION BY model ORDER BY timestamp, event_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT event_id, model, CAST(c AS BIGINT) AS running_count, round(e / c, 6) AS running_error_rate,
+       latency_ms > 400.0 AS latency_alert, c >= 10 AND e / c > 0.1 AS error_rate_alert FROM r""")
+
+SQL["streamstats_rows"] = _llm("""
+SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY timestamp, event_id) AS BIGINT)
+       AS "row" FROM telemetry""")
