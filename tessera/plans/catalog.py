@@ -234,3 +234,226 @@ def performance_alerts(spark, d):
 def streamstats_rows(spark, d):
     t = _tel(spark, d)
     return TS.streamstats_count(t, "timestamp", "event_id", by=["event_type"]).select("event_id", "event_type", "row")
+
+
+# --- operations hub ----------------------------------------------------------------------------
+from tessera.operators import hub as H  # noqa: E402
+from tessera.operators import joins as J  # noqa: E402
+from tessera.operators import security as SEC  # noqa: E402
+from tessera.operators import setops as U  # noqa: E402
+
+
+def _map_text(c):
+    """Render a map as 'k=v;k=v' in key order (stable text for cross-engine comparison)."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)),
+                                    lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+
+
+@query
+def customer_360(spark, d):
+    return H.customer_360(B.hub_customers(spark, d), B.hub_orders(spark, d), B.hub_tickets(spark, d),
+                          B.hub_leads(spark, d), activities=B.hub_activities(spark, d))
+
+
+@query
+def customer_timeline(spark, d):
+    return H.customer_timeline(B.hub_activities(spark, d)).drop("payload")
+
+
+@query
+def inventory_status(spark, d):
+    return H.inventory_status(B.hub_products(spark, d), B.hub_order_lines(spark, d), B.hub_orders(spark, d))
+
+
+@query
+def employee_performance(spark, d):
+    out = H.employee_performance(B.hub_employees(spark, d), B.hub_activities(spark, d), B.hub_tickets(spark, d))
+    return out.withColumn("by_type", _map_text(F.col("by_type")))
+
+
+@query
+def sales_pipeline(spark, d):
+    out = H.pipeline(B.hub_leads(spark, d), B.hub_orders(spark, d))
+    return out.withColumn("by_status", _map_text(F.col("by_status")))
+
+
+@query
+def reconcile_detail(spark, d):
+    return H.reconcile(B.hub_activities(spark, d), B.hub_orders(spark, d), B.hub_transactions(spark, d))
+
+
+@query
+def reconcile_summary(spark, d):
+    return H.reconcile_summary(reconcile_detail(spark, d))
+
+
+@query
+def pending_postings(spark, d):
+    return H.pending_postings(B.hub_activities(spark, d), B.hub_orders(spark, d), B.hub_transactions(spark, d))
+
+
+@query
+def order_totals(spark, d):
+    return H.order_totals(B.hub_order_lines(spark, d), B.hub_products(spark, d))
+
+
+@query
+def order_activities(spark, d):
+    return H.order_activities(B.hub_orders(spark, d), actor="actor_employee_id").drop("payload")
+
+
+@query
+def ticket_triage(spark, d):
+    return H.triage(B.hub_tickets(spark, d), B.hub_employees(spark, d))
+
+
+@query
+def ticket_triage_sequential(spark, d):
+    return H.triage(B.hub_tickets(spark, d), B.hub_employees(spark, d), sequential=True)
+
+
+def _performance(spark, d):
+    return H.employee_performance(B.hub_employees(spark, d), B.hub_activities(spark, d), B.hub_tickets(spark, d))
+
+
+@query
+def insight_signals(spark, d):
+    inv = H.inventory_status(B.hub_products(spark, d), B.hub_order_lines(spark, d), B.hub_orders(spark, d))
+    pipe = H.pipeline(B.hub_leads(spark, d), B.hub_orders(spark, d))
+    return H.insight_signals(inv, pipe, _performance(spark, d))
+
+
+@query
+def adoption_metrics(spark, d):
+    acts = B.hub_activities(spark, d)
+    orders, tickets = B.hub_orders(spark, d), B.hub_tickets(spark, d)
+    follow = H.draft_followups(orders, B.hub_customers(spark, d))
+    know = H.capture_knowledge(H.classify_ticket(tickets))
+    integ = H.reconcile_summary(H.reconcile(acts, orders, B.hub_transactions(spark, d)))
+    return H.adoption_metrics(acts, B.hub_employees(spark, d), follow, tickets, know, integ,
+                              now=_now(acts, "occurred_at"), window_days=7)
+
+
+@query
+def activity_by_source(spark, d):
+    return H.activity_by_source(B.hub_activities(spark, d))
+
+
+@query
+def ownership_coverage(spark, d):
+    return H.ownership_coverage(B.hub_owners(spark, d))
+
+
+@query
+def knowledge_capture(spark, d):
+    return H.capture_knowledge(H.classify_ticket(B.hub_tickets(spark, d)))
+
+
+@query
+def followup_drafts(spark, d):
+    return H.draft_followups(B.hub_orders(spark, d), B.hub_customers(spark, d))
+
+
+@query
+def visible_widgets(spark, d):
+    return H.visible_widgets(B.hub_preferences(spark, d), B.hub_employees(spark, d).select(
+        F.col("id").alias("employee_id"), "role"))
+
+
+@query
+def open_ticket_queue(spark, d):
+    return H.work_queue(B.hub_tickets(spark, d), "as").select("id", "status", "assignee_id", "created_at")
+
+
+@query
+def scoped_customers_sales(spark, d):
+    return SEC.scope_customers(B.hub_customers(spark, d), B.hub_tickets(spark, d), "sales", "E5")
+
+
+@query
+def scoped_customers_as(spark, d):
+    return SEC.scope_customers(B.hub_customers(spark, d), B.hub_tickets(spark, d), "as", "E2")
+
+
+@query
+def scoped_tickets_as(spark, d):
+    return SEC.scope_tickets(B.hub_tickets(spark, d), "as", "E2").select("id", "status", "assignee_id")
+
+
+@query
+def employee_principals(spark, d):
+    return SEC.principals_for(B.hub_employees(spark, d)).select(
+        "id", "role", F.array_join("principals", ",").alias("principals"))
+
+
+@query
+def orders_missing_vouchers(spark, d):
+    return H.missing_from(B.hub_orders(spark, d).withColumnRenamed("id", "order_id"),
+                          B.hub_transactions(spark, d), "order_id").select("order_id", "status", "total_amount")
+
+
+@query
+def customers_with_assigned_ticket(spark, d):
+    t = B.hub_tickets(spark, d).filter(F.col("assignee_id").isNotNull())
+    return H.present_in(B.hub_customers(spark, d), t, "id", "customer_id").select("id", "name")
+
+
+@query
+def llm_price_lookup(spark, d):
+    t = FL.events_of(_tel(spark, d), TEL.LLM_CALL)
+    return J.lookup_model_cost(t, J.price_table(spark)).select(
+        "event_id", "model", "price_pattern", "price_provider", "price_tier", "price_cost_usd")
+
+
+# Event-type descriptions (stand-in lookup; unknown types get the default).
+EVENT_TYPE_LABELS = [("mcp_llm_call", "LLM call"), ("mcp_cache_hit", "Cache hit"), ("mcp_cache_miss", "Cache miss")]
+
+
+@query
+def event_type_lookup(spark, d):
+    lu = spark.createDataFrame(EVENT_TYPE_LABELS, "event_type string, label string")
+    return J.lookup_with_default(_tel(spark, d), lu, "event_type", "label", "unknown").groupBy(
+        "event_type", "label").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query
+def related_entities(spark, d):
+    n, r, s = B.table(spark, d, "nation"), B.table(spark, d, "region"), B.table(spark, d, "supplier")
+    e1 = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("src"),
+                                                          F.lit("in_region").alias("relation"),
+                                                          F.col("r_name").alias("dst"))
+    e2 = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_name").alias("src"),
+                                                          F.lit("located_in").alias("relation"),
+                                                          F.col("n_name").alias("dst"))
+    names = r.select(F.col("r_name").alias("name")).unionByName(n.select(F.col("n_name").alias("name")))
+    return J.related_entities(e1.unionByName(e2), names)
+
+
+@query
+def parties_union(spark, d):
+    c = B.table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nationkey"),
+                                           F.col("c_mktsegment").alias("segment"))
+    s = B.table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nationkey"),
+                                           F.col("s_acctbal").alias("acctbal"))
+    return U.union_all(c, s)
+
+
+@query
+def distinct_order_parts(spark, d):
+    return U.drop_duplicates(B.table(spark, d, "lineitem").select("l_orderkey", "l_partkey"))
+
+
+@query
+def parts_never_ordered(spark, d):
+    p = B.table(spark, d, "part").select(F.col("p_partkey").alias("partkey"))
+    li = B.table(spark, d, "lineitem").select(F.col("l_partkey").alias("partkey"))
+    return U.difference(p, li, keys=["partkey"])
+
+
+@query
+def top_parts_per_brand(spark, d):
+    li = B.table(spark, d, "lineitem")
+    p = B.table(spark, d, "part")
+    rev = li.groupBy("l_partkey").agg(fround(F.sum("l_extendedprice"), 2).alias("revenue"))
+    j = rev.join(p, rev.l_partkey == p.p_partkey).select("p_brand", "p_partkey", "revenue")
+    return U.top_k(j, 3, [F.desc("revenue"), F.asc("p_partkey")], by=["p_brand"], rank_col="rank")

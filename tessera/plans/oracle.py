@@ -384,3 +384,368 @@ SELECT event_id, model, CAST(c AS BIGINT) AS running_count, round(e / c, 6) AS r
 SQL["streamstats_rows"] = _llm("""
 SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY timestamp, event_id) AS BIGINT)
        AS "row" FROM telemetry""")
+
+# --- operations hub -------------------------------------------------------------------------------
+HUB_CTE = """
+h_employees AS (
+  SELECT 'E' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name,
+         (['sales', 'production', 'as', 'accounting', 'manager'])[s_suppkey % 5 + 1] AS role FROM supplier),
+h_customers AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment,
+         'E' || CAST((c_custkey % 20) * 5 AS VARCHAR) AS owner_employee_id FROM customer),
+h_orders AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS customer_id,
+         CASE o_orderstatus WHEN 'O' THEN 'placed' WHEN 'P' THEN 'in_production' WHEN 'F' THEN 'delivered' END AS status,
+         o_totalprice AS total_amount, o_orderdate AS created_at,
+         'E' || CAST((o_custkey % 20) * 5 AS VARCHAR) AS actor_employee_id FROM orders),
+h_lines AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_partkey AS VARCHAR) AS product_id,
+         CAST(l_quantity AS INTEGER) AS qty, l_extendedprice / l_quantity AS unit_price FROM lineitem),
+h_products AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS id, 'SKU-' || CAST(p_partkey AS VARCHAR) AS sku, p_name AS name,
+         p_retailprice AS unit_price, CAST(p_size * 20 AS INTEGER) AS stock_qty FROM part),
+h_tickets AS (
+  SELECT 'T' || CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS customer_id,
+         CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS severity,
+         (['open', 'in_progress', 'resolved'])[k % 3 + 1] AS status,
+         CASE WHEN k % 7 = 0 THEN NULL ELSE 'E' || CAST((k % 20) * 5 + 2 AS VARCHAR) END AS assignee_id,
+         (['refund request for a duplicate invoice', 'app crash after login update',
+           'delivery is late and tracking shows missing parcel', 'power defect, device stopped - urgent',
+           'question about how to reset the display', 'minor noise from the fan'])[k % 6 + 1] AS summary,
+         CASE WHEN k % 3 = 2 THEN 'part replaced and verified' END AS resolution, ts AS created_at
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'error')),
+h_leads AS (
+  SELECT 'L' || CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS customer_id,
+         (['ads', 'web', 'referral'])[user_id % 3 + 1] AS source,
+         (['new', 'qualified', 'converted', 'lost', 'new'])[k % 5 + 1] AS status
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'signup')),
+h_txns AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS order_id, 'sale' AS kind,
+         o_totalprice + CASE WHEN o_orderkey % 70 = 0 THEN 50.0 ELSE 0.0 END AS amount
+  FROM orders WHERE o_orderkey % 50 <> 0),
+h_activities AS (
+  SELECT 'order.placed:order:' || id AS id, 'order.placed' AS type, actor_employee_id, 'order' AS subject_type,
+         id AS subject_id, 'app' AS source, created_at AS occurred_at FROM h_orders
+  UNION ALL SELECT 'order.placed:customer:' || id, 'order.placed', actor_employee_id, 'customer', customer_id, 'app',
+         created_at FROM h_orders
+  UNION ALL SELECT 'production.queued:production:' || id, 'production.queued', NULL, 'production', 'job-' || id, 'app',
+         created_at FROM h_orders
+  UNION ALL SELECT 'delivery.done:order:' || id, 'delivery.done', NULL, 'order', id, 'app', created_at
+         FROM h_orders WHERE status = 'delivered'
+  UNION ALL SELECT 'delivery.done:customer:' || id, 'delivery.done', NULL, 'customer', customer_id, 'app', created_at
+         FROM h_orders WHERE status = 'delivered'
+  UNION ALL SELECT 'as.opened:' || id, 'as.opened', NULL, 'as', id, 'app', created_at FROM h_tickets
+  UNION ALL SELECT 'as.resolved:' || id, 'as.resolved', assignee_id, 'as', id, 'app', created_at
+         FROM h_tickets WHERE status = 'resolved')"""
+
+
+def with_hub(body: str) -> str:
+    return f"WITH {HUB_CTE}\n{body}"
+
+
+SQL["customer_360"] = with_hub("""
+SELECT c.id AS customer_id, c.name, c.segment, coalesce(o.orders, 0) AS orders,
+       coalesce(t.open_as_tickets, 0) AS open_as_tickets, coalesce(t.as_tickets, 0) AS as_tickets,
+       coalesce(l.leads, 0) AS leads, a.last_activity_at, coalesce(a.timeline_events, 0) AS timeline_events,
+       round(coalesce(o.ltv, 0.0), 2) AS lifetime_value
+FROM h_customers c
+LEFT JOIN (SELECT customer_id, count(*) AS orders, sum(total_amount) AS ltv FROM h_orders GROUP BY 1) o
+  ON o.customer_id = c.id
+LEFT JOIN (SELECT customer_id, CAST(sum(CASE WHEN status <> 'resolved' THEN 1 ELSE 0 END) AS BIGINT) AS open_as_tickets,
+                  count(*) AS as_tickets FROM h_tickets GROUP BY 1) t ON t.customer_id = c.id
+LEFT JOIN (SELECT customer_id, count(*) AS leads FROM h_leads GROUP BY 1) l ON l.customer_id = c.id
+LEFT JOIN (SELECT subject_id, max(occurred_at) AS last_activity_at, count(*) AS timeline_events
+           FROM h_activities WHERE subject_type = 'customer' GROUP BY 1) a ON a.subject_id = c.id""")
+
+SQL["customer_timeline"] = with_hub("""
+SELECT subject_id AS customer_id, type, occurred_at AS at, source,
+       id
+FROM h_activities WHERE subject_type = 'customer'""")
+
+SQL["inventory_status"] = with_hub("""
+SELECT p.id AS product_id, p.sku, p.name, p.stock_qty, CAST(coalesce(a.allocated, 0) AS BIGINT) AS allocated,
+       CAST(p.stock_qty - coalesce(a.allocated, 0) AS BIGINT) AS available
+FROM h_products p LEFT JOIN (
+  SELECT l.product_id, sum(l.qty) AS allocated FROM h_lines l JOIN h_orders o ON l.order_id = o.id
+  WHERE o.status IN ('placed', 'in_production') GROUP BY 1) a ON a.product_id = p.id""")
+
+SQL["employee_performance"] = with_hub("""
+, bt AS (SELECT actor_employee_id AS employee_id, type, count(*) AS n FROM h_activities
+         WHERE actor_employee_id IS NOT NULL GROUP BY ALL),
+b AS (SELECT employee_id, CAST(sum(n) AS BIGINT) AS activity_count,
+             string_agg(type || '=' || CAST(n AS VARCHAR), ';' ORDER BY type) AS by_type FROM bt GROUP BY 1),
+tk AS (SELECT assignee_id AS employee_id,
+              CAST(sum(CASE WHEN status = 'resolved' THEN 1 ELSE 0 END) AS BIGINT) AS as_resolved,
+              CAST(sum(CASE WHEN status <> 'resolved' THEN 1 ELSE 0 END) AS BIGINT) AS as_open
+       FROM h_tickets WHERE assignee_id IS NOT NULL GROUP BY 1)
+SELECT e.id AS employee_id, e.name, e.role, coalesce(b.activity_count, 0) AS activity_count,
+       coalesce(b.by_type, '') AS by_type, coalesce(tk.as_resolved, 0) AS as_resolved, coalesce(tk.as_open, 0) AS as_open
+FROM h_employees e LEFT JOIN b ON b.employee_id = e.id LEFT JOIN tk ON tk.employee_id = e.id""".replace(
+    "\n, bt AS", ", bt AS", 1))
+
+SQL["sales_pipeline"] = with_hub("""
+, bys AS (SELECT status, count(*) AS n FROM h_leads GROUP BY 1),
+lr AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS lead_total,
+              CAST(coalesce(sum(CASE WHEN status = 'converted' THEN n END), 0) AS BIGINT) AS converted,
+              string_agg(status || '=' || CAST(n AS VARCHAR), ';' ORDER BY status) AS by_status FROM bys),
+orr AS (SELECT count(*) AS orders, round(coalesce(sum(total_amount), 0.0), 2) AS revenue FROM h_orders)
+SELECT lead_total, converted, by_status, orders, revenue,
+       round(CASE WHEN lead_total = 0 THEN 0.0 ELSE converted / lead_total END, 4) AS conversion_rate
+FROM lr, orr""".replace("\n, bys AS", ", bys AS", 1))
+
+_RECON = """
+, placed AS (SELECT DISTINCT subject_id AS order_id FROM h_activities
+             WHERE type = 'order.placed' AND subject_type = 'order'),
+ex AS (SELECT p.order_id, CASE WHEN o.status = 'cancelled' THEN 0.0 ELSE coalesce(o.total_amount, 0.0) END AS expected
+       FROM placed p LEFT JOIN h_orders o ON o.id = p.order_id),
+ac AS (SELECT order_id, sum(CASE WHEN kind = 'sale' THEN amount ELSE -amount END) AS actual, count(*) AS vouchers
+       FROM h_txns GROUP BY 1),
+detail AS (
+  SELECT coalesce(ex.order_id, ac.order_id) AS order_id, ex.expected, round(ac.actual, 2) AS actual,
+         coalesce(ac.vouchers, 0) AS vouchers,
+         CASE WHEN ex.order_id IS NULL THEN 'orphan'
+              WHEN ac.vouchers IS NULL AND ex.expected = 0.0 THEN 'matched'
+              WHEN ac.vouchers IS NULL THEN 'missing'
+              WHEN abs(ac.actual - ex.expected) < 0.01 THEN 'matched' ELSE 'mismatched' END AS recon_status
+  FROM ex FULL OUTER JOIN ac ON ex.order_id = ac.order_id)"""
+
+SQL["reconcile_detail"] = with_hub(_RECON.replace("\n, placed", ", placed", 1) + "\nSELECT * FROM detail")
+
+_RECON_SUM = """
+, s AS (SELECT CAST(sum(CASE WHEN recon_status <> 'orphan' THEN 1 ELSE 0 END) AS BIGINT) AS total_orders,
+              CAST(sum(CASE WHEN recon_status = 'matched' THEN 1 ELSE 0 END) AS BIGINT) AS matched,
+              CAST(sum(CASE WHEN recon_status = 'missing' THEN 1 ELSE 0 END) AS BIGINT) AS missing,
+              CAST(sum(CASE WHEN recon_status = 'mismatched' THEN 1 ELSE 0 END) AS BIGINT) AS mismatched,
+              CAST(sum(CASE WHEN recon_status = 'orphan' THEN 1 ELSE 0 END) AS BIGINT) AS orphan_transactions
+        FROM detail),
+summary AS (SELECT *, CASE WHEN total_orders = 0 THEN 1.0 ELSE round(matched / total_orders, 4) END AS integrity_rate
+            FROM s)"""
+
+SQL["reconcile_summary"] = with_hub(_RECON.replace("\n, placed", ", placed", 1) + _RECON_SUM + """
+SELECT *, integrity_rate >= 0.99 AND orphan_transactions = 0 AS healthy FROM summary""")
+
+SQL["pending_postings"] = with_hub("""
+SELECT p.order_id, o.customer_id, 'sale' AS kind, coalesce(o.total_amount, 0.0) AS amount, 'order ' || p.order_id AS memo
+FROM (SELECT DISTINCT subject_id AS order_id FROM h_activities WHERE type = 'order.placed' AND subject_type = 'order') p
+LEFT JOIN h_orders o ON o.id = p.order_id
+WHERE p.order_id NOT IN (SELECT order_id FROM h_txns) AND coalesce(o.status, '') <> 'cancelled'""")
+
+SQL["order_totals"] = with_hub("""
+SELECT l.order_id, round(sum(coalesce(l.unit_price, p.unit_price, 0.0) * coalesce(l.qty, 1)), 2) AS total_amount,
+       count(*) AS lines
+FROM h_lines l LEFT JOIN h_products p ON p.id = l.product_id GROUP BY 1""")
+
+SQL["order_activities"] = with_hub("""
+SELECT id, type, actor_employee_id, subject_type, subject_id, source, occurred_at FROM h_activities WHERE type IN ('order.placed', 'production.queued', 'delivery.done')""")
+
+_TRIAGE_BASE = """
+, cls AS (
+  SELECT t.*, lower(coalesce(summary, '')) AS txt FROM h_tickets t),
+c2 AS (
+  SELECT *,
+    CASE WHEN {billing} THEN 'billing' WHEN {hardware} THEN 'hardware' WHEN {software} THEN 'software'
+         WHEN {delivery} THEN 'delivery' ELSE 'other' END AS category_rule,
+    CASE WHEN {high} THEN 'high' WHEN {low} THEN 'low' ELSE 'medium' END AS severity_rule FROM cls),
+c3 AS (
+  SELECT id, created_at, coalesce(category, category_rule) AS category, coalesce(severity, severity_rule) AS severity
+  FROM c2),
+c4 AS (
+  SELECT *, CASE category WHEN 'billing' THEN 'accounting' WHEN 'hardware' THEN 'production'
+                 WHEN 'software' THEN 'production' WHEN 'delivery' THEN 'as' WHEN 'other' THEN 'as' ELSE 'as' END
+            AS owner_role FROM c3),
+ld AS (SELECT assignee_id AS emp_id, count(*) AS open_load FROM h_tickets
+       WHERE status <> 'resolved' AND assignee_id IS NOT NULL GROUP BY 1),
+cand AS (SELECT e.id AS emp_id, e.name AS assignee_name, e.role AS owner_role, coalesce(ld.open_load, 0) AS open_load,
+                row_number() OVER (PARTITION BY e.role ORDER BY coalesce(ld.open_load, 0), e.id) - 1 AS slot,
+                count(*) OVER (PARTITION BY e.role) AS n_cand
+         FROM h_employees e LEFT JOIN ld ON ld.emp_id = e.id)"""
+
+
+def _kw(words):
+    return "(" + " OR ".join(f"contains(txt, '{w.lower()}')" for w in words) + ")"
+
+
+def _triage_sql():
+    from tessera.operators.hub import CATEGORY_KEYWORDS, HIGH_SEVERITY, LOW_SEVERITY
+    kw = {name: _kw(ws) for name, ws in CATEGORY_KEYWORDS}
+    return _TRIAGE_BASE.format(high=_kw(HIGH_SEVERITY), low=_kw(LOW_SEVERITY), **kw).replace("\n, cls", ", cls", 1)
+
+
+SQL["ticket_triage"] = with_hub(_triage_sql() + """
+SELECT c4.id, c4.category, c4.severity, c4.owner_role, cand.emp_id AS assignee_id_new, cand.assignee_name
+FROM c4 LEFT JOIN cand ON cand.owner_role = c4.owner_role AND cand.slot = 0""")
+
+SQL["ticket_triage_sequential"] = with_hub(_triage_sql() + """
+, seq AS (SELECT *, row_number() OVER (PARTITION BY owner_role ORDER BY created_at, id) - 1 AS _seq FROM c4),
+sz AS (SELECT DISTINCT owner_role, n_cand FROM cand)
+SELECT seq.id, seq.category, seq.severity, seq.owner_role, cand.emp_id AS assignee_id_new, cand.assignee_name
+FROM seq LEFT JOIN sz ON sz.owner_role = seq.owner_role
+LEFT JOIN cand ON cand.owner_role = seq.owner_role AND cand.slot = seq._seq % sz.n_cand""")
+
+SQL["insight_signals"] = with_hub("""
+, inv AS (
+  SELECT p.sku, p.stock_qty - coalesce(a.allocated, 0) AS available FROM h_products p LEFT JOIN (
+    SELECT l.product_id, sum(l.qty) AS allocated FROM h_lines l JOIN h_orders o ON l.order_id = o.id
+    WHERE o.status IN ('placed', 'in_production') GROUP BY 1) a ON a.product_id = p.id),
+lr AS (SELECT count(*) AS lead_total, sum(CASE WHEN status = 'converted' THEN 1 ELSE 0 END) AS converted FROM h_leads),
+pipe AS (SELECT lead_total, round(CASE WHEN lead_total = 0 THEN 0.0 ELSE converted / lead_total END, 4) AS conversion_rate
+         FROM lr),
+perf AS (SELECT e.name, coalesce(t.as_open, 0) AS as_open FROM h_employees e LEFT JOIN (
+           SELECT assignee_id, sum(CASE WHEN status <> 'resolved' THEN 1 ELSE 0 END) AS as_open FROM h_tickets
+           WHERE assignee_id IS NOT NULL GROUP BY 1) t ON t.assignee_id = e.id)
+SELECT 'inventory_oversold' AS type, 'high' AS severity, sku || ' available ' || CAST(available AS VARCHAR) AS detail
+FROM inv WHERE available < 0
+UNION ALL
+SELECT 'low_conversion', 'medium', 'conversion ' || CAST(conversion_rate AS VARCHAR) || ' over '
+       || CAST(lead_total AS VARCHAR) || ' leads' FROM pipe WHERE lead_total >= 5 AND conversion_rate < 0.2
+UNION ALL
+SELECT 'overloaded_staff', 'medium', name || ' has ' || CAST(as_open AS VARCHAR) || ' open AS tickets'
+FROM perf WHERE as_open >= 3""".replace("\n, inv", ", inv", 1))
+
+SQL["adoption_metrics"] = with_hub(_RECON.replace("\n, placed", ", placed", 1) + _RECON_SUM + """,
+now AS (SELECT max(occurred_at) AS now FROM h_activities),
+act AS (SELECT count(DISTINCT CASE WHEN occurred_at >= (SELECT now FROM now) - INTERVAL 7 DAY
+                                    AND actor_employee_id IS NOT NULL THEN actor_employee_id END) AS active,
+               count(*) AS total_activity FROM h_activities),
+emp AS (SELECT count(*) AS employees FROM h_employees),
+fu AS (SELECT count(*) AS followups_drafted, CAST(0 AS BIGINT) AS followups_sent FROM h_orders WHERE status = 'delivered'),
+tk AS (SELECT CAST(sum(CASE WHEN status = 'resolved' THEN 1 ELSE 0 END) AS BIGINT) AS resolved_tickets FROM h_tickets),
+kn AS (SELECT count(*) AS knowledge_items FROM h_tickets WHERE status = 'resolved')
+SELECT 7 AS window_days, employees, active, round(CASE WHEN employees = 0 THEN 0.0 ELSE active / employees END, 4)
+         AS dau_ratio, total_activity, followups_drafted, followups_sent,
+       round(CASE WHEN followups_drafted = 0 THEN 0.0 ELSE followups_sent / followups_drafted END, 4) AS approval_rate,
+       resolved_tickets, knowledge_items,
+       round(CASE WHEN resolved_tickets = 0 THEN 0.0 ELSE knowledge_items / resolved_tickets END, 4) AS coverage,
+       integrity_rate AS accounting_integrity
+FROM act, emp, fu, tk, kn, summary""")
+
+SQL["activity_by_source"] = with_hub("SELECT source, count(*) AS count FROM h_activities GROUP BY 1")
+
+SQL["ownership_coverage"] = with_hub("""
+, dom AS (SELECT unnest(['marketing', 'crm', 'production', 'inventory', 'as', 'accounting', 'schedule', 'knowledge',
+                         'performance']) AS domain),
+own AS (SELECT DISTINCT CASE role WHEN 'sales' THEN 'crm' WHEN 'production' THEN 'production' WHEN 'as' THEN 'as'
+                           WHEN 'accounting' THEN 'accounting' WHEN 'manager' THEN 'performance' END AS domain
+        FROM h_employees)
+SELECT domain, domain IN (SELECT domain FROM own WHERE domain IS NOT NULL) AS assigned FROM dom""".replace(
+    "\n, dom", ", dom", 1))
+
+
+def _triage_cls_only():
+    from tessera.operators.hub import CATEGORY_KEYWORDS
+    kw = {name: _kw(ws) for name, ws in CATEGORY_KEYWORDS}
+    return ("CASE WHEN {billing} THEN 'billing' WHEN {hardware} THEN 'hardware' WHEN {software} THEN 'software' "
+            "WHEN {delivery} THEN 'delivery' ELSE 'other' END").format(**kw)
+
+
+SQL["knowledge_capture"] = with_hub(f"""
+, c AS (SELECT *, {_triage_cls_only()} AS cat FROM (SELECT *, lower(coalesce(summary, '')) AS txt FROM h_tickets)
+        WHERE status = 'resolved')
+SELECT 'K-' || id AS id, id AS ticket_id, '[' || cat || '] ' || substr(coalesce(summary, 'AS resolution'), 1, 80) AS title,
+       'Symptom: ' || coalesce(summary, '-') || chr(10) || 'Category: ' || cat || ' / Severity: '
+         || coalesce(severity, '-') || chr(10) || 'Resolution: ' || coalesce(resolution, '-') || chr(10)
+         || 'Prevention: (review needed)' AS body,
+       [cat, 'as'] AS tags, 'draft' AS status FROM c""".replace("\n, c AS", ", c AS", 1))
+
+SQL["followup_drafts"] = with_hub("""
+SELECT 'F-' || o.id AS id, o.id AS order_id, o.customer_id, 'email' AS channel, 'draft' AS status,
+       c.name || ', we are checking that your order (no. ' || substr(o.id, 1, 8) || ') arrived well. '
+       || 'If anything is inconvenient or unclear, please reply any time. Thank you.' AS draft
+FROM h_orders o LEFT JOIN h_customers c ON c.id = o.customer_id WHERE o.status = 'delivered'""")
+
+SQL["visible_widgets"] = with_hub("""
+, prefs AS (SELECT 'E' || CAST(s_suppkey AS VARCHAR) AS employee_id FROM supplier WHERE s_suppkey % 3 = 0),
+layout AS (SELECT * FROM (VALUES (0, 'pipeline'), (1, 'inventory'), (2, 'as_queue'), (3, 'insights')) t(position, widget)),
+wr AS (SELECT * FROM (VALUES ('pipeline', 'sales'), ('pipeline', 'manager'), ('inventory', 'production'),
+         ('inventory', 'accounting'), ('inventory', 'manager'), ('as_queue', 'as'), ('as_queue', 'manager'),
+         ('insights', 'manager')) t(widget, role)),
+presets AS (SELECT * FROM (VALUES ('sales', 0, 'pipeline'), ('sales', 1, 'customer_directory'),
+         ('sales', 2, 'followup_queue'), ('production', 0, 'production_queue'), ('production', 1, 'inventory'),
+         ('as', 0, 'as_queue'), ('as', 1, 'followup_queue'), ('as', 2, 'knowledge_recent'),
+         ('accounting', 0, 'accounting_health'), ('accounting', 1, 'inventory'), ('manager', 0, 'pipeline'),
+         ('manager', 1, 'performance'), ('manager', 2, 'inventory'), ('manager', 3, 'accounting_health'),
+         ('manager', 4, 'insights')) t(role, position, widget))
+SELECT e.id AS employee_id, e.role, l.position, l.widget
+FROM h_employees e JOIN prefs p ON p.employee_id = e.id CROSS JOIN layout l
+WHERE e.role = 'manager' OR EXISTS (SELECT 1 FROM wr WHERE wr.widget = l.widget AND wr.role = e.role)
+UNION ALL
+SELECT e.id, e.role, ps.position, ps.widget FROM h_employees e JOIN presets ps ON ps.role = e.role
+WHERE e.id NOT IN (SELECT employee_id FROM prefs)""".replace("\n, prefs", ", prefs", 1))
+
+SQL["open_ticket_queue"] = with_hub("SELECT id, status, assignee_id, created_at FROM h_tickets WHERE status <> 'resolved'")
+
+SQL["scoped_customers_sales"] = with_hub("""
+SELECT c.id, c.name, c.segment, c.owner_employee_id,
+       lower(replace(c.name, '#', '.')) || '@example.com' AS email,
+       printf('010-%04d-%04d', CAST(k.c_custkey % 10000 AS INTEGER), CAST((k.c_custkey * 7) % 10000 AS INTEGER)) AS phone
+FROM h_customers c JOIN customer k ON CAST(k.c_custkey AS VARCHAR) = c.id WHERE c.owner_employee_id = 'E5'""")
+
+SQL["scoped_customers_as"] = with_hub("""
+SELECT c.id, c.name, c.segment, c.owner_employee_id,
+       lower(replace(c.name, '#', '.')) || '@example.com' AS email,
+       printf('010-%04d-%04d', CAST(k.c_custkey % 10000 AS INTEGER), CAST((k.c_custkey * 7) % 10000 AS INTEGER)) AS phone
+FROM h_customers c JOIN customer k ON CAST(k.c_custkey AS VARCHAR) = c.id
+WHERE c.id IN (SELECT customer_id FROM h_tickets WHERE assignee_id = 'E2')""")
+
+SQL["scoped_tickets_as"] = with_hub("""
+SELECT id, status, assignee_id FROM h_tickets WHERE status <> 'resolved' AND (assignee_id = 'E2' OR assignee_id IS NULL)""")
+
+SQL["employee_principals"] = with_hub("""
+SELECT id, role, array_to_string(list_sort(list_distinct(
+  CASE role WHEN 'sales' THEN ['grp:all', 'grp:sales'] WHEN 'production' THEN ['grp:all', 'grp:production']
+            WHEN 'as' THEN ['grp:all', 'grp:as'] WHEN 'accounting' THEN ['grp:all', 'grp:accounting']
+            WHEN 'manager' THEN ['grp:all', 'grp:sales', 'grp:production', 'grp:as', 'grp:accounting', 'grp:manager']
+            ELSE ['grp:all'] END || ['usr:' || id])), ',') AS principals FROM h_employees""")
+
+SQL["orders_missing_vouchers"] = with_hub("""
+SELECT id AS order_id, status, total_amount FROM h_orders WHERE id NOT IN (SELECT order_id FROM h_txns)""")
+
+SQL["customers_with_assigned_ticket"] = with_hub("""
+SELECT id, name FROM h_customers WHERE id IN (SELECT customer_id FROM h_tickets WHERE assignee_id IS NOT NULL)""")
+
+SQL["llm_price_lookup"] = with_telemetry(""",
+prices AS (SELECT * FROM (VALUES
+  ('claude-3-opus*', 0.015, 0.075, 'anthropic', 'premium'), ('claude-3.5-sonnet*', 0.003, 0.015, 'anthropic', 'standard'),
+  ('claude-3-haiku*', 0.00025, 0.00125, 'anthropic', 'economy'), ('gpt-4o*', 0.005, 0.015, 'openai', 'standard'),
+  ('gpt-4o-mini*', 0.00015, 0.0006, 'openai', 'economy'), ('gpt-3.5-turbo*', 0.0005, 0.0015, 'openai', 'economy'),
+  ('gemini-1.5-pro*', 0.0035, 0.0105, 'google', 'standard'), ('gemini-1.5-flash*', 0.00035, 0.00105, 'google', 'economy'))
+  t(pattern, inp, outp, provider, tier)),
+llm AS (SELECT * FROM telemetry WHERE event_type = 'mcp_llm_call'),
+cand AS (SELECT m.model AS m, p.*, row_number() OVER (PARTITION BY m.model ORDER BY length(rtrim(p.pattern, '*')) DESC,
+                p.pattern) AS r
+         FROM (SELECT DISTINCT model FROM llm) m JOIN prices p
+           ON CASE WHEN ends_with(p.pattern, '*') THEN starts_with(m.model, rtrim(p.pattern, '*'))
+                   ELSE m.model = p.pattern END)
+SELECT l.event_id, l.model, c.pattern AS price_pattern, c.provider AS price_provider, c.tier AS price_tier,
+       round(coalesce(l.prompt_tokens, 0) / 1000.0 * CAST(c.inp AS DOUBLE)
+             + coalesce(l.completion_tokens, 0) / 1000.0 * CAST(c.outp AS DOUBLE), 8) AS price_cost_usd
+FROM llm l LEFT JOIN (SELECT * FROM cand WHERE r = 1) c ON c.m = l.model""")
+
+SQL["event_type_lookup"] = _llm("""
+SELECT event_type, CASE event_type WHEN 'mcp_llm_call' THEN 'LLM call' WHEN 'mcp_cache_hit' THEN 'Cache hit'
+                                   WHEN 'mcp_cache_miss' THEN 'Cache miss' ELSE 'unknown' END AS label,
+       count(*) AS events FROM telemetry GROUP BY ALL""")
+
+SQL["related_entities"] = """
+WITH edges AS (
+  SELECT n_name AS src, 'in_region' AS relation, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT s_name, 'located_in', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+names AS (SELECT DISTINCT name FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation))
+SELECT n.name AS entity, e.relation, e.dst AS neighbour FROM edges e JOIN names n ON e.src = n.name
+UNION ALL
+SELECT n.name, 'inverse_' || e.relation, e.src FROM edges e JOIN names n ON e.dst = n.name"""
+
+SQL["parties_union"] = """
+SELECT c_name AS name, c_nationkey AS nationkey, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS acctbal FROM customer
+UNION ALL SELECT s_name, s_nationkey, NULL, s_acctbal FROM supplier"""
+
+SQL["distinct_order_parts"] = "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem"
+
+SQL["parts_never_ordered"] = """
+SELECT p_partkey AS partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)"""
+
+SQL["top_parts_per_brand"] = """
+WITH rev AS (SELECT l_partkey, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY 1),
+j AS (SELECT p_brand, p_partkey, revenue FROM rev JOIN part ON l_partkey = p_partkey)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY revenue DESC, p_partkey) AS rank FROM j)
+WHERE rank <= 3"""

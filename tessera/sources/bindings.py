@@ -62,3 +62,156 @@ def spans_from_events(events: DataFrame) -> DataFrame:
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry events derived from the ``events`` table (spans -> events -> enrichment)."""
     return enrich_llm_events(spans_to_events(spans_from_events(table(spark, sf_dir, "events"))))
+
+
+# --- operations hub --------------------------------------------------------------------------
+# Stand-in roles, order states, ticket states and ticket texts.
+ROLES = ["sales", "production", "as", "accounting", "manager"]
+ORDER_STATUS = {"O": "placed", "P": "in_production", "F": "delivered"}
+TICKET_STATUS = ["open", "in_progress", "resolved"]
+TICKET_SUMMARIES = [
+    "refund request for a duplicate invoice",
+    "app crash after login update",
+    "delivery is late and tracking shows missing parcel",
+    "power defect, device stopped - urgent",
+    "question about how to reset the display",
+    "minor noise from the fan",
+]
+LEAD_STATUS = ["new", "qualified", "converted", "lost", "new"]
+LEAD_SOURCE = ["ads", "web", "referral"]
+
+
+def hub_employees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("id"),
+                    F.col("s_name").alias("name"), _pick(ROLES, F.pmod(F.col("s_suppkey"), F.lit(5))).alias("role"))
+
+
+def _sales_owner(custkey):
+    return F.concat(F.lit("E"), (F.pmod(custkey, F.lit(20)) * 5).cast("string"))
+
+
+def hub_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"),
+                    F.col("c_mktsegment").alias("segment"), _sales_owner(F.col("c_custkey")).alias("owner_employee_id"),
+                    F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.com")).alias("email"),
+                    F.format_string("010-%04d-%04d", F.pmod(F.col("c_custkey"), F.lit(10000)).cast("int"),
+                                    F.pmod(F.col("c_custkey") * 7, F.lit(10000)).cast("int")).alias("phone"))
+
+
+def _order_status():
+    st = F.col("o_orderstatus")
+    out = F.lit(None).cast("string")
+    for k, v in reversed(list(ORDER_STATUS.items())):
+        out = F.when(st == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def hub_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("customer_id"),
+                    _order_status().alias("status"), F.col("o_totalprice").alias("total_amount"),
+                    F.col("o_orderdate").alias("created_at"),
+                    _sales_owner(F.col("o_custkey")).alias("actor_employee_id"))
+
+
+def hub_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").cast("string").alias("order_id"),
+                     F.col("l_partkey").cast("string").alias("product_id"),
+                     F.col("l_quantity").cast("int").alias("qty"),
+                     (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"))
+
+
+def hub_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").cast("string").alias("id"),
+                    F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("sku"),
+                    F.col("p_name").alias("name"), F.col("p_retailprice").alias("unit_price"),
+                    (F.col("p_size") * 20).cast("int").alias("stock_qty"))
+
+
+def hub_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After-sales tickets: one per ``error`` event."""
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    k = F.get_json_object("props", "$.k").cast("int")
+    status = _pick(TICKET_STATUS, F.pmod(k, F.lit(3)))
+    return e.select(
+        F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("id"),
+        F.col("user_id").cast("string").alias("customer_id"),
+        F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("severity"),
+        status.alias("status"),
+        F.when(F.pmod(k, F.lit(7)) == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("E"), (F.pmod(k, F.lit(20)) * 5 + 2).cast("string"))).alias("assignee_id"),
+        _pick(TICKET_SUMMARIES, F.pmod(k, F.lit(6))).alias("summary"),
+        F.when(status == "resolved", F.lit("part replaced and verified")).alias("resolution"),
+        F.col("ts").alias("created_at"))
+
+
+def hub_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads: one per ``signup`` event."""
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select(F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("id"),
+                    F.col("user_id").cast("string").alias("customer_id"),
+                    _pick(LEAD_SOURCE, F.pmod(F.col("user_id"), F.lit(3))).alias("source"),
+                    _pick(LEAD_STATUS, F.pmod(k, F.lit(5))).alias("status"),
+                    (k / 100.0).alias("score"))
+
+
+def hub_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mirrored vouchers: a sale per order, except a dropped subset; another subset drifted by +50."""
+    o = table(spark, sf_dir, "orders").filter(F.pmod(F.col("o_orderkey"), F.lit(50)) != 0)
+    drift = F.when(F.pmod(F.col("o_orderkey"), F.lit(70)) == 0, F.lit(50.0)).otherwise(F.lit(0.0))
+    return o.select(F.concat(F.lit("X"), F.col("o_orderkey").cast("string")).alias("id"),
+                    F.col("o_orderkey").cast("string").alias("order_id"),
+                    F.concat(F.lit("QB-"), F.col("o_orderkey").cast("string")).alias("external_id"),
+                    F.lit("sale").alias("kind"), (F.col("o_totalprice") + drift).alias("amount"),
+                    F.lit("KRW").alias("currency"), F.lit("posted").alias("status"),
+                    F.lit("accounting_saas").alias("source"), F.col("o_orderdate").alias("occurred_at"))
+
+
+def hub_ticket_activities(tickets: DataFrame) -> DataFrame:
+    """as.opened for every ticket, as.resolved for resolved ones (activity rows of the event store)."""
+    opened = tickets.select(F.concat(F.lit("as.opened:"), F.col("id")).alias("id"), F.lit("as.opened").alias("type"),
+                            F.lit(None).cast("string").alias("actor_employee_id"), F.lit("as").alias("subject_type"),
+                            F.col("id").alias("subject_id"), F.to_json(F.struct("customer_id")).alias("payload"),
+                            F.lit("app").alias("source"), F.col("created_at").alias("occurred_at"))
+    resolved = tickets.filter(F.col("status") == "resolved").select(
+        F.concat(F.lit("as.resolved:"), F.col("id")).alias("id"), F.lit("as.resolved").alias("type"),
+        F.col("assignee_id").alias("actor_employee_id"), F.lit("as").alias("subject_type"),
+        F.col("id").alias("subject_id"), F.to_json(F.struct("customer_id")).alias("payload"),
+        F.lit("app").alias("source"), F.col("created_at").alias("occurred_at"))
+    return opened.unionByName(resolved)
+
+
+def hub_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event store: order activities (H08) plus ticket activities."""
+    from tessera.operators.hub import order_activities
+    return order_activities(hub_orders(spark, sf_dir), actor="actor_employee_id").unionByName(
+        hub_ticket_activities(hub_tickets(spark, sf_dir)))
+
+
+# Domain owned by each role (stand-in ownership registry).
+ROLE_DOMAIN = {"sales": "crm", "production": "production", "as": "as", "accounting": "accounting",
+               "manager": "performance"}
+
+
+def hub_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = hub_employees(spark, sf_dir)
+    dom = F.lit(None).cast("string")
+    for r, d in reversed(list(ROLE_DOMAIN.items())):
+        dom = F.when(F.col("role") == r, F.lit(d)).otherwise(dom)
+    return e.select(dom.alias("domain"), F.col("id").alias("owner_employee_id"),
+                    F.lit("internal").alias("classification"), F.lit(None).cast("string").alias("notes"))
+
+
+# A saved widget layout used as stand-in preference.
+SAVED_LAYOUT = ["pipeline", "inventory", "as_queue", "insights"]
+
+
+def hub_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").filter(F.pmod(F.col("s_suppkey"), F.lit(3)) == 0)
+    return s.select(F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("employee_id"),
+                    F.array(*[F.lit(w) for w in SAVED_LAYOUT]).alias("layout"))
