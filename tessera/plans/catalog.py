@@ -457,3 +457,115 @@ def top_parts_per_brand(spark, d):
     rev = li.groupBy("l_partkey").agg(fround(F.sum("l_extendedprice"), 2).alias("revenue"))
     j = rev.join(p, rev.l_partkey == p.p_partkey).select("p_brand", "p_partkey", "revenue")
     return U.top_k(j, 3, [F.desc("revenue"), F.asc("p_partkey")], by=["p_brand"], rank_col="rank")
+
+
+# --- DLP, PII and governance ---------------------------------------------------------------------
+from tessera.operators import pii as PII  # noqa: E402
+from tessera.operators import protect as P  # noqa: E402
+
+
+def _violations(spark, d):
+    return P.dlp_scan(B.dlp_requests(spark, d))
+
+
+@query
+def dlp_violations(spark, d):
+    return _violations(spark, d).select(
+        "request_id", "rule_id", "rule_name", "sensitivity", "action_taken",
+        F.size("matched_patterns").alias("n_patterns"), F.array_join("matched_keywords", "|").alias("keywords"),
+        "data_hash", "data_preview")
+
+
+@query
+def dlp_decisions(spark, d):
+    return P.dlp_decide(B.dlp_requests(spark, d))
+
+
+@query
+def dlp_processed(spark, d):
+    return P.dlp_apply(B.dlp_requests(spark, d))
+
+
+@query
+def dlp_statistics(spark, d):
+    return R.dlp_statistics(_violations(spark, d))
+
+
+@query
+def violations_by_rule_action(spark, d):
+    return R.violations_by_rule_action(P.violations_to_events(_violations(spark, d)))
+
+
+@query
+def violations_with_actions(spark, d):
+    return R.violations_with_actions(P.violations_to_events(_violations(spark, d)))
+
+
+@query
+def dlp_burst_alert(spark, d):
+    ev = P.violations_to_events(_violations(spark, d))
+    return R.dlp_burst_alert(ev, _now(ev), threshold=10, minutes=10)
+
+
+@query
+def violation_risk(spark, d):
+    return P.score_violations(_violations(spark, d)).select(
+        "request_id", "rule_id", "risk_score", "risk_level", "recommended_playbook", "requires_human_review",
+        "incident")
+
+
+@query
+def document_pii_risk(spark, d):
+    return P.pii_risk(B.table(spark, d, "documents"))
+
+
+@query
+def document_pii_findings(spark, d):
+    return P.detect_pii(B.table(spark, d, "documents"))
+
+
+@query
+def document_classification(spark, d):
+    docs = B.table(spark, d, "documents").select("doc_id", "text", "source")
+    return P.classify_records(docs, ["text", "source"]).select("doc_id", "classification")
+
+
+@query
+def protected_documents(spark, d):
+    docs = B.table(spark, d, "documents").select("doc_id", "text", "source")
+    return P.protect(P.classify_records(docs, ["text", "source"]), "INTERNAL")
+
+
+@query
+def document_entities(spark, d):
+    return PII.detect_entities(B.table(spark, d, "documents"))
+
+
+@query
+def document_masked(spark, d):
+    return PII.mask_pii(B.table(spark, d, "documents").select("doc_id", "text"), mode="format").select(
+        "doc_id", "masked_text")
+
+
+@query
+def customer_contact_encryption(spark, d):
+    c = B.hub_customers(spark, d).select("id", "email", "phone")
+    enc = P.encrypt_columns(c, ["email", "phone"], "0123456789abcdef0123456789abcdef")
+    dec = P.decrypt_columns(enc, ["email", "phone"], "0123456789abcdef0123456789abcdef")
+    return enc.select("id", F.col("email").alias("email_enc")).join(dec.select("id", "email", "phone"), "id")
+
+
+@query
+def governed_document_read(spark, d):
+    docs = B.table(spark, d, "documents").select(F.col("source").alias("resource"), "doc_id", "text")
+    req = B.table(spark, d, "conversations").filter(F.col("turn") == 0).select(
+        F.col("conv_id").cast("string").alias("request_id"),
+        F.concat(F.lit("u"), F.pmod(F.col("conv_id"), F.lit(5)).cast("string")).alias("user_id"),
+        F.concat(F.lit("src"), F.pmod(F.col("conv_id"), F.lit(20)).cast("string")).alias("resource"))
+    grants = B.table(spark, d, "nation").select(
+        F.concat(F.lit("u"), F.pmod(F.col("n_nationkey"), F.lit(5)).cast("string")).alias("user_id"),
+        F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("resource"),
+        F.element_at(F.array(*[F.lit(x) for x in ("PUBLIC", "INTERNAL", "CONFIDENTIAL", "RESTRICTED")]),
+                     (F.pmod(F.col("n_nationkey"), F.lit(4)) + 1).cast("int")).alias("access_level"))
+    data, audit = P.governed_read(docs, req, grants)
+    return audit

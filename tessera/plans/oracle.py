@@ -749,3 +749,179 @@ WITH rev AS (SELECT l_partkey, round(sum(l_extendedprice), 2) AS revenue FROM li
 j AS (SELECT p_brand, p_partkey, revenue FROM rev JOIN part ON l_partkey = p_partkey)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY revenue DESC, p_partkey) AS rank FROM j)
 WHERE rank <= 3"""
+
+# --- DLP, PII and governance ------------------------------------------------------------------------
+DLP_REQ_CTE = """
+req AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS request_id, text,
+         CASE WHEN role = 'user' THEN 'outbound' WHEN role = 'assistant' THEN 'inbound' ELSE 'internal' END AS direction,
+         (['web_search', 'email_send', 'file_upload', 'db_query'])[conv_id % 4 + 1] AS tool_name,
+         'u' || CAST(conv_id % 50 AS VARCHAR) AS user_id,
+         (['', 'partner.example.com', '', 'mail.example.org'])[(conv_id + turn) % 4 + 1] AS destination,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id AS BIGINT)) + to_seconds(CAST(turn AS BIGINT)) AS ts
+  FROM conversations
+  UNION ALL
+  SELECT 'd' || CAST(doc_id AS VARCHAR), text, 'outbound', (['file_upload', 'email_send'])[doc_id % 2 + 1], source,
+         (['', 'partner.example.com', '', 'mail.example.org'])[doc_id % 4 + 1],
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(doc_id AS BIGINT))
+  FROM documents)"""
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _dlp_sql_parts():
+    from tessera.operators.protect import ACTION_RANK, DEFAULT_RULES
+    rules = sorted([r for r in DEFAULT_RULES if r.enabled], key=lambda r: r.priority)
+    items = []
+    for r in rules:
+        app = f"direction IN ({', '.join(_q(x) for x in r.directions)})"
+        if r.target_tools:
+            app += f" AND coalesce(tool_name, '') IN ({', '.join(_q(x) for x in r.target_tools)})"
+        pats = "list_filter([" + ", ".join(
+            f"CASE WHEN regexp_matches(t, {_q(p)}, 'i') THEN {_q(p)} END" for p in r.patterns) + "], lambda x: x IS NOT NULL)"
+        kws = "list_filter([" + ", ".join(
+            f"CASE WHEN contains(lower(t), {_q(k.lower())}) THEN {_q(k)} END" for k in r.keywords) + "], lambda x: x IS NOT NULL)"
+        items.append((r, app, pats, kws))
+    return rules, items, ACTION_RANK
+
+
+def _dlp_rows_sql() -> str:
+    rules, items, rank = _dlp_sql_parts()
+    unions = []
+    for i, (r, app, pats, kws) in enumerate(items):
+        unions.append(f"""SELECT request_id, t, direction, {i} AS rule_order, {_q(r.rule_id)} AS rule_id,
+       {_q(r.name)} AS rule_name, {pats} AS mp, {kws} AS mk, {_q(r.sensitivity)} AS sensitivity,
+       {_q(r.action)} AS action_taken, {rank[r.action]} AS action_rank
+FROM base WHERE {app}""")
+    return f"""WITH {DLP_REQ_CTE.strip()},
+base AS (SELECT *, coalesce(text, '') AS t FROM req),
+cand AS ({' UNION ALL '.join(unions)}),
+viol AS (SELECT * FROM cand WHERE len(mp) > 0 OR len(mk) > 0)"""
+
+
+SQL["dlp_violations"] = _dlp_rows_sql() + """
+SELECT request_id, rule_id, rule_name, sensitivity, action_taken, CAST(len(mp) AS INTEGER) AS n_patterns,
+       array_to_string(mk, '|') AS keywords, substr(sha256(t), 1, 16) AS data_hash,
+       CASE WHEN length(t) > 100 THEN substr(t, 1, 100) || '...' ELSE t END AS data_preview FROM viol"""
+
+_DLP_DECIDE = """,
+dec AS (SELECT b.request_id, b.text, b.t, b.direction, min(v.action_rank) AS best, count(v.rule_id) AS violation_count,
+               list(v.rule_id) AS hit_rules
+        FROM base b LEFT JOIN viol v ON v.request_id = b.request_id GROUP BY ALL),
+dec2 AS (SELECT *, CASE best WHEN 0 THEN 'block' WHEN 1 THEN 'quarantine' WHEN 2 THEN 'encrypt' WHEN 3 THEN 'mask'
+                            WHEN 4 THEN 'alert' WHEN 5 THEN 'allow' ELSE 'allow' END AS dlp_action FROM dec)"""
+
+SQL["dlp_decisions"] = _dlp_rows_sql() + _DLP_DECIDE + """
+SELECT request_id, dlp_action, violation_count = 0 AS is_clean, CAST(violation_count AS INTEGER) AS violation_count
+FROM dec2"""
+
+
+def _dlp_apply_sql() -> str:
+    rules, items, _ = _dlp_sql_parts()
+    masked = "t"
+    for r, *_ in items:
+        rep = masked
+        for p in r.patterns:
+            rep = f"regexp_replace({rep}, {_q(p)}, '[REDACTED]', 'gi')"
+        masked = f"CASE WHEN list_contains(hit_rules, {_q(r.rule_id)}) THEN {rep} ELSE {masked} END"
+    return _dlp_rows_sql() + _DLP_DECIDE + f"""
+SELECT request_id, dlp_action, CASE WHEN dlp_action = 'mask' THEN {masked} ELSE text END AS processed_text,
+       NOT coalesce(direction = 'outbound' AND dlp_action IN ('block', 'quarantine'), false) AS passed FROM dec2"""
+
+
+SQL["dlp_processed"] = _dlp_apply_sql()
+
+SQL["dlp_statistics"] = _dlp_rows_sql() + """,
+dist AS (SELECT 'rule' AS dimension, rule_name AS key, count(*) AS count FROM viol GROUP BY 2
+         UNION ALL SELECT 'action', action_taken, count(*) FROM viol GROUP BY 2
+         UNION ALL SELECT 'sensitivity', sensitivity, count(*) FROM viol GROUP BY 2),
+tot AS (SELECT count(*) AS total_violations,
+               CAST(sum(CASE WHEN action_taken = 'block' THEN 1 ELSE 0 END) AS BIGINT) AS blocked_count,
+               CAST(sum(CASE WHEN action_taken = 'mask' THEN 1 ELSE 0 END) AS BIGINT) AS masked_count FROM viol)
+SELECT * FROM dist CROSS JOIN tot"""
+
+SQL["violations_by_rule_action"] = _dlp_rows_sql() + """
+SELECT rule_name, action_taken, sensitivity, count(*) AS violations FROM viol GROUP BY ALL"""
+
+SQL["violations_with_actions"] = _dlp_rows_sql() + """
+SELECT rule_name, sensitivity, count(*) AS violations, list_sort(list(DISTINCT action_taken)) AS actions
+FROM viol GROUP BY ALL"""
+
+SQL["dlp_burst_alert"] = _dlp_rows_sql() + """,
+vt AS (SELECT v.*, b.ts FROM viol v JOIN base b USING (request_id)),
+recent AS (SELECT * FROM vt WHERE ts >= (SELECT max(ts) FROM vt) - INTERVAL 10 MINUTE AND ts <= (SELECT max(ts) FROM vt)),
+agg AS (SELECT count(*) AS violations FROM recent)
+SELECT 'dlp_burst' AS anomaly_type, CAST(violations AS DOUBLE) AS metric_value FROM agg WHERE violations >= 10"""
+
+SQL["violation_risk"] = _dlp_rows_sql() + """,
+s AS (SELECT request_id, rule_id,
+        CAST((CASE WHEN contains(upper(sensitivity), 'TOP_SECRET') THEN 60 WHEN contains(upper(sensitivity), 'RESTRICTED')
+                   THEN 45 WHEN contains(upper(sensitivity), 'CONFIDENTIAL') THEN 30
+                   WHEN contains(upper(sensitivity), 'INTERNAL') THEN 15 ELSE 0 END)
+           + (CASE WHEN contains(upper(action_taken), 'BLOCK') THEN 30 WHEN contains(upper(action_taken), 'QUARANTINE')
+                   THEN 25 WHEN contains(upper(action_taken), 'MASK') THEN 10 ELSE 0 END) AS INTEGER) AS risk_score
+      FROM viol)
+SELECT request_id, rule_id, risk_score,
+       CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 30 THEN 'medium'
+            ELSE 'low' END AS risk_level,
+       CASE WHEN risk_score >= 80 THEN 'mcp_block_user' WHEN risk_score >= 60 THEN 'mcp_quarantine_session'
+            ELSE 'mcp_notify_security' END AS recommended_playbook,
+       risk_score >= 60 AS requires_human_review, risk_score >= 30 AS incident FROM s"""
+
+
+def _pii_risk_sql() -> str:
+    from tessera.operators.protect import ENTITY_PATTERNS, HIGH_RISK, MEDIUM_RISK
+    cnt = ", ".join(f"CAST(len(regexp_extract_all(coalesce(text, ''), {_q(p)}, 0, 'i')) AS INTEGER) AS n_{n.lower()}"
+                    for n, p in ENTITY_PATTERNS)
+    tot = " + ".join(f"n_{n.lower()}" for n, _ in ENTITY_PATTERNS)
+    hi = " + ".join(f"n_{n.lower()}" for n in HIGH_RISK)
+    me = " + ".join(f"n_{n.lower()}" for n in MEDIUM_RISK)
+    return f"""SELECT *, {tot} AS entities_found,
+       CASE WHEN {hi} > 0 THEN 'HIGH' WHEN {me} > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
+FROM (SELECT doc_id, {cnt} FROM documents)"""
+
+
+SQL["document_pii_risk"] = _pii_risk_sql()
+
+
+def _pii_findings_sql() -> str:
+    from tessera.operators.protect import GOVERNANCE_PII
+    parts = [f"SELECT doc_id, {_q(n)} AS pii_type, regexp_extract_all(coalesce(text, ''), {_q(p)}, 0) AS m FROM documents"
+             for n, p in GOVERNANCE_PII]
+    return f"""SELECT doc_id, pii_type, CAST(i - 1 AS INTEGER) AS match_index, m[i] AS match
+FROM ({' UNION ALL '.join(parts)}) x, LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i) r"""
+
+
+SQL["document_pii_findings"] = _pii_findings_sql()
+
+
+def _classify_sql(text_expr: str) -> str:
+    from tessera.operators.protect import GOVERNANCE_PII, SENSITIVE_KEYWORDS
+    pii = " OR ".join(f"regexp_matches({text_expr}, {_q(p)})" for _, p in GOVERNANCE_PII)
+    kw = " OR ".join(f"contains(lower({text_expr}), {_q(k)})" for k in SENSITIVE_KEYWORDS)
+    return f"CASE WHEN {pii} THEN 'PII' WHEN {kw} THEN 'CONFIDENTIAL' ELSE 'INTERNAL' END"
+
+
+SQL["document_classification"] = f"""
+SELECT doc_id, {_classify_sql("concat_ws(' ', coalesce(text, ''), coalesce(source, ''))")} AS classification
+FROM documents"""
+
+
+def _mask_gov_sql(c: str) -> str:
+    c = f"""regexp_replace({c}, '\\b([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}})\\b', '\\1***@\\2', 'g')"""
+    c = f"regexp_replace({c}, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b', '***-**-****', 'g')"
+    c = f"regexp_replace({c}, '\\b\\d{{3}}-\\d{{3}}-\\d{{4}}\\b', '***-***-****', 'g')"
+    c = f"regexp_replace({c}, '\\b\\d{{4}}[- ]?\\d{{4}}[- ]?\\d{{4}}[- ]?(\\d{{4}})\\b', '****-****-****-\\1', 'g')"
+    c = f"regexp_replace({c}, '\\b\\d{{6}}[- ]?\\d{{7}}\\b', '******-*******', 'g')"
+    c = f"regexp_replace({c}, '\\b01[016789]-?\\d{{3,4}}-?\\d{{4}}\\b', '010-****-****', 'g')"
+    return c
+
+
+SQL["protected_documents"] = f"""
+WITH c AS (SELECT doc_id, text, source,
+                  {_classify_sql("concat_ws(' ', coalesce(text, ''), coalesce(source, ''))")} AS classification
+           FROM documents)
+SELECT doc_id, CASE WHEN classification = 'PII' THEN {_mask_gov_sql('text')} ELSE text END AS text,
+       CASE WHEN classification = 'PII' THEN {_mask_gov_sql('source')} ELSE source END AS source, classification FROM c"""

@@ -215,3 +215,35 @@ def hub_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").filter(F.pmod(F.col("s_suppkey"), F.lit(3)) == 0)
     return s.select(F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("employee_id"),
                     F.array(*[F.lit(w) for w in SAVED_LAYOUT]).alias("layout"))
+
+
+# --- DLP requests ------------------------------------------------------------------------------
+# Stand-in tools and destinations for conversation turns.
+TOOLS = ["web_search", "email_send", "file_upload", "db_query"]
+DESTINATIONS = ["", "partner.example.com", "", "mail.example.org"]
+
+
+def dlp_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool payloads to scan: conversation turns (user -> outbound, assistant -> inbound) and
+    documents leaving through an upload/e-mail tool (outbound)."""
+    c = table(spark, sf_dir, "conversations")
+    d = table(spark, sf_dir, "documents")
+    docs = d.select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("request_id"), F.col("text"),
+        F.lit("outbound").alias("direction"),
+        _pick(["file_upload", "email_send"], F.pmod(F.col("doc_id"), F.lit(2))).alias("tool_name"),
+        F.col("source").alias("user_id"),
+        _pick(DESTINATIONS, F.pmod(F.col("doc_id"), F.lit(4))).alias("destination"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+         + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("doc_id").cast("int"))).alias("ts"))
+    return docs.unionByName(c.select(
+        F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("request_id"),
+        F.col("text"),
+        F.when(F.col("role") == "user", F.lit("outbound")).when(F.col("role") == "assistant", F.lit("inbound"))
+         .otherwise(F.lit("internal")).alias("direction"),
+        _pick(TOOLS, F.pmod(F.col("conv_id"), F.lit(4))).alias("tool_name"),
+        F.concat(F.lit("u"), F.pmod(F.col("conv_id"), F.lit(50)).cast("string")).alias("user_id"),
+        _pick(DESTINATIONS, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))).alias("destination"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+         + F.make_dt_interval(F.lit(0), F.lit(0), F.col("conv_id").cast("int"), F.col("turn").cast("int")))
+        .alias("ts")))
