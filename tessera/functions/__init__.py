@@ -9,4 +9,5 @@ from tessera.functions.core import (  # noqa: F401
     safe_div,
     truthy,
     word_count,
+    words,
 )

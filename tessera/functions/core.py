@@ -30,10 +30,14 @@ def epoch_ms(ts) -> Column:
     return F.unix_micros(col_or(ts).cast("timestamp")) / F.lit(1000.0)
 
 
+def words(text) -> Column:
+    """Whitespace-separated words (like Python's ``str.split()``): no empty tokens."""
+    return F.filter(F.split(F.coalesce(col_or(text), F.lit("")), r"(?U)\s+"), lambda w: w != "")
+
+
 def word_count(text) -> Column:
     """Number of whitespace-separated words; 0 for null or blank text."""
-    t = F.trim(col_or(text))
-    return F.when(t.isNull() | (F.length(t) == 0), F.lit(0)).otherwise(F.size(F.split(t, r"\s+")))
+    return F.size(words(text))
 
 
 def regex(pattern: str, ignore_case: bool = False) -> str:

@@ -569,3 +569,124 @@ def governed_document_read(spark, d):
                      (F.pmod(F.col("n_nationkey"), F.lit(4)) + 1).cast("int")).alias("access_level"))
     data, audit = P.governed_read(docs, req, grants)
     return audit
+
+
+# --- routing and retrieval -------------------------------------------------------------------------
+from tessera.operators import routing as RT  # noqa: E402
+from tessera.operators import vectors as V  # noqa: E402
+
+
+@query
+def prompt_complexity(spark, d):
+    return RT.classify_complexity(B.prompts(spark, d)).select(
+        "prompt_id", "word_count", "level", "complexity", "confidence", "estimated_tokens", "requires_tools",
+        "requires_knowledge", "recommended_model")
+
+
+@query
+def task_complexity(spark, d):
+    return RT.analyze_task(B.prompts(spark, d)).select("prompt_id", "task_complexity")
+
+
+@query
+def model_routing(spark, d):
+    return RT.route(B.prompts(spark, d), RT.catalog_table(spark), weights=(0.3, 0.5, 0.2))
+
+
+@query
+def model_routing_constrained(spark, d):
+    return RT.route(B.prompts(spark, d), RT.catalog_table(spark), weights=(0.6, 0.3, 0.1), max_cost=0.01,
+                    max_latency_ms=2500, excluded=("gpt-4o",), preferred=("claude-3.5-sonnet",))
+
+
+@query
+def strategy_routing_balanced(spark, d):
+    return RT.route_by_strategy(B.prompts(spark, d), RT.catalog_table(spark), "balanced")
+
+
+@query
+def strategy_routing_cost(spark, d):
+    return RT.route_by_strategy(B.prompts(spark, d), RT.catalog_table(spark), "cost")
+
+
+@query
+def prompt_cost_estimates(spark, d):
+    p = RT.route_by_strategy(B.prompts(spark, d), RT.catalog_table(spark), "quality")
+    p = p.join(B.prompts(spark, d).select("prompt_id", "text"), "prompt_id").withColumnRenamed("selected_model",
+                                                                                              "model")
+    return RT.estimate_cost(p, RT.catalog_table(spark), daily_budget=10.0, spent_today=9.99).select(
+        "prompt_id", "model", "input_tokens", "estimated_cost", "within_budget")
+
+
+def _llm_requests(spark, d):
+    """LLM requests stand-in: each ``view`` / ``purchase`` event asks prompt ``k`` of the model bound to
+    the event (purchase events use temperature 0.7)."""
+    e = B.table(spark, d, "events").filter(F.col("event_type").isin("view", "purchase"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select(F.col("event_id").cast("string").alias("request_id"), "ts",
+                    F.concat(F.lit("prompt "), k.cast("string")).alias("prompt"),
+                    B._pick(B.MODELS, F.pmod(k, F.lit(4))).alias("model"),
+                    F.when(F.col("event_type") == "purchase", F.lit(0.7)).otherwise(F.lit(0.0)).alias("temperature"))
+
+
+@query
+def exact_cache_replay(spark, d):
+    return RT.exact_cache_replay(_llm_requests(spark, d), ttl_seconds=3600)
+
+
+@query
+def document_chunks(spark, d):
+    ch = V.chunk_documents(B.acl_documents(spark, d), keep=["acl"])
+    return ch.select("doc_id", "ordinal", F.length("text").alias("chars"), F.substring("text", 1, 40).alias("head"),
+                     F.array_join("acl", ",").alias("acl"))
+
+
+def _chunks(spark, d):
+    ch = V.chunk_documents(B.acl_documents(spark, d), keep=["acl"])
+    ch = ch.withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("ordinal").cast("string")))
+    return V.embed_hash(ch, id_col="chunk_id", dim=384)
+
+
+@query
+def chunk_embedding_weights(spark, d):
+    e = _chunks(spark, d)
+    return (e.select("chunk_id", F.posexplode("embedding").alias("bucket", "weight"))
+            .filter(F.col("weight") != 0))
+
+
+@query
+def secure_chunk_search(spark, d):
+    from tessera.operators.security import principals_for
+    q = principals_for(B.prompts(spark, d), role="role", employee_id="employee_id")
+    q = V.embed_hash(q.withColumnRenamed("prompt_id", "query_id"), id_col="query_id", dim=384)
+    return V.search(_chunks(spark, d), q, k=5, principals="principals", acl="acl")
+
+
+@query
+def embedding_knn(spark, d):
+    emb = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    return V.top_k_similar(emb.withColumnRenamed("item_id", "query_id"), emb, 5)
+
+
+@query
+def embedding_lsh_knn(spark, d):
+    emb = B.table(spark, d, "embeddings")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    unit = emb.select(F.col("vec_id").alias("item_id"),
+                      F.transform("embedding", lambda x: x / norm).alias("embedding"))
+    return V.search_lsh(unit, unit.withColumnRenamed("item_id", "query_id"), k=5)
+
+
+@query
+def semantic_cache_lookup(spark, d):
+    """Prompts answered earlier (cache entries = first turn of each conversation, written at ts)
+    looked up by the later user turns."""
+    p = B.prompts(spark, d)
+    emb = V.embed_signed(p, dim=128)
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    entries = emb.filter(F.col("prompt_id").endswith("-0")).select(
+        F.col("prompt_id").alias("entry_id"), F.lower(F.trim("text")).alias("query"), F.lit(None).cast("string")
+        .alias("model"), ts.alias("created_at"), "embedding")
+    queries = emb.select(F.col("prompt_id").alias("query_id"), F.lower(F.trim("text")).alias("query"),
+                         F.lit(None).cast("string").alias("model"), "embedding")
+    return RT.semantic_lookup(queries, entries, threshold=0.92, now=ts)

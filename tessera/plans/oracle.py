@@ -925,3 +925,195 @@ WITH c AS (SELECT doc_id, text, source,
            FROM documents)
 SELECT doc_id, CASE WHEN classification = 'PII' THEN {_mask_gov_sql('text')} ELSE text END AS text,
        CASE WHEN classification = 'PII' THEN {_mask_gov_sql('source')} ELSE source END AS source, classification FROM c"""
+
+# --- routing and retrieval ---------------------------------------------------------------------------
+PROMPTS_CTE = """
+prompts AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS prompt_id, text,
+         'E' || CAST(conv_id % 100 AS VARCHAR) AS employee_id,
+         (['sales', 'production', 'as', 'accounting', 'manager'])[(conv_id % 100) % 5 + 1] AS role,
+         lower(coalesce(text, '')) AS low,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS wc
+  FROM conversations WHERE role = 'user')"""
+
+
+def _any_sql(col: str, words) -> str:
+    return "(" + " OR ".join(f"contains({col}, {_q(w)})" for w in words) + ")"
+
+
+def _complexity_cte() -> str:
+    from tessera.operators import routing as rt
+    tr, si = _any_sql("low", rt.TRIVIAL_PATTERNS), _any_sql("low", rt.SIMPLE_PATTERNS)
+    co, ex = _any_sql("low", rt.COMPLEX_PATTERNS), _any_sql("low", rt.EXPERT_PATTERNS)
+    return f"""{PROMPTS_CTE},
+c0 AS (SELECT *, {tr} AND wc < 15 AS f_tr, {si} AS f_si, {co} AS f_co, {ex} AS f_ex FROM prompts),
+c1 AS (SELECT *, CASE WHEN f_ex THEN 5 WHEN f_co THEN 4 WHEN f_si THEN 2 WHEN f_tr THEN 1 ELSE 3 END AS lv0,
+              CASE WHEN f_ex THEN 0.75 WHEN f_co THEN 0.8 WHEN f_si THEN 0.8 WHEN f_tr THEN 0.85 ELSE 0.7 END AS confidence
+       FROM c0),
+cls AS (SELECT *, CAST(CASE WHEN wc > 100 AND lv0 < 4 THEN 4 WHEN wc <= 100 AND wc > 50 AND lv0 < 3 THEN 3 ELSE lv0 END
+                        AS INTEGER) AS level FROM c1)"""
+
+
+SQL["prompt_complexity"] = f"""WITH {_complexity_cte()}
+SELECT prompt_id, CAST(wc AS INTEGER) AS word_count, level,
+       (['TRIVIAL', 'SIMPLE', 'MODERATE', 'COMPLEX', 'EXPERT'])[level] AS complexity, CAST(confidence AS DOUBLE) AS confidence,
+       CAST(least(4000, wc * 10 + 200) AS INTEGER) AS estimated_tokens,
+       f_co AND (contains(low, 'code') OR contains(low, '코드')) AS requires_tools, f_ex AS requires_knowledge,
+       (['gpt-4o-mini', 'gpt-4o-mini', 'claude-3.5-sonnet', 'claude-3.5-sonnet', 'claude-3-opus'])[level]
+         AS recommended_model
+FROM cls"""
+
+
+def _task_cte() -> str:
+    from tessera.operators import routing as rt
+    return f"""{PROMPTS_CTE},
+task AS (SELECT prompt_id, text, CASE WHEN {_any_sql('low', rt.CRITICAL_KW)} THEN 'critical'
+                   WHEN {_any_sql('low', rt.COMPLEX_KW)} THEN 'complex' WHEN wc > 500 THEN 'complex'
+                   WHEN wc > 100 THEN 'medium' WHEN {_any_sql('low', rt.SIMPLE_KW)} THEN 'simple'
+                   ELSE 'medium' END AS task_complexity FROM prompts)"""
+
+
+SQL["task_complexity"] = f"WITH {_task_cte()}\nSELECT prompt_id, task_complexity FROM task"
+
+
+def _catalog_values() -> str:
+    from tessera.operators.routing import MODEL_CATALOG
+    rows = ", ".join(f"({_q(m)}, {_q(p)}, CAST({i} AS DOUBLE), CAST({o} AS DOUBLE), {mt}, {lat}, CAST({q} AS DOUBLE), {n})"
+                     for n, (m, p, i, o, mt, lat, q) in enumerate(MODEL_CATALOG))
+    return (f"catalog AS (SELECT * FROM (VALUES {rows}) t(model, provider, input_cost_per_1k, output_cost_per_1k, "
+            f"max_tokens, avg_latency_ms, quality_score, catalog_order))")
+
+
+def _route_sql(wc: float, wq: float, ws: float, max_cost=None, max_lat=None, excluded=(), preferred=()) -> str:
+    where = ["TRUE"]
+    if excluded:
+        where.append(f"model NOT IN ({', '.join(_q(x) for x in excluded)})")
+    if max_cost is not None:
+        where.append(f"0.5 * input_cost_per_1k + 0.5 * output_cost_per_1k <= {max_cost}")
+    if max_lat is not None:
+        where.append(f"avg_latency_ms <= {max_lat}")
+    pref = "0"
+    if preferred:
+        pref = "CASE model " + " ".join(f"WHEN {_q(m)} THEN {i}" for i, m in enumerate(preferred)) + \
+               f" ELSE {len(preferred)} END"
+    strategy = ("quality_first" if wq > 0.6 else "cost_optimized" if wc > 0.5 else "speed_first" if ws > 0.4
+                else "balanced")
+    return f"""WITH {_complexity_cte()}, {_catalog_values()},
+cat AS (SELECT * FROM catalog WHERE {' AND '.join(where)}),
+pairs AS (
+  SELECT c.prompt_id, c.level, k.*,
+         k.quality_score / 10.0 * (CASE WHEN c.level IN (4, 5) THEN {wq} * 1.3 WHEN c.level IN (1, 2) THEN {wq} * 0.7
+                                        ELSE {wq} END)
+         + (1 - least(1.0, k.input_cost_per_1k / 0.02)) * (CASE WHEN c.level IN (4, 5) THEN {wc} * 0.7
+                                        WHEN c.level IN (1, 2) THEN {wc} * 1.3 ELSE {wc} END)
+         + (1 - least(1.0, k.avg_latency_ms / 5000.0)) * {ws} AS score, {pref} AS pref_rank
+  FROM cls c CROSS JOIN cat k
+  WHERE k.quality_score >= CASE c.level WHEN 1 THEN 6.0 WHEN 2 THEN 7.0 WHEN 3 THEN 7.5 WHEN 4 THEN 8.5 ELSE 9.0 END),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, pref_rank, catalog_order) AS r
+           FROM pairs),
+best AS (SELECT prompt_id, max(CASE WHEN r = 1 THEN model END) AS selected_model,
+                max(CASE WHEN r = 2 THEN model END) AS fallback_model, max(CASE WHEN r = 1 THEN score END) AS score
+         FROM ranked WHERE r <= 2 GROUP BY 1),
+j AS (SELECT c.prompt_id, (['TRIVIAL', 'SIMPLE', 'MODERATE', 'COMPLEX', 'EXPERT'])[c.level] AS complexity, c.level,
+             coalesce(b.selected_model, 'gpt-4o-mini') AS selected_model,
+             coalesce(b.fallback_model, 'gpt-3.5-turbo') AS fallback_model, b.score,
+             CAST(least(4000, c.wc * 10 + 200) AS INTEGER) AS est_tokens
+      FROM cls c LEFT JOIN best b USING (prompt_id))
+SELECT j.prompt_id, j.complexity, j.level, j.selected_model, j.fallback_model, '{strategy}' AS strategy,
+       round(j.score, 6) AS score,
+       round(coalesce(floor(est_tokens / 2) / 1000.0 * k.input_cost_per_1k + floor(est_tokens / 2) / 1000.0
+                      * k.output_cost_per_1k, 0.001), 8) AS cost_estimate,
+       coalesce(k.avg_latency_ms, 1000) AS latency_estimate_ms
+FROM j LEFT JOIN catalog k ON k.model = j.selected_model"""
+
+
+SQL["model_routing"] = _route_sql(0.3, 0.5, 0.2)
+SQL["model_routing_constrained"] = _route_sql(0.6, 0.3, 0.1, 0.01, 2500, ("gpt-4o",), ("claude-3.5-sonnet",))
+
+
+def _strategy_sql(strategy: str) -> str:
+    from tessera.operators.routing import TASK_TO_MODELS
+    cand = ", ".join(f"({_q(k)}, {i}, {_q(m)})" for k, ms in TASK_TO_MODELS.items() for i, m in enumerate(ms))
+    key = {"cost": "input_cost_per_1k ASC", "quality": "quality_score DESC", "speed": "avg_latency_ms ASC",
+           "balanced": "(quality_score * 0.5 + (1 / (input_cost_per_1k + 0.001)) * 0.3 + (1 / (avg_latency_ms + 1)) * 0.2)"
+                       " DESC"}[strategy]
+    return f"""WITH {_task_cte()}, {_catalog_values()},
+cand AS (SELECT * FROM (VALUES {cand}) t(task_complexity, cand_order, model)),
+pairs AS (SELECT t.prompt_id, t.task_complexity, c.cand_order, k.* FROM task t JOIN cand c USING (task_complexity)
+          JOIN catalog k ON k.model = c.model),
+best AS (SELECT prompt_id, model AS selected_model FROM (
+  SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY {key}, cand_order ASC) AS r FROM pairs) WHERE r = 1)
+SELECT t.prompt_id, t.task_complexity, coalesce(b.selected_model, 'gpt-4o-mini') AS selected_model,
+       '{strategy}' AS strategy
+FROM task t LEFT JOIN best b USING (prompt_id)"""
+
+
+SQL["strategy_routing_balanced"] = _strategy_sql("balanced")
+SQL["strategy_routing_cost"] = _strategy_sql("cost")
+
+SQL["prompt_cost_estimates"] = _strategy_sql("quality").replace(
+    "SELECT t.prompt_id, t.task_complexity, coalesce(b.selected_model, 'gpt-4o-mini') AS selected_model,\n"
+    "       'quality' AS strategy\nFROM task t LEFT JOIN best b USING (prompt_id)",
+    """, routed AS (SELECT t.prompt_id, t.text, coalesce(b.selected_model, 'gpt-4o-mini') AS model
+                FROM task t LEFT JOIN best b USING (prompt_id))
+SELECT r.prompt_id, r.model, CAST(floor(length(coalesce(r.text, '')) / 4) AS BIGINT) AS input_tokens,
+       round(floor(length(coalesce(r.text, '')) / 4) / 1000.0 * k.input_cost_per_1k + 500 / 1000.0 * k.output_cost_per_1k,
+             8) AS estimated_cost,
+       9.99 + round(floor(length(coalesce(r.text, '')) / 4) / 1000.0 * k.input_cost_per_1k
+                    + 500 / 1000.0 * k.output_cost_per_1k, 8) <= 10.0 AS within_budget
+FROM routed r LEFT JOIN catalog k ON k.model = r.model""")
+
+ACL_DOCS_CTE = """
+adocs AS (
+  SELECT doc_id, text, source,
+         CASE CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 4 WHEN 0 THEN CAST([] AS VARCHAR[])
+              WHEN 1 THEN ['grp:sales'] WHEN 2 THEN ['grp:accounting'] ELSE ['grp:manager', 'usr:E7'] END AS acl
+  FROM documents),
+stripped AS (SELECT doc_id, acl, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM adocs),
+chunks AS (
+  SELECT doc_id, CAST(o AS INTEGER) AS ordinal, acl, substr(t, CAST(o * 700 + 1 AS BIGINT), 800) AS text,
+         CAST(doc_id AS VARCHAR) || ':' || CAST(o AS VARCHAR) AS chunk_id
+  FROM stripped, LATERAL (SELECT unnest(range(0, CAST(ceil(length(t) / 700.0) AS BIGINT))) AS o) r)"""
+
+SQL["document_chunks"] = f"""WITH {ACL_DOCS_CTE}
+SELECT doc_id, ordinal, CAST(length(text) AS INTEGER) AS chars, substr(text, 1, 40) AS head,
+       array_to_string(acl, ',') AS acl FROM chunks"""
+
+
+def _sparse_cte(src: str, id_col: str, name: str) -> str:
+    return f"""{name}_tok AS (SELECT {id_col} AS id, unnest(regexp_extract_all(lower(coalesce(text, '')),
+                                 '[a-z0-9가-힣]+', 0)) AS tok FROM {src}),
+{name}_cnt AS (SELECT id, CAST(CAST('0x' || md5(tok) AS UHUGEINT) % 384 AS INTEGER) AS bucket,
+                      CAST(count(*) AS DOUBLE) AS c FROM {name}_tok GROUP BY ALL),
+{name}_w AS (SELECT id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS weight FROM {name}_cnt)"""
+
+
+SQL["chunk_embedding_weights"] = f"""WITH {ACL_DOCS_CTE}, {_sparse_cte('chunks', 'chunk_id', 'ch')}
+SELECT id AS chunk_id, bucket, weight FROM ch_w"""
+
+SQL["secure_chunk_search"] = f"""WITH {ACL_DOCS_CTE}, {PROMPTS_CTE.strip()},
+q AS (SELECT prompt_id AS query_id, text, list_sort(list_distinct(
+  CASE role WHEN 'sales' THEN ['grp:all', 'grp:sales'] WHEN 'production' THEN ['grp:all', 'grp:production']
+            WHEN 'as' THEN ['grp:all', 'grp:as'] WHEN 'accounting' THEN ['grp:all', 'grp:accounting']
+            WHEN 'manager' THEN ['grp:all', 'grp:sales', 'grp:production', 'grp:as', 'grp:accounting', 'grp:manager']
+            ELSE ['grp:all'] END || ['usr:' || employee_id])) AS principals FROM prompts),
+{_sparse_cte('chunks', 'chunk_id', 'ch')}, {_sparse_cte('q', 'query_id', 'qq')},
+dots AS (SELECT qq.id AS query_id, ch.id AS chunk_id, sum(qq.weight * ch.weight) AS sim
+         FROM qq_w qq JOIN ch_w ch USING (bucket) GROUP BY ALL),
+allq AS (SELECT q.query_id, q.principals, c.chunk_id, c.acl FROM q CROSS JOIN chunks c),
+scored AS (SELECT a.query_id, a.chunk_id, coalesce(d.sim, 0.0) AS sim
+           FROM allq a LEFT JOIN dots d USING (query_id, chunk_id)
+           WHERE len(a.acl) = 0 OR len(list_intersect(a.acl, a.principals)) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, chunk_id) AS rank
+           FROM scored)
+SELECT query_id, chunk_id, round(sim, 9) AS similarity, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5"""
+
+SQL["embedding_knn"] = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, list_transform(v, lambda x: x / CASE WHEN sqrt(list_sum(list_transform(v, lambda y: y * y))) = 0
+                                                       THEN 1.0 ELSE sqrt(list_sum(list_transform(v, lambda y: y * y)))
+                                                       END) AS v FROM e),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_dot_product(b.v, e.v) AS sim
+          FROM e a JOIN n e ON e.vec_id = a.vec_id CROSS JOIN e b),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, item_id) AS rank FROM pairs)
+SELECT query_id, item_id, round(sim, 9) AS similarity, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5"""

@@ -247,3 +247,28 @@ def dlp_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(F.lit(0), F.lit(0), F.col("conv_id").cast("int"), F.col("turn").cast("int")))
         .alias("ts")))
+
+
+# --- retrieval -----------------------------------------------------------------------------------
+def document_acl(source) -> F.Column:
+    """Stand-in ACL from a document's source (src<N>): N mod 4 = 0 public, 1 sales, 2 accounting,
+    3 manager plus one named user."""
+    n = F.regexp_extract(source, r"(\d+)$", 1).cast("int")
+    return (F.when(F.pmod(n, F.lit(4)) == 0, F.array().cast("array<string>"))
+            .when(F.pmod(n, F.lit(4)) == 1, F.array(F.lit("grp:sales")))
+            .when(F.pmod(n, F.lit(4)) == 2, F.array(F.lit("grp:accounting")))
+            .otherwise(F.array(F.lit("grp:manager"), F.lit("usr:E7"))))
+
+
+def acl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "text", "source", document_acl(F.col("source")).alias("acl"))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns of conversations as prompts, each asked by an employee (E<conv_id mod 100>)."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+                    .alias("prompt_id"), "text",
+                    F.concat(F.lit("E"), F.pmod(F.col("conv_id"), F.lit(100)).cast("string")).alias("employee_id"),
+                    _pick(ROLES, F.pmod(F.pmod(F.col("conv_id"), F.lit(100)), F.lit(5))).alias("role"))
