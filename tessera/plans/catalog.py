@@ -690,3 +690,159 @@ def semantic_cache_lookup(spark, d):
     queries = emb.select(F.col("prompt_id").alias("query_id"), F.lower(F.trim("text")).alias("query"),
                          F.lit(None).cast("string").alias("model"), "embedding")
     return RT.semantic_lookup(queries, entries, threshold=0.92, now=ts)
+
+
+# --- recommender ---------------------------------------------------------------------------------
+from tessera.operators import recommend as M  # noqa: E402
+
+TRAIN_END, VAL_END = 20, 25
+
+
+def _rec_inputs(spark, d):
+    ev = M.with_weights(B.interactions(spark, d))
+    train, val, test = M.temporal_split(ev, TRAIN_END, VAL_END)
+    return ev, train, val, test
+
+
+def _n_items(spark, d):
+    return int(B.rec_items(spark, d).select((F.max("item_id") + 1).alias("n")).first()["n"])
+
+
+@query
+def item_popularity(spark, d):
+    _, train, _, _ = _rec_inputs(spark, d)
+    return M.popularity(train).withColumn("pop", fround("pop", 9))
+
+
+@query
+def bm25_weights(spark, d):
+    _, train, _, _ = _rec_inputs(spark, d)
+    return M.bm25_interactions(train).select("user_id", "item_id", fround("r", 9).alias("r"), fround("w", 9).alias("w"))
+
+
+@query
+def item_similarity(spark, d):
+    _, train, _, _ = _rec_inputs(spark, d)
+    sim = M.item_similarity(M.bm25_interactions(train), _n_items(spark, d))
+    return sim.select("i", "j", fround("sim", 9).alias("sim"))
+
+
+@query
+def cf_scores(spark, d):
+    _, train, _, _ = _rec_inputs(spark, d)
+    bm = M.bm25_interactions(train)
+    return M.cf_scores(M.item_similarity(bm, _n_items(spark, d)), bm).withColumn("score", fround("score", 9))
+
+
+@query
+def cf_rank_norm(spark, d):
+    from tessera.operators.timeseries import rank_norm
+    s = cf_scores(spark, d)
+    return rank_norm(s, ["user_id"], "score", "item_id").withColumn("rank_norm", fround("rank_norm", 9))
+
+
+@query
+def popularity_minmax(spark, d):
+    from tessera.operators.timeseries import minmax
+    return minmax(item_popularity(spark, d), [], "pop").withColumn("pop_minmax", fround("pop_minmax", 9))
+
+
+@query
+def content_profiles(spark, d):
+    _, train, _, _ = _rec_inputs(spark, d)
+    return M.content_profiles(train, M.item_features(B.rec_items(spark, d))).withColumn("p", fround("p", 9))
+
+
+@query
+def context_lift(spark, d):
+    _, train, _, _ = _rec_inputs(spark, d)
+    return M.context_affinity(train, B.rec_items(spark, d)).withColumn("lift", fround("lift", 9))
+
+
+@query
+def validation_truth(spark, d):
+    _, train, val, _ = _rec_inputs(spark, d)
+    return M.ground_truth(train, val)
+
+
+@query
+def validation_context(spark, d):
+    _, _, val, _ = _rec_inputs(spark, d)
+    return M.modal_context(val)
+
+
+@query
+def popularity_recommendations(spark, d):
+    _, train, val, _ = _rec_inputs(spark, d)
+    truth = M.ground_truth(train, val)
+    recs = M.popularity_recommend(M.popularity(train), train.select("user_id", "item_id").distinct(), truth, k=10)
+    return recs.withColumn("score", fround("score", 9))
+
+
+@query
+def popularity_evaluation(spark, d):
+    _, train, val, _ = _rec_inputs(spark, d)
+    truth = M.ground_truth(train, val)
+    recs = M.popularity_recommend(M.popularity(train), train.select("user_id", "item_id").distinct(), truth, k=10)
+    return M.evaluate(recs, truth, _n_items(spark, d), k=10)
+
+
+def _model_and_state(spark, d):
+    _, train, val, _ = _rec_inputs(spark, d)
+    items = B.rec_items(spark, d)
+    bm = M.bm25_interactions(train)
+    feats = M.item_features(items)
+    model = M.fit_item_model(items, M.popularity(train), M.item_similarity(bm, _n_items(spark, d)), feats,
+                             M.context_affinity(train, items))
+    truth = M.ground_truth(train, val)
+    state = M.user_state(train, bm, M.content_profiles(train, feats), truth, M.modal_context(val))
+    return model, state, truth
+
+
+def _recs(spark, d, method):
+    model, state, truth = _model_and_state(spark, d)
+    return M.recommend(state, model, method, k=10), truth, model
+
+
+@query
+def item_cf_recommendations(spark, d):
+    return _recs(spark, d, "item_cf")[0]
+
+
+@query
+def content_recommendations(spark, d):
+    return _recs(spark, d, "content")[0]
+
+
+@query
+def hybrid_recommendations(spark, d):
+    return _recs(spark, d, "hybrid")[0]
+
+
+@query
+def sim_blend_recommendations(spark, d):
+    return _recs(spark, d, "sim_blend")[0]
+
+
+@query
+def hybrid_evaluation(spark, d):
+    recs, truth, model = _recs(spark, d, "hybrid")
+    return M.evaluate(recs, truth, model.n_items, k=10)
+
+
+@query
+def item_cf_evaluation(spark, d):
+    recs, truth, model = _recs(spark, d, "item_cf")
+    return M.evaluate(recs, truth, model.n_items, k=10)
+
+
+@query
+def hybrid_explanations(spark, d):
+    model, state, truth = _model_and_state(spark, d)
+    return M.explain(state, truth, model)
+
+
+@query
+def hybrid_weight_tuning(spark, d):
+    model, state, truth = _model_and_state(spark, d)
+    return M.tune_weights(state, truth, model, k=10, step=0.1)

@@ -1117,3 +1117,127 @@ pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_dot_product(b.v
           FROM e a JOIN n e ON e.vec_id = a.vec_id CROSS JOIN e b),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, item_id) AS rank FROM pairs)
 SELECT query_id, item_id, round(sim, 9) AS similarity, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5"""
+
+# --- recommender -------------------------------------------------------------------------------------
+REC_CTE = """
+ev AS (
+  SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
+         CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'click' WHEN 'signup' THEN 'add_to_cart'
+                         WHEN 'purchase' THEN 'purchase' END AS event_type,
+         CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day,
+         CASE WHEN user_id % 3 = 0 THEN 'desktop' ELSE 'mobile' END AS device,
+         CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 18 THEN 'day'
+              ELSE 'evening' END AS hour_bucket,
+         dayofweek(ts) IN (0, 6) AS is_weekend,
+         CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 2.0 WHEN 'signup' THEN 3.0 WHEN 'purchase' THEN 5.0 END
+           AS weight
+  FROM events WHERE event_type <> 'error'),
+items AS (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id FROM events),
+items2 AS (SELECT item_id, 'cat' || CAST(item_id % 8 AS VARCHAR) AS category, CAST(item_id % 3 + 1 AS INTEGER) AS price_tier
+           FROM items),
+nitems AS (SELECT max(item_id) + 1 AS n FROM items),
+train AS (SELECT * FROM ev WHERE day < 20),
+val AS (SELECT * FROM ev WHERE day >= 20 AND day < 25),
+pop AS (SELECT item_id, sum(weight * exp(-0.03 * ((SELECT max(day) FROM train) - day))) AS pop FROM train GROUP BY 1),
+r AS (SELECT user_id, item_id, sum(weight * exp(-0.02 * ((SELECT max(day) FROM train) - day))) AS r
+      FROM train GROUP BY ALL),
+dfi AS (SELECT item_id, count(*) AS df FROM r WHERE r > 0 GROUP BY 1),
+ulen AS (SELECT user_id, sum(r) AS ulen FROM r GROUP BY 1),
+bm AS (SELECT r.user_id, r.item_id, r.r,
+              ln(((SELECT max(user_id) + 1 FROM train) - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1) * r.r * 2.2
+              / CASE WHEN 1.2 * (1 - 0.75 + 0.75 * (ulen / (SELECT avg(ulen) FROM ulen WHERE ulen > 0))) + r.r = 0 THEN 1.0
+                     ELSE 1.2 * (1 - 0.75 + 0.75 * (ulen / (SELECT avg(ulen) FROM ulen WHERE ulen > 0))) + r.r END AS w
+       FROM r LEFT JOIN dfi USING (item_id) JOIN ulen USING (user_id)),
+dots AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.w * b.w) AS dot FROM bm a JOIN bm b USING (user_id)
+         WHERE a.item_id <> b.item_id GROUP BY ALL),
+norms AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM bm GROUP BY 1),
+sim0 AS (SELECT d.i, d.j, d.dot / (ni.n * nj.n + 25.0) AS sim FROM dots d JOIN norms ni ON ni.item_id = d.i
+         JOIN norms nj ON nj.item_id = d.j),
+sim AS (SELECT i, j, sim FROM (SELECT *, rank() OVER (PARTITION BY i ORDER BY sim DESC) AS rk FROM sim0)
+        WHERE rk <= 50 OR (SELECT n FROM nitems) <= 50),
+truth AS (SELECT DISTINCT v.user_id, v.item_id FROM val v WHERE v.weight >= 2.0
+          AND NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = v.user_id AND t.item_id = v.item_id)),
+seen AS (SELECT DISTINCT user_id, item_id FROM train)"""
+
+
+def with_rec(body: str) -> str:
+    return f"WITH {REC_CTE}\n{body}"
+
+
+SQL["item_popularity"] = with_rec("SELECT item_id, round(pop, 9) AS pop FROM pop")
+SQL["bm25_weights"] = with_rec("SELECT user_id, item_id, round(r, 9) AS r, round(w, 9) AS w FROM bm")
+SQL["item_similarity"] = with_rec("SELECT i, j, round(sim, 9) AS sim FROM sim")
+SQL["cf_scores"] = with_rec("""
+SELECT b.user_id, s.i AS item_id, round(sum(s.sim * b.w), 9) AS score FROM sim s JOIN bm b ON b.item_id = s.j GROUP BY ALL""")
+SQL["cf_rank_norm"] = with_rec("""
+, cs AS (SELECT b.user_id, s.i AS item_id, round(sum(s.sim * b.w), 9) AS score FROM sim s JOIN bm b ON b.item_id = s.j
+         GROUP BY ALL)
+SELECT user_id, item_id, score,
+       round((row_number() OVER (PARTITION BY user_id ORDER BY score, item_id) - 1)
+             / greatest(count(*) OVER (PARTITION BY user_id) - 1, 1), 9) AS rank_norm FROM cs""".replace(
+    "\n, cs AS", ", cs AS", 1))
+SQL["popularity_minmax"] = with_rec("""
+, p AS (SELECT item_id, round(pop, 9) AS pop FROM pop)
+SELECT item_id, pop, round(CASE WHEN max(pop) OVER () - min(pop) OVER () < 1e-12 THEN 0.0
+                                ELSE (pop - min(pop) OVER ()) / (max(pop) OVER () - min(pop) OVER ()) END, 9) AS pop_minmax
+FROM p""".replace("\n, p AS", ", p AS", 1))
+SQL["content_profiles"] = with_rec("""
+, f0 AS (SELECT item_id, 'cat:' || category AS feature, 1.0 AS v FROM items2
+         UNION ALL SELECT item_id, 'price', price_tier / 3.0 FROM items2),
+f AS (SELECT item_id, feature, v / (sqrt(sum(v * v) OVER (PARTITION BY item_id)) + 1e-12) AS v FROM f0),
+p AS (SELECT t.user_id, f.feature, sum(t.weight * f.v) AS p FROM train t JOIN f USING (item_id) GROUP BY ALL),
+pn AS (SELECT *, sqrt(sum(p * p) OVER (PARTITION BY user_id)) AS n FROM p)
+SELECT user_id, feature, round(CASE WHEN n > 0 THEN p / n ELSE p END, 9) AS p FROM pn""".replace("\n, f0 AS", ", f0 AS", 1))
+SQL["context_lift"] = with_rec("""
+, e AS (SELECT t.*, i.category FROM train t JOIN items2 i USING (item_id)),
+g AS (SELECT category, sum(weight) AS g FROM e GROUP BY 1),
+c AS (SELECT device, hour_bucket, is_weekend, category, sum(weight) AS c FROM e GROUP BY ALL),
+ct AS (SELECT device, hour_bucket, is_weekend, sum(c) AS ct FROM c GROUP BY ALL)
+SELECT c.device, c.hour_bucket, c.is_weekend, c.category,
+       round((c.c / ct.ct) / (g.g / (SELECT sum(g) FROM g) + 1e-9), 9) AS lift
+FROM c JOIN ct USING (device, hour_bucket, is_weekend) JOIN g USING (category)""".replace("\n, e AS", ", e AS", 1))
+SQL["validation_truth"] = with_rec("SELECT user_id, item_id FROM truth")
+SQL["validation_context"] = with_rec("""
+SELECT user_id, device, hour_bucket, is_weekend FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, device, hour_bucket, is_weekend) AS r
+  FROM (SELECT user_id, device, hour_bucket, is_weekend, count(*) AS n FROM val GROUP BY ALL)) WHERE r = 1""")
+_POP_RECS = """
+, users AS (SELECT DISTINCT user_id FROM truth),
+cand AS (SELECT u.user_id, p.item_id, p.pop,
+                row_number() OVER (PARTITION BY u.user_id ORDER BY p.pop DESC, p.item_id) AS rank
+         FROM users u CROSS JOIN pop p
+         WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.item_id = p.item_id)),
+recs AS (SELECT user_id, item_id, pop AS score, CAST(rank AS INTEGER) AS rank FROM cand WHERE rank <= 10)"""
+SQL["popularity_recommendations"] = with_rec(_POP_RECS.replace("\n, users", ", users", 1) + """
+SELECT user_id, item_id, round(score, 9) AS score, rank FROM recs""")
+
+
+def _eval_sql(recs_cte: str) -> str:
+    return with_rec(recs_cte.replace("\n, users", ", users", 1) + """,
+npos AS (SELECT user_id, count(*) AS npos FROM truth GROUP BY 1),
+per AS (SELECT r.user_id, sum(CASE WHEN t.item_id IS NOT NULL THEN 1 ELSE 0 END) AS hits,
+               sum(CASE WHEN t.item_id IS NOT NULL THEN 1.0 / log2(r.rank + 1) ELSE 0.0 END) AS dcg
+        FROM recs r LEFT JOIN truth t USING (user_id, item_id) GROUP BY 1),
+u AS (SELECT n.user_id, coalesce(hits, 0) / least(npos, 10) AS recall,
+             coalesce(dcg, 0.0) / (SELECT sum(1.0 / log2(x + 1)) FROM range(1, least(npos, 10) + 1) t(x)) AS ndcg
+      FROM npos n LEFT JOIN per USING (user_id))
+SELECT round(avg(recall), 6) AS "recall@10", round(avg(ndcg), 6) AS "ndcg@10", count(*) AS users,
+       (SELECT count(DISTINCT item_id) FROM recs WHERE user_id IN (SELECT user_id FROM truth))
+         / (SELECT CAST(n AS DOUBLE) FROM nitems) AS "coverage@10"
+FROM u""")
+
+
+SQL["popularity_evaluation"] = _eval_sql(_POP_RECS)
+
+_CF_RECS = """
+, users AS (SELECT DISTINCT user_id FROM truth),
+cs AS (SELECT b.user_id, s.i AS item_id, sum(s.sim * b.w) AS score FROM sim s JOIN bm b ON b.item_id = s.j GROUP BY ALL),
+grid AS (SELECT u.user_id, i.item_id, round(coalesce(c.score, 0.0), 9) AS score
+         FROM users u CROSS JOIN (SELECT range AS item_id FROM range(0, (SELECT n FROM nitems))) i
+         LEFT JOIN cs c ON c.user_id = u.user_id AND c.item_id = i.item_id
+         WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.item_id = i.item_id)),
+recs AS (SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
+           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM grid)
+         WHERE rank <= 10)"""
+SQL["item_cf_recommendations"] = with_rec(_CF_RECS.replace("\n, users", ", users", 1) + "\nSELECT * FROM recs")
+SQL["item_cf_evaluation"] = _eval_sql(_CF_RECS)

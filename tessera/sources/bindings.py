@@ -272,3 +272,37 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("prompt_id"), "text",
                     F.concat(F.lit("E"), F.pmod(F.col("conv_id"), F.lit(100)).cast("string")).alias("employee_id"),
                     _pick(ROLES, F.pmod(F.pmod(F.col("conv_id"), F.lit(100)), F.lit(5))).alias("role"))
+
+
+# --- recommender ---------------------------------------------------------------------------------
+# Interaction types bound from events and their weights.
+INTERACTION_TYPE = {"view": "view", "click": "click", "signup": "add_to_cart", "purchase": "purchase"}
+N_ITEMS_EVENTS = 100
+N_CATEGORIES = 8
+
+
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> implicit interactions: item = props.k, day index from 2024-01-01, device and hour bucket
+    from the event; ``error`` events are not interactions."""
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") != "error")
+    et = F.col("event_type")
+    typ = F.lit(None).cast("string")
+    for k, v in reversed(list(INTERACTION_TYPE.items())):
+        typ = F.when(et == k, F.lit(v)).otherwise(typ)
+    h = F.hour("ts")
+    return e.select(F.col("user_id"), F.get_json_object("props", "$.k").cast("long").alias("item_id"),
+                    typ.alias("event_type"),
+                    F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day"),
+                    F.when(F.pmod(F.col("user_id"), F.lit(3)) == 0, F.lit("desktop")).otherwise(F.lit("mobile"))
+                    .alias("device"),
+                    F.when(h < 6, "night").when(h < 12, "morning").when(h < 18, "day").otherwise("evening")
+                    .alias("hour_bucket"),
+                    F.dayofweek("ts").isin(1, 7).alias("is_weekend"), "event_id")
+
+
+def rec_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item catalog the interactions refer to (every item id seen in ``events``)."""
+    e = table(spark, sf_dir, "events")
+    ids = e.select(F.get_json_object("props", "$.k").cast("long").alias("item_id")).distinct()
+    return ids.select("item_id", F.concat(F.lit("cat"), F.pmod(F.col("item_id"), F.lit(N_CATEGORIES)).cast("string"))
+                      .alias("category"), (F.pmod(F.col("item_id"), F.lit(3)) + 1).cast("int").alias("price_tier"))
