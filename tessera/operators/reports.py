@@ -438,10 +438,11 @@ def revenue_by_weekday(df: DataFrame, date_col: str = "order_date") -> DataFrame
 def revenue_pivot(df: DataFrame, index: str = "customer_region", columns: str = "channel",
                   values: list | None = None) -> DataFrame:
     """Pivot sum of revenue, rounded to 0 dp, missing = 0. Pass ``values`` to skip the
-    distinct-values pre-pass; otherwise Spark computes them (bounded by the pivot cardinality)."""
+    distinct-values pre-pass; otherwise Spark computes them (bounded by the pivot cardinality).
+    Cent amounts are summed as DECIMAL, so the total (and its rounding) is exact."""
     g = df.groupBy(index)
     p = g.pivot(columns, values) if values is not None else g.pivot(columns)
-    out = p.agg(fround(F.sum("revenue"), 0))
+    out = p.agg(F.round(F.sum(F.col("revenue").cast("decimal(18,2)")), 0).cast("double"))
     return out.na.fill(0.0, [c for c in out.columns if c != index])
 
 

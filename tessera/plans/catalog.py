@@ -846,3 +846,54 @@ def hybrid_explanations(spark, d):
 def hybrid_weight_tuning(spark, d):
     model, state, truth = _model_and_state(spark, d)
     return M.tune_weights(state, truth, model, k=10, step=0.1)
+
+
+# --- cleaning and sales report -----------------------------------------------------------------------
+from tessera.operators import clean as CL  # noqa: E402
+
+
+def _cleaned(spark, d):
+    return CL.clean_orders(B.raw_orders(spark, d), iqr_k=3.0)
+
+
+@query
+def cleaning_log(spark, d):
+    return _cleaned(spark, d)[1]
+
+
+@query
+def cleaned_orders(spark, d):
+    out = _cleaned(spark, d)[0]
+    return out.select("order_id", "order_date", "category", "customer_region", "channel", "quantity",
+                      fround("unit_price", 6).alias("unit_price"), "revenue")
+
+
+@query
+def sales_kpis(spark, d):
+    return R.sales_kpis(_cleaned(spark, d)[0])
+
+
+@query
+def monthly_revenue(spark, d):
+    return R.monthly_revenue(_cleaned(spark, d)[0])
+
+
+@query
+def revenue_by_category(spark, d):
+    return R.revenue_by_category(_cleaned(spark, d)[0])
+
+
+@query
+def revenue_by_weekday(spark, d):
+    return R.revenue_by_weekday(_cleaned(spark, d)[0])
+
+
+@query
+def revenue_pivot_region_channel(spark, d):
+    return R.revenue_pivot(_cleaned(spark, d)[0], "customer_region", "channel",
+                           values=["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
+
+
+@query
+def cleaned_quality_summary(spark, d):
+    return R.quality_summary(_cleaned(spark, d)[0])

@@ -1241,3 +1241,89 @@ recs AS (SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
          WHERE rank <= 10)"""
 SQL["item_cf_recommendations"] = with_rec(_CF_RECS.replace("\n, users", ", users", 1) + "\nSELECT * FROM recs")
 SQL["item_cf_evaluation"] = _eval_sql(_CF_RECS)
+
+# --- cleaning and sales report ---------------------------------------------------------------------
+CLEAN_CTE = """
+raw AS (
+  SELECT l_orderkey AS order_id,
+         CASE WHEN l_orderkey % 5 = 0 THEN strftime(o_orderdate, '%m/%d/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END
+           AS order_date,
+         CASE WHEN l_linenumber = 3 THEN ' ' || lower(p_type) || ' ' WHEN l_linenumber = 4 THEN upper(p_type)
+              ELSE upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) END AS category,
+         CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE r_name END AS customer_region,
+         o_orderpriority AS channel, CAST(l_quantity AS INTEGER) AS quantity,
+         CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE l_extendedprice / l_quantity END AS unit_price
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+s1 AS (
+  SELECT order_id,
+         CAST(coalesce(try_strptime(order_date, '%Y-%m-%d'), try_strptime(order_date, '%m/%d/%Y')) AS DATE) AS order_date,
+         upper(substr(trim(category), 1, 1)) || lower(substr(trim(category), 2)) AS category,
+         customer_region, channel, quantity, unit_price FROM raw),
+s3 AS (SELECT DISTINCT * FROM s1),
+s4 AS (SELECT * FROM s3 WHERE quantity > 0),
+fence AS (SELECT category, quantile_cont(unit_price, 0.75) + 3.0 * (quantile_cont(unit_price, 0.75)
+                 - quantile_cont(unit_price, 0.25)) AS hi FROM s4 GROUP BY 1),
+s5 AS (SELECT s4.* EXCLUDE (unit_price), unit_price AS orig, fence.hi,
+              CASE WHEN unit_price > fence.hi THEN fence.hi ELSE unit_price END AS unit_price
+       FROM s4 LEFT JOIN fence USING (category)),
+med AS (SELECT category, median(unit_price) AS med FROM s5 GROUP BY 1),
+cleaned AS (
+  SELECT order_id, order_date, category, coalesce(customer_region, 'Unknown') AS customer_region, channel, quantity,
+         coalesce(unit_price, med) AS unit_price, round(quantity * coalesce(unit_price, med), 2) AS revenue
+  FROM s5 LEFT JOIN med USING (category))"""
+
+
+def with_clean(body: str) -> str:
+    return f"WITH {CLEAN_CTE}\n{body}"
+
+
+SQL["cleaning_log"] = with_clean("""
+, a0 AS (SELECT count(*) AS n0,
+                CAST(sum(CASE WHEN category IS NOT DISTINCT FROM
+                     upper(substr(trim(category), 1, 1)) || lower(substr(trim(category), 2)) THEN 0 ELSE 1 END) AS BIGINT) AS c1,
+                CAST(sum(CASE WHEN contains(order_date, '/') THEN 1 ELSE 0 END) AS BIGINT) AS c2 FROM raw),
+a1 AS (SELECT (SELECT count(*) FROM s3) AS n3, (SELECT count(*) FROM s4) AS n4),
+a2 AS (SELECT CAST(sum(CASE WHEN orig > hi THEN 1 ELSE 0 END) AS BIGINT) AS c5,
+              CAST(sum(CASE WHEN unit_price IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS np,
+              CAST(sum(CASE WHEN customer_region IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nr, count(*) AS n5 FROM s5),
+st AS (SELECT * FROM a0, a1, a2)
+SELECT 1 AS step_no, 'normalize_text' AS step, 'strip + title-case category' AS action, n0 AS rows_before,
+       n0 AS rows_after, c1 AS cells_changed FROM st
+UNION ALL SELECT 2, 'parse_dates', 'mixed-format strings -> date', n0, n0, c2 FROM st
+UNION ALL SELECT 3, 'drop_duplicates', 'exact duplicate rows removed', n0, n3, 0 FROM st
+UNION ALL SELECT 4, 'drop_invalid_qty', 'quantity <= 0 removed', n3, n4, 0 FROM st
+UNION ALL SELECT 5, 'cap_outliers', 'IQR fence (k=3) per category', n4, n4, c5 FROM st
+UNION ALL SELECT 6, 'impute_missing', 'price -> category median; region -> ''Unknown''', n5, n5, np + nr FROM st
+UNION ALL SELECT 7, 'derive_revenue', 'revenue = quantity * unit_price', n5, n5, n5 FROM st""".replace(
+    "\n, a0 AS", ", a0 AS", 1))
+
+SQL["cleaned_orders"] = with_clean("""
+SELECT order_id, order_date, category, customer_region, channel, quantity, round(unit_price, 6) AS unit_price, revenue
+FROM cleaned""")
+
+SQL["sales_kpis"] = with_clean("""
+SELECT round(sum(revenue), 2) AS total_revenue, count(*) AS orders, round(avg(revenue), 4) AS aov,
+       round(avg(quantity), 4) AS avg_units FROM cleaned""")
+
+SQL["monthly_revenue"] = with_clean("""
+, m AS (SELECT date_trunc('month', order_date) AS month, sum(revenue) AS rev FROM cleaned GROUP BY 1),
+cal AS (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM m)
+SELECT cal.month, round(coalesce(m.rev, 0.0), 2) AS revenue FROM cal LEFT JOIN m ON m.month = cal.month""".replace(
+    "\n, m AS", ", m AS", 1))
+
+SQL["revenue_by_category"] = with_clean("""
+SELECT category, round(sum(revenue), 2) AS revenue, count(order_id) AS orders FROM cleaned GROUP BY 1""")
+
+SQL["revenue_by_weekday"] = with_clean("""
+SELECT CAST((dayofweek(order_date) + 6) % 7 AS INTEGER) AS weekday_index, dayname(order_date) AS weekday,
+       round(sum(revenue), 2) AS revenue FROM cleaned GROUP BY ALL""")
+
+SQL["revenue_pivot_region_channel"] = with_clean("""
+SELECT customer_region,
+       coalesce(CAST(round(sum(CASE WHEN channel = '1-URGENT' THEN CAST(revenue AS DECIMAL(18, 2)) END), 0) AS DOUBLE), 0.0) AS "1-URGENT",
+       coalesce(CAST(round(sum(CASE WHEN channel = '2-HIGH' THEN CAST(revenue AS DECIMAL(18, 2)) END), 0) AS DOUBLE), 0.0) AS "2-HIGH",
+       coalesce(CAST(round(sum(CASE WHEN channel = '3-MEDIUM' THEN CAST(revenue AS DECIMAL(18, 2)) END), 0) AS DOUBLE), 0.0) AS "3-MEDIUM",
+       coalesce(CAST(round(sum(CASE WHEN channel = '4-NOT SPECIFIED' THEN CAST(revenue AS DECIMAL(18, 2)) END), 0) AS DOUBLE), 0.0) AS "4-NOT SPECIFIED",
+       coalesce(CAST(round(sum(CASE WHEN channel = '5-LOW' THEN CAST(revenue AS DECIMAL(18, 2)) END), 0) AS DOUBLE), 0.0) AS "5-LOW"
+FROM cleaned GROUP BY 1""")

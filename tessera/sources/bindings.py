@@ -306,3 +306,27 @@ def rec_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = e.select(F.get_json_object("props", "$.k").cast("long").alias("item_id")).distinct()
     return ids.select("item_id", F.concat(F.lit("cat"), F.pmod(F.col("item_id"), F.lit(N_CATEGORIES)).cast("string"))
                       .alias("category"), (F.pmod(F.col("item_id"), F.lit(3)) + 1).cast("int").alias("price_tier"))
+
+
+# --- sales / cleaning --------------------------------------------------------------------------------
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw order lines as an export would deliver them: category label case/spacing varies by line,
+    dates alternate between ISO and US text, some regions and prices are missing."""
+    li, o, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    c, n, r = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    j = (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+         .join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+         .join(r, n.n_regionkey == r.r_regionkey))
+    us = F.pmod(F.col("l_orderkey"), F.lit(5)) == 0
+    return j.select(
+        F.col("l_orderkey").alias("order_id"),
+        F.when(us, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .alias("order_date"),
+        F.when(F.col("l_linenumber") == 3, F.concat(F.lit(" "), F.lower("p_type"), F.lit(" ")))
+         .when(F.col("l_linenumber") == 4, F.upper("p_type")).otherwise(F.initcap("p_type")).alias("category"),
+        F.when(F.pmod(F.col("c_custkey"), F.lit(17)) == 0, F.lit(None).cast("string")).otherwise(F.col("r_name"))
+        .alias("customer_region"),
+        F.col("o_orderpriority").alias("channel"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.when(F.pmod(F.col("l_partkey"), F.lit(23)) == 0, F.lit(None).cast("double"))
+         .otherwise(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"))
