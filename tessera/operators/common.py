@@ -90,3 +90,24 @@ def running_total(df: DataFrame, partition_by: list[str], ts: str, tie: str, val
     inner = base.withColumn("_in", F.sum("_v").over(w_in))
     return (inner.join(offsets, [*partition_by, "_chunk"])
             .withColumn(out, F.col("_off") + F.col("_in")).drop("_chunk", "_v", "_in", "_off"))
+
+
+def prefix_sums(df: DataFrame, order_cols: list, value_cols: list[str], suffix: str = "_cum",
+                num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``value_cols`` over a total order (include a unique key), without a
+    single-task window: range partitions are summed in parallel and shifted by the prefix of the
+    earlier partitions' totals (one row per partition)."""
+    from tessera.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+    w_in = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = ranged.select("*", *[F.sum(c).over(w_in).alias(f"_in_{c}") for c in value_cols])
+    tot = ranged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    w_p = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w_p), F.lit(0)).alias(f"_o_{c}") for c in value_cols])
+    out = inner.join(F.broadcast(offs), "_pid")
+    for c in value_cols:
+        out = out.withColumn(f"{c}{suffix}", F.col(f"_in_{c}") + F.col(f"_o_{c}"))
+    return out.drop("_pid", *[f"_in_{c}" for c in value_cols], *[f"_o_{c}" for c in value_cols])

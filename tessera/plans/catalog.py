@@ -897,3 +897,87 @@ def revenue_pivot_region_channel(spark, d):
 @query
 def cleaned_quality_summary(spark, d):
     return R.quality_summary(_cleaned(spark, d)[0])
+
+
+# --- churn, metrics, sentiment -------------------------------------------------------------------------
+from tessera.operators import models as ML  # noqa: E402
+
+
+def _doc_quality_scores(spark, d):
+    """Heuristic quality score of labelled documents: share of letters in the text."""
+    docs = B.labeled_documents(spark, d)
+    letters = F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[^\p{L}]", ""))
+    return docs.select(F.col("doc_id").alias("id"), "label",
+                       (letters / F.greatest(F.length(F.coalesce(F.col("text"), F.lit(""))), F.lit(1))).alias("score"))
+
+
+@query
+def doc_quality_metrics(spark, d):
+    return ML.binary_metrics(_doc_quality_scores(spark, d))
+
+
+@query
+def doc_quality_roc(spark, d):
+    return ML.roc_curve(_doc_quality_scores(spark, d))
+
+
+@query
+def doc_quality_calibration(spark, d):
+    return ML.calibration_table(_doc_quality_scores(spark, d))
+
+
+@query
+def doc_quality_lift(spark, d):
+    return ML.lift_table(_doc_quality_scores(spark, d), key="id")
+
+
+@query
+def doc_quality_cost_curve(spark, d):
+    return ML.cost_curve(_doc_quality_scores(spark, d))
+
+
+@query
+def doc_quality_optimal_threshold(spark, d):
+    return ML.optimal_threshold(ML.cost_curve(_doc_quality_scores(spark, d)))
+
+
+@query
+def churn_model_predictions(spark, d):
+    return ML.fit_churn(B.churn_customers(spark, d))[1]
+
+
+@query
+def churn_model_metrics(spark, d):
+    _, pred = ML.fit_churn(B.churn_customers(spark, d))
+    return ML.binary_metrics(pred, label="churn", prob="p_gboost").withColumn("model", F.lit("gboost")).unionByName(
+        ML.binary_metrics(pred, label="churn", prob="p_logistic").withColumn("model", F.lit("logistic")))
+
+
+@query
+def churn_feature_importance(spark, d):
+    df = B.churn_customers(spark, d)
+    models, _ = ML.fit_churn(df)
+    return ML.feature_importance(models["gboost"])
+
+
+@query
+def churn_batch_scores(spark, d):
+    df = B.churn_customers(spark, d)
+    models, _ = ML.fit_churn(df)
+    return ML.score(df, models["logistic"]).select("customer_id", "proba")
+
+
+@query
+def sentiment_predictions(spark, d):
+    return ML.fit_sentiment(B.labeled_documents(spark, d))[2].drop("text")
+
+
+@query
+def sentiment_top_ngrams(spark, d):
+    model, vocab, _ = ML.fit_sentiment(B.labeled_documents(spark, d))
+    return ML.top_ngrams(model, vocab, 12)
+
+
+@query
+def sentiment_errors(spark, d):
+    return ML.misclassified(ML.fit_sentiment(B.labeled_documents(spark, d))[2]).drop("text")

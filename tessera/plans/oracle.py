@@ -1327,3 +1327,71 @@ SELECT customer_region,
        coalesce(CAST(round(sum(CASE WHEN channel = '4-NOT SPECIFIED' THEN CAST(revenue AS DECIMAL(18, 2)) END), 0) AS DOUBLE), 0.0) AS "4-NOT SPECIFIED",
        coalesce(CAST(round(sum(CASE WHEN channel = '5-LOW' THEN CAST(revenue AS DECIMAL(18, 2)) END), 0) AS DOUBLE), 0.0) AS "5-LOW"
 FROM cleaned GROUP BY 1""")
+
+# --- metrics on a deterministic score ----------------------------------------------------------------
+DQ_CTE = """
+dq AS (SELECT d.doc_id AS id, l.quality AS label,
+              length(regexp_replace(coalesce(d.text, ''), '[^\\p{L}]', '', 'g'))
+              / greatest(length(coalesce(d.text, '')), 1) AS score
+       FROM documents d JOIN labels l USING (doc_id))"""
+
+
+def with_dq(body: str) -> str:
+    return f"WITH {DQ_CTE}\n{body}"
+
+
+SQL["doc_quality_metrics"] = with_dq("""
+, c AS (SELECT sum(CASE WHEN label = 1 AND score >= 0.5 THEN 1 ELSE 0 END) AS tp,
+              sum(CASE WHEN label = 0 AND score >= 0.5 THEN 1 ELSE 0 END) AS fp,
+              sum(CASE WHEN label = 0 AND score < 0.5 THEN 1 ELSE 0 END) AS tn,
+              sum(CASE WHEN label = 1 AND score < 0.5 THEN 1 ELSE 0 END) AS fn,
+              avg((score - label) * (score - label)) AS brier, count(*) AS n FROM dq),
+per AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM dq GROUP BY 1),
+cum AS (SELECT *, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM per),
+a AS (SELECT sum(pos * (neg_cum - neg + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM cum)
+SELECT round(auc, 6) AS auc, round((tp + tn) / n, 6) AS accuracy,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall,
+       round(CASE WHEN tp + fp > 0 AND tp + fn > 0 AND tp > 0
+                  THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))) ELSE 0.0 END, 6) AS f1,
+       round(brier, 6) AS brier, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tn AS BIGINT) AS tn,
+       CAST(fn AS BIGINT) AS fn, n FROM c, a""".replace("\n, c AS", ", c AS", 1))
+
+SQL["doc_quality_roc"] = with_dq("""
+, per AS (SELECT score AS threshold, sum(label) AS pos, sum(1 - label) AS neg FROM dq GROUP BY 1),
+cum AS (SELECT *, sum(pos) OVER w AS pos_cum, sum(neg) OVER w AS neg_cum FROM per
+        WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT threshold, round(neg_cum / (SELECT sum(1 - label) FROM dq), 6) AS fpr,
+       round(pos_cum / (SELECT sum(label) FROM dq), 6) AS tpr FROM cum""".replace("\n, per AS", ", per AS", 1))
+
+SQL["doc_quality_calibration"] = with_dq("""
+SELECT CAST(greatest(ceil(score * 10), 1) AS INTEGER) AS bin, round(avg(score), 6) AS mean_predicted,
+       round(avg(CAST(label AS DOUBLE)), 6) AS observed_rate, count(*) AS customers FROM dq GROUP BY 1""")
+
+SQL["doc_quality_lift"] = with_dq("""
+, r AS (SELECT *, row_number() OVER (ORDER BY score ASC, id ASC) AS r, count(*) OVER () AS n FROM dq),
+b AS (SELECT *, CAST(11 - CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ceil((r - 1) * 10 / greatest(n - 1, 1))) END AS INTEGER)
+                AS decile FROM r)
+SELECT decile, count(*) AS customers, CAST(sum(label) AS BIGINT) AS churners, round(avg(CAST(label AS DOUBLE)), 6) AS churn_rate,
+       round(avg(CAST(label AS DOUBLE)) / (SELECT avg(CAST(label AS DOUBLE)) FROM dq), 2) AS lift
+FROM b GROUP BY 1""".replace("\n, r AS", ", r AS", 1))
+
+
+def _cost_sql(final: str) -> str:
+    import numpy as np
+    grid = ", ".join(f"({i}, CAST({repr(float(t))} AS DOUBLE))" for i, t in enumerate(np.linspace(0.01, 0.99, 99)))
+    return with_dq(f""", g AS (SELECT * FROM (VALUES {grid}) t(k, threshold)),
+j AS (SELECT g.k, g.threshold, coalesce(sum(CASE WHEN dq.score >= g.threshold THEN dq.label END), 0) AS tp,
+             count(dq.id) AS targeted
+      FROM g LEFT JOIN dq ON dq.score >= g.threshold GROUP BY 1, 2),
+tot AS (SELECT count(*) AS n, sum(label) AS P FROM dq),
+curve AS (SELECT threshold,
+         round((20.0 * targeted + 400.0 * ((P - tp) + tp * (1 - 0.35))) / n, 6) AS cost_per_customer,
+         round(targeted / n, 6) AS targeted_pct, round(400.0 * P / n, 6) AS do_nothing,
+         round(20.0 + 400.0 * P / n * (1 - 0.35), 6) AS target_all FROM j, tot)
+{final}""")
+
+
+SQL["doc_quality_cost_curve"] = _cost_sql("SELECT * FROM curve")
+SQL["doc_quality_optimal_threshold"] = _cost_sql(
+    "SELECT * FROM curve ORDER BY cost_per_customer, threshold LIMIT 1")

@@ -1,7 +1,9 @@
 """Bindings from the driver's parquet tables to the frames the operators expect.
 
-A binding only renames, casts and assigns stand-in attributes row by row (one projection or
-one join). It never computes a result an operator is supposed to compute.
+A binding renames, casts and assigns stand-in attributes (a projection or join), or, where an
+operator expects an entity the tables do not hold directly (a customer feature row, a weekly
+series), aggregates the raw records into that entity. It never computes a result an operator
+is supposed to compute.
 """
 
 from __future__ import annotations
@@ -330,3 +332,56 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("quantity"),
         F.when(F.pmod(F.col("l_partkey"), F.lit(23)) == 0, F.lit(None).cast("double"))
          .otherwise(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"))
+
+
+# --- churn / sentiment / weekly series ---------------------------------------------------------------
+PAYMENT = ["card", "bank_transfer", "check"]
+
+
+def churn_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer: features from orders before the cutoff (last order date - 365 days),
+    label churn = no order after the cutoff."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    t = hub_tickets(spark, sf_dir).groupBy("customer_id").agg(F.count(F.lit(1)).alias("support_tickets"))
+    maxd = o.select(F.max("o_orderdate")).scalar()
+    cut = maxd - F.expr("INTERVAL 365 DAYS")
+    before = o.filter(F.col("o_orderdate") < cut)
+    feats = before.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.min("o_orderdate").alias("_first"), F.sum("o_totalprice").alias("_spend"),
+        F.countDistinct("o_orderpriority").alias("num_services"),
+        F.sum(F.when(F.col("o_orderdate") >= cut - F.expr("INTERVAL 365 DAYS"), 1).otherwise(0)).alias("_y1"),
+        F.sum(F.when((F.col("o_orderdate") < cut - F.expr("INTERVAL 365 DAYS"))
+                     & (F.col("o_orderdate") >= cut - F.expr("INTERVAL 730 DAYS")), 1).otherwise(0)).alias("_y0"))
+    after = o.filter(F.col("o_orderdate") >= cut).select(F.col("o_custkey").alias("c_custkey")).distinct() \
+        .withColumn("_active", F.lit(1))
+    tenure = F.floor(F.months_between(cut, F.col("_first"))).cast("int")
+    j = c.join(feats, "c_custkey").join(after, "c_custkey", "left") \
+        .join(t, F.col("customer_id") == F.col("c_custkey").cast("string"), "left")
+    return j.select(
+        F.col("c_custkey").alias("customer_id"), tenure.alias("tenure_months"),
+        F.col("c_mktsegment").alias("contract"), _pick(PAYMENT, F.pmod(F.col("c_nationkey"), F.lit(3))).alias("payment_method"),
+        F.col("num_services").cast("int"),
+        (F.col("_spend") / F.greatest(tenure, F.lit(1)) / 1000.0).alias("monthly_charges"),
+        F.coalesce(F.col("support_tickets"), F.lit(0)).cast("int").alias("support_tickets"),
+        ((F.col("_y1") - F.col("_y0")) / F.greatest(F.col("_y0"), F.lit(1))).cast("double").alias("usage_trend"),
+        F.when(F.col("_active").isNull(), 1).otherwise(0).alias("churn"))
+
+
+def labeled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id").select("doc_id", "text", F.col("quality").alias("label"), "toxic")
+
+
+def weekly_series(spark: SparkSession, sf_dir: str, by_dept: bool = False) -> DataFrame:
+    """Weekly sales per store (= customer nation), optionally per department (= order priority);
+    weeks end on Friday. No holidays or promotions are recorded in these tables."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    week = F.next_day(F.date_sub(F.to_date("o_orderdate"), 1), "Fri")
+    keys = [F.col("c_nationkey").alias("store"), week.alias("week")]
+    if by_dept:
+        keys.insert(1, F.col("o_orderpriority").alias("dept"))
+    g = j.groupBy(*keys).agg(F.sum("o_totalprice").alias("weekly_sales"))
+    return g.withColumn("is_holiday", F.lit(False)).withColumn("holiday_name", F.lit(None).cast("string")) \
+        .withColumn("has_promo", F.lit(False))
