@@ -981,3 +981,57 @@ def sentiment_top_ngrams(spark, d):
 @query
 def sentiment_errors(spark, d):
     return ML.misclassified(ML.fit_sentiment(B.labeled_documents(spark, d))[2]).drop("text")
+
+
+# --- forecasting ---------------------------------------------------------------------------------
+from tessera.operators import forecast as FC  # noqa: E402
+
+
+@query
+def weekly_forecast_features(spark, d):
+    s = B.weekly_series(spark, d)
+    out = TS.forecast_features(s, ["store"])
+    return out.select("store", "week", fround("weekly_sales", 2).alias("weekly_sales"),
+                      fround("lag_52", 2).alias("lag_52"), fround("sin1", 9).alias("sin1"),
+                      fround("cos1", 9).alias("cos1"), fround("sin2", 9).alias("sin2"), fround("cos2", 9).alias("cos2"),
+                      "t", "promo")
+
+
+@query
+def seasonal_naive_forecasts(spark, d):
+    return FC.seasonal_naive(B.weekly_series(spark, d), ["store"], 13).withColumn(
+        "forecast", fround("forecast", 2)).withColumn("actual", fround("actual", 2))
+
+
+@query
+def seasonal_naive_metrics(spark, d):
+    return FC.backtest_metrics(FC.seasonal_naive(B.weekly_series(spark, d), ["store"], 13), ["store"])
+
+
+@query
+def ridge_backtest_metrics(spark, d):
+    s = B.weekly_series(spark, d)
+    f = FC.seasonal_naive(s, ["store"], 13).unionByName(
+        FC.ridge_forecast(s, ["store"], 13).drop("lo", "hi"))
+    return FC.backtest_metrics(f, ["store"])
+
+
+@query
+def ridge_backtest_summary(spark, d):
+    return FC.backtest_summary(ridge_backtest_metrics(spark, d))
+
+
+@query
+def forecast_intervals(spark, d):
+    return FC.ridge_forecast(B.weekly_series(spark, d), ["store"], 13, level=0.9)
+
+
+@query
+def forecast_interval_coverage(spark, d):
+    return FC.pi_coverage(forecast_intervals(spark, d), 0.9)
+
+
+@query
+def hierarchical_backtest(spark, d):
+    f = FC.hier_backtest(B.weekly_series(spark, d, by_dept=True), 13)
+    return FC.backtest_summary(FC.backtest_metrics(f, ["store"]))

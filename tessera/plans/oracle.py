@@ -1395,3 +1395,40 @@ curve AS (SELECT threshold,
 SQL["doc_quality_cost_curve"] = _cost_sql("SELECT * FROM curve")
 SQL["doc_quality_optimal_threshold"] = _cost_sql(
     "SELECT * FROM curve ORDER BY cost_per_customer, threshold LIMIT 1")
+
+# --- forecasting ---------------------------------------------------------------------------------------
+WEEKLY_CTE = """
+ws AS (
+  SELECT CAST(n_regionkey AS INTEGER) AS store,
+         CAST(o_orderdate AS DATE) - 1 + CAST((5 - dayofweek(CAST(o_orderdate AS DATE) - 1) + 7) % 7 AS INTEGER)
+           + CASE WHEN (5 - dayofweek(CAST(o_orderdate AS DATE) - 1) + 7) % 7 = 0 THEN 7 ELSE 0 END AS week,
+         o_totalprice
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+series AS (SELECT store, week, sum(o_totalprice) AS weekly_sales, false AS is_holiday FROM ws GROUP BY ALL),
+split AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY week DESC) <= 13 AS is_test FROM series),
+naive AS (SELECT t.store, t.week, 'seasonal_naive' AS model, h.weekly_sales AS forecast, t.weekly_sales AS actual,
+                 t.is_holiday
+          FROM split t LEFT JOIN split h ON h.store = t.store AND NOT h.is_test AND h.week + 364 = t.week
+          WHERE t.is_test)"""
+
+
+def with_weekly(body: str) -> str:
+    return f"WITH {WEEKLY_CTE}\n{body}"
+
+
+SQL["weekly_forecast_features"] = with_weekly("""
+SELECT store, week, round(weekly_sales, 2) AS weekly_sales,
+       round(lag(weekly_sales, 52) OVER w, 2) AS lag_52,
+       round(sin(2 * pi() * weekofyear(week) / 52.18), 9) AS sin1, round(cos(2 * pi() * weekofyear(week) / 52.18), 9) AS cos1,
+       round(sin(4 * pi() * weekofyear(week) / 52.18), 9) AS sin2, round(cos(4 * pi() * weekofyear(week) / 52.18), 9) AS cos2,
+       CAST(row_number() OVER w - 1 AS BIGINT) AS t, 0 AS promo
+FROM series WINDOW w AS (PARTITION BY store ORDER BY week)""")
+
+SQL["seasonal_naive_forecasts"] = with_weekly("""
+SELECT store, week, model, round(forecast, 2) AS forecast, round(actual, 2) AS actual, is_holiday FROM naive""")
+
+SQL["seasonal_naive_metrics"] = with_weekly("""
+SELECT store, model, round(avg(abs((actual - forecast) / actual)) * 100, 2) AS mape,
+       round(sum(CASE WHEN is_holiday THEN 5.0 ELSE 1.0 END * abs(actual - forecast))
+             / sum(CASE WHEN is_holiday THEN 5.0 ELSE 1.0 END), 0) AS wmae, count(*) AS weeks
+FROM naive WHERE forecast IS NOT NULL AND actual IS NOT NULL GROUP BY ALL""")

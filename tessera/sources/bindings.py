@@ -374,12 +374,12 @@ def labeled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weekly_series(spark: SparkSession, sf_dir: str, by_dept: bool = False) -> DataFrame:
-    """Weekly sales per store (= customer nation), optionally per department (= order priority);
-    weeks end on Friday. No holidays or promotions are recorded in these tables."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    j = o.join(c, o.o_custkey == c.c_custkey)
+    """Weekly sales per store (= the customer's region), optionally per department (= order
+    priority); weeks end on Friday. No holidays or promotions are recorded in these tables."""
+    o, c, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     week = F.next_day(F.date_sub(F.to_date("o_orderdate"), 1), "Fri")
-    keys = [F.col("c_nationkey").alias("store"), week.alias("week")]
+    keys = [F.col("n_regionkey").cast("int").alias("store"), week.alias("week")]
     if by_dept:
         keys.insert(1, F.col("o_orderpriority").alias("dept"))
     g = j.groupBy(*keys).agg(F.sum("o_totalprice").alias("weekly_sales"))
