@@ -1035,3 +1035,88 @@ def forecast_interval_coverage(spark, d):
 def hierarchical_backtest(spark, d):
     f = FC.hier_backtest(B.weekly_series(spark, d, by_dept=True), 13)
     return FC.backtest_summary(FC.backtest_metrics(f, ["store"]))
+
+
+# --- streaming batch twins -------------------------------------------------------------------------
+from tessera.streaming import core as ST  # noqa: E402
+from tessera.streaming import remediation as RM  # noqa: E402
+
+
+@query
+def windowed_cost_by_model(spark, d):
+    t = FL.events_of(_tel(spark, d), TEL.LLM_CALL)
+    out = ST.stream_timechart(t, "1 hour", by="model", aggs={"cost": F.sum("cost_usd"), "calls": F.count(F.lit(1))})
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "model",
+                      fround("cost", 6).alias("cost"), "calls")
+
+
+def _telemetry_with_dlp(spark, d):
+    return _tel(spark, d).unionByName(P.violations_to_events(_violations(spark, d)))
+
+
+@query
+def windowed_alerts(spark, d):
+    return ST.stream_alerts(_telemetry_with_dlp(spark, d), "10 minutes")
+
+
+def _alerts(spark, d):
+    """Alert stream: windowed error-rate / DLP alerts plus cost and latency band breaches."""
+    w = ST.stream_alerts(_telemetry_with_dlp(spark, d), "10 minutes")
+    cost = cost_anomaly_band(spark, d).filter("breach").select(
+        F.col("_time").alias("ts"), F.lit("cost_spike").alias("anomaly_type"), F.col("cost_5m").alias("metric_value"),
+        F.lit(None).cast("string").alias("model"))
+    lat = latency_anomaly_trend(spark, d).filter("breach").select(
+        F.col("_time").alias("ts"), F.lit("latency_spike").alias("anomaly_type"),
+        F.col("avg_latency").alias("metric_value"), "model")
+    return w.unionByName(cost).unionByName(lat)
+
+
+@query
+def remediation_decisions(spark, d):
+    return RM.remediate(_alerts(spark, d))
+
+
+@query
+def suppressed_alerts(spark, d):
+    return RM.suppress(_alerts(spark, d), "anomaly_type", 600)
+
+
+@query
+def router_weight_timeline(spark, d):
+    return RM.weight_timeline(RM.remediate(_alerts(spark, d)))
+
+
+@query
+def deduplicated_events(spark, d):
+    e = B.table(spark, d, "events")
+    return ST.dedupe_events(e.unionByName(e.filter(F.col("event_type") == "error")), "event_id").select(
+        "event_id", "event_type")
+
+
+@query
+def dlp_risk_feed(spark, d):
+    return ST.stream_dlp(B.dlp_requests(spark, d)).select("request_id", "rule_id", "risk_score", "risk_level",
+                                                          "incident")
+
+
+@query
+def outbox_dispatch(spark, d):
+    """Dispatch every undispatched activity once: triage opened tickets, draft follow-ups for
+    deliveries, capture knowledge from resolved tickets; count outputs per route."""
+    tickets, customers, orders = B.hub_tickets(spark, d), B.hub_customers(spark, d), B.hub_orders(spark, d)
+    emps = B.hub_employees(spark, d)
+    handlers = {
+        ("as.opened", "as"): lambda a: H.triage(tickets.join(a.select(F.col("subject_id").alias("id")), "id",
+                                                             "left_semi"), emps),
+        ("delivery.done", "order"): lambda a: H.draft_followups(
+            orders.join(a.select(F.col("subject_id").alias("id")), "id", "left_semi"), customers),
+        ("as.resolved", "as"): lambda a: H.capture_knowledge(H.classify_ticket(
+            tickets.join(a.select(F.col("subject_id").alias("id")), "id", "left_semi"))),
+    }
+    outputs, ids = ST.dispatch_batch(B.hub_activities(spark, d), None, handlers)
+    parts = [o.agg(F.count(F.lit(1)).alias("outputs")).withColumn("route", F.lit(f"{t}/{s}"))
+             for (t, s), o in outputs.items()]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res.crossJoin(ids.agg(F.count(F.lit(1)).alias("processed")))

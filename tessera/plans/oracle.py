@@ -1432,3 +1432,40 @@ SELECT store, model, round(avg(abs((actual - forecast) / actual)) * 100, 2) AS m
        round(sum(CASE WHEN is_holiday THEN 5.0 ELSE 1.0 END * abs(actual - forecast))
              / sum(CASE WHEN is_holiday THEN 5.0 ELSE 1.0 END), 0) AS wmae, count(*) AS weeks
 FROM naive WHERE forecast IS NOT NULL AND actual IS NOT NULL GROUP BY ALL""")
+
+# --- streaming batch twins --------------------------------------------------------------------------
+SQL["windowed_cost_by_model"] = _llm("""
+SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, model, round(sum(cost_usd), 6) AS cost, count(*) AS calls
+FROM telemetry WHERE event_type = 'mcp_llm_call' GROUP BY ALL""")
+
+
+
+def _alerts_sql(final: str) -> str:
+    dlp = _dlp_rows_sql()[len("WITH "):]
+    return f"""WITH {TELEMETRY_CTE.strip()},
+{dlp},
+vts AS (SELECT b.ts FROM viol v JOIN base b USING (request_id)),
+err AS (SELECT time_bucket(INTERVAL 10 MINUTE, timestamp) + INTERVAL 10 MINUTE AS ts, model, count(*) AS total,
+               sum(CASE WHEN lower(CAST(success AS VARCHAR)) = 'false' THEN 1 ELSE 0 END) AS errors
+        FROM telemetry WHERE event_type = 'mcp_llm_call' GROUP BY ALL),
+burst AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS ts, count(*) AS violations FROM vts GROUP BY 1),
+alerts AS (
+  SELECT ts, 'error_rate_high' AS anomaly_type, round(errors / total, 4) AS metric_value, model FROM err
+  WHERE round(errors / total, 4) > 0.15
+  UNION ALL SELECT ts, 'dlp_burst', CAST(violations AS DOUBLE), NULL FROM burst WHERE violations >= 10)
+{final}"""
+
+
+SQL["windowed_alerts"] = _alerts_sql("SELECT * FROM alerts")
+
+SQL["deduplicated_events"] = "SELECT DISTINCT ON (event_id) event_id, event_type FROM events"
+SQL["dlp_risk_feed"] = SQL["violation_risk"].replace(
+    """SELECT request_id, rule_id, risk_score,
+       CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 30 THEN 'medium'
+            ELSE 'low' END AS risk_level,
+       CASE WHEN risk_score >= 80 THEN 'mcp_block_user' WHEN risk_score >= 60 THEN 'mcp_quarantine_session'
+            ELSE 'mcp_notify_security' END AS recommended_playbook,
+       risk_score >= 60 AS requires_human_review, risk_score >= 30 AS incident FROM s""",
+    """SELECT request_id, rule_id, risk_score,
+       CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 30 THEN 'medium'
+            ELSE 'low' END AS risk_level, risk_score >= 30 AS incident FROM s""")
