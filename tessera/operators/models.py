@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import fround
-from tessera.operators.common import prefix_sums
+from tessera.operators.common import global_order_index, prefix_sums
 from tessera.operators.timeseries import quantile_bins
 
 
@@ -146,8 +146,7 @@ def cost_curve(df: DataFrame, label: str = "label", prob: str = "score", offer_c
     offer*(tp+fp) + loss*(fn + tp*(1-save)), over n. One histogram pass: each row's number of
     thresholds <= score, then cumulative counts from the top; do-nothing / target-all references."""
     grid = threshold_grid(0.01, 0.99, n_grid)
-    arr = F.array(*[F.lit(t) for t in grid])
-    passed = F.size(F.filter(arr, lambda t: t <= F.col(prob)))
+    passed = sum((F.when(F.col(prob) >= t, 1).otherwise(0) for t in grid), F.lit(0))
     y = F.col(label).cast("long")
     hist = df.groupBy(passed.alias("passed")).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("cnt"))
     spark = df.sparkSession
@@ -201,11 +200,10 @@ def tfidf_features(docs: DataFrame, vocab: DataFrame | None = None, n_docs=None,
     if vocab is None:
         n_docs = docs.count()
         dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
-        w = Window.orderBy("term")
-        vocab = dfs.withColumn("index", (F.row_number().over(w) - 1).cast("int")).withColumn(
-            "idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
+        vocab = global_order_index(dfs, [F.asc("term")], out="index").withColumn(
+            "index", F.col("index").cast("int")).withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
     size = vocab.count()
-    x = tf.join(F.broadcast(vocab.select("term", "index", "idf")), "term")
+    x = tf.join(vocab.select("term", "index", "idf"), "term")
     x = x.withColumn("v", (1 + F.log(F.col("tf"))) * F.col("idf"))
     norm = x.groupBy(id_col).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
     x = x.join(norm, id_col).withColumn("v", F.col("v") / F.col("_n"))

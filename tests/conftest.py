@@ -13,7 +13,7 @@ SF_SMALL = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from tessera.session import get_session
-    s = get_session("local[8]", 8)
+    s = get_session("local[8]", 8, driver_memory="8g")
     yield s
 
 
