@@ -1120,3 +1120,67 @@ def outbox_dispatch(spark, d):
     for p in parts[1:]:
         res = res.unionByName(p)
     return res.crossJoin(ids.agg(F.count(F.lit(1)).alias("processed")))
+
+
+# --- sources, feeds and histories ----------------------------------------------------------------
+@query
+def envelope_roundtrip(spark, d):
+    t = _tel(spark, d)
+    env = TEL.to_envelope(t).withColumn("event", F.to_json("event"))
+    back = TEL.from_envelope(env)
+    return back.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"),
+                                          fround(F.sum("cost_usd"), 6).alias("cost_usd"))
+
+
+@query
+def tagged_metric_union(spark, d):
+    t = _tel(spark, d)
+    return TEL.tag_and_union({"mcpagents:cost": R.cost_by_model(t), "mcpagents:latency": R.latency_by_model(t),
+                              "mcpagents:health": R.system_health(t)})
+
+
+@query
+def retained_events_by_day(spark, d):
+    t = _tel(spark, d)
+    kept = TEL.apply_retention(t, "timestamp", 7 * 86400, _now(t))
+    return kept.groupBy(F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query
+def audit_trail_orders(spark, d):
+    acts = B.hub_activities(spark, d)
+    now = _now(acts.filter(F.col("type") == "order.placed"), "occurred_at")
+    return FL.audit_trail(acts, type="order.placed", since_days=30, now=now, limit=100).select(
+        "id", "type", "actor_employee_id", "subject_type", "subject_id", "source", "occurred_at")
+
+
+@query
+def email_violation_history(spark, d):
+    ev = P.violations_to_events(_violations(spark, d))
+    return FL.history(ev, rule_id="DLP-004", limit=20).select("event_id", "timestamp", "rule_id", "user_id")
+
+
+@query
+def dlp_feed(spark, d):
+    return FL.dlp_feed(P.violations_to_events(_violations(spark, d)))
+
+
+def _anomaly_events(spark, d):
+    dec = RM.remediate(_alerts(spark, d))
+    pol = F.create_map(*[x for p in RM.DEFAULT_POLICIES for x in (F.lit(p.anomaly_type), F.lit(float(p.trigger_threshold)))])
+    return TEL.conform(dec.select(
+        F.lit(TEL.ANOMALY).alias("event_type"), F.col("ts").alias("timestamp"),
+        F.concat_ws(":", "anomaly_type", F.col("ts").cast("string"), F.coalesce("model", F.lit(""))).alias("event_id"),
+        "anomaly_type", F.col("anomaly_type").alias("metric_name"), F.col("metric_value").alias("current_value"),
+        pol[F.col("anomaly_type")].alias("threshold"), "model",
+        (F.col("handled") & ~F.col("skipped")).alias("remediation_triggered")))
+
+
+@query
+def anomalies_by_type(spark, d):
+    return R.anomalies_by_type(_anomaly_events(spark, d))
+
+
+@query
+def anomaly_feed(spark, d):
+    return FL.anomaly_feed(_anomaly_events(spark, d))

@@ -1469,3 +1469,25 @@ SQL["dlp_risk_feed"] = SQL["violation_risk"].replace(
     """SELECT request_id, rule_id, risk_score,
        CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 30 THEN 'medium'
             ELSE 'low' END AS risk_level, risk_score >= 30 AS incident FROM s""")
+
+# --- sources, feeds and histories -------------------------------------------------------------------
+SQL["envelope_roundtrip"] = _llm("""
+SELECT event_type, count(*) AS events, round(sum(cost_usd), 6) AS cost_usd FROM telemetry GROUP BY 1""")
+
+SQL["retained_events_by_day"] = _llm("""
+SELECT CAST(timestamp AS DATE) AS day, count(*) AS events FROM telemetry
+WHERE timestamp >= (SELECT max(timestamp) FROM telemetry) - INTERVAL 7 DAY GROUP BY 1""")
+
+SQL["audit_trail_orders"] = with_hub("""
+SELECT id, type, actor_employee_id, subject_type, subject_id, source, occurred_at FROM h_activities
+WHERE type = 'order.placed'
+  AND occurred_at >= (SELECT max(occurred_at) FROM h_activities WHERE type = 'order.placed') - INTERVAL 30 DAY
+ORDER BY occurred_at DESC, id DESC LIMIT 100""")
+
+SQL["email_violation_history"] = _dlp_rows_sql() + """
+SELECT v.request_id || '-' || v.rule_id AS event_id, b.ts AS timestamp, v.rule_id, b.user_id
+FROM viol v JOIN base b USING (request_id) WHERE v.rule_id = 'DLP-004'
+ORDER BY timestamp DESC, event_id DESC LIMIT 20"""
+
+SQL["dlp_feed"] = _dlp_rows_sql() + """
+SELECT b.ts AS _time, v.rule_id, v.sensitivity, v.action_taken FROM viol v JOIN base b USING (request_id)"""
