@@ -1184,3 +1184,15 @@ def anomalies_by_type(spark, d):
 @query
 def anomaly_feed(spark, d):
     return FL.anomaly_feed(_anomaly_events(spark, d))
+
+
+@query
+def sim_blend_alpha_tuning(spark, d):
+    model, state, truth = _model_and_state(spark, d)
+    return M.tune_alpha(state, truth, model)
+
+
+@query
+def activity_audit_summary(spark, d):
+    return R.audit_summary(B.hub_activities(spark, d), event_type="type", user="actor_employee_id",
+                           violation_type="security.violation")

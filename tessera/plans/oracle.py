@@ -1491,3 +1491,11 @@ ORDER BY timestamp DESC, event_id DESC LIMIT 20"""
 
 SQL["dlp_feed"] = _dlp_rows_sql() + """
 SELECT b.ts AS _time, v.rule_id, v.sensitivity, v.action_taken FROM viol v JOIN base b USING (request_id)"""
+
+SQL["activity_audit_summary"] = with_hub("""
+, parts AS (SELECT 'event_type' AS dimension, type AS key, count(*) AS count FROM h_activities GROUP BY 2
+            UNION ALL SELECT 'user', actor_employee_id, count(*) FROM h_activities GROUP BY 2),
+tot AS (SELECT count(*) AS total_events,
+               CAST(sum(CASE WHEN type = 'security.violation' THEN 1 ELSE 0 END) AS BIGINT) AS security_violations
+        FROM h_activities)
+SELECT * FROM parts CROSS JOIN tot""".replace("\n, parts", ", parts", 1))
