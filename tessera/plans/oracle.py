@@ -1499,3 +1499,28 @@ tot AS (SELECT count(*) AS total_events,
                CAST(sum(CASE WHEN type = 'security.violation' THEN 1 ELSE 0 END) AS BIGINT) AS security_violations
         FROM h_activities)
 SELECT * FROM parts CROSS JOIN tot""".replace("\n, parts", ", parts", 1))
+
+SQL["cleaned_quality_summary"] = with_clean("\n" + "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{t}' AS dtype,
+       round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100, 2) AS missing_pct, count(DISTINCT {c}) AS n_unique
+FROM cleaned""" for c, t in [("order_id", "bigint"), ("order_date", "date"), ("category", "string"),
+                             ("customer_region", "string"), ("channel", "string"), ("quantity", "int"),
+                             ("unit_price", "double"), ("revenue", "double")]))
+
+SQL["content_recommendations"] = with_rec("""
+, f0 AS (SELECT item_id, 'cat:' || category AS feature, 1.0 AS v FROM items2
+         UNION ALL SELECT item_id, 'price', price_tier / 3.0 FROM items2),
+f AS (SELECT item_id, feature, v / (sqrt(sum(v * v) OVER (PARTITION BY item_id)) + 1e-12) AS v FROM f0),
+p AS (SELECT t.user_id, f.feature, sum(t.weight * f.v) AS p FROM train t JOIN f USING (item_id) GROUP BY ALL),
+pn AS (SELECT user_id, feature, CASE WHEN n > 0 THEN p / n ELSE p END AS p
+       FROM (SELECT *, sqrt(sum(p * p) OVER (PARTITION BY user_id)) AS n FROM p)),
+users AS (SELECT DISTINCT user_id FROM truth),
+sc AS (SELECT u.user_id, f.item_id, sum(f.v * pn.p) AS score FROM users u JOIN pn USING (user_id)
+       JOIN f USING (feature) GROUP BY ALL),
+grid AS (SELECT u.user_id, i.item_id, round(coalesce(s.score, 0.0), 9) AS score
+         FROM users u CROSS JOIN (SELECT range AS item_id FROM range(0, (SELECT n FROM nitems))) i
+         LEFT JOIN sc s ON s.user_id = u.user_id AND s.item_id = i.item_id
+         WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.user_id = u.user_id AND x.item_id = i.item_id))
+SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM grid) WHERE rank <= 10
+""".replace("\n, f0 AS", ", f0 AS", 1))
