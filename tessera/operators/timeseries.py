@@ -150,10 +150,18 @@ def rank_norm(df: DataFrame, by: list[str], score: str, tie: str, out: str = "ra
 
 
 def minmax(df: DataFrame, by: list[str], col: str, out: str | None = None) -> DataFrame:
-    """(x - min) / (max - min) per group; 0 when the range is below 1e-12."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
-    return df.withColumn(out or f"{col}_minmax", F.when(hi - lo < 1e-12, F.lit(0.0)).otherwise((F.col(col) - lo) / (hi - lo)))
+    """(x - min) / (max - min) per group; 0 when the range is below 1e-12. Group bounds come from
+    one aggregation joined back (a scalar subquery when there is no group), not from a window."""
+    name = out or f"{col}_minmax"
+    if by:
+        b = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+        j = df.join(b, by, "left")
+        lo, hi = F.col("_lo"), F.col("_hi")
+    else:
+        j = df
+        lo, hi = df.select(F.min(col)).scalar(), df.select(F.max(col)).scalar()
+    res = j.withColumn(name, F.when(hi - lo < 1e-12, F.lit(0.0)).otherwise((F.col(col) - lo) / (hi - lo)))
+    return res.drop("_lo", "_hi") if by else res
 
 
 def quantile_bins(df: DataFrame, score: str, tie: str, k: int = 10, out: str = "bin",
