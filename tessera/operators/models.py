@@ -189,23 +189,31 @@ def _sparse(size, idx, vals):
     return SparseVector(size, [idx[i] for i in order], [vals[i] for i in order])
 
 
+def tfidf_weights(docs: DataFrame, vocab: DataFrame, n_docs, id_col: str = "doc_id", text: str = "text",
+                  n_max: int = 2) -> DataFrame:
+    """Long-form (doc, term, index, weight) TF-IDF rows against a fitted vocabulary (see tfidf_features)."""
+    terms = _ngrams(docs, id_col, text, n_max)
+    tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    x = tf.join(vocab.select("term", "index", "idf"), "term")
+    x = x.withColumn("v", (1 + F.log(F.col("tf"))) * F.col("idf"))
+    norm = x.groupBy(id_col).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
+    return x.join(norm, id_col).select(id_col, "term", "index", (F.col("v") / F.col("_n")).alias("w"))
+
+
 def tfidf_features(docs: DataFrame, vocab: DataFrame | None = None, n_docs=None, id_col: str = "doc_id",
                    text: str = "text", min_df: int = 2, n_max: int = 2):
     """Word 1-2 grams (tokens of >= 2 word characters), vocabulary with document frequency >= min_df,
     sublinear tf (1 + ln tf), smooth idf ln((1 + n) / (1 + df)) + 1, L2-normalised sparse vectors.
     Computed in long form (doc, term) with aggregations; returns (features, vocab, n_docs)."""
-    terms = _ngrams(docs, id_col, text, n_max)
-    tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     if vocab is None:
+        terms = _ngrams(docs, id_col, text, n_max)
+        tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
         n_docs = docs.count()
         dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
         vocab = global_order_index(dfs, [F.asc("term")], out="index").withColumn(
             "index", F.col("index").cast("int")).withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
     size = vocab.count()
-    x = tf.join(vocab.select("term", "index", "idf"), "term")
-    x = x.withColumn("v", (1 + F.log(F.col("tf"))) * F.col("idf"))
-    norm = x.groupBy(id_col).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
-    x = x.join(norm, id_col).withColumn("v", F.col("v") / F.col("_n"))
+    x = tfidf_weights(docs, vocab, n_docs, id_col, text, n_max).withColumnRenamed("w", "v")
     vec = x.groupBy(id_col).agg(F.collect_list("index").alias("_i"), F.collect_list("v").alias("_v"))
     feats = docs.join(vec, id_col, "left").withColumn(
         "features", _sparse(F.lit(size), F.coalesce("_i", F.array().cast("array<int>")),
@@ -227,7 +235,7 @@ def fit_sentiment(df: DataFrame, label: str = "label", id_col: str = "doc_id", t
     model = lr.fit(tr.withColumn(label, F.col(label).cast("double")))
     pred = model.transform(te).withColumn("proba", vector_to_array("probability")[1]) \
         .withColumn("pred", (F.col("proba") >= 0.5).cast("int"))
-    return model, vocab, pred.select(id_col, text, label, "proba", "pred")
+    return model, vocab, pred.select(id_col, text, label, "proba", "pred"), n_docs
 
 
 def top_ngrams(model, vocab: DataFrame, n: int = 12) -> DataFrame:
@@ -241,15 +249,14 @@ def top_ngrams(model, vocab: DataFrame, n: int = 12) -> DataFrame:
     return pos.unionByName(neg)
 
 
-def explain_sentiment(model, vocab: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                      n_docs=None, top: int = 5) -> DataFrame:
-    """Per document, the n-grams contributing most (tf-idf weight x coefficient)."""
+def explain_sentiment(model, vocab: DataFrame, docs: DataFrame, n_docs, id_col: str = "doc_id", text: str = "text",
+                      top: int = 5) -> DataFrame:
+    """Per document, the n-grams contributing most (tf-idf weight x coefficient), from the long-form
+    weights (no dense vocabulary-sized arrays)."""
     spark = docs.sparkSession
-    feats, _, _ = tfidf_features(docs, vocab, n_docs, id_col=id_col, text=text)
     coefs = model.coefficients.toArray()
-    cdf = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(coefs)], "index int, coef double")
-    arr = feats.select(id_col, F.posexplode(vector_to_array("features")).alias("index", "w")).filter("w != 0")
-    contrib = arr.join(cdf, "index").join(vocab.select("index", "term"), "index") \
+    cdf = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(coefs) if v != 0.0], "index int, coef double")
+    contrib = tfidf_weights(docs, vocab, n_docs, id_col, text).join(cdf, "index") \
         .withColumn("contribution", F.col("w") * F.col("coef"))
     wdw = Window.partitionBy(id_col).orderBy(F.desc(F.abs("contribution")), F.asc("term"))
     return contrib.withColumn("rank", F.row_number().over(wdw)).filter(F.col("rank") <= top) \

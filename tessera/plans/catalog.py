@@ -974,10 +974,16 @@ def sentiment_predictions(spark, d):
 
 @query
 def sentiment_top_ngrams(spark, d):
-    model, vocab, _ = ML.fit_sentiment(B.labeled_documents(spark, d))
+    model, vocab, _, _ = ML.fit_sentiment(B.labeled_documents(spark, d))
     return ML.top_ngrams(model, vocab, 12)
 
 
+@query
+def sentiment_explanations(spark, d):
+    model, vocab, pred, n_docs = ML.fit_sentiment(B.labeled_documents(spark, d))
+    return ML.explain_sentiment(model, vocab, pred.select("doc_id", "text"), n_docs)
+
+
 @query
 def sentiment_errors(spark, d):
     return ML.misclassified(ML.fit_sentiment(B.labeled_documents(spark, d))[2]).drop("text")
