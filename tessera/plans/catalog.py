@@ -17,8 +17,18 @@ QUERIES: dict = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Register ``fn``. The test tables hold UTC wall-clock times, so the session time zone is pinned
+    to UTC before the plan is built (time bucketing and epoch conversions depend on it)."""
+    import functools
+
+    @functools.wraps(fn)
+    def run(spark, d):
+        if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, d)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def _tel(spark, d):
