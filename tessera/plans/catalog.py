@@ -659,9 +659,9 @@ def _chunks(spark, d):
 
 @query
 def chunk_embedding_weights(spark, d):
-    e = _chunks(spark, d)
-    return (e.select("chunk_id", F.posexplode("embedding").alias("bucket", "weight"))
-            .filter(F.col("weight") != 0))
+    ch = V.chunk_documents(B.acl_documents(spark, d), keep=["acl"])
+    ch = ch.withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("ordinal").cast("string")))
+    return V.hash_weights(ch, id_col="chunk_id", dim=384).withColumnRenamed("chunk_id", "chunk_id")
 
 
 @query
