@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import fround
+from tessera.operators.common_join import broadcast_if_small
 
 LOG_SCHEMA = "step string, action string, rows_before long, rows_after long, cells_changed long"
 
@@ -45,10 +46,10 @@ def clean_orders(df: DataFrame, iqr_k: float = 3.0):
     a1 = s3.agg(F.count(F.lit(1)).alias("n3"), _count_if(F.col("quantity") > 0).alias("n4"))
     q = s4.groupBy("category").agg(F.percentile("unit_price", [0.25, 0.75]).alias("_q"))
     fence = q.select("category", (F.col("_q")[1] + iqr_k * (F.col("_q")[1] - F.col("_q")[0])).alias("_hi"))
-    s5 = s4.join(F.broadcast(fence), "category", "left").withColumn("_orig", F.col("unit_price")) \
+    s5 = s4.join(broadcast_if_small(fence), "category", "left").withColumn("_orig", F.col("unit_price")) \
         .withColumn("unit_price", F.when(F.col("unit_price") > F.col("_hi"), F.col("_hi")).otherwise(F.col("unit_price")))
     med = s5.groupBy("category").agg(F.median("unit_price").alias("_med"))
-    s6 = s5.join(F.broadcast(med), "category", "left")
+    s6 = s5.join(broadcast_if_small(med), "category", "left")
     a2 = s6.agg(_count_if(F.col("_orig") > F.col("_hi")).alias("c5"),
                 _count_if(F.col("unit_price").isNull()).alias("np"),
                 _count_if(F.col("customer_region").isNull()).alias("nr"), F.count(F.lit(1)).alias("n5"))
