@@ -1212,3 +1212,27 @@ def sim_blend_alpha_tuning(spark, d):
 def activity_audit_summary(spark, d):
     return R.audit_summary(B.hub_activities(spark, d), event_type="type", user="actor_employee_id",
                            violation_type="security.violation")
+
+
+# --- connector payloads -------------------------------------------------------------------------------
+from tessera.sources import connectors as CN  # noqa: E402
+
+
+@query
+def campaign_performance(spark, d):
+    return CN.campaign_metrics(B.ad_insights(spark, d))
+
+
+@query
+def campaign_totals(spark, d):
+    return R.campaign_summary(CN.campaign_metrics(B.ad_insights(spark, d)))
+
+
+@query
+def normalized_vouchers(spark, d):
+    return CN.normalize_vouchers(B.voucher_payloads(spark, d, "voucher"), "voucher")
+
+
+@query
+def normalized_invoices(spark, d):
+    return CN.normalize_vouchers(B.voucher_payloads(spark, d, "invoice"), "invoice")

@@ -1524,3 +1524,34 @@ grid AS (SELECT u.user_id, i.item_id, round(coalesce(s.score, 0.0), 9) AS score
 SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM grid) WHERE rank <= 10
 """.replace("\n, f0 AS", ", f0 AS", 1))
+
+# --- connector payloads ---------------------------------------------------------------------------------
+_ADS = """
+WITH g AS (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS cid,
+                  sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS impressions,
+                  sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks,
+                  round(sum(value), 2) AS spend,
+                  sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS conversions
+           FROM events GROUP BY 1),
+m AS (SELECT CAST(cid AS VARCHAR) AS campaign_id, 'campaign ' || CAST(cid AS VARCHAR) AS name, 'meta' AS channel,
+             CAST(impressions AS BIGINT) AS impressions, CAST(clicks AS BIGINT) AS clicks, spend,
+             CAST(conversions AS BIGINT) AS conversions,
+             round(CASE WHEN impressions > 0 THEN clicks / impressions ELSE 0.0 END, 4) AS ctr,
+             round(CASE WHEN conversions > 0 THEN spend / conversions ELSE 0.0 END, 2) AS cpa FROM g)"""
+
+SQL["campaign_performance"] = _ADS + "\nSELECT * FROM m"
+SQL["campaign_totals"] = _ADS + """
+SELECT count(*) AS campaigns, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks,
+       round(sum(spend), 2) AS spend, round(sum(conversions), 4) AS conversions,
+       round(CASE WHEN sum(impressions) > 0 THEN sum(clicks) / sum(impressions) ELSE 0.0 END, 4) AS ctr,
+       round(CASE WHEN sum(conversions) > 0 THEN sum(spend) / sum(conversions) ELSE 0.0 END, 2) AS cpa FROM m"""
+
+SQL["normalized_vouchers"] = """
+SELECT 'QB-' || CAST(o_orderkey AS VARCHAR) AS external_id, CAST(o_orderkey AS VARCHAR) AS order_id,
+       o_totalprice + CASE WHEN o_orderkey % 70 = 0 THEN 50.0 ELSE 0.0 END AS amount, 'KRW' AS currency, 'sale' AS kind
+FROM orders WHERE o_orderkey % 50 <> 0"""
+
+SQL["normalized_invoices"] = """
+SELECT 'QB-' || CAST(o_orderkey AS VARCHAR) AS external_id, CAST(o_orderkey AS VARCHAR) AS order_id,
+       o_totalprice + CASE WHEN o_orderkey % 70 = 0 THEN 50.0 ELSE 0.0 END AS amount, 'USD' AS currency, 'sale' AS kind
+FROM orders WHERE o_orderkey % 50 <> 0"""

@@ -385,3 +385,38 @@ def weekly_series(spark: SparkSession, sf_dir: str, by_dept: bool = False) -> Da
     g = j.groupBy(*keys).agg(F.sum("o_totalprice").alias("weekly_sales"))
     return g.withColumn("is_holiday", F.lit(False)).withColumn("holiday_name", F.lit(None).cast("string")) \
         .withColumn("has_promo", F.lit(False))
+
+
+# --- connector payloads ------------------------------------------------------------------------------
+def ad_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ad-insight payloads (JSON text, one per campaign = props.k mod 10): impressions = views,
+    clicks = clicks, spend = summed value, actions = signups as 'lead' and purchases as 'purchase'."""
+    e = table(spark, sf_dir, "events")
+    camp = F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(10))
+    g = e.groupBy(camp.alias("cid")).agg(
+        F.sum(F.when(F.col("event_type") == "view", 1).otherwise(0)).alias("impressions"),
+        F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).alias("clicks"),
+        F.round(F.sum("value"), 2).alias("spend"),
+        F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).alias("leads"),
+        F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("purchases"))
+    payload = F.to_json(F.struct(
+        F.col("cid").cast("string").alias("campaign_id"), F.concat(F.lit("campaign "), F.col("cid").cast("string"))
+        .alias("campaign_name"), F.col("impressions").cast("string").alias("impressions"),
+        F.col("clicks").cast("string").alias("clicks"), F.col("spend").cast("string").alias("spend"),
+        F.array(F.struct(F.lit("lead").alias("action_type"), F.col("leads").cast("string").alias("value")),
+                F.struct(F.lit("purchase").alias("action_type"), F.col("purchases").cast("string").alias("value")))
+        .alias("actions")))
+    return g.select(payload.alias("payload"))
+
+
+def voucher_payloads(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
+    """Mirrored vouchers as the accounting APIs return them (JSON text per voucher)."""
+    t = hub_transactions(spark, sf_dir)
+    if shape == "voucher":
+        p = F.to_json(F.struct(F.col("external_id").alias("voucher_no"), "order_id",
+                               F.col("amount").cast("string").alias("amount"), "currency",
+                               F.col("kind").alias("voucher_type")))
+    else:
+        p = F.to_json(F.struct(F.col("external_id").alias("Id"), F.concat(F.lit("order "), F.col("order_id"))
+                               .alias("PrivateNote"), F.col("amount").cast("string").alias("TotalAmt")))
+    return t.select(p.alias("payload"))
