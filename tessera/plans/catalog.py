@@ -1236,3 +1236,9 @@ def normalized_vouchers(spark, d):
 @query
 def normalized_invoices(spark, d):
     return CN.normalize_vouchers(B.voucher_payloads(spark, d, "invoice"), "invoice")
+
+
+@query
+def document_permission_acl(spark, d):
+    out = CN.map_permissions(B.permission_payloads(spark, d))
+    return out.select("doc_id", F.array_join("acl", ",").alias("acl"))

@@ -1555,3 +1555,8 @@ SQL["normalized_invoices"] = """
 SELECT 'QB-' || CAST(o_orderkey AS VARCHAR) AS external_id, CAST(o_orderkey AS VARCHAR) AS order_id,
        o_totalprice + CASE WHEN o_orderkey % 70 = 0 THEN 50.0 ELSE 0.0 END AS amount, 'USD' AS currency, 'sale' AS kind
 FROM orders WHERE o_orderkey % 50 <> 0"""
+
+SQL["document_permission_acl"] = """
+SELECT doc_id, CASE CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 4 WHEN 0 THEN ''
+                    WHEN 1 THEN 'grp:sales' WHEN 2 THEN 'grp:accounting' ELSE 'grp:manager,usr:E7' END AS acl
+FROM documents"""

@@ -420,3 +420,20 @@ def voucher_payloads(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
         p = F.to_json(F.struct(F.col("external_id").alias("Id"), F.concat(F.lit("order "), F.col("order_id"))
                                .alias("PrivateNote"), F.col("amount").cast("string").alias("TotalAmt")))
     return t.select(p.alias("payload"))
+
+
+def permission_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph-style permission JSON per document, built from the stand-in ACL: public documents carry an
+    anonymous link, group principals a group grant, user principals a user grant."""
+    d = acl_documents(spark, sf_dir)
+    grant = F.transform("acl", lambda p: F.when(
+        p.startswith("usr:"), F.struct(F.lit(None).cast("struct<scope:string>").alias("link"),
+                                       F.struct(F.struct(F.substring(p, 5, 1000).alias("id")).alias("user"),
+                                                F.lit(None).cast("struct<id:string>").alias("group")).alias("grantedToV2")))
+        .otherwise(F.struct(F.lit(None).cast("struct<scope:string>").alias("link"),
+                            F.struct(F.lit(None).cast("struct<id:string>").alias("user"),
+                                     F.struct(F.substring(p, 5, 1000).alias("id")).alias("group")).alias("grantedToV2"))))
+    anon = F.array(F.struct(F.struct(F.lit("anonymous").alias("scope")).alias("link"),
+                            F.lit(None).cast("struct<user:struct<id:string>,group:struct<id:string>>").alias("grantedToV2")))
+    perms = F.when(F.size("acl") == 0, anon).otherwise(grant)
+    return d.select("doc_id", F.to_json(perms).alias("permissions"))
