@@ -14,6 +14,7 @@ from tessera.operators import reports as R
 from tessera.sources import bindings as B
 
 QUERIES: dict = {}
+TEL_LLM = "mcp_llm_call"
 
 
 def query(fn):
@@ -31,8 +32,8 @@ def query(fn):
     return run
 
 
-def _tel(spark, d):
-    return B.telemetry(spark, d)
+def _tel(spark, d, *types):
+    return B.telemetry(spark, d, list(types) or None)
 
 
 def _now(df, ts="timestamp"):
@@ -42,27 +43,27 @@ def _now(df, ts="timestamp"):
 # --- telemetry reports -----------------------------------------------------------------------
 @query
 def cost_by_model(spark, d):
-    return R.cost_by_model(_tel(spark, d))
+    return R.cost_by_model(_tel(spark, d, TEL_LLM))
 
 
 @query
 def error_rate_by_model(spark, d):
-    return R.error_rate_by_model(_tel(spark, d))
+    return R.error_rate_by_model(_tel(spark, d, TEL_LLM))
 
 
 @query
 def latency_by_model(spark, d):
-    return R.latency_by_model(_tel(spark, d))
+    return R.latency_by_model(_tel(spark, d, TEL_LLM))
 
 
 @query
 def cache_savings(spark, d):
-    return R.cache_savings(_tel(spark, d))
+    return R.cache_savings(_tel(spark, d, "mcp_cache_hit"))
 
 
 @query
 def router_decisions(spark, d):
-    return R.router_decisions(_tel(spark, d))
+    return R.router_decisions(_tel(spark, d, "mcp_router_decision"))
 
 
 @query
@@ -82,12 +83,12 @@ def top_users(spark, d):
 
 @query
 def model_performance(spark, d):
-    return R.model_performance(_tel(spark, d))
+    return R.model_performance(_tel(spark, d, TEL_LLM))
 
 
 @query
 def cache_hit_rate(spark, d):
-    return R.cache_hit_rate(_tel(spark, d))
+    return R.cache_hit_rate(_tel(spark, d, "mcp_cache_hit", "mcp_cache_miss"))
 
 
 @query
@@ -97,12 +98,12 @@ def kpi_tiles(spark, d):
 
 @query
 def calls_by_model(spark, d):
-    return R.calls_by_model(_tel(spark, d))
+    return R.calls_by_model(_tel(spark, d, TEL_LLM))
 
 
 @query
 def system_health(spark, d):
-    return R.system_health(_tel(spark, d), budget=12.0)
+    return R.system_health(_tel(spark, d, TEL_LLM), budget=12.0)
 
 
 @query
@@ -121,32 +122,32 @@ def error_rate_alert(spark, d):
 
 @query
 def model_statistics(spark, d):
-    return R.model_statistics(_tel(spark, d))
+    return R.model_statistics(_tel(spark, d, TEL_LLM))
 
 
 @query
 def complexity_breakdown(spark, d):
-    return R.complexity_breakdown(_tel(spark, d))
+    return R.complexity_breakdown(_tel(spark, d, TEL_LLM))
 
 
 @query
 def overall_summary(spark, d):
-    return R.overall_summary(_tel(spark, d))
+    return R.overall_summary(_tel(spark, d, TEL_LLM))
 
 
 @query
 def daily_costs(spark, d):
-    return R.daily_costs(_tel(spark, d))
+    return R.daily_costs(_tel(spark, d, TEL_LLM))
 
 
 @query
 def model_costs(spark, d):
-    return R.model_costs(_tel(spark, d))
+    return R.model_costs(_tel(spark, d, TEL_LLM))
 
 
 @query
 def cost_summary(spark, d):
-    return R.cost_summary(_tel(spark, d), budget=10.0)
+    return R.cost_summary(_tel(spark, d, TEL_LLM), budget=10.0)
 
 
 @query

@@ -61,9 +61,20 @@ def spans_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Telemetry events derived from the ``events`` table (spans -> events -> enrichment)."""
-    return enrich_llm_events(spans_to_events(spans_from_events(table(spark, sf_dir, "events"))))
+# Raw ``events.event_type`` values behind each telemetry event type (inverse of the span binding).
+RAW_TYPES = {"mcp_llm_call": ["view", "error"], "mcp_cache_hit": ["click"], "mcp_cache_miss": ["signup"],
+             "mcp_router_decision": ["purchase"]}
+
+
+def telemetry(spark: SparkSession, sf_dir: str, event_types: list[str] | None = None) -> DataFrame:
+    """Telemetry events derived from the ``events`` table (spans -> events -> enrichment).
+
+    With ``event_types`` (none of them trace-level), the matching raw event types are filtered before
+    the binding, so the predicate reaches the parquet scan as a pushed filter."""
+    ev = table(spark, sf_dir, "events")
+    if event_types and all(t in RAW_TYPES for t in event_types):
+        ev = ev.filter(F.col("event_type").isin(*[r for t in event_types for r in RAW_TYPES[t]]))
+    return enrich_llm_events(spans_to_events(spans_from_events(ev)))
 
 
 # --- operations hub --------------------------------------------------------------------------
