@@ -180,7 +180,7 @@ def _ngrams(docs: DataFrame, id_col: str, text: str, n_max: int = 2) -> DataFram
     if n_max >= 2:
         bigrams = F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.concat(t[i], F.lit(" "), t[i + 1]))
         grams = F.concat(t, F.when(F.size(t) >= 2, bigrams).otherwise(F.array().cast("array<string>")))
-    return toks.select(id_col, F.explode(grams).alias("term"))
+    return toks.select(id_col, F.explode_outer(grams).alias("term")).filter(F.col("term").isNotNull())
 
 
 @F.udf(VectorUDT())
