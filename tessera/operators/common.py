@@ -111,3 +111,15 @@ def prefix_sums(df: DataFrame, order_cols: list, value_cols: list[str], suffix:
     for c in value_cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_in_{c}") + F.col(f"_o_{c}"))
     return out.drop("_pid", *[f"_in_{c}" for c in value_cols], *[f"_o_{c}" for c in value_cols])
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Rebalance input for CPU-heavy row-wise work (regex scans, tokenisers, Python kernels) when it
+    arrives in fewer partitions than the cluster has cores, e.g. a few large files with one row group
+    each. Large inputs already have more partitions than cores, so this is a no-op at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # plans that cannot be inspected cheaply are left as they are
+        return df
+    return df.repartition(target) if n < target else df

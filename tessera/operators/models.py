@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import fround
-from tessera.operators.common import global_order_index, prefix_sums
+from tessera.operators.common import global_order_index, prefix_sums, spread
 from tessera.operators.timeseries import quantile_bins
 
 
@@ -173,7 +173,7 @@ def optimal_threshold(curve: DataFrame) -> DataFrame:
 def _ngrams(docs: DataFrame, id_col: str, text: str, n_max: int = 2) -> DataFrame:
     """(id, term) rows: lower-cased tokens of >= 2 word characters and, with n_max 2, adjacent pairs.
     Tokens are materialised in a column first so the bigram lambda indexes an array, not a regex."""
-    toks = docs.select(id_col, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))),
+    toks = spread(docs).select(id_col, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))),
                                                     F.lit(r"(?U)\b\w\w+\b"), 0).alias("_tok"))
     t = F.col("_tok")
     grams = t
