@@ -88,7 +88,7 @@ def employee_performance(employees: DataFrame, activities: DataFrame, tickets: D
 
 
 # H04
-def pipeline(leads: DataFrame, orders: DataFrame) -> DataFrame:
+def lead_funnel(leads: DataFrame, orders: DataFrame) -> DataFrame:
     """One row: lead totals by status, conversion rate (4 dp, 0 when no leads), orders and revenue."""
     by = leads.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     lead_row = by.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("lead_total"),

@@ -283,8 +283,8 @@ def employee_performance(spark, d):
 
 
 @query
-def sales_pipeline(spark, d):
-    out = H.pipeline(B.hub_leads(spark, d), B.hub_orders(spark, d))
+def lead_funnel(spark, d):
+    out = H.lead_funnel(B.hub_leads(spark, d), B.hub_orders(spark, d))
     return out.withColumn("by_status", _map_text(F.col("by_status")))
 
 
@@ -330,7 +330,7 @@ def _performance(spark, d):
 @query
 def insight_signals(spark, d):
     inv = H.inventory_status(B.hub_products(spark, d), B.hub_order_lines(spark, d), B.hub_orders(spark, d))
-    pipe = H.pipeline(B.hub_leads(spark, d), B.hub_orders(spark, d))
+    pipe = H.lead_funnel(B.hub_leads(spark, d), B.hub_orders(spark, d))
     return H.insight_signals(inv, pipe, _performance(spark, d))
 
 

@@ -483,7 +483,7 @@ SELECT e.id AS employee_id, e.name, e.role, coalesce(b.activity_count, 0) AS act
 FROM h_employees e LEFT JOIN b ON b.employee_id = e.id LEFT JOIN tk ON tk.employee_id = e.id""".replace(
     "\n, bt AS", ", bt AS", 1))
 
-SQL["sales_pipeline"] = with_hub("""
+SQL["lead_funnel"] = with_hub("""
 , bys AS (SELECT status, count(*) AS n FROM h_leads GROUP BY 1),
 lr AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS lead_total,
               CAST(coalesce(sum(CASE WHEN status = 'converted' THEN n END), 0) AS BIGINT) AS converted,

@@ -17,10 +17,10 @@ def test_inventory_allocation(spark):
     assert inv["p1"] == (3, 7) and inv["p2"] == (3, -2)
 
 
-def test_pipeline_conversion(spark):
+def test_lead_funnel_conversion(spark):
     leads = spark.createDataFrame([(s,) for s in ["new", "new", "converted", "lost", "qualified"]], "status string")
     orders = spark.createDataFrame([], "id string, total_amount double")
-    r = H.pipeline(leads, orders).first()
+    r = H.lead_funnel(leads, orders).first()
     assert r["conversion_rate"] == 0.2 and r["lead_total"] == 5
 
 
