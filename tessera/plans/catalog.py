@@ -1243,3 +1243,11 @@ def normalized_invoices(spark, d):
 def document_permission_acl(spark, d):
     out = CN.map_permissions(B.permission_payloads(spark, d))
     return out.select("doc_id", F.array_join("acl", ",").alias("acl"))
+
+
+@query
+def remediation_outcomes(spark, d):
+    """Per alert: handled / skipped by cooldown, the actions run and the cooldown end."""
+    return RM.remediate(_alerts(spark, d)).select(
+        "ts", "anomaly_type", fround("metric_value", 6).alias("metric_value"), "model", "handled", "skipped",
+        "actions", "cooldown_sec", "cooldown_until")

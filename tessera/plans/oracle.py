@@ -1560,3 +1560,46 @@ SQL["document_permission_acl"] = """
 SELECT doc_id, CASE CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 4 WHEN 0 THEN ''
                     WHEN 1 THEN 'grp:sales' WHEN 2 THEN 'grp:accounting' ELSE 'grp:manager,usr:E7' END AS acl
 FROM documents"""
+
+
+def _remediation_sql() -> str:
+    from tessera.streaming.remediation import DEFAULT_POLICIES
+    pol = ", ".join(f"({_q(p.anomaly_type)}, CAST({float(p.trigger_threshold)} AS DOUBLE), {int(p.cooldown_sec)}, "
+                    f"{_q(','.join(p.actions))})" for p in DEFAULT_POLICIES)
+    return f"""WITH RECURSIVE wa AS ({SQL['windowed_alerts']}),
+cb AS ({SQL['cost_anomaly_band']}),
+lt AS ({SQL['latency_anomaly_trend']}),
+alerts AS (SELECT CAST(ts AS TIMESTAMP) AS ts, anomaly_type, CAST(metric_value AS DOUBLE) AS metric_value, model FROM wa
+           UNION ALL SELECT _time, 'cost_spike', cost_5m, NULL FROM cb WHERE breach
+           UNION ALL SELECT _time, 'latency_spike', avg_latency, model FROM lt WHERE breach),
+pol AS (SELECT * FROM (VALUES {pol}) t(anomaly_type, threshold, cooldown_sec, actions)),
+ordered AS (SELECT a.*, p.threshold, p.cooldown_sec AS pcool, p.actions AS pactions,
+                   row_number() OVER (PARTITION BY a.anomaly_type ORDER BY a.ts, a.model NULLS FIRST, a.metric_value) AS rn
+            FROM alerts a LEFT JOIN pol p USING (anomaly_type)),
+dec AS (
+  SELECT o.anomaly_type, o.rn, o.ts, o.metric_value, o.model,
+         o.threshold IS NOT NULL AND o.metric_value >= o.threshold AS handled, false AS skipped,
+         CASE WHEN o.threshold IS NOT NULL AND o.metric_value >= o.threshold THEN o.pactions END AS actions,
+         CASE WHEN o.threshold IS NOT NULL AND o.metric_value >= o.threshold THEN o.pcool END AS cooldown_sec,
+         CASE WHEN o.threshold IS NOT NULL AND o.metric_value >= o.threshold THEN o.ts + to_seconds(o.pcool) END
+           AS cooldown_until,
+         CASE WHEN o.threshold IS NOT NULL AND o.metric_value >= o.threshold THEN o.ts + to_seconds(o.pcool) END AS state
+  FROM ordered o WHERE o.rn = 1
+  UNION ALL
+  SELECT o.anomaly_type, o.rn, o.ts, o.metric_value, o.model,
+         o.threshold IS NOT NULL AND o.metric_value >= o.threshold AS handled,
+         o.threshold IS NOT NULL AND o.metric_value >= o.threshold AND d.state IS NOT NULL AND o.ts < d.state AS skipped,
+         CASE WHEN o.threshold IS NOT NULL AND o.metric_value >= o.threshold AND NOT (d.state IS NOT NULL AND o.ts < d.state)
+              THEN o.pactions END,
+         CASE WHEN o.threshold IS NOT NULL AND o.metric_value >= o.threshold AND NOT (d.state IS NOT NULL AND o.ts < d.state)
+              THEN o.pcool END,
+         CASE WHEN o.threshold IS NOT NULL AND o.metric_value >= o.threshold AND NOT (d.state IS NOT NULL AND o.ts < d.state)
+              THEN o.ts + to_seconds(o.pcool) END,
+         CASE WHEN o.threshold IS NOT NULL AND o.metric_value >= o.threshold AND NOT (d.state IS NOT NULL AND o.ts < d.state)
+              THEN o.ts + to_seconds(o.pcool) ELSE d.state END
+  FROM dec d JOIN ordered o ON o.anomaly_type = d.anomaly_type AND o.rn = d.rn + 1)
+SELECT ts, anomaly_type, round(metric_value, 6) AS metric_value, model, handled, skipped, actions,
+       CAST(cooldown_sec AS INTEGER) AS cooldown_sec, cooldown_until FROM dec"""
+
+
+SQL["remediation_outcomes"] = _remediation_sql()

@@ -87,7 +87,9 @@ def remediate(alerts: DataFrame, policies=None, ts: str = "ts") -> DataFrame:
     """T05 batch twin: per alert, unknown type / below threshold / cooldown skip / handled with actions.
     Alerts: (ts, anomaly_type, metric_value, model)."""
     pol = {p.anomaly_type: p for p in (policies or DEFAULT_POLICIES)}
-    prepared = _prepare(alerts, ts).repartition("anomaly_type").sortWithinPartitions("anomaly_type", "ts")
+    # ties on ts (e.g. one alert per model for the same window) are ordered by model, then value
+    prepared = _prepare(alerts, ts).repartition("anomaly_type").sortWithinPartitions(
+        "anomaly_type", "ts", F.asc_nulls_first("model"), "metric_value")
 
     def run(batches):
         cur, state = None, None
@@ -114,7 +116,8 @@ def remediate_stream(alerts: DataFrame, policies=None, ts: str = "ts") -> DataFr
 
     def fn(key, pdfs, state):
         cooldown = state.get[0] if state.exists else None
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values("ts", kind="stable")
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(
+            ["ts", "model", "metric_value"], kind="stable", na_position="first")
         dec, cooldown = _decide(rows, pol, cooldown)
         state.update((cooldown,))
         yield dec
