@@ -1603,3 +1603,43 @@ SELECT ts, anomaly_type, round(metric_value, 6) AS metric_value, model, handled,
 
 
 SQL["remediation_outcomes"] = _remediation_sql()
+
+
+def _suppression_sql() -> str:
+    base = _remediation_sql()
+    head = base[:base.index("pol AS (")].rstrip().rstrip(",")
+    return head + """,
+ordered AS (SELECT a.*, row_number() OVER (PARTITION BY anomaly_type ORDER BY ts, metric_value NULLS FIRST,
+                                           model NULLS FIRST) AS rn FROM alerts a),
+sup AS (
+  SELECT anomaly_type, rn, ts, metric_value, model, true AS emitted, ts AS last_emit FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.anomaly_type, o.rn, o.ts, o.metric_value, o.model, o.ts >= s.last_emit + INTERVAL 600 SECOND,
+         CASE WHEN o.ts >= s.last_emit + INTERVAL 600 SECOND THEN o.ts ELSE s.last_emit END
+  FROM sup s JOIN ordered o ON o.anomaly_type = s.anomaly_type AND o.rn = s.rn + 1)
+SELECT anomaly_type, metric_value, model, ts, emitted FROM sup"""
+
+
+SQL["suppressed_alerts"] = _suppression_sql()
+
+SQL["exact_cache_replay"] = """
+WITH RECURSIVE req AS (
+  SELECT CAST(event_id AS VARCHAR) AS request_id, ts,
+         'prompt ' || json_extract_string(props, '$.k') AS prompt,
+         (['gpt-4o', 'gpt-4o-mini', 'claude-3.5-sonnet', 'gemini-1.5-flash'])[CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 + 1]
+           AS model,
+         CASE WHEN event_type = 'purchase' THEN 0.7 ELSE 0.0 END AS temperature
+  FROM events WHERE event_type IN ('view', 'purchase')),
+keyed AS (SELECT request_id, ts, temperature > 0 AS warm,
+                 sha256(model || ':' || CAST(CAST(temperature AS DOUBLE) AS VARCHAR) || ':' || prompt) AS cache_key FROM req),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY ts, request_id) AS rn FROM keyed),
+rep AS (
+  SELECT cache_key, rn, request_id, false AS cache_hit, CASE WHEN NOT warm THEN ts END AS entry_written_at,
+         CASE WHEN NOT warm THEN ts + INTERVAL 3600 SECOND END AS expires FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.cache_key, o.rn, o.request_id, r.expires IS NOT NULL AND r.expires > o.ts,
+         CASE WHEN NOT (r.expires IS NOT NULL AND r.expires > o.ts) AND NOT o.warm THEN o.ts END,
+         CASE WHEN r.expires IS NOT NULL AND r.expires > o.ts THEN r.expires
+              WHEN NOT o.warm THEN o.ts + INTERVAL 3600 SECOND ELSE r.expires END
+  FROM rep r JOIN ordered o ON o.cache_key = r.cache_key AND o.rn = r.rn + 1)
+SELECT request_id, cache_key, cache_hit, entry_written_at FROM rep"""

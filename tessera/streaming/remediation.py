@@ -145,7 +145,9 @@ def suppress(alerts: DataFrame, key: str = "anomaly_type", seconds: int = 600, t
     """T04 batch twin: an alert is emitted only if no alert of the same key was emitted in the
     preceding ``seconds``; adds ``emitted``."""
     cols = alerts.columns
-    prepared = alerts.withColumn("ts", F.col(ts).cast("timestamp_ntz")).repartition(key).sortWithinPartitions(key, "ts")
+    others = [F.asc_nulls_first(c) for c in alerts.columns if c not in (key, ts)]
+    prepared = alerts.withColumn("ts", F.col(ts).cast("timestamp_ntz")).repartition(key).sortWithinPartitions(
+        key, "ts", *others)  # ties on ts are ordered by the remaining columns
     schema = T.StructType(prepared.schema.fields + [T.StructField("emitted", T.BooleanType())])
     out_cols = [*prepared.columns, "emitted"]
 
