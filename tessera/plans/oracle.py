@@ -1562,7 +1562,7 @@ SELECT doc_id, CASE CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 4 WH
 FROM documents"""
 
 
-def _remediation_sql() -> str:
+def _remediation_sql(final: str | None = None) -> str:
     from tessera.streaming.remediation import DEFAULT_POLICIES
     pol = ", ".join(f"({_q(p.anomaly_type)}, CAST({float(p.trigger_threshold)} AS DOUBLE), {int(p.cooldown_sec)}, "
                     f"{_q(','.join(p.actions))})" for p in DEFAULT_POLICIES)
@@ -1598,8 +1598,8 @@ dec AS (
          CASE WHEN o.threshold IS NOT NULL AND o.metric_value >= o.threshold AND NOT (d.state IS NOT NULL AND o.ts < d.state)
               THEN o.ts + to_seconds(o.pcool) ELSE d.state END
   FROM dec d JOIN ordered o ON o.anomaly_type = d.anomaly_type AND o.rn = d.rn + 1)
-SELECT ts, anomaly_type, round(metric_value, 6) AS metric_value, model, handled, skipped, actions,
-       CAST(cooldown_sec AS INTEGER) AS cooldown_sec, cooldown_until FROM dec"""
+{final or """SELECT ts, anomaly_type, round(metric_value, 6) AS metric_value, model, handled, skipped, actions,
+       CAST(cooldown_sec AS INTEGER) AS cooldown_sec, cooldown_until FROM dec"""}"""
 
 
 SQL["remediation_outcomes"] = _remediation_sql()
@@ -1643,3 +1643,41 @@ rep AS (
               WHEN NOT o.warm THEN o.ts + INTERVAL 3600 SECOND ELSE r.expires END
   FROM rep r JOIN ordered o ON o.cache_key = r.cache_key AND o.rn = r.rn + 1)
 SELECT request_id, cache_key, cache_hit, entry_written_at FROM rep"""
+
+
+_ANOMALY_EVENTS = """, ev_an AS (
+  SELECT d.ts AS _time, d.anomaly_type, d.anomaly_type AS metric_name, d.metric_value AS current_value,
+         p.threshold, d.model, d.handled AND NOT d.skipped AS remediation_triggered
+  FROM dec d LEFT JOIN pol p USING (anomaly_type))
+"""
+
+
+def _with_anomaly_events(final: str) -> str:
+    base = _remediation_sql("SELECT 1")
+    body = base[:base.rindex("SELECT 1")].rstrip()
+    return body + _ANOMALY_EVENTS + final
+
+
+SQL["anomalies_by_type"] = _with_anomaly_events("""
+SELECT anomaly_type, model, remediation_triggered, count(*) AS count FROM ev_an GROUP BY ALL""")
+
+SQL["anomaly_feed"] = _with_anomaly_events("""
+SELECT _time, anomaly_type, metric_name, current_value, threshold, remediation_triggered FROM ev_an""")
+
+SQL["outbox_dispatch"] = with_hub("""
+, routes AS (
+  SELECT 'as.opened/as' AS route, count(*) AS outputs FROM h_activities WHERE type = 'as.opened' AND subject_type = 'as'
+  UNION ALL SELECT 'delivery.done/order', count(*) FROM h_activities WHERE type = 'delivery.done' AND subject_type = 'order'
+  UNION ALL SELECT 'as.resolved/as', count(*) FROM h_activities WHERE type = 'as.resolved' AND subject_type = 'as')
+SELECT route, outputs, (SELECT count(*) FROM h_activities) AS processed FROM routes""".replace("\n, routes", ", routes", 1))
+
+SQL["governed_document_read"] = """
+WITH req AS (SELECT CAST(conv_id AS VARCHAR) AS request_id, 'u' || CAST(conv_id % 5 AS VARCHAR) AS user_id,
+                    'src' || CAST(conv_id % 20 AS VARCHAR) AS resource FROM conversations WHERE turn = 0),
+grants AS (SELECT DISTINCT 'u' || CAST(n_nationkey % 5 AS VARCHAR) AS user_id, 'src' || CAST(n_nationkey AS VARCHAR) AS resource
+           FROM nation),
+docs AS (SELECT source AS resource, count(*) AS n FROM documents GROUP BY 1)
+SELECT r.request_id, r.user_id, r.resource,
+       CASE WHEN g.user_id IS NULL THEN 'forbidden' ELSE 'success' END AS status,
+       CASE WHEN g.user_id IS NULL THEN 0 ELSE coalesce(d.n, 0) END AS rows_returned
+FROM req r LEFT JOIN grants g USING (user_id, resource) LEFT JOIN docs d USING (resource)"""
