@@ -1681,3 +1681,27 @@ SELECT r.request_id, r.user_id, r.resource,
        CASE WHEN g.user_id IS NULL THEN 'forbidden' ELSE 'success' END AS status,
        CASE WHEN g.user_id IS NULL THEN 0 ELSE coalesce(d.n, 0) END AS rows_returned
 FROM req r LEFT JOIN grants g USING (user_id, resource) LEFT JOIN docs d USING (resource)"""
+
+
+def _tagged_union_sql() -> str:
+    cost = SQL["cost_by_model"][len("WITH "):]
+    lat = SQL["latency_by_model"]
+    lat_body = lat[lat.index("\nSELECT"):]
+    health = SQL["system_health"]
+    health_body = health[health.index("\nSELECT"):]
+    cost_body = cost[cost.index("\nSELECT"):]
+    ctes = cost[:cost.index("\nSELECT")]
+    return f"""WITH {ctes},
+c AS ({cost_body}),
+l AS ({lat_body}),
+h AS ({health_body})
+SELECT 'mcpagents:cost' AS sourcetype,
+       to_json(struct_pack(model := model, total_cost_usd := total_cost_usd, call_count := call_count,
+                           total_tokens := total_tokens)) AS event FROM c
+UNION ALL
+SELECT 'mcpagents:latency', to_json(struct_pack(model := model, avg_ms := avg_ms, p95_ms := p95_ms, max_ms := max_ms)) FROM l
+UNION ALL
+SELECT 'mcpagents:health', to_json(struct_pack(cpu_pct := cpu_pct, mem_pct := mem_pct, disk_pct := disk_pct)) FROM h"""
+
+
+SQL["tagged_metric_union"] = _tagged_union_sql()
