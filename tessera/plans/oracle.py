@@ -1705,3 +1705,29 @@ SELECT 'mcpagents:health', to_json(struct_pack(cpu_pct := cpu_pct, mem_pct := me
 
 
 SQL["tagged_metric_union"] = _tagged_union_sql()
+
+_SIM_BLEND = """
+, f0 AS (SELECT item_id, 'cat:' || category AS feature, 1.0 AS v FROM items2
+         UNION ALL SELECT item_id, 'price', price_tier / 3.0 FROM items2),
+f AS (SELECT item_id, feature, v / (sqrt(sum(v * v) OVER (PARTITION BY item_id)) + 1e-12) AS v FROM f0),
+allpairs AS (SELECT a.range AS i, b.range AS j FROM range(0, (SELECT n FROM nitems)) a, range(0, (SELECT n FROM nitems)) b),
+ct AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.v * b.v) AS s FROM f a JOIN f b USING (feature)
+       WHERE a.item_id <> b.item_id GROUP BY ALL),
+mx AS (SELECT (SELECT max(sim) FROM sim) AS cfmax, (SELECT max(s) FROM ct) AS ctmax),
+blend AS (SELECT p.i, p.j, 0.7 * coalesce(c.sim, 0.0) / ((SELECT cfmax FROM mx) + 1e-12)
+                         + 0.3 * coalesce(t.s, 0.0) / ((SELECT ctmax FROM mx) + 1e-12) AS b
+          FROM allpairs p LEFT JOIN sim c ON c.i = p.i AND c.j = p.j LEFT JOIN ct t ON t.i = p.i AND t.j = p.j),
+thr AS (SELECT i, b AS th FROM (SELECT i, b, row_number() OVER (PARTITION BY i ORDER BY b DESC) AS r FROM blend) WHERE r = 50),
+pruned AS (SELECT bl.i, bl.j, CASE WHEN (SELECT n FROM nitems) > 50 AND bl.b < thr.th THEN 0.0 ELSE bl.b END AS b
+           FROM blend bl LEFT JOIN thr USING (i)),
+users AS (SELECT DISTINCT user_id FROM truth),
+sc AS (SELECT w.user_id, p.i AS item_id, sum(p.b * w.w) AS score FROM pruned p JOIN bm w ON w.item_id = p.j
+       WHERE w.user_id IN (SELECT user_id FROM users) GROUP BY ALL),
+grid AS (SELECT u.user_id, i.range AS item_id, round(coalesce(s.score, 0.0), 9) AS score
+         FROM users u CROSS JOIN range(0, (SELECT n FROM nitems)) i
+         LEFT JOIN sc s ON s.user_id = u.user_id AND s.item_id = i.range
+         WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.user_id = u.user_id AND x.item_id = i.range))
+SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM grid) WHERE rank <= 10"""
+
+SQL["sim_blend_recommendations"] = with_rec(_SIM_BLEND.replace("\n, f0 AS", ", f0 AS", 1))
