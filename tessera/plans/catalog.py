@@ -1152,8 +1152,8 @@ def envelope_roundtrip(spark, d):
 @query
 def tagged_metric_union(spark, d):
     t = _tel(spark, d)
-    return TEL.tag_and_union({"mcpagents:cost": R.cost_by_model(t), "mcpagents:latency": R.latency_by_model(t),
-                              "mcpagents:health": R.system_health(t)})
+    return TEL.tag_and_union({"agents:cost": R.cost_by_model(t), "agents:latency": R.latency_by_model(t),
+                              "agents:health": R.system_health(t)})
 
 
 @query

@@ -1695,13 +1695,13 @@ def _tagged_union_sql() -> str:
 c AS ({cost_body}),
 l AS ({lat_body}),
 h AS ({health_body})
-SELECT 'mcpagents:cost' AS sourcetype,
+SELECT 'agents:cost' AS sourcetype,
        to_json(struct_pack(model := model, total_cost_usd := total_cost_usd, call_count := call_count,
                            total_tokens := total_tokens)) AS event FROM c
 UNION ALL
-SELECT 'mcpagents:latency', to_json(struct_pack(model := model, avg_ms := avg_ms, p95_ms := p95_ms, max_ms := max_ms)) FROM l
+SELECT 'agents:latency', to_json(struct_pack(model := model, avg_ms := avg_ms, p95_ms := p95_ms, max_ms := max_ms)) FROM l
 UNION ALL
-SELECT 'mcpagents:health', to_json(struct_pack(cpu_pct := cpu_pct, mem_pct := mem_pct, disk_pct := disk_pct)) FROM h"""
+SELECT 'agents:health', to_json(struct_pack(cpu_pct := cpu_pct, mem_pct := mem_pct, disk_pct := disk_pct)) FROM h"""
 
 
 SQL["tagged_metric_union"] = _tagged_union_sql()

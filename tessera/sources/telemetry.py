@@ -72,14 +72,14 @@ def read_telemetry(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
 ENVELOPE_FIELDS = ("time", "host", "source", "sourcetype", "index", "event")
 
 
-def to_envelope(df: DataFrame, index: str = "mcp_agents", host: str = "mcpagents",
-                source: str = "mcpagents") -> DataFrame:
+def to_envelope(df: DataFrame, index: str = "agents", host: str = "agents",
+                source: str = "agents", sourcetype_prefix: str = "agents:") -> DataFrame:
     """Wrap each event into the transport envelope (epoch seconds + nested event)."""
     return df.select(
         (epoch_ms("timestamp") / 1000.0).alias("time"),
         F.lit(host).alias("host"),
         F.lit(source).alias("source"),
-        F.concat(F.lit("mcpagents:"), F.col("event_type")).alias("sourcetype"),
+        F.concat(F.lit(sourcetype_prefix), F.col("event_type")).alias("sourcetype"),
         F.lit(index).alias("index"),
         F.struct(*[F.col(c) for c in df.columns]).alias("event"),
     )
