@@ -227,7 +227,8 @@ def weight_timeline(decisions: DataFrame, base=(0.3, 0.5, 0.2), policies=None) -
                 else:
                     continue
                 out.append((t.to_pydatetime(), typ, round(w["cost"], 6), round(w["quality"], 6), round(w["speed"], 6)))
-            yield pd.DataFrame(out, columns=[f.name for f in WEIGHT_SCHEMA.fields])
+            if out:  # decisions that do not touch the router weights emit nothing
+                yield pd.DataFrame(out, columns=[f.name for f in WEIGHT_SCHEMA.fields])
         tail = []
         for due, snap in sorted(restores, key=lambda r: r[0]):
             w.update(snap)
