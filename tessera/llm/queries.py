@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, token_counts
+from tessera.llm import line_frequency, packing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.quality(_table(spark, sf_dir, "documents")).select(
+        "doc_id", *line_frequency.FIELDS, "base_failed", "removed_words", "kept")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.token_budget(counts, 4096)
@@ -24,7 +29,55 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op5_line_frequency": op5_line_frequency,
     "op8_token_counts": op8_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_line_frequency": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, doc_id, source AS host, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT rn, generate_subscripts(ws, 1) AS p, unnest(ws) AS word
+  FROM (SELECT rn, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)
+), wc AS (
+  SELECT rn, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY rn
+), g AS (
+  SELECT rn, p, string_agg(word, ' ') OVER (PARTITION BY rn ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS gram,
+         count(*) OVER (PARTITION BY rn ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS size
+  FROM w
+), tw AS (
+  SELECT rn, p FROM (SELECT rn, p, count(*) OVER (PARTITION BY rn, gram) AS c FROM g WHERE size = 8) WHERE c > 1
+), rep AS (
+  SELECT rn, count(DISTINCT q) AS n_repeat_words
+  FROM (SELECT rn, unnest(generate_series(p, p + 7)) AS q FROM tw) GROUP BY rn
+), l AS (
+  SELECT rn, host, text, line, ws, len(ws) AS words,
+         array_to_string(list_transform(ws, lambda x: regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g')), ' ') AS norm
+  FROM (SELECT rn, host, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws
+        FROM (SELECT rn, host, text, unnest(string_split(text, chr(10))) AS line FROM d))
+  WHERE len(ws) > 0
+), dup AS (
+  SELECT rn, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rn
+), freq AS (
+  SELECT c.host, c.norm FROM
+    (SELECT host, norm, count(DISTINCT text) AS n FROM l GROUP BY host, norm) c
+    JOIN (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host) t ON c.host IS NOT DISTINCT FROM t.host
+  WHERE c.n > greatest(20, 0.002 * t.texts)
+), rem AS (
+  SELECT l.rn, sum(l.words) AS removed_words FROM l JOIN freq f ON l.host IS NOT DISTINCT FROM f.host AND l.norm = f.norm
+  GROUP BY l.rn
+), base AS (
+  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(removed_words, 0) AS removed_words
+  FROM d LEFT JOIN wc USING (rn) LEFT JOIN rep USING (rn) LEFT JOIN dup USING (rn) LEFT JOIN rem USING (rn)
+)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(removed_words AS BIGINT) AS removed_words,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 10
+         AND n_words - removed_words >= 0.3 * n_words AS kept
+FROM base
+""",
+}
