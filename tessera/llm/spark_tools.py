@@ -35,10 +35,9 @@ def bitmap(df: DataFrame, column: str) -> Broadcast:
     It only skips work early: ids not in it are certainly absent, ids in it are decided by a join. The driver gets
     at most ``BITMAP_BITS / 32`` words, merged on the executors.
     """
-    bit = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1))
-    words = (df.select(F.shiftright(bit, 5).cast("int").alias("word"),
-                       F.shiftleft(F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int")).alias("bits"))
-             .groupBy("word").agg(F.bit_or("bits").alias("bits")).dropna())
+    words = (df.select(F.col(column).cast("long").alias("id")).dropna()
+             .selectExpr(f"cast(shiftright(id & {BITMAP_BITS - 1}L, 5) as int) as word", "shiftleft(1L, cast(id & 31L as int)) as bits")
+             .groupBy("word").agg(F.bit_or("bits").alias("bits")))
     table = words.toArrow()
     out = np.zeros(BITMAP_BITS // 32, np.uint32)
     out[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
