@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, line_frequency, packing, token_counts
+from tessera.llm import jaccard_join, licenses, line_frequency, packing, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,16 +27,35 @@ def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *line_frequency.FIELDS, "base_failed", "removed_words", "kept")
 
 
+# The rules of the url filter.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/")]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filters.judge(pages, URL_RULES, pages, "html")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.token_budget(counts, 4096)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a folder tree by source and id, in which every fiftieth file is named LICENSE."""
+    name = F.when(F.col("doc_id") % 50 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.col("doc_id") % 97, F.col("doc_id") % 7, name)
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
     "op5_line_frequency": op5_line_frequency,
+    "op6_url_filters": op6_url_filters,
     "op8_token_counts": op8_token_counts,
+    "op10_licenses": op10_licenses,
 }
 
 SQL: dict[str, str] = {
