@@ -71,13 +71,6 @@ def template_vectors(spark: SparkSession, notices: list[tuple[str, str]]) -> Dat
             .groupBy("notice", "license", "word").agg(F.count("*").alias("tf")))
 
 
-def bags_of(named: Column, text: Column, terms: list[str]) -> Column:
-    """The words of each unit that shares a word with a template."""
-    parts = F.when(named, F.array(text)).otherwise(F.split(text, "\n"))
-    known = F.array(*map(F.lit, terms))
-    return F.filter(F.transform(parts, words_of), lambda words: F.arrays_overlap(words, known))
-
-
 def first() -> Column:
     """Of several, the greatest cosine (to 9 digits), then the first licence by name."""
     return F.min_by(F.struct("license", "cosine"), F.struct(-F.round("cosine", 9), F.col("license")))
@@ -108,13 +101,17 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", id: str = "do
     terms = sorted({w for _, t in notices for w in re.split("[^a-z0-9]+", t.lower()) if w and w not in STOP_WORDS})
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), "")
     named = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENSE_NAME), F.lit(False))
-    rows = checkpoint(files.select(F.col(id).alias("doc_id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-                      .select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", folder.alias("folder"), named.alias("named"),
-                              bags_of(named, F.col("text"), terms).alias("bags")))
-    units = checkpoint(rows.select("row", F.posexplode("bags").alias("unit", "words")).select("row", "unit", F.explode("words").alias("word"))
-                       .groupBy("row", "unit", "word").agg(F.count("*").alias("tf")))
+    parts = F.when(F.col("named"), F.array("text")).otherwise(F.split("text", "\n"))
+    known = F.array(*map(F.lit, terms))
+    # one pass over the texts: the first line of each file stands for its row, other lines are kept if they are units
+    lines = checkpoint(files.select(F.col(id).alias("doc_id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
+                       .select(F.monotonically_increasing_id().alias("row"), "*", folder.alias("folder"), named.alias("named"))
+                       .select("row", "doc_id", "path", "folder", "named", F.posexplode_outer(parts).alias("unit", "part"))
+                       .select("row", "doc_id", "path", "folder", "named", F.coalesce("unit", F.lit(0)).alias("unit"), F.explode(F.array(words_of(F.col("part")))).alias("words"))
+                       .withColumn("known", F.coalesce(F.arrays_overlap("words", known), F.lit(False))).filter("unit = 0 or known"))
+    rows = lines.filter("unit = 0").drop("unit", "words", "known")
+    units = checkpoint(lines.filter("known").select("row", "unit", F.explode("words").alias("word")).groupBy("row", "unit", "word").agg(F.count("*").alias("tf")))
     own = checkpoint(similar(units, template_vectors(files.sparkSession, notices), threshold))
-    rows = rows.drop("bags")
     folders = rows.filter("named").join(own, "row").groupBy(F.col("folder").alias("above")).agg(first().alias("best"))
     lost = rows.join(own, "row", "left_anti").filter("path is not null").select("folder").distinct()
     parts = F.split("folder", "/")
