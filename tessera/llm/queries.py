@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, licenses, line_frequency, packing, token_counts, url_filters
+from tessera.llm import decontaminate, jaccard_join, licenses, line_frequency, packing, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality(_table(spark, sf_dir, "documents")).select(
         "doc_id", *line_frequency.FIELDS, "base_failed", "removed_words", "kept")
@@ -52,6 +56,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
+    "op4_decontaminate": op4_decontaminate,
     "op5_line_frequency": op5_line_frequency,
     "op6_url_filters": op6_url_filters,
     "op8_token_counts": op8_token_counts,

@@ -28,7 +28,7 @@ MARK = "▁"
 SPACES = " " + MARK
 SEGMENT = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 #: Words kept for lookup in a worker; the store is emptied when it is full, which changes no result.
-STORE = 250_000
+STORE = 450_000
 #: Longer words are computed each time and not kept.
 STORE_CHARS = 48
 
@@ -97,9 +97,9 @@ class PrefixCounter(dict):
     def solve(self, word: str) -> list[int]:
         """Token count at each prefix of one word (spaces as marks). Beginnings that words share are looked up."""
         parts, score, sizes, known, pairs = self.parts, self.score, self.sizes, self.known, self.pairs
-        if len(known) > 2 * STORE:
+        if len(known) > STORE:
             known.clear()
-        if len(pairs) > 4 * STORE:
+        if len(pairs) > STORE:
             pairs.clear()
         states = [("", 0)]
         for end in range(1, len(word) + 1):
