@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, licenses, line_frequency, packing, token_counts, url_filters
+from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, packing, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_budget(counts, 4096)
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.scored(_table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: a folder tree by source and id, in which every fiftieth file is named LICENSE."""
     name = F.when(F.col("doc_id") % 50 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_line_frequency": op5_line_frequency,
     "op6_url_filters": op6_url_filters,
     "op8_token_counts": op8_token_counts,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_licenses": op10_licenses,
 }
 
