@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, packing, token_counts, url_filters
+from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, packing, suffix_dedup, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, URL_RULES, pages, "html")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.token_budget(counts, 4096)
@@ -63,6 +67,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_line_frequency": op5_line_frequency,
     "op6_url_filters": op6_url_filters,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_licenses": op10_licenses,
