@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, packing, suffix_dedup, token_counts, url_filters
+from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, materialise, packing, suffix_dedup, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(_table(spark, sf_dir, "documents"))
 
 
+def op3_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialise.records(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.withColumn("record_crc32", F.crc32("record")).drop("record")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +69,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_materialise": op3_materialise,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_frequency": op5_line_frequency,
     "op6_url_filters": op6_url_filters,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,20 @@ def in_bitmap(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (words[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) > 0
 
 
-def own_names(df: DataFrame, prefix: str) -> DataFrame:
-    """Rename all columns with a prefix, so that helper columns can't clash with them."""
-    return df.toDF(*[f"{prefix}{i}" for i in range(len(df.columns))])
+def without(docs: DataFrame, gone: DataFrame, id: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``gone`` (one column; a null id is an id like others).
+
+    Rows that a bitmap already clears stay where they are; only the others are joined.
+    """
+    none = F.lit(-9223372036854775808)
+    gone = gone.toDF("_gone_id").select(F.coalesce(F.col("_gone_id").cast("long"), none).alias("_gone_id")).distinct()
+    words = bitmap(gone, "_gone_id")
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(words.value, ids.to_numpy().astype(np.int64)))
+
+    key = F.coalesce(F.col(id).cast("long"), none)
+    asked = docs.withColumn("_maybe_gone", maybe(key))
+    return (asked.filter(~F.col("_maybe_gone")).drop("_maybe_gone").unionByName(
+        asked.filter("_maybe_gone").drop("_maybe_gone").join(gone, key == F.col("_gone_id"), "left_anti")))
