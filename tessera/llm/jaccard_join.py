@@ -140,10 +140,20 @@ def shared_counts(df: DataFrame, words: int, ranges: int) -> DataFrame:
         best = np.zeros(len(every), np.int64)
         np.maximum.at(best, number, got)  # copies of a class in several slices have the same count
         some = best > 0
-        return pa.table({"node": pa.array(every[some]), "shared": pa.array(best[some])})
+        parts = list(K.split_by(every[some] % ranges, ranges, every[some], best[some]))
+        return pa.table({"part": pa.array([p for p, _, _ in parts], pa.int64()),
+                         "nodes": pa.array([a.tobytes() for _, a, _ in parts], pa.binary()),
+                         "shared": pa.array([b.astype(np.int32).tobytes() for _, _, b in parts], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
+        every, at = np.unique(nodes, return_inverse=True)
+        shared = np.bincount(at, np.frombuffer(b"".join(table.column("shared").to_pylist()), np.int32), len(every))
+        return pa.table({"node": pa.array(every), "shared": pa.array(shared.astype(np.int64))})
 
     blobs = df.select("text").mapInArrow(send, "range int, nodes binary, counts binary, tokens binary, credit binary, dups binary")
-    return blobs.groupBy("range").applyInArrow(count, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    counted = blobs.groupBy("range").applyInArrow(count, "part long, nodes binary, shared binary")
+    return counted.groupBy("part").applyInArrow(add, "node long, shared long")
 
 
 def node_sets(df: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -166,7 +176,7 @@ def node_sets(df: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 def beginnings(sets: DataFrame, percent: int, batches: int, ranges: int) -> DataFrame:
     """Per node: n, shared (binary: hashes of shingles that other nodes hold, sorted) and begin (hashes of the shared ones
-    among the first n - T + 2 in order of rarity), with their places in that order and their frequencies."""
+    among the first n - T + 2 in order of rarity), with their places in that order."""
     dealt = sets.select(F.pmod(F.xxhash64("node"), F.lit(batches)).alias("batch"), "node", "n", "tokens")
     dealt = checkpoint(dealt.repartition("batch"))
 
@@ -197,7 +207,7 @@ def beginnings(sets: DataFrame, percent: int, batches: int, ranges: int) -> Data
         often = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x, np.int64) for x in right.column("frequency").to_pylist()])
         turn = np.argsort(known)
         known, often = known[turn], often[turn]
-        out = {k: [] for k in ("node", "n", "shared", "begin", "places", "often")}
+        out = {k: [] for k in ("node", "n", "shared", "begin", "places")}
         for node, n, tokens in zip(*(left.column(c).to_pylist() for c in ("node", "n", "tokens"))):
             t = np.frombuffer(tokens, np.uint64)
             at = np.searchsorted(known, t)
@@ -208,14 +218,13 @@ def beginnings(sets: DataFrame, percent: int, batches: int, ranges: int) -> Data
             inside = place < n - least(n, percent) + 2
             out["node"].append(node), out["n"].append(n), out["shared"].append(s.tobytes())
             out["begin"].append(K.long_of(s[rare][inside])), out["places"].append(place[inside])
-            out["often"].append(f[rare][inside])
-        kinds = (pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 2)
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds)})
 
     asked = dealt.groupBy("batch").applyInArrow(ask, "range int, batch long, tokens binary, counts binary")
     told = asked.groupBy("range").applyInArrow(answer, "batch long, known binary, frequency binary")
     return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
-        order, "node long, n long, shared binary, begin array<long>, places array<long>, often array<long>")
+        order, "node long, n long, shared binary, begin array<long>, places array<long>")
 
 
 def least(n: int, percent: int) -> int:
@@ -225,11 +234,13 @@ def least(n: int, percent: int) -> int:
 def boundary(nodes: DataFrame) -> int:
     """The size from which sets use inverted lists: least sum of 2-subsets below it and list entries scanned above.
 
+    A 2-subset is nearly always met once; an entry of a list is read again in each round of comparisons.
+
     The costs are summed by logarithm of the size, at most a few hundred rows.
     """
     m = F.size("begin")
     costs = (nodes.select(F.floor(F.log(F.col("n").cast("double")) * 8).alias("bin"), "n", (m * (m - 1) / 2).alias("subsets"),
-                          F.aggregate("often", F.lit(0).cast("long"), lambda a, b: a + b).alias("entries"))
+                          (m * (ROUNDS + 1)).alias("entries"))
              .groupBy("bin").agg(F.min("n").alias("n"), F.sum("subsets").alias("subsets"), F.sum("entries").alias("entries"))
              .orderBy("bin").collect())
     choices = [(sum(c["subsets"] for c in costs[:k]) + sum(c["entries"] for c in costs[k:]), costs[k]["n"] if k < len(costs) else 1 << 60)
