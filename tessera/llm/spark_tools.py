@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 #: Bits of a membership bitmap: 4 MB whatever the data.
 BITMAP_BITS = 1 << 25
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where the session leaves the rows of an Arrow batch at Spark's default, they are lowered, since rows are whole texts.
+    """
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     if spark.sparkContext.getCheckpointDir() is None:
         from tessera.session import checkpoint_dir
         checkpoint_dir(spark)
