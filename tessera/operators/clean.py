@@ -22,8 +22,9 @@ def _count_if(c):
 
 
 def _title(c):
-    """Python ``str.title``-like casing for the category labels: strip, then capitalise each word."""
-    return F.initcap(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    """Strip, then capitalise each run of letters, whatever stands between the runs ("home-garden" -> "Home-Garden")."""
+    runs = F.regexp_extract_all(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(r"(?:\p{L}+|\P{L}+)"), 0)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
 
 
 def parse_mixed_date(c):
