@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 #: Bits of a membership bitmap: 4 MB whatever the data.
 BITMAP_BITS = 1 << 25
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark removes the shuffle files of a finished execution; a later use of its plan computes them again.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
     Where the session leaves the rows of an Arrow batch at Spark's default, they are lowered, since rows are whole texts.
+    Shuffle files of finished executions go at once, since every execution of these operators ends in a copy or on the driver.
     """
     if spark.conf.get(ARROW_ROWS, "10000") == "10000":
         spark.conf.set(ARROW_ROWS, "1000")
+    spark.conf.set(CLEAN_UP, "true")
     if spark.sparkContext.getCheckpointDir() is None:
         from tessera.session import checkpoint_dir
         checkpoint_dir(spark)

@@ -221,6 +221,14 @@ def test_suffix_dedup(spark, docs):
     same(got, expected)
 
 
+def test_suffix_dedup_hot_anchors(spark, docs):
+    """Strings ordered in buckets of anchors and over the whole cluster give the same bytes."""
+    table = docs.selectExpr("coalesce(cast(doc_id as long), 9223372036854775807) as ord", "coalesce(text, '') as text")
+    found = [{(r["row"], i) for r in rows_of(suffix_dedup.repeated_spans(table, hot=hot)) for i in range(r["start"], r["end"])}
+             for hot in (0, 1_000_000)]
+    assert found[0] == found[1] and found[0]
+
+
 def test_token_counts(spark, docs):
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
