@@ -40,24 +40,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bitmap(df: DataFrame, column: str) -> Broadcast:
-    """Bitmap of the long ids in ``column``, of ``BITMAP_BITS`` bits at any size of ``df``.
+def bitmap(df: DataFrame, column: str, size: int = BITMAP_BITS) -> Broadcast:
+    """Bitmap of the long ids in ``column``, of ``size`` bits (a power of two) whatever the size of ``df``.
 
     It only skips work early: ids not in it are certainly absent, ids in it are decided by a join. The driver gets
-    at most ``BITMAP_BITS / 32`` words, merged on the executors.
+    at most ``size / 32`` words, merged on the executors.
     """
     words = (df.select(F.col(column).cast("long").alias("id")).dropna()
-             .selectExpr(f"cast(shiftright(id & {BITMAP_BITS - 1}L, 5) as int) as word", "shiftleft(1L, cast(id & 31L as int)) as bits")
+             .selectExpr(f"cast(shiftright(id & {size - 1}L, 5) as int) as word", "shiftleft(1L, cast(id & 31L as int)) as bits")
              .groupBy("word").agg(F.bit_or("bits").alias("bits")))
     table = words.toArrow()
-    out = np.zeros(BITMAP_BITS // 32, np.uint32)
+    out = np.zeros(size // 32, np.uint32)
     out[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
     return df.sparkSession.sparkContext.broadcast(out)
 
 
 def in_bitmap(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each id (int64), whether its bit is set."""
-    bit = ids & np.int64(BITMAP_BITS - 1)
+    bit = ids & np.int64(32 * len(words) - 1)
     return (words[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) > 0
 
 
