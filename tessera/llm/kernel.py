@@ -87,7 +87,7 @@ class Texts:
         h = self.word_hash
         out = np.zeros(len(h), U64)
         mult = powers(0xD6E8FEB86659FD93, n + 1)[1:]
-        for j in range(n):
+        for j in range(min(n, len(h))):
             out[: len(h) - j] += h[j:] * mult[j]
         return mix(out)
 
