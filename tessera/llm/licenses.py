@@ -3,7 +3,7 @@
 ``scan`` finds the licence of each file from its header lines, or else from the nearest directory above it that has
 a licence file.
 
-Method. A unit is a line of a file, or the whole text of a licence file (by its name). Units and templates are sparse
+Method. A unit is a line of a file; a licence file (by its name) has its sentences, across lines, and its whole text as units, too. Units and templates are sparse
 TF-IDF vectors over their words (a-z and digits, stop words left out): tf * (1 + ln((1 + units) / (1 + units with the word))),
 counted over all units that share a word with a template; any other unit has cosine 0 with each template. A unit takes
 the licence of the template of greatest cosine, the first by name of equals, if that is at least ``threshold``; a file
@@ -53,6 +53,8 @@ NOTICES = [
 STOP_WORDS = ["a", "all", "an", "and", "any", "are", "as", "at", "be", "by", "can", "except", "for", "from", "has", "in",
               "is", "it", "may", "no", "not", "of", "on", "or", "part", "that", "the", "this", "to", "use", "was", "with",
               "without", "you"]
+#: Between sentences, and around blank lines.
+SENTENCE_END = r"(?<=[.:;!?])\s+|\n[ \t]*\n\s*"
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
 
@@ -101,7 +103,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", id: str = "do
     terms = sorted({w for _, t in notices for w in re.split("[^a-z0-9]+", t.lower()) if w and w not in STOP_WORDS})
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), "")
     named = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENSE_NAME), F.lit(False))
-    parts = F.when(F.col("named"), F.array("text")).otherwise(F.split("text", "\n"))
+    split = F.split("text", "\n")
+    parts = F.when(F.col("named"), F.array_distinct(F.concat(F.array("text"), split, F.split("text", SENTENCE_END)))).otherwise(split)
     known = F.array(*map(F.lit, terms))
     # one pass over the texts: the first line of each file stands for its row, other lines are kept if they are units
     lines = checkpoint(files.select(F.col(id).alias("doc_id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))

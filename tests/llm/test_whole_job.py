@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from fixtures import prose, rows_of  # noqa: E402
 
-from tessera.llm import jaccard_join, line_frequency  # noqa: E402
+from tessera.llm import jaccard_join, licenses, line_frequency  # noqa: E402
 
 
 @pytest.mark.parametrize("n", range(1, 9))
@@ -24,3 +24,33 @@ def test_table_of_one_short_document(spark, n):
     df = spark.createDataFrame([(7, " ".join(f"w{k}" for k in range(n)), "s")], "doc_id long, text string, source string").coalesce(1)
     assert [(r["n_shingles"], r["component_id"]) for r in rows_of(jaccard_join.linked(df))] == [(max(1, n - 4), 7)]
     assert [(r["n_words"], r["kept"]) for r in rows_of(line_frequency.quality(df))] == [(n, False)]
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_long_licence_files(spark):
+    """A licence file's lines and sentences count like those of any other file, and its folder inherits."""
+    line = "Licensed under the Apache License, Version 2.0."
+    wrapped = "This work is licensed\nunder the GNU General\nPublic License,\nversion 3."
+    rows = [("a/LICENSE", MIT), ("a/b/c.txt", prose(2, 40)), ("d/LICENSE", prose(3, 300) + "\n" + line + "\n" + prose(4, 300)), ("d/e.txt", prose(5, 40)),
+            ("f/g.txt", prose(3, 300) + "\n" + line + "\n" + prose(4, 300)), ("h/COPYING", prose(6, 200) + ".\n" + wrapped + "\n" + prose(7, 200)),
+            ("i/LICENSE", prose(8, 200)), ("i/j.txt", prose(9, 40))]
+    df = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["path"]: (r["license"], r["origin"], r["cosine"]) for r in rows_of(licenses.scan(df))}
+    assert [got[p][:2] for p, _ in rows] == [("MIT", "file"), ("MIT", "directory"), ("Apache-2.0", "file"), ("Apache-2.0", "directory"), ("Apache-2.0", "file"),
+                                            ("GPL-3.0", "file"), (None, None), (None, None)]
+    assert got["d/LICENSE"] == got["f/g.txt"]
