@@ -171,7 +171,9 @@ def node_sets(df: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
     kind = df.schema["doc_id"].dataType.simpleString()
     found = df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, tokens binary")
-    return found.join(nodes.select("node", "n", F.col("rep").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"])
+    named = nodes.select(F.col("node").alias("of"), "n", "rep")
+    same = (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))  # a class of null ids only has a null rep
+    return found.join(named, same).select("node", "doc_id", "tokens", "n").dropDuplicates(["node"])
 
 
 def beginnings(sets: DataFrame, percent: int, batches: int, ranges: int) -> DataFrame:

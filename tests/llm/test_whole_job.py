@@ -54,3 +54,13 @@ def test_long_licence_files(spark):
     assert [got[p][:2] for p, _ in rows] == [("MIT", "file"), ("MIT", "directory"), ("Apache-2.0", "file"), ("Apache-2.0", "directory"), ("Apache-2.0", "file"),
                                             ("GPL-3.0", "file"), (None, None), (None, None)]
     assert got["d/LICENSE"] == got["f/g.txt"]
+
+
+def test_near_copies_with_null_ids(spark):
+    """A null-id near copy has the component of its neighbour; two texts linked only through it are one component."""
+    words = prose(30, 100).split()
+    chain = [(1, " ".join(words)), (None, " ".join(["x", "y", *words[2:]])), (2, " ".join(["x", "y", *words[2:-9], *"abcdefghi"]))]
+    other = prose(31, 60)
+    df = spark.createDataFrame([*chain, (5, other), (None, other + " more"), (None, prose(32, 60))], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in rows_of(jaccard_join.linked(df))), key=repr)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (5, 5), (None, 5), (None, None)], key=repr)
