@@ -1,7 +1,8 @@
 """Operator 3: training-order materialisation into fixed-stride binary shards.
 
 ``order`` gives every piece of tokens a global slot by a keyed permutation; ``records`` lays the pieces of each shard in slot order;
-``write_shards`` writes them as files that are read sequentially and resumed at any slot.
+``write_shards`` writes them as files that are read sequentially and resumed at any slot; ``read_back`` reads records at their offsets;
+``stored`` does all of it in a new folder.
 
 Method. Pieces are numbered densely: their place in their partition, plus the pieces of the partitions before. A Feistel network
 over the smallest even number of bits that holds all numbers, with rounds keyed by ``key``, permutes the numbers; a result
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernel as K
 from tessera.llm.packing import token_pieces
-from tessera.llm.spark_tools import checkpoint
+from tessera.llm.spark_tools import checkpoint, shared_dir
 
 ROUNDS = 6
 
@@ -142,3 +143,41 @@ def write_shards(rows: DataFrame, folder: str) -> DataFrame:
             yield close()
 
     return rows.select("shard", "record").mapInArrow(run, "shard long, records long, crc32 long")
+
+
+def read_back(rows: DataFrame, folder: str, stride: int) -> DataFrame:
+    """Add record_crc32 to rows with shard and byte_offset: of the ``stride`` bytes that the shard's file holds there."""
+    names = rows.columns
+    shard_at, offset_at = names.index("shard"), names.index("byte_offset")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pafs.FileSystem.from_uri(folder)
+        now, file = None, None
+        for b in batches:
+            found = []
+            for shard, offset in zip(b.column(shard_at).to_pylist(), b.column(offset_at).to_pylist()):
+                if shard != now:
+                    if file:
+                        file.close()
+                    now, file = shard, fs.open_input_file(f"{path}/shard-{shard:08d}.bin")
+                file.seek(offset)
+                data = file.read(stride)
+                if len(data) != stride:
+                    raise ValueError(f"shard {shard} ends at byte {offset + len(data)}, within a record")
+                found.append(zlib.crc32(data))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], [*names, "record_crc32"])
+        if file:
+            file.close()
+
+    kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, record_crc32 long")
+
+
+def stored(df: DataFrame, tokenizer: str, capacity: int = 1024, width: int = 2, **options) -> DataFrame:
+    """The columns of ``records``, of the files: all shards are written to a new folder under the shared one, then each record
+    is read at its offset; record_crc32 stands for the record. The files stay."""
+    root = shared_dir(df.sparkSession)
+    folder = f"{root if '://' in root else 'file://' + root.removeprefix('file:')}/shards-{uuid.uuid4().hex}"
+    rows = records(df, tokenizer, capacity, width=width, **options)
+    checkpoint(write_shards(rows, folder))
+    return read_back(rows.drop("record"), folder, capacity * width)

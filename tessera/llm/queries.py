@@ -23,8 +23,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialise.records(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return rows.withColumn("record_crc32", F.crc32("record")).drop("record")
+    return materialise.stored(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

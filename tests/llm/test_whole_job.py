@@ -1,14 +1,16 @@
 """Cases in which an operator once did less than its whole job."""
 
+import glob
 import os
 import sys
+import zlib
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from fixtures import prose, rows_of  # noqa: E402
 
-from tessera.llm import jaccard_join, licenses, line_frequency  # noqa: E402
+from tessera.llm import jaccard_join, licenses, line_frequency, materialise, queries  # noqa: E402
 
 
 @pytest.mark.parametrize("n", range(1, 9))
@@ -64,3 +66,27 @@ def test_near_copies_with_null_ids(spark):
     df = spark.createDataFrame([*chain, (5, other), (None, other + " more"), (None, prose(32, 60))], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"]) for r in rows_of(jaccard_join.linked(df))), key=repr)
     assert got == sorted([(1, 1), (None, 1), (2, 1), (5, 5), (None, 5), (None, None)], key=repr)
+
+
+def test_materialise_writes_its_shards(spark):
+    """The registered query leaves all shards in the shared folder, and its digests are those of the files' records."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folders = lambda: set(glob.glob(f"{shared.removeprefix('file:').replace('//', '/')}/**/shards-*", recursive=True))
+    before = folders()
+    got = rows_of(queries.op3_materialise(spark, "/root/testdata/sf0.001"))
+    (new,) = folders() - before
+    files = {}
+    for p in glob.glob(f"{new}/*"):
+        with open(p, "rb") as f:
+            files[os.path.basename(p)] = f.read()
+    assert sorted(r["slot"] for r in got) == list(range(len(got))) and sum(map(len, files.values())) == 2048 * len(got)
+    for r in got:
+        data = files[f"shard-{r['shard']:08d}.bin"][r["byte_offset"]:][:2048]
+        assert zlib.crc32(data) == r["record_crc32"]
+        assert zlib.crc32(b"".join(data[k:k + 2] + b"\0\0" for k in range(0, 2 * r["length"], 2))) == r["ids_crc32"]
+    # a file cut short is noticed
+    rows = materialise.stored(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), queries.public_tokenizers.path("byte_bpe_50k.json"), shard_size=64)
+    (last,) = folders() - before - {new}
+    os.truncate(f"{last}/shard-00000000.bin", 100)
+    with pytest.raises(Exception, match="within a record"):
+        rows.collect()
