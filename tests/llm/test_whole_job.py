@@ -1,7 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+import collections
 import glob
 import os
+import random
+import re
 import sys
 import zlib
 
@@ -10,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from fixtures import prose, rows_of  # noqa: E402
 
-from tessera.llm import jaccard_join, licenses, line_frequency, materialise, queries  # noqa: E402
+from tessera.llm import decontaminate, jaccard_join, licenses, line_frequency, materialise, queries  # noqa: E402
 
 
 @pytest.mark.parametrize("n", range(1, 9))
@@ -90,3 +93,37 @@ def test_materialise_writes_its_shards(spark):
     os.truncate(f"{last}/shard-00000000.bin", 100)
     with pytest.raises(Exception, match="within a record"):
         rows.collect()
+
+
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row
+        row = [0]
+        for k, y in enumerate(b):
+            row.append(before[k] + 1 if x == y else max(before[k + 1], row[k]))
+    return row[-1]
+
+
+@pytest.mark.parametrize("size", ("sf0.01", "sf0.1"))
+def test_reworded_copies(spark, size):
+    """Copies with 30 to 50 % of the words replaced are found if the subsequence covers half of the item."""
+    rnd = random.Random(5)
+    docs, bench = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.select("doc_id", "text")
+    other = re.findall("[a-z]+", " ".join(r["text"] or "" for r in docs.limit(300).collect()).lower())
+    planted, expected = [], set()
+    for n, r in enumerate(r for r in sorted(bench.collect(), key=lambda r: r["item_id"])[:60] if len(r["text"].split()) > 12):
+        words = re.findall(r"\w+", r["text"].lower())
+        for k, share in enumerate((0.3, 0.4, 0.5)):
+            copy = list(words)
+            for at in rnd.sample(range(len(words)), int(share * len(words))):
+                copy[at] = rnd.choice(other)
+            planted.append((10_000_000 + 10 * n + k, " ".join([*rnd.choices(other, k=60), *copy, *rnd.choices(other, k=60)])))
+            if 2 * subsequence(words, copy) >= len(words):
+                expected.add((planted[-1][0], r["item_id"]))
+    table = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.leaks(table, bench)) if r["doc_id"] >= 10_000_000}
+    missed = expected - got
+    print(size, len(expected), "planted,", len(missed), "missed", collections.Counter(d % 10 for d, _ in missed), len(got - expected), "more")
+    assert len(expected) > 80 and len(missed) <= 0.05 * len(expected)
