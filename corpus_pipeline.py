@@ -1,8 +1,9 @@
 """Corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns of
-``documents``. Defined cases: a null id is an id like others; rows that repeat an id stand or fall together in the filtering
-stages, and near-duplicate removal keeps one of them; null texts count as empty; other columns ride along, whatever their names.
+``documents``. The filtering stages number the rows and decide row by row. Defined cases: rows of equal or null ids are rows of their
+own, and near-duplicate removal takes one of them only if it is linked with a row that stays; a null id comes after all others;
+null texts count as empty; other columns ride along, whatever their names (but ``_row``).
 """
 
 from __future__ import annotations
@@ -12,28 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, line_frequency, packing, suffix_dedup
-from tessera.llm.spark_tools import checkpoint, without
+from tessera.llm.spark_tools import checkpoint, numbered, without
 
 #: Its stages run models and graph searches that SQL can't express; tests hold them against plain versions.
 ORACLE_SQL = None
+#: Number of a row within a stage.
+ROW = "_row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that the rules reject go."""
-    judged = line_frequency.quality(docs)
-    return without(docs, judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id"))
+    rows = numbered(docs, ROW)
+    judged = line_frequency.quality(rows, id=ROW)
+    return without(rows, checkpoint(judged.filter("not kept").select("doc_id")), ROW).drop(ROW)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each group of linked documents the one of the smallest id stays."""
-    found = checkpoint(jaccard_join.linked(docs))
-    kept = without(docs, found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"))
-                   .filter("not first").select("doc_id"))
-    repeated = checkpoint(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated.select(F.col("doc_id").alias("_repeated")), kept["doc_id"].eqNullSafe(F.col("_repeated")), "left_semi")
-    return without(kept, repeated).unionByName(once.dropDuplicates(["doc_id"]))
+    """Operator 2: of each group of linked rows the one of the smallest id stays, the first row of equal ids."""
+    rows = numbered(docs, ROW)
+    found = jaccard_join.linked(rows, id=ROW).select(F.col("doc_id").alias("_of"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW))
+    groups = checkpoint(rows.select("doc_id", ROW).join(found, F.col(ROW) == F.col("_of")).select("component_id", ROW, order.alias("order")))
+    first = groups.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col(f"first.{ROW}").alias("_first"))
+    return without(rows, checkpoint(groups.select(ROW).join(first, F.col(ROW) == F.col("_first"), "left_anti")), ROW).drop(ROW)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +50,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that hold a benchmark item go."""
-    leaks = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, checkpoint(leaks.select("doc_id").distinct()))
+    rows = numbered(docs, ROW)
+    leaks = decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id=ROW)
+    return without(rows, checkpoint(leaks.select("doc_id").distinct()), ROW).drop(ROW)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,20 +61,24 @@ def in_bitmap(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (words[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) > 0
 
 
-def without(docs: DataFrame, gone: DataFrame, id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``gone`` (one column; a null id is an id like others).
+def numbered(docs: DataFrame, column: str = "_row") -> DataFrame:
+    """Add a number of its own to each row, in a copy, since the partitions of a table read from files may change between executions."""
+    return checkpoint(docs.withColumn(column, F.monotonically_increasing_id()))
 
-    Rows that a bitmap already clears stay where they are; only the others are joined.
-    """
-    none = F.lit(-9223372036854775808)
-    gone = gone.toDF("_gone_id").select(F.coalesce(F.col("_gone_id").cast("long"), none).alias("_gone_id")).distinct()
-    words = bitmap(gone, "_gone_id")
+
+def parted(docs: DataFrame, ids: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose long id is certainly not in ``ids`` (one column), which stay where they are, and the others."""
+    words = bitmap(ids, ids.columns[0])
 
     @F.pandas_udf("boolean")
     def maybe(ids: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(words.value, ids.to_numpy().astype(np.int64)))
 
-    key = F.coalesce(F.col(id).cast("long"), none)
-    asked = docs.withColumn("_maybe_gone", maybe(key))
-    return (asked.filter(~F.col("_maybe_gone")).drop("_maybe_gone").unionByName(
-        asked.filter("_maybe_gone").drop("_maybe_gone").join(gone, key == F.col("_gone_id"), "left_anti")))
+    asked = docs.withColumn("_maybe", maybe(F.col(id)))
+    return asked.filter(~F.col("_maybe")).drop("_maybe"), asked.filter("_maybe").drop("_maybe")
+
+
+def without(docs: DataFrame, gone: DataFrame, id: str) -> DataFrame:
+    """Rows of ``docs`` whose number is not in ``gone`` (one column of distinct numbers)."""
+    clear, asked = parted(docs, gone, id)
+    return clear.unionByName(asked.join(gone.toDF("_gone"), asked[id] == F.col("_gone"), "left_anti"))

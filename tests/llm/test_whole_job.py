@@ -127,3 +127,28 @@ def test_reworded_copies(spark, size):
     missed = expected - got
     print(size, len(expected), "planted,", len(missed), "missed", collections.Counter(d % 10 for d, _ in missed), len(got - expected), "more")
     assert len(expected) > 80 and len(missed) <= 0.05 * len(expected)
+
+
+SCHEMA = "doc_id long, text string, source string, n_chars long"
+
+
+def stage_texts(spark, stage, rows, folder=""):
+    import corpus_pipeline
+    out = dict(corpus_pipeline.STAGES)[stage](spark, spark.createDataFrame([(d, t, "s", len(t)) for d, t in rows], SCHEMA).repartition(3), folder)
+    assert out.columns == ["doc_id", "text", "source", "n_chars"]
+    got = rows_of(out)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    return sorted(((r["doc_id"], r["text"]) for r in got), key=repr)
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Clean rows that share an id, or have none, stay; rejected and linked ones of the same id go."""
+    alone = [(d, prose(40 + k, 60)) for k, d in enumerate([None, None, None, 7, 7])]
+    copy = prose(60, 80)
+    expect = lambda rows: sorted(rows, key=repr)
+    assert stage_texts(spark, "quality_rules", [*alone, (7, "too short"), (None, "short, too")]) == expect(alone)
+    assert stage_texts(spark, "near_duplicates", [*alone, (None, copy), (3, copy), (7, copy + " more"), (3, copy)]) == expect([*alone, (3, copy)])
+    item = prose(70, 40)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaking = [(None, prose(71, 50) + " " + item), (7, item + " " + prose(72, 50))]
+    assert stage_texts(spark, "benchmark_leaks", [*alone, *leaking], str(tmp_path)) == expect(alone)
