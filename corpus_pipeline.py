@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, line_frequency, packing, suffix_dedup
-from tessera.llm.spark_tools import checkpoint, numbered, without
+from tessera.llm.spark_tools import checkpoint, numbered, parted, without
 
 #: Its stages run models and graph searches that SQL can't express; tests hold them against plain versions.
 ORACLE_SQL = None
@@ -22,10 +22,16 @@ ROW = "_row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that the rules reject go."""
+    """Operator 5: documents that the rules reject go, and from the others the lines found too frequent; n_chars follows."""
     rows = numbered(docs, ROW)
-    judged = line_frequency.quality(rows, id=ROW)
-    return without(rows, checkpoint(judged.filter("not kept").select("doc_id")), ROW).drop(ROW)
+    judged = checkpoint(line_frequency.quality(rows, id=ROW).filter("not kept or removed_lines is not null")
+                        .select(F.col("doc_id").alias("_judged"), F.col("kept").alias("_kept"), F.col("removed_lines").alias("_lines")))
+    clear, asked = parted(rows, judged.select("_judged"), ROW)
+    asked = asked.join(judged, asked[ROW] == F.col("_judged"), "left").filter("_kept is null or _kept")
+    same = asked.filter("_lines is null").select(rows.columns)
+    less = line_frequency.without_lines(asked.filter("_lines is not null").select(*rows.columns, "_lines"), "_lines")
+    less = less.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clear.unionByName(same).unionByName(less).drop(ROW)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

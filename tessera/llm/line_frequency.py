@@ -1,6 +1,6 @@
 """Operator 5: quality rules with cross-document line frequency.
 
-``quality`` computes per-text measures and removes lines that too many documents of a host hold.
+``quality`` computes per-text measures and finds lines that too many documents of a host hold; ``without_lines`` takes them out of the texts.
 
 Method. Each line is normalised (A-Z lower-cased, runs of separators as one space, digits as 0) and hashed. For each host
 the distinct documents that hold a line are counted, exact copies of a text as one document, since a copied text is a matter of
@@ -69,6 +69,16 @@ def line_spans(t: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, first + size, owner
 
 
+def normal_hashes(t: K.Texts, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """Hash of the normal form of each line: the words' normal hashes in order."""
+    normal = K.rolling(NORMAL[t.data])
+    words = K.span_hash(normal, t.word_start, t.word_end)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * K.powers(0xBF58476D1CE4E5B9, len(words)), out=sums[1:])
+    inv = K.powers(pow(0xBF58476D1CE4E5B9, -1, 1 << 64), len(words) + 1)
+    return K.mix((sums[past] - sums[first]) * inv[first] + (past - first).astype(np.uint64))
+
+
 def measure(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Measures per text; per text the distinct hashes of its normal lines and their words; hash of the whole text."""
     t = K.Texts(blobs)
@@ -89,13 +99,7 @@ def measure(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], list[np.ndarray]
     again = np.ones(len(key), bool)
     again[order[begin]] = False
     out["n_dup_lines"] = np.bincount(owner, again, len(blobs)).astype(np.int64)
-    # normal form: the words' normal hashes in order
-    normal = K.rolling(NORMAL[t.data])
-    words = K.span_hash(normal, t.word_start, t.word_end)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * K.powers(0xBF58476D1CE4E5B9, len(words)), out=sums[1:])
-    inv = K.powers(pow(0xBF58476D1CE4E5B9, -1, 1 << 64), len(words) + 1)
-    line = K.mix((sums[past] - sums[first]) * inv[first] + (past - first).astype(np.uint64))
+    line = normal_hashes(t, first, past)
     bounds = np.searchsorted(owner, np.arange(len(blobs) + 1))
     hashes, counts = [], []
     for a, b in zip(bounds[:-1], bounds[1:]):
@@ -147,3 +151,31 @@ def quality(df: DataFrame, text: str = "text", id: str = "doc_id", host: str = "
             .withColumn("base_failed", base)
             .withColumn("kept", ~base & (left >= min_words) & (left >= min_left * F.col("n_words")))
             .select("doc_id", "host", *FIELDS, "base_failed", "removed_words", "removed_lines", "kept"))
+
+
+def without_lines(df: DataFrame, lines: str = "removed_lines", text: str = "text") -> DataFrame:
+    """Rows of ``df`` without the column ``lines`` and without the lines of ``text`` whose normal hashes it holds.
+
+    The other lines, blank ones too, stay as they are.
+    """
+    names = df.columns
+    at = names.index(lines)
+    others = [c for c in names if c != lines]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, blobs in K.slices(batches, text):
+            t = K.Texts(blobs)
+            t.words()
+            first, past, owner = line_spans(t)
+            line = normal_hashes(t, first, past).view(np.int64)
+            feeds = np.cumsum(t.data == 10)
+            place = feeds[t.word_start[first]] - np.concatenate([[0], feeds])[t.start[owner]] if len(first) else first
+            bounds = np.searchsorted(owner, np.arange(len(blobs) + 1))
+            kept = []
+            for blob, some, a, z in zip(blobs, b.column(at).to_pylist(), bounds[:-1], bounds[1:]):
+                gone = set(place[a:z][np.isin(line[a:z], np.array(some or [], np.int64))].tolist())
+                kept.append(b"\n".join(x for k, x in enumerate(blob.split(b"\n")) if k not in gone) if gone else blob)
+            column = pa.array([x if v else None for x, v in zip(kept, b.column(names.index(text)).is_valid().to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([column.view(pa.string()) if c == text else b.column(names.index(c)) for c in others], others)
+
+    return df.mapInArrow(run, df.drop(lines).schema)

@@ -152,3 +152,12 @@ def test_stages_decide_by_row(spark, tmp_path):
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     leaking = [(None, prose(71, 50) + " " + item), (7, item + " " + prose(72, 50))]
     assert stage_texts(spark, "benchmark_leaks", [*alone, *leaking], str(tmp_path)) == expect(alone)
+
+
+def test_frequent_lines_leave_the_text(spark):
+    """The stage takes frequent lines out of the documents that stay, wherever they stand; all other lines stay as they are."""
+    plain = [(k, prose(200 + k, 40).replace("\n", "")) for k in range(30)]
+    rows = [(d, ["Common  LINE 1 of the site\n" + t, t[:60] + "\n\n common line 2 of the site\n" + t[60:], t + "\nCOMMON line 3 of the site"][d % 3]) for d, t in plain]
+    expected = [(d, [t, t[:60] + "\n\n" + t[60:], t][d % 3]) for d, t in plain]
+    rare = [(100, "Rare line of the site\n" + prose(300, 40))]
+    assert stage_texts(spark, "quality_rules", rows + rare) == sorted(expected + rare, key=repr)
