@@ -259,6 +259,8 @@ class Model:
     def rows(self, name: str, numbers: np.ndarray, width: int, edges: list[int]) -> np.ndarray:
         """Rows of a dense array of all word ranges; zeros for unknown words."""
         out = np.zeros((len(numbers), width), np.int64)
+        if not self.tokens:  # nothing was stored
+            return out
         part = np.searchsorted(edges, numbers, side="right") - 1
         for k in np.unique(part[numbers >= 0]):
             at = np.flatnonzero((part == k) & (numbers >= 0))

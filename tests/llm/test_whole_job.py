@@ -13,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from fixtures import prose, rows_of  # noqa: E402
 
-from tessera.llm import decontaminate, jaccard_join, licenses, line_frequency, materialise, queries  # noqa: E402
+from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, materialise, queries  # noqa: E402
 
 
 @pytest.mark.parametrize("n", range(1, 9))
@@ -71,6 +71,13 @@ def test_near_copies_with_null_ids(spark):
     assert got == sorted([(1, 1), (None, 1), (2, 1), (5, 5), (None, 5), (None, None)], key=repr)
 
 
+def test_model_without_training_texts(spark):
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
+    df = spark.createDataFrame([(held, "some words here"), (held, None)], "doc_id long, text string")
+    got = [(r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows_of(kneser_ney.scored(df))]
+    assert sorted(got) == [(True, 1, 0, 0, 0.0, 0.0), (True, 4, 0, 0, 0.0, 0.0)]
+
+
 def test_materialise_writes_its_shards(spark):
     """The registered query leaves all shards in the shared folder, and its digests are those of the files' records."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
