@@ -7,8 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF_SMALL = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,5 +17,5 @@ def spark():
 
 @pytest.fixture(scope="session")
 def con():
-    from oracle_compare import duck
+    from oracle_compare import SF_SMALL, duck
     return duck(SF_SMALL)

@@ -4,9 +4,7 @@ import pytest
 
 from tessera.plans.catalog import QUERIES
 from tessera.plans.oracle import SQL
-from oracle_compare import compare
-
-from conftest import SF_SMALL
+from oracle_compare import SF_SMALL, compare
 
 WITH_SQL = sorted(k for k in QUERIES if SQL.get(k))
 WITHOUT_SQL = sorted(k for k in QUERIES if not SQL.get(k))
