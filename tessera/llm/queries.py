@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, materialise, packing, suffix_dedup, token_counts, url_filters
+from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, materialise, minmax_dedup, packing, suffix_dedup, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
 
 
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_licenses": op10_licenses,
+    "op12_minmax_dedup": op12_minmax_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -124,5 +129,28 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_d
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 10
          AND n_words - removed_words >= 0.3 * n_words AS kept
 FROM base
+""",    "op12_minmax_dedup": r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT rn, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] END AS shingle
+  FROM (SELECT rn, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS p FROM d WHERE len(ws) > 0)
+), n AS MATERIALIZED (
+  SELECT rn, count(*) AS n FROM s GROUP BY rn
+), links AS MATERIALIZED (
+  SELECT c.u, c.v FROM (SELECT a.rn AS u, b.rn AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.rn <> b.rn GROUP BY 1, 2) c
+  JOIN n x ON x.rn = c.u JOIN n y ON y.rn = c.v
+  WHERE 100 * c.c >= 85 * (x.n + y.n - c.c)
+), reach AS (
+  SELECT rn AS a, rn AS b FROM d
+  UNION
+  SELECT reach.a, links.v FROM reach JOIN links ON reach.b = links.u
+), low AS (
+  SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.rn = reach.b GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, low.component_id, d.doc_id IS NOT DISTINCT FROM low.component_id AS kept
+FROM d LEFT JOIN n USING (rn) JOIN low ON low.a = d.rn
 """,
 }
