@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, materialise, minmax_dedup, packing, suffix_dedup, token_counts, url_filters
+from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, materialise, minmax_dedup, packing, phrases, suffix_dedup, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -81,6 +85,7 @@ QUERIES = {
     "op9_kneser_ney": op9_kneser_ney,
     "op10_licenses": op10_licenses,
     "op12_minmax_dedup": op12_minmax_dedup,
+    "op13_phrases": op13_phrases,
 }
 
 SQL: dict[str, str] = {
@@ -152,5 +157,37 @@ WITH RECURSIVE d AS MATERIALIZED (
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, low.component_id, d.doc_id IS NOT DISTINCT FROM low.component_id AS kept
 FROM d LEFT JOIN n USING (rn) JOIN low ON low.a = d.rn
+""",    "op13_phrases": r"""
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER () AS piece, lang, ws FROM (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+      SELECT coalesce(lang, 'und') AS lang,
+             unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents))
+  WHERE len(ws) > 0
+), n AS (
+  SELECT lang, sum(len(ws)) AS n FROM p GROUP BY lang
+), g AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*) AS f FROM (
+    SELECT lang, m, array_to_string(ws[q:q + m - 1], ' ') AS phrase FROM (
+      SELECT lang, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS q
+      FROM p, (SELECT unnest(generate_series(1, 5)) AS m) WHERE len(ws) >= m))
+  GROUP BY lang, m, phrase HAVING count(*) >= 100
+), cut AS (
+  SELECT lang, m, phrase, f, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail FROM (
+    SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w, unnest(generate_series(1, m - 1)) AS k FROM g WHERE m > 1)
+), scored AS (
+  SELECT c.lang, c.m, c.phrase, c.f AS a, c.k, x.f AS l, y.f AS r, n.n,
+         (1000::HUGEINT * c.f * n.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cut c JOIN g x ON x.lang = c.lang AND x.phrase = c.head JOIN g y ON y.lang = c.lang AND y.phrase = c.tail JOIN n ON n.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM g WHERE g.lang = s.lang AND g.m > s.m AND 100 * g.f >= 100 * s.a AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' '))
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
 """,
 }
