@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, materialise, minmax_dedup, packing, phrases, suffix_dedup, token_counts, url_filters
+from tessera.llm import decontaminate, hard_negatives, jaccard_join, kneser_ney, licenses, line_frequency, materialise, minmax_dedup, packing, phrases, suffix_dedup, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id is divisible by 7 get the next label first, as hard cases."""
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_licenses": op10_licenses,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_minmax_dedup": op12_minmax_dedup,
     "op13_phrases": op13_phrases,
 }
@@ -134,7 +141,26 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_d
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 10
          AND n_words - removed_words >= 0.3 * n_words AS kept
 FROM base
-""",    "op12_minmax_dedup": r"""
+""",    "op11_hard_negatives": r"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.rn, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.rn <> b.rn WHERE a.vec_id % 100 = 0
+), good AS (
+  SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) <= 5
+)
+SELECT g.anchor_id, g.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY g.rn, g.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, g.score AS positive_score, n.score AS negative_score
+FROM good g JOIN s n ON n.rn = g.rn AND NOT n.alike AND 80 * g.score <= 100 * n.score AND 100 * n.score <= 100 * g.score
+QUALIFY row_number() OVER (PARTITION BY g.rn, g.vec_id ORDER BY n.score DESC, n.vec_id) <= 5
+""",
+    "op12_minmax_dedup": r"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT row_number() OVER () AS rn, doc_id,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
