@@ -2,22 +2,21 @@
 
 The per-anomaly-type cooldown is a sequential fold. On a stream it is keyed state
 (``applyInPandasWithState``, key = anomaly type, state = cooldown end). The batch twin
-hash-partitions alerts by type, sorts them, and streams each partition batch by batch (constant
-memory), so the same decisions come out without materialising any group.
+finds the same decisions by list ranking (``operators.cooldown``), so that no type is one task's work.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-import warnings
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tessera.operators import cooldown
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -83,30 +82,47 @@ def _prepare(alerts: DataFrame, ts: str) -> DataFrame:
                          F.col("metric_value").cast("double"), F.col("model").cast("string"))
 
 
-def remediate(alerts: DataFrame, policies=None, ts: str = "ts") -> DataFrame:
-    """T05 batch twin: per alert, unknown type / below threshold / cooldown skip / handled with actions.
-    Alerts: (ts, anomaly_type, metric_value, model)."""
-    pol = {p.anomaly_type: p for p in (policies or DEFAULT_POLICIES)}
-    # ties on ts (e.g. one alert per model for the same window) are ordered by model, then value
-    prepared = _prepare(alerts, ts).repartition("anomaly_type").sortWithinPartitions(
-        "anomaly_type", "ts", F.asc_nulls_first("model"), "metric_value")
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
-    def run(batches):
-        cur, state = None, None
-        for pdf in batches:
-            parts = []
-            for typ, grp in pdf.groupby("anomaly_type", sort=False):
-                if typ != cur:
-                    cur, state = typ, None
-                dec, state = _decide(grp, pol, state)
-                parts.append(dec)
-            parts = [p for p in parts if len(p)]
-            if parts:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore", FutureWarning)
-                    yield pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
 
-    return prepared.mapInPandas(run, DECISION_SCHEMA)
+def remediate(alerts: DataFrame, policies=None, ts: str = "ts") -> DataFrame:
+    """T05 batch twin: per alert, unknown type / below threshold / cooldown skip / handled with actions.
+    Alerts: (ts, anomaly_type, metric_value, model).
+
+    Which alerts run their actions is found by ``cooldown.fired`` over the distinct times of each type, so a type
+    with all alerts is spread over all tasks. Alerts of one type and time are ordered by model, then value, and the first
+    one runs; the others are skipped. Without a cooldown every alert runs. An alert without a time is never handled."""
+    policies = list(policies or DEFAULT_POLICIES)
+    types = [T.StructField("anomaly_type", T.StringType()), T.StructField("threshold", T.DoubleType()), T.StructField("limit", T.StringType()),
+             T.StructField("seconds", T.IntegerType()), T.StructField("steps", T.StringType())]
+    table = alerts.sparkSession.createDataFrame(
+        [(p.anomaly_type, float(p.trigger_threshold), str(p.trigger_threshold), int(p.cooldown_sec), ",".join(p.actions)) for p in policies],
+        T.StructType(types))
+    prepared = _prepare(alerts, ts).join(F.broadcast(table), "anomaly_type", "left")
+    numbered = cooldown.kept(prepared.withColumn("t", _micros("ts")).withColumn("row", F.monotonically_increasing_id()))
+    able = F.col("ts").isNotNull() & (F.col("metric_value") >= F.col("threshold"))
+    order = F.struct(F.col("model").isNotNull().alias("named"), "model", "metric_value", "row")
+    times = (numbered.filter(able & (F.col("seconds") > 0)).groupBy("anomaly_type", "t")
+             .agg((F.first("seconds").cast("long") * 1_000_000).alias("cooldown"), F.min(order).alias("lead")))
+    times = cooldown.kept(times)
+    marks = cooldown.fired(times, "anomaly_type").join(times.select("anomaly_type", "t", "lead"), ["anomaly_type", "t"])
+    marks = marks.select(F.col("anomaly_type").alias("_type"), F.col("t").alias("_t"), F.when(F.col("fires"), F.col("lead.row")).alias("runs"), "last")
+    judged = numbered.join(marks, (F.col("anomaly_type") == F.col("_type")) & (F.col("t") == F.col("_t")), "left")
+    handled = able & F.col("threshold").isNotNull()
+    runs = handled & ((F.col("seconds") <= 0) | F.coalesce(F.col("runs") == F.col("row"), F.lit(False)))
+    until = F.col("last") + F.col("seconds").cast("long") * 1_000_000
+    value = F.coalesce(F.col("metric_value").cast("string"), F.lit("None"))
+    reason = (F.when(F.col("threshold").isNull(), F.concat(F.lit("unknown anomaly_type: "), F.coalesce("anomaly_type", F.lit("None"))))
+              .when(F.col("metric_value").isNull() | (F.col("metric_value") < F.col("threshold")),
+                    F.concat(F.lit("value "), value, F.lit(" < threshold "), F.col("limit")))
+              .when(F.col("ts").isNull(), F.lit("no time"))
+              .when(~runs, F.concat(F.lit("cooldown active ("), F.floor((until - F.col("t")) / 1_000_000).cast("string"), F.lit("s remaining)"))))
+    state = judged.select("*", F.coalesce(handled, F.lit(False)).alias("handled"), F.coalesce(runs, F.lit(False)).alias("run"), reason.alias("reason"))
+    return state.select(
+        "ts", "anomaly_type", "metric_value", "model", "handled", (F.col("handled") & ~F.col("run")).alias("skipped"), "reason",
+        F.when(F.col("run"), F.col("steps")).alias("actions"), "threshold", F.when(F.col("run"), F.col("seconds")).alias("cooldown_sec"),
+        F.when(F.col("run"), F.timestamp_micros(F.col("t") + F.col("seconds").cast("long") * 1_000_000).cast("timestamp_ntz")).alias("cooldown_until"))
 
 
 def remediate_stream(alerts: DataFrame, policies=None, ts: str = "ts") -> DataFrame:
@@ -143,27 +159,22 @@ def _suppress_fold(rows: pd.DataFrame, seconds: int, last_us: int | None):
 
 def suppress(alerts: DataFrame, key: str = "anomaly_type", seconds: int = 600, ts: str = "ts") -> DataFrame:
     """T04 batch twin: an alert is emitted only if no alert of the same key was emitted in the
-    preceding ``seconds``; adds ``emitted``."""
-    cols = alerts.columns
-    others = [F.asc_nulls_first(c) for c in alerts.columns if c not in (key, ts)]
-    prepared = alerts.withColumn("ts", F.col(ts).cast("timestamp_ntz")).repartition(key).sortWithinPartitions(
-        key, "ts", *others)  # ties on ts are ordered by the remaining columns
-    schema = T.StructType(prepared.schema.fields + [T.StructField("emitted", T.BooleanType())])
-    out_cols = [*prepared.columns, "emitted"]
-
-    def run(batches):
-        cur, last = object(), None
-        for pdf in batches:
-            parts = []
-            for k, grp in pdf.groupby(key, sort=False, dropna=False):
-                if k != cur:
-                    cur, last = k, None
-                res, last = _suppress_fold(grp, seconds, last)
-                parts.append(res)
-            if parts:
-                yield pd.concat(parts, ignore_index=True)[out_cols]
-
-    return prepared.mapInPandas(run, schema).select(*[c for c in cols if c != "ts"], "ts", "emitted")
+    preceding ``seconds``; adds ``emitted``.
+
+    Found by ``cooldown.fired`` over the distinct times of each key; a null key is a key. Alerts of one key and time are ordered by
+    the remaining columns, nulls first, and only the first can be emitted (all, if ``seconds`` is 0). An alert without a time is not emitted."""
+    others = [c for c in alerts.columns if c not in (key, ts)]
+    numbered = cooldown.kept(alerts.select(
+        F.col(key).alias("_key"), F.col(key), *others, F.col(ts).cast("timestamp_ntz").alias("ts"), F.monotonically_increasing_id().alias("_row"))
+        .withColumn("_t", _micros("ts")))
+    if seconds <= 0:
+        return numbered.select(*[c for c in alerts.columns if c != ts], "ts", F.col("ts").isNotNull().alias("emitted"))
+    times = cooldown.kept(numbered.filter("_t is not null").groupBy("_key", F.col("_t").alias("t"))
+                          .agg(F.min(F.struct(*others, "_row")).getField("_row").alias("lead")).withColumn("cooldown", F.lit(seconds * 1_000_000)))
+    marks = cooldown.fired(times, "_key").filter("fires").select(F.col("_key").alias("_of"), F.col("t").alias("_at"))
+    leads = times.join(marks, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("t") == F.col("_at"))).select(F.col("lead").alias("_lead"))
+    return (numbered.join(leads.withColumn("emitted", F.lit(True)), F.col("_row") == F.col("_lead"), "left")
+            .select(*[c for c in alerts.columns if c != ts], "ts", F.coalesce("emitted", F.lit(False)).alias("emitted")))
 
 
 def suppress_stream(alerts: DataFrame, key: str = "anomaly_type", seconds: int = 600, ts: str = "ts") -> DataFrame:
