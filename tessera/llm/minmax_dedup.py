@@ -11,9 +11,9 @@ Method.
 3. A band is the minima and maxima of two permutations (four values); nodes that agree in a band meet. With 20 bands a pair at
    the limit of 85 % is missed with a probability of (1 - 0.85 ** 4) ** 20 = 4e-7, a closer one less often.
 4. Nodes that meet are confirmed on their full sets. Within a meeting place not all pairs are looked at: each node is compared
-   with the place's hub, the node that meets most others over all bands, and what links is merged into components. Places that
-   still hold several components take another hub, up to ``HUB_ROUNDS`` times, while much is left. Then the nodes left in such
-   places are compared blockwise inside tasks, all those of different components; only links leave a task.
+   with the place's hub, the node that meets most others over all bands, and what links is merged into components. In places that
+   still hold several components, blocks of the largest one are then compared with blocks of all other nodes, and these with one
+   another, inside tasks; only links leave a task. While that would send entries too often, such places take another hub instead.
 
 Sets are of 64-bit hashes. Nothing is capped: a place of any size is cut into blocks of about ``BLOCK`` nodes, and each pair of
 blocks is a group of its own.
@@ -45,8 +45,10 @@ PERMUTATIONS = BANDS * ROWS
 HUB_ROUNDS = 3
 #: Nodes of a block of a meeting place.
 BLOCK = 64
+#: Blockwise comparison begins when it sends each entry so many times at most on average, or after the last round.
+SPREAD = 8
 #: Shared shingles of a group that are multiplied at a time.
-COLUMNS = 1 << 15
+COLUMNS = 1 << 14
 
 MULTIPLIER = K.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 SHIFT = K.mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64))
@@ -177,13 +179,30 @@ def linked_within(node: np.ndarray, comp: np.ndarray, block: np.ndarray, sets: l
     return np.argwhere(np.triu(link, 1))
 
 
-def block_links(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between nodes of different components within each place; places with the same nodes count once."""
-    place = now.groupBy("g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("a"), F.sum(F.xxhash64("node", F.lit(1)) % (1 << 31)).alias("b"))
-    place = place.groupBy("m", "a", "b").agg(F.min("g").alias("_g")).select("_g", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = (now.join(place, F.col("g") == F.col("_g")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp"))
+def mixed_places(now: DataFrame) -> DataFrame:
+    """Entries (g, node, weight, comp) of the places that hold several components, with ``many`` (whether of the place's largest one) and the
+    blocks into which those of the largest (``big``) and all others (``small``) are cut; places with the same nodes count once."""
+    sizes = now.groupBy("g", "comp").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("a"), F.sum(F.xxhash64("node", F.lit(1)) % (1 << 31)).alias("b"))
+    place = sizes.groupBy("g").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"), F.bit_xor("a").alias("a"), F.sum("b").alias("b"))
+    place = place.filter("top.m < m").groupBy("m", "a", "b").agg(F.min("g").alias("_g"), F.first("top").alias("top"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    place = place.select("_g", F.col("top.comp").alias("top"), blocks(F.col("top.m")).alias("big"), blocks(F.col("m") - F.col("top.m")).alias("small"))
+    return (now.join(place, F.col("g") == F.col("_g")).withColumn("many", F.col("comp") == F.col("top"))
+            .select("g", "node", "weight", "comp", "many", "big", "small"))
+
+
+def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between nodes of different components within each place: blocks of its largest component meet the blocks of all
+    other nodes, and these meet one another."""
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("many"), F.col("big")).otherwise(F.col("small"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("small") - 1)
+    pair = lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j"))
+    across = F.struct(F.when(F.col("many"), -1 - F.col("own")).otherwise(-1 - F.col("other")).alias("i"), F.when(F.col("many"), F.col("other")).otherwise(F.col("own")).alias("j"))
+    dealt = mixed.withColumn("own", own)
+    rows = (dealt.withColumn("other", F.explode(F.when(F.col("many"), others).otherwise(F.sequence(F.lit(0), F.col("big") - 1)))).withColumn("at", across)
+            .select("g", "at", "node", "comp", F.when(F.col("many"), 0).otherwise(1).alias("block"))
+            .unionByName(dealt.filter("not many").withColumn("other", F.explode(others)).withColumn("at", pair(F.col("other")))
+                         .select("g", "at", "node", "comp", F.col("own").alias("block"))))
     rows = rows.join(sets.select("node", "tokens"), "node")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -192,26 +211,34 @@ def block_links(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         at = linked_within(node, comp, block, sets, percent) if len(sets) > 1 else np.zeros((0, 2), np.int64)
         return pa.table({"u": pa.array(node[at[:, 0]]), "v": pa.array(node[at[:, 1]])})
 
-    return rows.groupBy("g", "i", "j").applyInArrow(compare, "u long, v long")
+    return rows.select("g", "at.i", "at.j", "node", "comp", "block", "tokens").groupBy("g", "i", "j").applyInArrow(compare, "u long, v long")
 
 
-def node_components(meet: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, component) of nodes with links; see step 4."""
-    links = comp = None
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, comp) after the links (u, v): components of the graph whose nodes are the components so far."""
+    name = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"_{side}"))
+    edges = links.join(name("u"), "u").join(name("v"), "v").filter("_u != _v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    joint = components(edges).select(F.col("node").alias("_comp"), "component")
+    return comp.join(joint, F.col("comp") == F.col("_comp"), "left").select("node", F.coalesce("component", "comp").alias("comp"))
+
+
+def node_components(meet: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) of all nodes that meet others; see step 4."""
+    comp = nodes.select("node", F.col("node").alias("comp"))
     now = meet.withColumn("comp", F.col("node"))
     for turn in range(HUB_ROUNDS + 1):
+        rest = turn == HUB_ROUNDS
         if turn:
-            now = meet.join(comp.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed = now.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo != hi")
-            now = checkpoint(now.join(mixed.select(F.col("g").alias("_g"), "m"), F.col("g") == F.col("_g")).drop("_g"))
-            left = now.groupBy("g").agg(F.first("m").alias("m")).agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
+            now = checkpoint(mixed_places(meet.join(comp, "node")))
+            work = F.when(F.col("many"), F.col("small")).otherwise(F.col("big") + F.col("small"))
+            left = now.agg(F.count("*").alias("rows"), F.sum(work).alias("work")).first()
             if not left["rows"]:
                 break
-            meet, now = now.select("g", "node", "weight"), now.drop("m")
-        rest = turn == HUB_ROUNDS or turn > 0 and left["pairs"] <= BLOCK * left["rows"]
-        new = checkpoint(block_links(now, sets, percent) if rest else hub_links(now, sets, percent, turn))
-        links = new if links is None else links.unionByName(new)
-        comp = checkpoint(components(links))
+            rest = rest or left["work"] <= SPREAD * left["rows"]
+            meet = now.select("g", "node", "weight")
+        links = checkpoint(block_links(now, sets, percent) if rest else hub_links(now, sets, percent, turn))
+        if not links.isEmpty():
+            comp = checkpoint(merged(comp, links))
         if rest:
             break
     return comp
@@ -224,12 +251,12 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", words
     classes = checkpoint(rows.filter("n_shingles > 0").groupBy("key", "node").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     meet = met(classes)
-    some = meet.select("node").distinct()
     if not meet.isEmpty():
-        sets = checkpoint(full_sets(docs, classes.select("node", "n", "rep"), checkpoint(some), words))
-        comp = node_components(meet, sets, percent)
-        lowest = comp.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
-        named = comp.join(lowest, "component").select("node", "low")
+        nodes = checkpoint(meet.select("node").distinct())
+        sets = checkpoint(full_sets(docs, classes.select("node", "n", "rep"), nodes, words))
+        comp = node_components(meet, nodes, sets, percent)
+        lowest = comp.join(classes.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("low"))
+        named = comp.join(lowest, "comp").select("node", "low")
         classes = classes.join(named, "node", "left").withColumn("rep", F.coalesce("low", "rep"))
     component = F.coalesce("component_id", "doc_id")
     return (rows.join(classes.select("key", F.col("rep").alias("component_id")), "key", "left")
