@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A copy in the shared folder that ``spark.checkpoint.dir`` names, so that several uses see the same rows."""
+    from tessera.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def keep_ts_type(df: DataFrame, ts: str, expr: Column) -> Column:
     """Cast a derived timestamp back to the type of ``df[ts]`` (TIMESTAMP or TIMESTAMP_NTZ)."""
     return expr.cast(df.schema[ts].dataType)

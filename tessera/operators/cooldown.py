@@ -23,20 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.common import prefix_sums
-from tessera.session import checkpoint_dir
+from tessera.operators.common import checkpoint, prefix_sums
 
 #: Events of a block.
 BLOCK = 1 << 16
 END = (1 << 63) - 1
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A copy in the shared folder, so that several uses see the same rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _numbered(events: DataFrame, key: str) -> DataFrame:
     """(key, t, idx, next, block) of the events and of a closing mark per key (t = END, next = -1), numbered by key and time."""
     marks = events.groupBy(key).agg(F.lit(END).alias("t")).select(key, "t", F.lit(END).alias("at"), F.lit(1).alias("event"))
@@ -46,7 +39,7 @@ def _numbered(events: DataFrame, key: str) -> DataFrame:
     number = F.max(F.when(F.col("event") == 1, F.col("event_cum") - 1))
     following = F.max(F.when(F.col("event") == 0, F.col("event_cum")))
     paired = counted.groupBy(key, "t").agg(number.alias("idx"), F.coalesce(following, F.lit(-1)).alias("next"))
-    return kept(paired.withColumn("block", F.floor(F.col("idx") / BLOCK)))
+    return checkpoint(paired.withColumn("block", F.floor(F.col("idx") / BLOCK)))
 
 
 def _local(table: pa.Table, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,16 +83,16 @@ def _links(chain: DataFrame, entries: DataFrame) -> DataFrame:
 
 def _reached(links: DataFrame, first: DataFrame) -> DataFrame:
     """Entries on the paths from ``first``, by pointer jumping."""
-    reached, known = kept(first), first.count()
+    reached, known = checkpoint(first), first.count()
     while True:
         further = reached.join(links, "idx").select(F.col("to").alias("idx"))
-        reached = kept(reached.unionByName(further).distinct())
+        reached = checkpoint(reached.unionByName(further).distinct())
         now = reached.count()
         if now == known:
             return reached
         known = now
         hop = links.select(F.col("idx").alias("to"), F.col("to").alias("far"))
-        links = kept(links.join(hop, "to").select("idx", F.col("far").alias("to")))
+        links = checkpoint(links.join(hop, "to").select("idx", F.col("far").alias("to")))
 
 
 def fired(events: DataFrame, key: str) -> DataFrame:
@@ -111,9 +104,9 @@ def fired(events: DataFrame, key: str) -> DataFrame:
     first = chain.filter(F.col("t") == END).select((F.col("idx") + 1).alias("idx")).unionByName(
         chain.sparkSession.range(1).select(F.col("id").alias("idx"))).join(chain.select("idx"), "idx")
     place = F.floor(F.col("idx") / BLOCK).alias("block")
-    first = kept(first)
-    entries = kept(_targets(chain).unionByName(first).distinct().select("idx", place))
-    links = kept(_links(chain, entries))
+    first = checkpoint(first)
+    entries = checkpoint(_targets(chain).unionByName(first).distinct().select("idx", place))
+    links = checkpoint(_links(chain, entries))
     start = _reached(links, first).select("idx", place)
     kind = chain.schema[key].dataType.simpleString()
 
@@ -134,7 +127,7 @@ def fired(events: DataFrame, key: str) -> DataFrame:
         return pa.table({key: left.column(key).combine_chunks().take(pa.array(order)), "t": pa.array(t), "fires": pa.array(hit), "last": last,
                          "idx": pa.array(begin + np.arange(len(t))), "block": pa.array(np.full(len(t), begin // BLOCK))})
 
-    marked = kept(chain.groupBy("block").cogroup(start.groupBy("block")).applyInArrow(
+    marked = checkpoint(chain.groupBy("block").cogroup(start.groupBy("block")).applyInArrow(
         mark, f"`{key}` {kind}, t long, fires boolean, last long, idx long, block long"))
     ends = marked.groupBy("block").agg(F.max(F.when(F.col("fires"), F.struct("idx", "t"))).alias("end"))
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fround, safe_div
-from tessera.operators.common import running_total
+from tessera.operators.common import checkpoint, prefix_sums
 
 OPEN_ORDER_STATES = ("placed", "in_production")
 
@@ -272,37 +272,74 @@ def classify_ticket(df: DataFrame, text: str = "summary") -> DataFrame:
     return df.withColumn("category_rule", cat).withColumn("severity_rule", sev)
 
 
+def _owner_roles(tickets: DataFrame) -> DataFrame:
+    """Tickets with their category, severity and the role that owns the category."""
+    cls = classify_ticket(tickets).withColumn("category", F.coalesce("category", "category_rule")).withColumn(
+        "severity", F.coalesce("severity", "severity_rule"))
+    role_map = tickets.sparkSession.createDataFrame(list(CATEGORY_ROLE.items()), "category string, owner_role string")
+    return cls.join(F.broadcast(role_map), "category", "left").withColumn("owner_role", F.coalesce("owner_role", F.lit("as")))
+
+
+def _is_open() -> Column:
+    return F.coalesce(F.col("status"), F.lit("open")) != "resolved"
+
+
+def _place_in(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """0-based place of each row within its group, without a task per group: prefix counts over range partitions."""
+    placed = prefix_sums(df.withColumn("_one", F.lit(1)), [group, *order], ["_one"])
+    placed = checkpoint(placed)
+    before = placed.groupBy(F.col(group).alias("_group")).agg(F.min("_one_cum").alias("_first"))
+    return (placed.join(before, F.col(group) == F.col("_group"))
+            .withColumn(out, F.col("_one_cum") - F.col("_first")).drop("_one", "_one_cum", "_group", "_first"))
+
+
+def least_loaded(tickets: DataFrame, staff: DataFrame) -> DataFrame:
+    """(id, emp_id): tickets (id, owner_role, created_at) of each role dealt one after the other to its least loaded member.
+
+    ``staff`` has (emp_id, owner_role, open_load); ties go to the lowest id, and each ticket dealt adds one to the load. No
+    simulation: the t-th new ticket of a member has the key (load + t, member), and the k-th ticket of a role
+    takes the k-th smallest key. The keys that n tickets use lie at or below the level to which n units of water fill the
+    loads; the level follows from the counts of equal loads, so at most n keys plus one per member are made and ranked.
+    Tickets of a role without members are not in the result."""
+    wanted = tickets.groupBy("owner_role").agg(F.count(F.lit(1)).alias("n"))
+    steps = staff.groupBy("owner_role", "open_load").agg(F.count(F.lit(1)).alias("c"))
+    by_load = Window.partitionBy("owner_role").orderBy("open_load")  # one row per distinct load
+    steps = steps.select("owner_role", "open_load", F.sum("c").over(by_load).alias("held"),
+                         F.lead("open_load").over(by_load).alias("upper"))
+    # tickets it takes until all members of lower loads have risen to this one
+    room = F.coalesce(F.sum(F.col("held") * (F.col("upper") - F.col("open_load"))).over(by_load.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = (steps.withColumn("room", room).join(wanted, "owner_role").filter("room < n")
+             .groupBy("owner_role").agg(F.max_by(F.struct("open_load", "held", "room", "n"), "open_load").alias("s"))
+             .select("owner_role", (F.col("s.open_load") + F.ceil((F.col("s.n") - F.col("s.room")) / F.col("s.held")) - 1).alias("level")))
+    keys = (staff.join(level, "owner_role").filter("open_load <= level")
+            .select("owner_role", "emp_id", F.explode(F.sequence("open_load", "level")).alias("key")))
+    keys = _place_in(keys, "owner_role", ["key", "emp_id"], "k")
+    asked = _place_in(tickets.select("id", "owner_role", "created_at"), "owner_role", ["created_at", "id"], "k")
+    return asked.join(keys.select("owner_role", "k", "emp_id"), ["owner_role", "k"]).select("id", "emp_id")
+
+
 def triage(tickets: DataFrame, employees: DataFrame, sequential: bool = False) -> DataFrame:
     """Classify tickets and pick the owner: role by category, least open load, ties to the lowest id.
 
     ``sequential=False``: every ticket sees the current loads (one candidate per role).
-    ``sequential=True``: tickets of a role are dealt round-robin over that role's employees in
-    (load, id) order, in ticket order — the batch analogue of assigning one ticket at a time."""
-    spark = tickets.sparkSession
-    cls = classify_ticket(tickets).withColumn(
-        "category", F.coalesce(F.col("category"), F.col("category_rule"))).withColumn(
-        "severity", F.coalesce(F.col("severity"), F.col("severity_rule")))
-    role_map = spark.createDataFrame(list(CATEGORY_ROLE.items()), "category string, owner_role string")
-    cls = cls.join(F.broadcast(role_map), "category", "left").withColumn(
-        "owner_role", F.coalesce(F.col("owner_role"), F.lit("as")))
-    load = (tickets.filter((F.col("status") != "resolved") & F.col("assignee_id").isNotNull())
+    ``sequential=True``: open tickets without an owner are dealt one after the other in the order of (created_at, id), each
+    raising its owner's load (``least_loaded``); the others keep the owner they have."""
+    cls = _owner_roles(tickets)
+    load = (tickets.filter(_is_open() & F.col("assignee_id").isNotNull())
             .groupBy(F.col("assignee_id").alias("emp_id")).agg(F.count(F.lit(1)).alias("open_load")))
     cand = (employees.select(F.col("id").alias("emp_id"), F.col("name").alias("assignee_name"),
                              F.col("role").alias("owner_role"))
             .join(load, "emp_id", "left").withColumn("open_load", F.coalesce(F.col("open_load"), F.lit(0))))
-    wr = Window.partitionBy("owner_role").orderBy("open_load", "emp_id")
-    cand = cand.withColumn("slot", F.row_number().over(wr) - 1).withColumn(
-        "n_cand", F.count(F.lit(1)).over(Window.partitionBy("owner_role")))
     if not sequential:
-        best = cand.filter("slot = 0").select("owner_role", F.col("emp_id").alias("assignee_id_new"), "assignee_name")
+        best = cand.groupBy("owner_role").agg(F.min(F.struct("open_load", "emp_id", "assignee_name")).alias("b")).select(
+            "owner_role", F.col("b.emp_id").alias("assignee_id_new"), F.col("b.assignee_name").alias("assignee_name"))
         out = cls.join(best, "owner_role", "left")
     else:
-        ranked = running_total(cls, ["owner_role"], "created_at", "id", F.lit(1), "_seq")
-        ranked = ranked.withColumn("_seq", F.col("_seq") - 1)
-        sizes = cand.select("owner_role", "n_cand").distinct()
-        ranked = ranked.join(sizes, "owner_role", "left").withColumn("slot", F.pmod(F.col("_seq"), F.col("n_cand")))
-        out = ranked.join(cand.select("owner_role", "slot", F.col("emp_id").alias("assignee_id_new"), "assignee_name"),
-                          ["owner_role", "slot"], "left").drop("_seq", "n_cand", "slot")
+        new = cls.filter(_is_open() & F.col("assignee_id").isNull())
+        dealt = least_loaded(new, cand).select("id", F.col("emp_id").alias("_dealt"))
+        names = employees.select(F.col("id").alias("_emp"), F.col("name").alias("assignee_name"))
+        out = (cls.join(dealt, "id", "left").withColumn("assignee_id_new", F.coalesce("assignee_id", "_dealt"))
+               .join(names, F.col("assignee_id_new") == F.col("_emp"), "left"))
     return out.select("id", "category", "severity", "owner_role", "assignee_id_new", "assignee_name")
 
 

@@ -575,12 +575,22 @@ SQL["ticket_triage"] = with_hub(_triage_sql() + """
 SELECT c4.id, c4.category, c4.severity, c4.owner_role, cand.emp_id AS assignee_id_new, cand.assignee_name
 FROM c4 LEFT JOIN cand ON cand.owner_role = c4.owner_role AND cand.slot = 0""")
 
+# One ticket after the other: each step gives the least loaded member one more and keeps the loads as a list.
 SQL["ticket_triage_sequential"] = with_hub(_triage_sql() + """
-, seq AS (SELECT *, row_number() OVER (PARTITION BY owner_role ORDER BY created_at, id) - 1 AS _seq FROM c4),
-sz AS (SELECT DISTINCT owner_role, n_cand FROM cand)
-SELECT seq.id, seq.category, seq.severity, seq.owner_role, cand.emp_id AS assignee_id_new, cand.assignee_name
-FROM seq LEFT JOIN sz ON sz.owner_role = seq.owner_role
-LEFT JOIN cand ON cand.owner_role = seq.owner_role AND cand.slot = seq._seq % sz.n_cand""")
+, own AS (SELECT c4.*, t.assignee_id, t.status AS st FROM c4 JOIN h_tickets t ON t.id = c4.id),
+seq AS (SELECT id, owner_role, row_number() OVER (PARTITION BY owner_role ORDER BY created_at, id) AS k
+        FROM own WHERE st <> 'resolved' AND assignee_id IS NULL),
+goal AS (SELECT owner_role, max(k) AS n FROM seq GROUP BY 1),
+sim AS (
+  SELECT owner_role, 0 AS k, list_sort(list({'load': open_load, 'emp': emp_id})) AS loads, CAST(NULL AS VARCHAR) AS pick
+  FROM cand GROUP BY owner_role
+  UNION ALL
+  SELECT sim.owner_role, sim.k + 1,
+         list_sort(list_append(sim.loads[2:], {'load': sim.loads[1].load + 1, 'emp': sim.loads[1].emp})), sim.loads[1].emp
+  FROM sim JOIN goal ON goal.owner_role = sim.owner_role WHERE sim.k < goal.n)
+SELECT own.id, own.category, own.severity, own.owner_role, coalesce(own.assignee_id, sim.pick) AS assignee_id_new, e.name AS assignee_name
+FROM own LEFT JOIN seq ON seq.id = own.id LEFT JOIN sim ON sim.owner_role = seq.owner_role AND sim.k = seq.k
+LEFT JOIN h_employees e ON e.id = coalesce(own.assignee_id, sim.pick)""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 SQL["insight_signals"] = with_hub("""
 , inv AS (

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.operators import cooldown
+from tessera.operators.common import checkpoint
 
 
 @dataclass(frozen=True)
@@ -100,12 +101,12 @@ def remediate(alerts: DataFrame, policies=None, ts: str = "ts") -> DataFrame:
         [(p.anomaly_type, float(p.trigger_threshold), str(p.trigger_threshold), int(p.cooldown_sec), ",".join(p.actions)) for p in policies],
         T.StructType(types))
     prepared = _prepare(alerts, ts).join(F.broadcast(table), "anomaly_type", "left")
-    numbered = cooldown.kept(prepared.withColumn("t", _micros("ts")).withColumn("row", F.monotonically_increasing_id()))
+    numbered = checkpoint(prepared.withColumn("t", _micros("ts")).withColumn("row", F.monotonically_increasing_id()))
     able = F.col("ts").isNotNull() & (F.col("metric_value") >= F.col("threshold"))
     order = F.struct(F.col("model").isNotNull().alias("named"), "model", "metric_value", "row")
     times = (numbered.filter(able & (F.col("seconds") > 0)).groupBy("anomaly_type", "t")
              .agg((F.first("seconds").cast("long") * 1_000_000).alias("cooldown"), F.min(order).alias("lead")))
-    times = cooldown.kept(times)
+    times = checkpoint(times)
     marks = cooldown.fired(times, "anomaly_type").join(times.select("anomaly_type", "t", "lead"), ["anomaly_type", "t"])
     marks = marks.select(F.col("anomaly_type").alias("_type"), F.col("t").alias("_t"), F.when(F.col("fires"), F.col("lead.row")).alias("runs"), "last")
     judged = numbered.join(marks, (F.col("anomaly_type") == F.col("_type")) & (F.col("t") == F.col("_t")), "left")
@@ -164,12 +165,12 @@ def suppress(alerts: DataFrame, key: str = "anomaly_type", seconds: int = 600, t
     Found by ``cooldown.fired`` over the distinct times of each key; a null key is a key. Alerts of one key and time are ordered by
     the remaining columns, nulls first, and only the first can be emitted (all, if ``seconds`` is 0). An alert without a time is not emitted."""
     others = [c for c in alerts.columns if c not in (key, ts)]
-    numbered = cooldown.kept(alerts.select(
+    numbered = checkpoint(alerts.select(
         F.col(key).alias("_key"), F.col(key), *others, F.col(ts).cast("timestamp_ntz").alias("ts"), F.monotonically_increasing_id().alias("_row"))
         .withColumn("_t", _micros("ts")))
     if seconds <= 0:
         return numbered.select(*[c for c in alerts.columns if c != ts], "ts", F.col("ts").isNotNull().alias("emitted"))
-    times = cooldown.kept(numbered.filter("_t is not null").groupBy("_key", F.col("_t").alias("t"))
+    times = checkpoint(numbered.filter("_t is not null").groupBy("_key", F.col("_t").alias("t"))
                           .agg(F.min(F.struct(*others, "_row")).getField("_row").alias("lead")).withColumn("cooldown", F.lit(seconds * 1_000_000)))
     marks = cooldown.fired(times, "_key").filter("fires").select(F.col("_key").alias("_of"), F.col("t").alias("_at"))
     leads = times.join(marks, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("t") == F.col("_at"))).select(F.col("lead").alias("_lead"))

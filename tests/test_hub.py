@@ -1,5 +1,9 @@
 """Operations-hub views on the hand-computed cases of the reference tests."""
 
+import datetime as dt
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import hub as H
@@ -115,6 +119,46 @@ def test_least_loaded_owner(spark):
     assert {x["assignee_id_new"] for x in r} == {"E2"}
 
 
+TICKETS = "id string, summary string, category string, severity string, status string, assignee_id string, created_at timestamp"
+
+
+def _deal(tickets, staff):
+    """One ticket after the other to the least loaded member."""
+    load = {e: sum(t[4] != "resolved" and t[5] == e for t in tickets) for e, _, _ in staff}
+    out = {}
+    for t in sorted(tickets, key=lambda t: (t[6], t[0])):
+        if t[5] is not None or t[4] == "resolved":
+            out[t[0]] = t[5]
+            continue
+        role = {"Refund": "accounting", "crash": "production"}.get(t[1], "as")
+        members = [e for e, _, r in staff if r == role]
+        out[t[0]] = min(members, key=lambda e: (load[e], e)) if members else None
+        if members:
+            load[out[t[0]]] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tickets_dealt_to_the_least_loaded(spark, seed):
+    rnd = random.Random(seed)
+    staff = [(f"E{k}", f"n{k}", rnd.choice(["accounting", "production", "production", "sales"])) for k in range(12)]
+    t0 = dt.datetime(2024, 1, 1)
+    tickets = [(f"t{k}", rnd.choice(["Refund", "crash", "hello"]), None, None, rnd.choice(["open", "open", "resolved"]),
+                rnd.choice([None, None, f"E{rnd.randrange(4)}"]), t0 + dt.timedelta(minutes=rnd.randrange(50))) for k in range(150)]
+    got = H.triage(spark.createDataFrame(tickets, TICKETS), spark.createDataFrame(staff, "id string, name string, role string"), True)
+    assert {r["id"]: r["assignee_id_new"] for r in got.collect()} == _deal(tickets, staff)
+
+
+def test_new_tickets_fill_low_loads_first(spark):
+    """Loads 3, 0, 1: five tickets go E2 E2 E3 E2 E3 by (load, id), none to E1 until all stand at 3."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f"o{k}", "crash", None, None, "open", e, t0) for k, e in enumerate(["E1", "E1", "E1", "E3"])]
+    rows += [(f"t{k}", "crash", None, None, "open", None, t0 + dt.timedelta(minutes=k)) for k in range(6)]
+    staff = spark.createDataFrame([(e, e, "production") for e in ("E1", "E2", "E3")], "id string, name string, role string")
+    got = {r["id"]: r["assignee_id_new"] for r in H.triage(spark.createDataFrame(rows, TICKETS), staff, True).collect()}
+    assert [got[f"t{k}"] for k in range(6)] == ["E2", "E2", "E3", "E2", "E3", "E1"]
+
+
 def test_followup_approval_idempotent(spark):
     f = spark.createDataFrame([("f1", "draft"), ("f2", "sent")], "id string, status string")
     ap = spark.createDataFrame([("f1",), ("f2",)], "followup_id string")
