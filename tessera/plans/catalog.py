@@ -782,81 +782,95 @@ def validation_context(spark, d):
     return M.modal_context(val)
 
 
+def _everyone(events):
+    """Every user of the interactions, with or without history in the train window."""
+    return events.select("user_id").distinct()
+
+
+def _popularity_recs(spark, d):
+    ev, train, _, _ = _rec_inputs(spark, d)
+    return M.popularity_recommend(M.popularity(train), train, _everyone(ev), k=10)
+
+
 @query
 def popularity_recommendations(spark, d):
-    _, train, val, _ = _rec_inputs(spark, d)
-    truth = M.ground_truth(train, val)
-    recs = M.popularity_recommend(M.popularity(train), train.select("user_id", "item_id").distinct(), truth, k=10)
-    return recs.withColumn("score", fround("score", 9))
+    return _popularity_recs(spark, d).withColumn("score", fround("score", 9))
+
+
+def _truth(spark, d, window="val"):
+    _, train, val, test = _rec_inputs(spark, d)
+    return M.ground_truth(train, val if window == "val" else test)
 
 
 @query
 def popularity_evaluation(spark, d):
-    _, train, val, _ = _rec_inputs(spark, d)
-    truth = M.ground_truth(train, val)
-    recs = M.popularity_recommend(M.popularity(train), train.select("user_id", "item_id").distinct(), truth, k=10)
-    return M.evaluate(recs, truth, _n_items(spark, d), k=10)
+    return M.evaluate(_popularity_recs(spark, d), _truth(spark, d), _n_items(spark, d), k=10)
 
 
-def _model_and_state(spark, d):
-    _, train, val, _ = _rec_inputs(spark, d)
+@query
+def popularity_test_evaluation(spark, d):
+    return M.evaluate(_popularity_recs(spark, d), _truth(spark, d, "test"), _n_items(spark, d), k=10)
+
+
+def _recommender(spark, d):
+    _, train, _, _ = _rec_inputs(spark, d)
     items = B.rec_items(spark, d)
     bm = M.bm25_interactions(train)
-    feats = M.item_features(items)
-    model = M.fit_item_model(items, M.popularity(train), M.item_similarity(bm, _n_items(spark, d)), feats,
-                             M.context_affinity(train, items))
-    truth = M.ground_truth(train, val)
-    state = M.user_state(train, bm, M.content_profiles(train, feats), truth, M.modal_context(val))
-    return model, state, truth
+    return M.fit(train, items, M.item_similarity(bm, _n_items(spark, d)), bm.select("user_id", "item_id", "w"), M.popularity(train),
+                 M.content_profiles(train, M.item_features(items)), M.context_affinity(train, items))
 
 
-def _recs(spark, d, method):
-    model, state, truth = _model_and_state(spark, d)
-    return M.recommend(state, model, method, k=10), truth, model
+def _recs(spark, d, method, window="val"):
+    """Top 10 of every user, in the context that is most frequent in the window."""
+    ev, _, val, test = _rec_inputs(spark, d)
+    return _recommender(spark, d).recommend(_everyone(ev), M.modal_context(val if window == "val" else test), method, k=10)
 
 
 @query
 def item_cf_recommendations(spark, d):
-    return _recs(spark, d, "item_cf")[0]
+    return _recs(spark, d, "item_cf")
 
 
 @query
 def content_recommendations(spark, d):
-    return _recs(spark, d, "content")[0]
+    return _recs(spark, d, "content")
 
 
 @query
 def hybrid_recommendations(spark, d):
-    return _recs(spark, d, "hybrid")[0]
+    return _recs(spark, d, "hybrid")
 
 
 @query
 def sim_blend_recommendations(spark, d):
-    return _recs(spark, d, "sim_blend")[0]
+    return _recs(spark, d, "sim_blend")
 
 
 @query
 def hybrid_evaluation(spark, d):
-    recs, truth, model = _recs(spark, d, "hybrid")
-    return M.evaluate(recs, truth, model.n_items, k=10)
+    return M.evaluate(_recs(spark, d, "hybrid"), _truth(spark, d), _n_items(spark, d), k=10)
+
+
+@query
+def hybrid_test_evaluation(spark, d):
+    return M.evaluate(_recs(spark, d, "hybrid", "test"), _truth(spark, d, "test"), _n_items(spark, d), k=10)
 
 
 @query
 def item_cf_evaluation(spark, d):
-    recs, truth, model = _recs(spark, d, "item_cf")
-    return M.evaluate(recs, truth, model.n_items, k=10)
+    return M.evaluate(_recs(spark, d, "item_cf"), _truth(spark, d), _n_items(spark, d), k=10)
 
 
 @query
 def hybrid_explanations(spark, d):
-    model, state, truth = _model_and_state(spark, d)
-    return M.explain(state, truth, model)
+    _, _, val, _ = _rec_inputs(spark, d)
+    return _recommender(spark, d).explain(_truth(spark, d), M.modal_context(val))
 
 
 @query
 def hybrid_weight_tuning(spark, d):
-    model, state, truth = _model_and_state(spark, d)
-    return M.tune_weights(state, truth, model, k=10, step=0.1)
+    _, _, val, _ = _rec_inputs(spark, d)
+    return _recommender(spark, d).tune_weights(_truth(spark, d), M.modal_context(val), k=10, step=0.1)
 
 
 # --- cleaning and sales report -----------------------------------------------------------------------
@@ -1205,8 +1219,7 @@ def anomaly_feed(spark, d):
 
 @query
 def sim_blend_alpha_tuning(spark, d):
-    model, state, truth = _model_and_state(spark, d)
-    return M.tune_alpha(state, truth, model)
+    return _recommender(spark, d).tune_alpha(_truth(spark, d))
 
 
 @query

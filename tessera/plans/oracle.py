@@ -1170,6 +1170,12 @@ truth AS (SELECT DISTINCT v.user_id, v.item_id FROM val v WHERE v.weight >= 2.0
 seen AS (SELECT DISTINCT user_id, item_id FROM train)"""
 
 
+def _in_test_window(sql: str) -> str:
+    """The same statement with the days from 25 on as the window that is evaluated."""
+    return sql.replace("day >= 20 AND day < 25", "day >= 25")
+
+
+
 def with_rec(body: str) -> str:
     return f"WITH {REC_CTE}\n{body}"
 
@@ -1212,7 +1218,7 @@ SELECT user_id, device, hour_bucket, is_weekend FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, device, hour_bucket, is_weekend) AS r
   FROM (SELECT user_id, device, hour_bucket, is_weekend, count(*) AS n FROM val GROUP BY ALL)) WHERE r = 1""")
 _POP_RECS = """
-, users AS (SELECT DISTINCT user_id FROM truth),
+, users AS (SELECT DISTINCT user_id FROM ev),
 cand AS (SELECT u.user_id, p.item_id, p.pop,
                 row_number() OVER (PARTITION BY u.user_id ORDER BY p.pop DESC, p.item_id) AS rank
          FROM users u CROSS JOIN pop p
@@ -1238,12 +1244,13 @@ FROM u""")
 
 
 SQL["popularity_evaluation"] = _eval_sql(_POP_RECS)
+SQL["popularity_test_evaluation"] = _in_test_window(_eval_sql(_POP_RECS))
 
 _CF_RECS = """
-, users AS (SELECT DISTINCT user_id FROM truth),
+, users AS (SELECT DISTINCT user_id FROM ev),
 cs AS (SELECT b.user_id, s.i AS item_id, sum(s.sim * b.w) AS score FROM sim s JOIN bm b ON b.item_id = s.j GROUP BY ALL),
 grid AS (SELECT u.user_id, i.item_id, round(coalesce(c.score, 0.0), 9) AS score
-         FROM users u CROSS JOIN (SELECT range AS item_id FROM range(0, (SELECT n FROM nitems))) i
+         FROM users u CROSS JOIN items i
          LEFT JOIN cs c ON c.user_id = u.user_id AND c.item_id = i.item_id
          WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.item_id = i.item_id)),
 recs AS (SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
@@ -1528,7 +1535,7 @@ users AS (SELECT DISTINCT user_id FROM truth),
 sc AS (SELECT u.user_id, f.item_id, sum(f.v * pn.p) AS score FROM users u JOIN pn USING (user_id)
        JOIN f USING (feature) GROUP BY ALL),
 grid AS (SELECT u.user_id, i.item_id, round(coalesce(s.score, 0.0), 9) AS score
-         FROM users u CROSS JOIN (SELECT range AS item_id FROM range(0, (SELECT n FROM nitems))) i
+         FROM users u CROSS JOIN items i
          LEFT JOIN sc s ON s.user_id = u.user_id AND s.item_id = i.item_id
          WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.user_id = u.user_id AND x.item_id = i.item_id))
 SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
@@ -1716,28 +1723,106 @@ SELECT 'agents:health', to_json(struct_pack(cpu_pct := cpu_pct, mem_pct := mem_p
 
 SQL["tagged_metric_union"] = _tagged_union_sql()
 
-_SIM_BLEND = """
+def _blend_recs(alpha: float, users: str) -> str:
+    return f"""
 , f0 AS (SELECT item_id, 'cat:' || category AS feature, 1.0 AS v FROM items2
          UNION ALL SELECT item_id, 'price', price_tier / 3.0 FROM items2),
 f AS (SELECT item_id, feature, v / (sqrt(sum(v * v) OVER (PARTITION BY item_id)) + 1e-12) AS v FROM f0),
-allpairs AS (SELECT a.range AS i, b.range AS j FROM range(0, (SELECT n FROM nitems)) a, range(0, (SELECT n FROM nitems)) b),
+allpairs AS (SELECT a.item_id AS i, b.item_id AS j FROM items a CROSS JOIN items b),
 ct AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.v * b.v) AS s FROM f a JOIN f b USING (feature)
        WHERE a.item_id <> b.item_id GROUP BY ALL),
 mx AS (SELECT (SELECT max(sim) FROM sim) AS cfmax, (SELECT max(s) FROM ct) AS ctmax),
-blend AS (SELECT p.i, p.j, 0.7 * coalesce(c.sim, 0.0) / ((SELECT cfmax FROM mx) + 1e-12)
-                         + 0.3 * coalesce(t.s, 0.0) / ((SELECT ctmax FROM mx) + 1e-12) AS b
+blend AS (SELECT p.i, p.j, {alpha} * (coalesce(c.sim, 0.0) / ((SELECT cfmax FROM mx) + 1e-12))
+                         + (1 - CAST({alpha} AS DOUBLE)) * (coalesce(t.s, 0.0) / ((SELECT ctmax FROM mx) + 1e-12)) AS b
           FROM allpairs p LEFT JOIN sim c ON c.i = p.i AND c.j = p.j LEFT JOIN ct t ON t.i = p.i AND t.j = p.j),
 thr AS (SELECT i, b AS th FROM (SELECT i, b, row_number() OVER (PARTITION BY i ORDER BY b DESC) AS r FROM blend) WHERE r = 50),
-pruned AS (SELECT bl.i, bl.j, CASE WHEN (SELECT n FROM nitems) > 50 AND bl.b < thr.th THEN 0.0 ELSE bl.b END AS b
-           FROM blend bl LEFT JOIN thr USING (i)),
-users AS (SELECT DISTINCT user_id FROM truth),
+pruned AS (SELECT bl.i, bl.j, CASE WHEN bl.b < thr.th THEN 0.0 ELSE bl.b END AS b FROM blend bl LEFT JOIN thr USING (i)),
+users AS (SELECT DISTINCT user_id FROM {users}),
 sc AS (SELECT w.user_id, p.i AS item_id, sum(p.b * w.w) AS score FROM pruned p JOIN bm w ON w.item_id = p.j
        WHERE w.user_id IN (SELECT user_id FROM users) GROUP BY ALL),
-grid AS (SELECT u.user_id, i.range AS item_id, round(coalesce(s.score, 0.0), 9) AS score
-         FROM users u CROSS JOIN range(0, (SELECT n FROM nitems)) i
-         LEFT JOIN sc s ON s.user_id = u.user_id AND s.item_id = i.range
-         WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.user_id = u.user_id AND x.item_id = i.range))
-SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM grid) WHERE rank <= 10"""
+grid AS (SELECT u.user_id, i.item_id, round(coalesce(s.score, 0.0), 9) AS score
+         FROM users u CROSS JOIN items i
+         LEFT JOIN sc s ON s.user_id = u.user_id AND s.item_id = i.item_id
+         WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.user_id = u.user_id AND x.item_id = i.item_id)),
+recs AS (SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM grid) WHERE rank <= 10)"""[1:]
+
+
+SQL["sim_blend_recommendations"] = with_rec(_blend_recs(0.7, "ev") + "\nSELECT * FROM recs")
+
+
+def _alpha_tuning() -> str:
+    """The whole statement once per alpha, each with its mean NDCG."""
+    each = " UNION ALL ".join(f"""SELECT CAST({a} AS DOUBLE) AS alpha, {i} AS turn, ndcg FROM ({with_rec(_blend_recs(a, "truth") + """,
+npos AS (SELECT user_id, count(*) AS npos FROM truth GROUP BY 1),
+per AS (SELECT r.user_id, sum(1.0 / log2(r.rank + 1)) AS dcg FROM recs r JOIN truth t USING (user_id, item_id) GROUP BY 1)
+SELECT round(avg(coalesce(dcg, 0.0) / (SELECT sum(1.0 / log2(x + 1)) FROM range(1, least(npos, 10) + 1) t(x))), 9) AS ndcg
+FROM npos LEFT JOIN per USING (user_id)""")})""" for i, a in enumerate((0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)))
+    return f"""SELECT alpha, round(ndcg, 6) AS ndcg, row_number() OVER (ORDER BY ndcg DESC, turn) = 1 AS best FROM ({each})"""
+
+
+SQL["sim_blend_alpha_tuning"] = _alpha_tuning()
 
-SQL["sim_blend_recommendations"] = with_rec(_SIM_BLEND.replace("\n, f0 AS", ", f0 AS", 1))
+# Rank-normalised components of every user and item.
+_PARTS = """
+, users AS (SELECT DISTINCT user_id FROM {users}),
+uc AS (SELECT user_id, device, hour_bucket, is_weekend FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, device, hour_bucket, is_weekend) AS r
+  FROM (SELECT user_id, device, hour_bucket, is_weekend, count(*) AS n FROM val GROUP BY ALL)) WHERE r = 1),
+cs AS (SELECT b.user_id, s.i AS item_id, sum(s.sim * b.w) AS score FROM sim s JOIN bm b ON b.item_id = s.j GROUP BY ALL),
+f0 AS (SELECT item_id, 'cat:' || category AS feature, 1.0 AS v FROM items2
+       UNION ALL SELECT item_id, 'price', price_tier / 3.0 FROM items2),
+f AS (SELECT item_id, feature, v / (sqrt(sum(v * v) OVER (PARTITION BY item_id)) + 1e-12) AS v FROM f0),
+p AS (SELECT t.user_id, f.feature, sum(t.weight * f.v) AS p FROM train t JOIN f USING (item_id) GROUP BY ALL),
+pn AS (SELECT user_id, feature, CASE WHEN n > 0 THEN p / n ELSE p END AS p FROM (SELECT *, sqrt(sum(p * p) OVER (PARTITION BY user_id)) AS n FROM p)),
+cts AS (SELECT pn.user_id, f.item_id, sum(pn.p * f.v) AS score FROM pn JOIN f USING (feature) GROUP BY ALL),
+e AS (SELECT t.*, i.category FROM train t JOIN items2 i USING (item_id)),
+g AS (SELECT category, sum(weight) AS g FROM e GROUP BY 1),
+c AS (SELECT device, hour_bucket, is_weekend, category, sum(weight) AS c FROM e GROUP BY ALL),
+ctt AS (SELECT device, hour_bucket, is_weekend, sum(c) AS ct FROM c GROUP BY ALL),
+lift AS (SELECT c.device, c.hour_bucket, c.is_weekend, c.category, (c.c / ctt.ct) / (g.g / (SELECT sum(g) FROM g) + 1e-9) AS lift
+         FROM c JOIN ctt USING (device, hour_bucket, is_weekend) JOIN g USING (category)),
+raw AS (SELECT u.user_id, i.item_id, round(coalesce(cs.score, 0.0), 9) AS cf, round(coalesce(cts.score, 0.0), 9) AS ct,
+               round(coalesce(pop.pop, 0.0), 9) AS pop, round(coalesce(l.lift, 0.0), 9) AS ctx
+        FROM users u CROSS JOIN items2 i LEFT JOIN cs ON cs.user_id = u.user_id AND cs.item_id = i.item_id
+        LEFT JOIN cts ON cts.user_id = u.user_id AND cts.item_id = i.item_id LEFT JOIN pop ON pop.item_id = i.item_id
+        LEFT JOIN uc ON uc.user_id = u.user_id LEFT JOIN lift l ON l.device = uc.device AND l.hour_bucket = uc.hour_bucket
+          AND l.is_weekend = uc.is_weekend AND l.category = i.category),
+parts AS MATERIALIZED (SELECT user_id, item_id, EXISTS (SELECT 1 FROM seen s WHERE s.user_id = raw.user_id) AS warm,
+                 EXISTS (SELECT 1 FROM seen s WHERE s.user_id = raw.user_id AND s.item_id = raw.item_id) AS old,
+                 (row_number() OVER (PARTITION BY user_id ORDER BY cf, item_id) - 1) / (SELECT greatest(count(*) - 1, 1) FROM items) AS cf,
+                 (row_number() OVER (PARTITION BY user_id ORDER BY ct, item_id) - 1) / (SELECT greatest(count(*) - 1, 1) FROM items) AS ct,
+                 (row_number() OVER (PARTITION BY user_id ORDER BY pop, item_id) - 1) / (SELECT greatest(count(*) - 1, 1) FROM items) AS pop,
+                 (row_number() OVER (PARTITION BY user_id ORDER BY ctx, item_id) - 1) / (SELECT greatest(count(*) - 1, 1) FROM items) AS ctx
+          FROM raw)"""[1:]
+
+_HYBRID_RECS = _PARTS.format(users="ev") + """,
+recs AS (SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
+    SELECT user_id, item_id, round(CASE WHEN warm THEN 0.5 * cf + 0.2 * ct + 0.1 * pop + 0.2 * ctx ELSE 0.6 * pop + 0.4 * ctx END, 9) AS score
+    FROM parts WHERE NOT old)) WHERE rank <= 10)"""
+SQL["hybrid_recommendations"] = with_rec(_HYBRID_RECS + "\nSELECT * FROM recs")
+SQL["hybrid_evaluation"] = _eval_sql(_HYBRID_RECS)
+SQL["hybrid_test_evaluation"] = _in_test_window(_eval_sql(_HYBRID_RECS))
+SQL["content_recommendations"] = with_rec(_PARTS.format(users="ev") + """
+SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT user_id, item_id, ct AS score, row_number() OVER (PARTITION BY user_id ORDER BY ct DESC, item_id) AS rank
+  FROM raw WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = raw.user_id AND s.item_id = raw.item_id)) WHERE rank <= 10""")
+SQL["hybrid_explanations"] = with_rec(_PARTS.format(users="truth") + """
+SELECT user_id, item_id, round(round(0.5 * cf, 9), 4) AS cf, round(round(0.2 * ct, 9), 4) AS content, round(round(0.1 * pop, 9), 4) AS popularity,
+       round(round(0.2 * ctx, 9), 4) AS context FROM parts JOIN truth USING (user_id, item_id)""")
+SQL["hybrid_weight_tuning"] = with_rec(_PARTS.format(users="truth") + """,
+tenth AS (SELECT range AS x FROM range(0, 11)),
+points AS (SELECT CAST(row_number() OVER (ORDER BY a.x, b.x, c.x) - 1 AS INTEGER) AS grid_index, a.x * 0.1::DOUBLE AS w_cf, b.x * 0.1::DOUBLE AS w_content,
+                  c.x * 0.1::DOUBLE AS w_pop, (10 - a.x - b.x - c.x) * 0.1::DOUBLE AS w_ctx
+           FROM tenth a, tenth b, tenth c WHERE a.x + b.x + c.x <= 10),
+scored AS (SELECT g.grid_index, q.user_id, q.item_id, round(CASE WHEN q.warm THEN g.w_cf * q.cf + g.w_content * q.ct + g.w_pop * q.pop + g.w_ctx * q.ctx
+                                                              ELSE 0.6 * q.pop + 0.4 * q.ctx END, 9) AS score
+           FROM points g CROSS JOIN parts q WHERE NOT q.old),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY grid_index, user_id ORDER BY score DESC, item_id) AS rank FROM scored),
+npos AS (SELECT user_id, count(*) AS npos FROM truth GROUP BY 1),
+per AS (SELECT r.grid_index, r.user_id, sum(1.0 / log2(r.rank + 1)) AS dcg FROM ranked r JOIN truth t USING (user_id, item_id) WHERE r.rank <= 10 GROUP BY ALL),
+gain AS (SELECT p.grid_index, sum(p.dcg / (SELECT sum(1.0 / log2(x + 1)) FROM range(1, least(n.npos, 10) + 1) t(x))) AS gain
+         FROM per p JOIN npos n USING (user_id) GROUP BY 1),
+res AS (SELECT g.*, round(coalesce(gain, 0.0) / (SELECT count(*) FROM npos), 9) AS ndcg FROM points g LEFT JOIN gain USING (grid_index))
+SELECT grid_index, w_cf, w_content, w_pop, w_ctx, round(ndcg, 6) AS ndcg, row_number() OVER (ORDER BY ndcg DESC, grid_index) = 1 AS best FROM res""")
