@@ -680,12 +680,9 @@ def embedding_knn(spark, d):
 
 
 @query
-def embedding_lsh_knn(spark, d):
-    emb = B.table(spark, d, "embeddings")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    unit = emb.select(F.col("vec_id").alias("item_id"),
-                      F.transform("embedding", lambda x: x / norm).alias("embedding"))
-    return V.search_lsh(unit, unit.withColumnRenamed("item_id", "query_id"), k=5)
+def embedding_ivf_knn(spark, d):
+    emb = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    return V.search_ivf(emb, emb.withColumnRenamed("item_id", "query_id"), k=5)
 
 
 @query

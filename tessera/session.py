@@ -20,6 +20,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # a task is one thread: matrix products of several workers must not each take all cores
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
 }
 
 
