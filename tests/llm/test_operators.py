@@ -201,6 +201,15 @@ def test_best_split_by_force():
     assert score(url_filters.best_split(name, known, total)) == pytest.approx(max(map(score, splits(name))))
 
 
+def test_suffix_dedup_units_of_like_keys(spark):
+    """Two units under one anchor whose keys agree in 32 bits: their shared 50 bytes must go all the same."""
+    passage = "the quick brown fox jumps over one lazy dog at daw"
+    rows = [(1, f"uatzehwhuoyk{passage}tdymituvtpud"), (2, f"nxbxepvvrzzx{passage}jkgytnblgcyg")]
+    for pairs in (rows, [(2, rows[0][1]), (1, rows[1][1])]):
+        got = {r["doc_id"]: r["n_removed"] for r in rows_of(suffix_dedup.removed(spark.createDataFrame(pairs, "doc_id long, text string")))}
+        assert got == {1: 0, 2: 50}
+
+
 def test_suffix_dedup(spark, docs):
     pairs = [((1 << 62) if d is None else d, (t or "").encode(), d) for d, t in pairs_of(docs)]
     low = {}
