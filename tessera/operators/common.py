@@ -25,25 +25,6 @@ def floor_time(df: DataFrame, ts: str, seconds: int) -> Column:
     return keep_ts_type(df, ts, F.timestamp_seconds(F.floor(secs / seconds) * seconds))
 
 
-def index_quantile(df: DataFrame, by: list[str], value: str, q: float = 0.95, min_n: int = 20,
-                   out: str = "p95") -> DataFrame:
-    """Order statistic ``sorted(values)[int(n*q)]`` per group, ``max`` when n < min_n.
-
-    Skew-safe: rows are first pre-aggregated to (group, value, count) with a map-side combine,
-    so the per-group cumulative count runs over distinct values, never over raw rows.
-    """
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w_all = Window.partitionBy(*by)
-    w_cum = w_all.orderBy(F.col(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = hist.select(*by, value, F.sum("_c").over(w_cum).alias("_cum"),
-                         F.sum("_c").over(w_all).alias("_n"),
-                         F.max(value).over(w_all).alias("_max"))
-    idx = F.floor(F.col("_n") * F.lit(q))
-    pick = ranked.filter(F.col("_cum") > idx).groupBy(*by).agg(
-        F.min(value).alias("_v"), F.first("_n").alias("_n"), F.first("_max").alias("_max"))
-    return pick.select(*by, F.when(F.col("_n") >= min_n, F.col("_v")).otherwise(F.col("_max")).alias(out))
-
-
 def with_one_row_if_empty(df: DataFrame, row: dict, schema: T.StructType | None = None) -> DataFrame:
     """Append ``row`` only when ``df`` is empty (lazy; no driver-side count)."""
     spark = df.sparkSession

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fround, safe_div, truthy
-from tessera.operators.common import index_quantile, with_one_row_if_empty
+from tessera.operators.common import with_one_row_if_empty
+from tessera.operators.selection import indexed, quantiles
 from tessera.sources import telemetry as tel
 
 
@@ -60,14 +61,16 @@ def violations_by_rule_action(df: DataFrame, event_type: str | None = tel.DLP_VI
 # A04
 def latency_by_model(df: DataFrame, event_type: str | None = tel.LLM_CALL, model: str = "model",
                      latency: str = "latency_ms", exact: bool = True) -> DataFrame:
-    """avg / p95 / max latency. ``exact`` uses interpolated percentile (value-count map per group,
-    bounded by distinct values); otherwise ``percentile_approx``."""
-    p95 = (F.percentile(latency, 0.95) if exact else F.percentile_approx(latency, 0.95, 10000))
-    return (_of(df, *([event_type] if event_type else []))
-            .groupBy(model)
-            .agg(fround(F.avg(latency), 6).alias("avg_ms"), fround(p95, 6).alias("p95_ms"),
-                 F.max(latency).alias("max_ms"))
-            .orderBy(F.desc("avg_ms")))
+    """avg / p95 / max latency. ``exact`` uses the interpolated percentile, found by radix selection, so that a model with
+    most rows is not one task's work; otherwise ``percentile_approx``."""
+    base = _of(df, *([event_type] if event_type else []))
+    most = [fround(F.avg(latency), 6).alias("avg_ms"), F.max(latency).alias("max_ms")]
+    if exact:
+        stats, p95 = base.groupBy(model).agg(*most), quantiles(base, [model], latency, {"p95_ms": 0.95}).withColumnRenamed(model, "_model")
+        out = stats.join(p95, F.col(model).eqNullSafe(F.col("_model")), "left").withColumn("p95_ms", fround("p95_ms", 6))
+    else:
+        out = base.groupBy(model).agg(*most, fround(F.percentile_approx(latency, 0.95, 10000), 6).alias("p95_ms"))
+    return out.select(model, "avg_ms", "p95_ms", "max_ms").orderBy(F.desc("avg_ms"))
 
 
 # A05
@@ -228,11 +231,19 @@ def _stat_block(latency: str, cost: str, success: str, cached: str):
             fround(_count_if(~truthy(success)) / F.count(F.lit(1)), 6).alias("error_rate"),
             fround(_count_if(truthy(cached)) / F.count(F.lit(1)), 6).alias("cache_hit_rate"),
             fround(F.avg(latency), 6).alias("latency_mean"),
-            fround(F.median(latency), 6).alias("latency_median"),
             F.min(latency).alias("latency_min"), F.max(latency).alias("latency_max"),
             fround(F.sum(cost), 6).alias("cost_total"),
-            fround(F.avg(cost), 9).alias("cost_mean"),
-            fround(F.median(cost), 9).alias("cost_median")]
+            fround(F.avg(cost), 9).alias("cost_mean")]
+
+
+def _with_order_statistics(base: DataFrame, stats: DataFrame, by: str, latency: str, cost: str) -> DataFrame:
+    """Add the medians and the p95 by the index rule sorted[int(n*0.95)] (max below 20 rows), by radix selection."""
+    found = [(quantiles(base, [by], latency, {"latency_median": 0.5}, {"latency_p95": indexed(0.95, 20)}), [fround("latency_median", 6).alias("latency_median"), "latency_p95"]),
+             (quantiles(base, [by], cost, {"cost_median": 0.5}), [fround("cost_median", 9).alias("cost_median")])]
+    for table, columns in found:
+        table = table.select(F.col(by).alias("_by"), *columns)
+        stats = stats.join(table, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    return stats
 
 
 # A18
@@ -241,8 +252,7 @@ def model_statistics(df: DataFrame, model: str = "model", latency: str = "latenc
     """Per-model request statistics; p95 by the index rule sorted[int(n*0.95)] (max below 20 rows)."""
     base = _of(df, *([event_type] if event_type else []))
     stats = base.groupBy(model).agg(*_stat_block(latency, cost, success, cached))
-    p95 = index_quantile(base, [model], latency, 0.95, 20, out="latency_p95")
-    return stats.join(p95, model, "left")
+    return _with_order_statistics(base, stats, model, latency, cost)
 
 
 # A19
@@ -270,8 +280,7 @@ def overall_summary(df: DataFrame, model: str = "model", latency: str = "latency
     stats = base.withColumn("_all", F.lit(1)).groupBy("_all").agg(
         *_stat_block(latency, cost, success, cached),
         F.array_sort(F.collect_set(model)).alias("models_used"))
-    p95 = index_quantile(base.withColumn("_all", F.lit(1)), ["_all"], latency, 0.95, 20, out="latency_p95")
-    return stats.join(p95, "_all", "left").drop("_all")
+    return _with_order_statistics(base.withColumn("_all", F.lit(1)), stats, "_all", latency, cost).drop("_all")
 
 
 # A21

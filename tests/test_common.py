@@ -5,7 +5,8 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators.common import global_order_index, index_quantile, prefix_sums, running_total
+from tessera.operators.selection import indexed, quantiles
+from tessera.operators.common import global_order_index, prefix_sums, running_total
 from tessera.operators.timeseries import quantile_bins
 
 
@@ -37,7 +38,7 @@ def test_prefix_sums(spark):
 
 def test_index_quantile(spark):
     df = spark.createDataFrame([("a", float(v)) for v in range(1, 41)] + [("b", 5.0), ("b", 7.0)], "g string, x double")
-    got = {r["g"]: r["p95"] for r in index_quantile(df, ["g"], "x").collect()}
+    got = {r["g"]: r["p95"] for r in quantiles(df, ["g"], "x", {}, {"p95": indexed(0.95, 20)}).collect()}
     assert got == {"a": 39.0, "b": 7.0}  # sorted[int(40*0.95)] = sorted[38]; n < 20 -> max
 
 
