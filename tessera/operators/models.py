@@ -19,16 +19,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import fround
-from tessera.operators.common import global_order_index, prefix_sums, spread
+from tessera.operators.common import checkpoint, global_order_index, prefix_sums, spread
+from tessera.operators.selection import selected
 from tessera.operators.timeseries import quantile_bins
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.25, seed: int = 42) -> DataFrame:
-    """Deterministic split without a shuffle: a row goes to test when a hash of (key, seed) falls in
-    the lowest ``test_fraction`` of the hash range. Independent of the label, so every class is split
-    in the same proportion in expectation (a per-label ranked split would need one task per class)."""
-    h = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn("is_test", h < int(test_fraction * 1_000_000))
+    """Exact, deterministic stratified split: of each class, ``test_fraction`` of its rows (rounded half up) go to test, those of the
+    lowest hash of key and seed, in the order of the key where hashes agree. Adds ``is_test``.
+
+    The hash up to which a class goes to test is found by radix selection, so no class is ranked in one task; only rows of
+    exactly that hash are. A null label is a class."""
+    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    rows = df.withColumn("_h", F.conv(F.substring(digest, 1, 13), 16, 10).cast("double"))  # 52 bits, exact in a double
+    quota = F.floor(F.col("n") * F.lit(test_fraction) + 0.5)
+    limit = (selected(rows, [label], "_h", {"_at": lambda n: F.greatest(F.floor(n * F.lit(test_fraction) + 0.5) - 1, F.lit(0))})
+             .select(F.col(label).alias("_label"), "_at", quota.alias("_quota")))
+    rows = rows.join(limit, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+    below = (rows.filter("_h < _at").groupBy(label).agg(F.count(F.lit(1)).alias("_below")).select(F.col(label).alias("_label"), "_below"))
+    edge = rows.filter("_h = _at").join(below, F.col(label).eqNullSafe(F.col("_label")), "left")
+    order = Window.partitionBy(label).orderBy(F.asc(key))  # rows of one class and one hash
+    edge = edge.withColumn("is_test", F.row_number().over(order) <= F.col("_quota") - F.coalesce("_below", F.lit(0)))
+    rest = rows.filter("_h != _at").withColumn("is_test", F.col("_h") < F.col("_at"))
+    return rest.unionByName(edge.select(rest.columns)).drop("_h", "_at", "_quota")
 
 
 # Churn feature names.
@@ -39,7 +52,7 @@ CHURN_CAT = ["contract", "payment_method"]
 def fit_churn(df: DataFrame, label: str = "churn", key: str = "customer_id", seed: int = 42):
     """Scale numerics, one-hot categoricals (unknown kept), logistic (C=1 -> regParam 1/n) and
     gradient-boosted trees on a stratified 75/25 split. Returns (models dict, test predictions)."""
-    split = stratified_split(df, label, key, 0.25, seed)
+    split = checkpoint(stratified_split(df, label, key, 0.25, seed))
     train = split.filter(~F.col("is_test"))
     n_train = train.count()
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in CHURN_CAT]
@@ -66,22 +79,20 @@ def score(df: DataFrame, model, out: str = "proba") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1])
 
 
-def feature_importance(model, feature_names: list[str] | None = None):
-    """Tree importances or |coefficients| of the last pipeline stage, largest first (model-sized)."""
+def feature_names(model, df: DataFrame, features: str = "features") -> list[str]:
+    """Names of the assembled features, from the attributes that the fitted stages attach to their column."""
+    attributes = model.transform(df.limit(0)).schema[features].metadata["ml_attr"]["attrs"]
+    named = {a["idx"]: a.get("name", f"f{a['idx']}") for kind in attributes.values() for a in kind}
+    plain = {f"num_scaled_{i}": name for i, name in enumerate(CHURN_NUM)}
+    return [plain.get(named[i], named[i].replace("_oh_", "=")) for i in sorted(named)]
+
+
+def feature_importance(model, df: DataFrame) -> DataFrame:
+    """Feature, importance: tree importances or |coefficients| of the last pipeline stage, largest first (model-sized)."""
     clf = model.stages[-1]
     vals = clf.featureImportances.toArray() if hasattr(clf, "featureImportances") else np.abs(clf.coefficients.toArray())
-    names = feature_names or [f"f{i}" for i in range(len(vals))]
-    rows = sorted(zip(names, [float(v) for v in vals]), key=lambda r: -r[1])
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
-
-
-def churn_feature_names(model, df: DataFrame) -> list[str]:
-    names = list(CHURN_NUM)
-    for stage in model.stages:
-        if isinstance(stage, type(model.stages[0])) and hasattr(stage, "labels") and stage.getInputCol() in CHURN_CAT:
-            names += [f"{stage.getInputCol()}_{lab}" for lab in stage.labels] + [f"{stage.getInputCol()}__unknown"]
-    return names
+    rows = sorted(zip(feature_names(model, df), [float(v) for v in vals], strict=True), key=lambda r: (-r[1], r[0]))
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
 def binary_metrics(df: DataFrame, label: str = "label", prob: str = "score", threshold: float = 0.5) -> DataFrame:

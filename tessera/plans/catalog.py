@@ -76,6 +76,13 @@ def agent_performance(spark, d):
     return R.agent_performance(_tel(spark, d))
 
 
+@query
+def agent_errors(spark, d):
+    """Traces with a failed span, as the telemetry events they become."""
+    return FL.events_of(_tel(spark, d), TEL.AGENT_ERROR).select("session_id", "user_id", "error", "total_steps",
+                                                               fround("total_cost", 6).alias("total_cost"), "total_tokens")
+
+
 @query
 def top_users(spark, d):
     return R.top_users(_tel(spark, d), n=10)
@@ -963,6 +970,11 @@ def doc_quality_optimal_threshold(spark, d):
     return ML.optimal_threshold(ML.cost_curve(_doc_quality_scores(spark, d)))
 
 
+@query
+def churn_split(spark, d):
+    return ML.stratified_split(B.churn_customers(spark, d), "churn", "customer_id").select("customer_id", "churn", "is_test")
+
+
 @query
 def churn_model_predictions(spark, d):
     return ML.fit_churn(B.churn_customers(spark, d))[1]
@@ -979,7 +991,7 @@ def churn_model_metrics(spark, d):
 def churn_feature_importance(spark, d):
     df = B.churn_customers(spark, d)
     models, _ = ML.fit_churn(df)
-    return ML.feature_importance(models["gboost"])
+    return ML.feature_importance(models["gboost"], df)
 
 
 @query

@@ -64,11 +64,11 @@ span_events AS (
   FROM spans
 ),
 agent_events AS (
-  SELECT 'mcp_agent_complete' AS event_type, min(start_time) AS timestamp,
+  SELECT CASE WHEN bool_and(status <> 'error') THEN 'mcp_agent_complete' ELSE 'mcp_agent_error' END AS event_type, min(start_time) AS timestamp,
          'agent-' || trace_id AS event_id, trace_id AS session_id, first(user_id) AS user_id,
          NULL AS model, NULL AS complexity, NULL AS prompt_tokens, NULL AS completion_tokens, NULL AS cost_usd,
-         NULL AS latency_ms, NULL AS cached, bool_and(status <> 'error') AS success, NULL AS error,
-         NULL AS query_complexity, NULL AS selected_model, NULL AS fallback_model, NULL AS strategy,
+         NULL AS latency_ms, NULL AS cached, bool_and(status <> 'error') AS success,
+         CASE WHEN bool_or(status = 'error') THEN 'error' ELSE '' END AS error, NULL AS query_complexity, NULL AS selected_model, NULL AS fallback_model, NULL AS strategy,
          NULL AS decision_time_ms, NULL AS saved_cost, NULL AS saved_latency_ms,
          first(trace_name) AS query, '' AS tools_used, CAST(count(*) AS INTEGER) AS total_steps,
          max(epoch_us(start_time) / 1000.0 + coalesce(duration_ms, 0.0)) - min(epoch_us(start_time) / 1000.0)
@@ -137,6 +137,10 @@ SELECT round(avg(duration_ms), 6) AS avg_duration, round(avg(total_cost), 6) AS
          AS success_rate
 FROM telemetry WHERE event_type = 'mcp_agent_complete'""")
 
+SQL["agent_errors"] = _llm("""
+SELECT session_id, user_id, error, total_steps, round(total_cost, 6) AS total_cost, total_tokens
+FROM telemetry WHERE event_type = 'mcp_agent_error'""")
+
 SQL["top_users"] = _llm("""
 SELECT user_id, round(coalesce(sum(cost_usd), 0.0), 6) AS total_cost, count(*) AS total_calls
 FROM telemetry GROUP BY user_id ORDER BY total_cost DESC, user_id ASC LIMIT 10""")
@@ -1826,3 +1830,14 @@ gain AS (SELECT p.grid_index, sum(p.dcg / (SELECT sum(1.0 / log2(x + 1)) FROM ra
          FROM per p JOIN npos n USING (user_id) GROUP BY 1),
 res AS (SELECT g.*, round(coalesce(gain, 0.0) / (SELECT count(*) FROM npos), 9) AS ndcg FROM points g LEFT JOIN gain USING (grid_index))
 SELECT grid_index, w_cf, w_content, w_pop, w_ctx, round(ndcg, 6) AS ndcg, row_number() OVER (ORDER BY ndcg DESC, grid_index) = 1 AS best FROM res""")
+
+# A quarter of each class, rounded half up, by the lowest hashes.
+_SPLIT = """
+h AS (SELECT customer_id, churn, CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR) || ':42'), 1, 13) AS BIGINT) AS h FROM churners),
+split AS (SELECT customer_id, churn, row_number() OVER (PARTITION BY churn ORDER BY h, customer_id)
+                 <= CAST(floor(count(*) OVER (PARTITION BY churn) * 0.25 + 0.5) AS BIGINT) AS is_test FROM h)"""
+SQL["churn_split"] = """WITH cut AS (SELECT max(o_orderdate) - INTERVAL 365 DAY AS cut FROM orders),
+churners AS (SELECT c_custkey AS customer_id,
+                    CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= (SELECT cut FROM cut)) THEN 0 ELSE 1 END AS churn
+             FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate < (SELECT cut FROM cut))),""" + _SPLIT + """
+SELECT customer_id, CAST(churn AS INTEGER) AS churn, is_test FROM split"""

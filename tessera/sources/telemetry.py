@@ -132,7 +132,7 @@ def apply_retention(df: DataFrame, ts: str = "timestamp", seconds: int = 7_776_0
 
 
 def spans_to_events(spans: DataFrame) -> DataFrame:
-    """Trace spans -> telemetry events, plus one agent_complete event per trace.
+    """Trace spans -> telemetry events, plus one event per trace: agent_complete, or agent_error when any span failed.
 
     spans: trace_id, span_id, name, span_type, status, start_time, duration_ms, model, prompt_tokens,
     completion_tokens, tokens_used, cost, error, user_id, query_complexity, selected_model,
@@ -183,10 +183,11 @@ def spans_to_events(spans: DataFrame) -> DataFrame:
         F.sum(F.coalesce(F.col("cost"), F.lit(0.0))).alias("total_cost"),
         F.sum(F.coalesce(F.col("tokens_used"), F.lit(0))).cast("long").alias("total_tokens"),
         F.bool_and(ok).alias("success"),
+        F.min(F.when(~ok, F.struct("start_time", "span_id", "error"))).getField("error").alias("_error"),
     )
     agent_events = traces.select(
-        F.lit(AGENT_COMPLETE).alias("event_type"), "timestamp",
+        F.when(F.col("success"), F.lit(AGENT_COMPLETE)).otherwise(F.lit(AGENT_ERROR)).alias("event_type"), "timestamp",
         F.concat(F.lit("agent-"), F.col("trace_id")).alias("event_id"),
         F.col("trace_id").alias("session_id"), "user_id", "query", "tools_used", "total_steps",
-        "duration_ms", "total_cost", "total_tokens", "success")
+        "duration_ms", "total_cost", "total_tokens", "success", F.coalesce("_error", F.lit("")).alias("error"))
     return conform(span_events).unionByName(conform(agent_events))

@@ -120,27 +120,68 @@ def dispatch_batch(activities: DataFrame, processed: DataFrame | None, handlers:
     return outputs, todo.select("id", F.lit(True).alias("dispatched"))
 
 
+def _written(out: DataFrame, path: str) -> None:
+    out.write.mode("overwrite").parquet(path)
+
+
+def _isolated(events: DataFrame, handler, path: str, attempts: int, part: tuple[int, int] = (1, 0)) -> list[tuple[DataFrame, str]]:
+    """Run a route's handler and write its output under ``path``, one folder per part that succeeds.
+
+    When a part fails, it is split in halves by the hash of the ids and each half runs by itself, so that after a logarithmic number
+    of steps only the failing events are left; each is tried ``attempts`` times. Returns them with their errors."""
+    size, number = part
+    own = events.filter(F.pmod(F.xxhash64("id"), F.lit(size)) == number)
+    few = own.limit(2).count()
+    if not few:
+        return []
+    error = ""
+    for _ in range(attempts if few == 1 else 1):
+        try:
+            _written(handler(own), f"{path}/part={size}-{number}")
+            return []
+        except Exception as exc:  # whatever a handler raises concerns its events only
+            error = str(exc)[:500]
+    if few == 1 or size >= 1 << 40:  # equal ids can't be told apart
+        return [(own, error)]
+    return [bad for half in (number, number + size) for bad in _isolated(events, handler, path, attempts, (2 * size, half))]
+
+
 def dispatch_stream(activities: DataFrame, handlers: dict, processed_path: str, output_root: str,
-                    dead_letter_path: str, checkpoint: str, trigger: str | None = None):
-    """``foreachBatch`` outbox worker. Each micro-batch skips ids already in ``processed_path``
-    (idempotent across restarts), runs every route's handler and appends its output under
-    ``output_root/<type>__<subject>``; a failing route writes its input to the dead-letter path and the
-    other routes still run. Processed ids are appended last."""
+                    dead_letter_path: str, checkpoint: str, trigger: str | None = None, ts: str | None = None,
+                    late: str = "1 day", attempts: int = 2):
+    """Outbox worker over a stream of activities (id, type, subject_type, ...).
+
+    Once: repeated ids are dropped by keyed state, with ``ts`` only for as long as repeats can be ``late``, so no log of processed
+    ids is read again. Every output of a micro-batch goes to folders named by its epoch and replaces what an interrupted run of the same
+    epoch left there, so a restart at any point, also between outputs and ids, repeats the epoch without doubling it.
+    Isolated: handlers are called and run per route; where one raises, only the events that fail by themselves go to
+    ``dead_letter_path`` with the error, after ``attempts`` tries, and all others are handled (see ``redeliver``).
+
+    Layout: ``output_root/<type>__<subject>/epoch=N/part=...``, ``processed_path/epoch=N``, ``dead_letter_path/epoch=N/route=...``."""
+    once = (activities.dropDuplicates(["id"]) if ts is None
+            else activities.withWatermark(ts, late).dropDuplicatesWithinWatermark(["id"]))
+
     def process(batch: DataFrame, epoch_id: int):
-        spark = batch.sparkSession
+        batch = batch.persist()
         try:
-            done = spark.read.parquet(processed_path)
-        except Exception:  # first batch: nothing processed yet
-            done = None
-        outputs, ids = dispatch_batch(batch, done, handlers)
-        for (typ, subject), out in outputs.items():
-            try:
-                out.write.mode("append").parquet(f"{output_root}/{typ}__{subject}")
-            except Exception as exc:  # fail-isolated
-                batch.filter((F.col("type") == typ) & (F.col("subject_type") == subject)) \
-                    .withColumn("error", F.lit(str(exc)[:500])).write.mode("append").parquet(dead_letter_path)
-        ids.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(processed_path)
-
-    w = activities.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+            for (typ, subject), handler in handlers.items():
+                route = f"{typ}__{subject}"
+                own = batch.filter((F.col("type") == typ) & (F.col("subject_type") == subject))
+                for k, (bad, error) in enumerate(_isolated(own, handler, f"{output_root}/{route}/epoch={epoch_id}", attempts)):
+                    _written(bad.withColumn("error", F.lit(error)), f"{dead_letter_path}/epoch={epoch_id}/route={route}/n={k}")
+            _written(batch.select("id"), f"{processed_path}/epoch={epoch_id}")
+        finally:
+            batch.unpersist()
+
+    w = once.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
     return w.start()
+
+
+def redeliver(dead_letters: DataFrame, handlers: dict, output_root: str, dead_letter_path: str, run: str, attempts: int = 1) -> None:
+    """Hand dead letters (activities with ``error``) to their handlers again, later: outputs and what fails again are named by ``run``."""
+    for (typ, subject), handler in handlers.items():
+        route = f"{typ}__{subject}"
+        own = dead_letters.filter((F.col("type") == typ) & (F.col("subject_type") == subject)).drop("error", "epoch", "route", "n")
+        for k, (bad, error) in enumerate(_isolated(own, handler, f"{output_root}/{route}/epoch={run}", attempts)):
+            _written(bad.withColumn("error", F.lit(error)), f"{dead_letter_path}/epoch={run}/route={route}/n={k}")

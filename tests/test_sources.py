@@ -1,9 +1,12 @@
 """Sources and sinks: telemetry JSON, document folders, audit log, vouchers, ingest + dispatch streams."""
 
+import datetime as dt
 import json
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessera.operators import reports as R
@@ -80,16 +83,79 @@ def test_ingest_sink_and_metrics(spark):
     assert ST.ingest_metrics(q).agg(F.sum("input_rows")).first()[0] == 1
 
 
-def test_dispatch_stream_idempotent(spark):
+ACTIVITIES = "id string, type string, subject_type string, subject_id string"
+
+
+def _outbox(spark, root, handlers, **more):
+    stream = spark.readStream.schema(ACTIVITIES).parquet(os.path.join(root, "acts"))
+    paths = [os.path.join(root, x) for x in ("processed", "out", "dead", "ck")]
+    ST.dispatch_stream(stream, handlers, *paths, **more).awaitTermination()
+
+
+def _strict(a):
+    """A handler that fails when its output is written, for subjects that are no numbers."""
+    return a.select("id", F.col("subject_id").cast("int").alias("n"))
+
+
+def test_dispatch_stream_isolates_single_events(spark):
     root = tempfile.mkdtemp(prefix="tessera-dispatch-")
-    acts = spark.createDataFrame([("a1", "as.opened", "as", "t1"), ("a2", "delivery.done", "order", "o1")],
-                                 "id string, type string, subject_type string, subject_id string")
-    acts.write.parquet(os.path.join(root, "acts"))
-    handlers = {("as.opened", "as"): lambda a: a.select("subject_id"),
-                ("delivery.done", "order"): lambda a: a.select(F.col("subject_id").cast("int").alias("boom"))}
-    for _ in range(2):  # the second run finds nothing new
-        stream = spark.readStream.schema(acts.schema).parquet(os.path.join(root, "acts"))
-        ST.dispatch_stream(stream, handlers, os.path.join(root, "processed"), os.path.join(root, "out"),
-                           os.path.join(root, "dead"), os.path.join(root, "ck")).awaitTermination()
+    rows = [(f"a{k}", "as.opened", "as", "x" if k in (3, 11) else str(k)) for k in range(20)] + [("b1", "delivery.done", "order", "7"), ("c1", "note", "order", "1")]
+    spark.createDataFrame(rows, ACTIVITIES).write.parquet(os.path.join(root, "acts"))
+
+    def raising(a):
+        raise RuntimeError("no route")
+
+    _outbox(spark, root, {("as.opened", "as"): _strict, ("delivery.done", "order"): raising})
+    out = spark.read.parquet(os.path.join(root, "out", "as.opened__as"))
+    assert {r["n"] for r in out.collect()} == set(range(20)) - {3, 11}
+    dead = {r["id"]: r["error"] for r in spark.read.parquet(os.path.join(root, "dead")).collect()}
+    assert set(dead) == {"a3", "a11", "b1"} and "no route" in dead["b1"]
+    assert spark.read.parquet(os.path.join(root, "processed")).count() == 22
+    again = spark.read.parquet(os.path.join(root, "dead"))
+    ST.redeliver(again, {("as.opened", "as"): lambda a: a.select("id", F.lit(-1).alias("n"))}, os.path.join(root, "out"), os.path.join(root, "dead2"), "retry")
+    assert spark.read.parquet(os.path.join(root, "out", "as.opened__as")).count() == 20
+
+
+def test_dispatch_stream_once(spark):
+    """Repeated ids and repeated runs trigger nothing new."""
+    root = tempfile.mkdtemp(prefix="tessera-dispatch-")
+    rows = [("a1", "as.opened", "as", "1"), ("a1", "as.opened", "as", "1"), ("a2", "as.opened", "as", "2")]
+    handlers = {("as.opened", "as"): _strict}
+    for more in (rows, rows[:1] + [("a3", "as.opened", "as", "3")]):
+        spark.createDataFrame(more, ACTIVITIES).write.mode("append").parquet(os.path.join(root, "acts"))
+        _outbox(spark, root, handlers)
+    _outbox(spark, root, handlers)
+    out = spark.read.parquet(os.path.join(root, "out", "as.opened__as"))
+    assert sorted(r["n"] for r in out.collect()) == [1, 2, 3]
+
+
+def test_dispatch_restart_between_output_and_ids(spark, monkeypatch):
+    """A worker that dies after the outputs of an epoch and before its ids repeats the epoch without doubling outputs."""
+    root = tempfile.mkdtemp(prefix="tessera-dispatch-")
+    spark.createDataFrame([("a1", "as.opened", "as", "1"), ("a2", "as.opened", "as", "2")], ACTIVITIES).write.parquet(os.path.join(root, "acts"))
+    written = ST._written
+
+    def dying(out, path):
+        if "/processed/" in path:
+            raise OSError("lost")
+        written(out, path)
+
+    monkeypatch.setattr(ST, "_written", dying)
+    with pytest.raises(Exception, match="lost"):
+        _outbox(spark, root, {("as.opened", "as"): _strict})
+    assert spark.read.parquet(os.path.join(root, "out", "as.opened__as")).count() == 2 and not os.path.exists(os.path.join(root, "processed"))
+    monkeypatch.setattr(ST, "_written", written)
+    _outbox(spark, root, {("as.opened", "as"): _strict})
+    assert spark.read.parquet(os.path.join(root, "out", "as.opened__as")).count() == 2
     assert spark.read.parquet(os.path.join(root, "processed")).count() == 2
-    assert spark.read.parquet(os.path.join(root, "out", "as.opened__as")).count() == 1
+
+
+def test_failed_traces_become_agent_errors(spark):
+    from tessera.sources import telemetry as TEL
+    from tessera.sources.bindings import spans_from_events
+    t0 = dt.datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, t0, 1, "view", 1.0, '{"k": 1}'), (2, t0, 1, "error", 2.0, '{"k": 2}'), (3, t0, 2, "view", 3.0, '{"k": 3}')],
+                                   "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    got = TEL.spans_to_events(spans_from_events(events)).filter(F.col("event_id").startswith("agent-")).collect()
+    assert {(r["user_id"], r["event_type"], r["success"], r["error"]) for r in got} == {
+        ("1", TEL.AGENT_ERROR, False, "error"), ("2", TEL.AGENT_COMPLETE, True, "")}
