@@ -7,13 +7,12 @@ row_number over a partition of at most |catalog| rows.
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import cooldown
+from tessera.operators.common import checkpoint, prefix_sums
 from tessera.functions import fround, word_count
 from tessera.operators.common_join import broadcast_if_small
 
@@ -204,48 +203,33 @@ def estimate_cost(df: DataFrame, catalog: DataFrame, text: str = "text", model:
             .drop("input_cost_per_1k", "output_cost_per_1k"))
 
 
-REPLAY_SCHEMA = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("cache_key", T.StringType()),
-                              T.StructField("cache_hit", T.BooleanType()),
-                              T.StructField("entry_written_at", T.TimestampNTZType())])
-
-
 def exact_cache_replay(df: DataFrame, ttl_seconds: int = 3600, id_col: str = "request_id", ts: str = "ts",
                        prompt: str = "prompt", model: str = "model", temperature: str = "temperature") -> DataFrame:
-    """Replay a request stream against an exact-match cache. key = sha256("model:temp:prompt");
-    a request hits when an entry written at an earlier miss is still live (written + ttl > ts);
-    entries are written only at misses with temperature 0 and are not refreshed by hits.
+    """Which requests of a stream find a live entry of an exact-match cache. key = sha256("model:temp:prompt"); an entry is
+    written at a miss with temperature 0, lives ``ttl_seconds`` and is not refreshed by hits.
 
-    The per-key recurrence is sequential, so requests are hash-partitioned by key and sorted; each
-    partition is then streamed batch by batch (constant memory per key, no group is materialised)."""
+    The writes of a key are a cooldown chain over the times of its requests with temperature 0 (``cooldown.fired``); every other
+    request takes the last write before it, found by counting writes along one sorted order of all keys. No key is
+    replayed in one task. Requests of one key and time are ordered by id; one without a time neither hits nor writes."""
     tf = F.coalesce(F.col(temperature).cast("double"), F.lit(0.0))
     key = F.sha2(F.concat_ws(":", F.col(model), F.format_string("%s", _py_float_text(tf)), F.col(prompt)), 256)
-    prepared = (df.select(F.col(id_col).cast("string").alias("request_id"), F.col(ts).alias("ts"),
-                          key.alias("cache_key"), (tf > 0).alias("_warm"))
-                .repartition("cache_key").sortWithinPartitions("cache_key", "ts", "request_id"))
-    ttl_us = int(ttl_seconds * 1_000_000)
-
-    def replay(batches):
-        cur_key, expires = None, None
-        for pdf in batches:
-            hits, written = [], []
-            for k, t, warm in zip(pdf["cache_key"], pdf["ts"], pdf["_warm"]):
-                if k != cur_key:
-                    cur_key, expires = k, None
-                tu = pd.Timestamp(t).value // 1000
-                if expires is not None and expires > tu:
-                    hits.append(True)
-                    written.append(None)
-                else:
-                    hits.append(False)
-                    if not warm:
-                        expires = tu + ttl_us
-                        written.append(t)
-                    else:
-                        written.append(None)
-            yield pd.DataFrame({"request_id": pdf["request_id"], "cache_key": pdf["cache_key"], "cache_hit": hits,
-                                "entry_written_at": pd.to_datetime(pd.Series(written, dtype="object"))})
-
-    return prepared.mapInPandas(replay, REPLAY_SCHEMA)
+    life = int(ttl_seconds * 1_000_000)
+    rows = checkpoint(df.select(F.col(id_col).cast("string").alias("request_id"), F.col(ts).alias("ts"), key.alias("cache_key"),
+                                (tf > 0).alias("warm"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")))
+    times = checkpoint(rows.filter("not warm and t is not null").groupBy("cache_key", "t").agg(F.min("request_id").alias("writer"))
+                       .withColumn("cooldown", F.lit(life)))
+    writes = cooldown.fired(times, "cache_key").filter("fires").join(times.drop("cooldown"), ["cache_key", "t"]).select("cache_key", "t", "writer")
+    order = ["cache_key", "t", "request_id", "write"]
+    asked = rows.select("request_id", "ts", "cache_key", "t", F.lit(0).alias("write")).unionByName(
+        writes.select(F.col("writer").alias("request_id"), "cache_key", "t", F.lit(1).alias("write")), allowMissingColumns=True)
+    counted = checkpoint(prefix_sums(asked, order, ["write"]))  # a request comes before its own write
+    entries = counted.filter("write = 1").select(F.col("write_cum").alias("_number"), F.col("cache_key").alias("_key"), F.col("t").alias("_t"), F.col("request_id").alias("_writer"))
+    found = counted.filter("write = 0").join(entries, F.col("write_cum") == F.col("_number"), "left")
+    hit = F.coalesce((F.col("cache_key") == F.col("_key")) & (F.col("t") < F.col("_t") + life), F.lit(False))
+    own = entries.select(F.col("_key").alias("_own"), F.col("_writer").alias("_by"), F.col("_t").alias("_at"))
+    marked = found.select("request_id", "ts", "cache_key", "t", hit.alias("cache_hit")).join(
+        own, (F.col("cache_key") == F.col("_own")) & (F.col("request_id") == F.col("_by")) & (F.col("t") == F.col("_at")), "left")
+    return marked.select("request_id", "cache_key", "cache_hit", F.when(F.col("_at").isNotNull(), F.col("ts").cast("timestamp_ntz")).alias("entry_written_at"))
 
 
 def _py_float_text(c: Column) -> Column:
@@ -253,10 +237,6 @@ def _py_float_text(c: Column) -> Column:
     return c.cast("string")
 
 
-def cache_key_py(model: str, temperature: float, prompt: str) -> str:
-    return hashlib.sha256(f"{model}:{temperature}:{prompt}".encode()).hexdigest()
-
-
 def semantic_lookup(queries: DataFrame, entries: DataFrame, threshold: float = 0.92, ttl_hours: float = 24.0,
                     top_k: int = 3, now=None, qid: str = "query_id") -> DataFrame:
     """Exact hit first (same normalised query and model, entry alive), else the ``top_k`` nearest

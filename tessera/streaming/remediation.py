@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -195,57 +195,49 @@ def suppress_stream(alerts: DataFrame, key: str = "anomaly_type", seconds: int =
                                                         GroupStateTimeout.NoTimeout)
 
 
-WEIGHT_SCHEMA = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("cause", T.StringType()),
-                              T.StructField("cost_weight", T.DoubleType()), T.StructField("quality_weight", T.DoubleType()),
-                              T.StructField("speed_weight", T.DoubleType())])
-
-
 def weight_timeline(decisions: DataFrame, base=(0.3, 0.5, 0.2), policies=None) -> DataFrame:
-    """Router weights after every applied remediation. cost_spike raises cost / cuts quality and
-    schedules a restore to the first saved weights after its cooldown; latency_spike raises speed
-    (<= 0.6); error_rate_high lowers cost (>= 0.1) and raises quality (<= 0.7); those two persist.
-
-    The router state is global (one sequence), but its input is the handled-alert stream, which the
-    cooldowns keep small; the fold runs in one task over that stream only."""
-    pol = {p.anomaly_type: p for p in (policies or DEFAULT_POLICIES)}
-    applied = decisions.filter(F.col("handled") & ~F.col("skipped")).select("ts", "anomaly_type") \
-        .repartition(1).sortWithinPartitions("ts", "anomaly_type")
-
-    def run(batches):
-        w = {"cost": base[0], "quality": base[1], "speed": base[2]}
-        orig = None
-        restores = []  # (due, snapshot)
-        for pdf in batches:
-            out = []
-            for ts, typ in zip(pdf["ts"], pdf["anomaly_type"]):
-                t = pd.Timestamp(ts)
-                restores.sort(key=lambda r: r[0])
-                while restores and restores[0][0] <= t:
-                    due, snap = restores.pop(0)
-                    w.update(snap)
-                    out.append((due.to_pydatetime(), "restore", w["cost"], w["quality"], w["speed"]))
-                p = pol.get(typ)
-                if typ == "cost_spike" and p and p.fallback_model:
-                    if orig is None:
-                        orig = dict(w)
-                    w["cost"] += p.cost_weight_boost
-                    w["quality"] -= p.quality_weight_cut
-                    restores.append((t + pd.Timedelta(seconds=p.cooldown_sec), dict(orig)))
-                elif typ == "latency_spike":
-                    w["speed"] = min(0.6, w["speed"] + 0.2)
-                elif typ == "error_rate_high" and p and p.fallback_model:
-                    w["cost"] = max(0.1, w["cost"] - 0.1)
-                    w["quality"] = min(0.7, w["quality"] + 0.1)
-                else:
-                    continue
-                out.append((t.to_pydatetime(), typ, round(w["cost"], 6), round(w["quality"], 6), round(w["speed"], 6)))
-            if out:  # decisions that do not touch the router weights emit nothing
-                yield pd.DataFrame(out, columns=[f.name for f in WEIGHT_SCHEMA.fields])
-        tail = []
-        for due, snap in sorted(restores, key=lambda r: r[0]):
-            w.update(snap)
-            tail.append((due.to_pydatetime(), "restore", w["cost"], w["quality"], w["speed"]))
-        if tail:
-            yield pd.DataFrame(tail, columns=[f.name for f in WEIGHT_SCHEMA.fields])
-
-    return applied.mapInPandas(run, WEIGHT_SCHEMA)
+    """Router weights after every applied remediation and every restore: ts, cause, cost_weight, quality_weight, speed_weight.
+
+    A cost spike shifts weight from quality to cost and is followed, after its cooldown, by a restore of the weights that held before the
+    first cost spike; a latency spike adds 0.2 to speed, up to 0.6; a high error rate moves 0.1 from cost (down to 0.1) to quality (up
+    to 0.7). Between restores each weight is a sum of steps reflected at its limit, and such a sum is
+    ``S + max(0, max(limit - S))`` over the running sums S, so running sums and running maxima give the whole line. Restores come
+    before alerts of the same time. The cooldowns bound the rows: a type is applied once per cooldown at most."""
+    steps = {}
+    for p in policies or DEFAULT_POLICIES:
+        if p.anomaly_type == "cost_spike" and p.fallback_model:
+            steps[p.anomaly_type] = (p.cost_weight_boost, -p.quality_weight_cut, 0.0, p.cooldown_sec)
+        elif p.anomaly_type == "latency_spike":
+            steps[p.anomaly_type] = (0.0, 0.0, 0.2, None)
+        elif p.anomaly_type == "error_rate_high" and p.fallback_model:
+            steps[p.anomaly_type] = (-0.1, 0.1, 0.0, None)
+    table = decisions.sparkSession.createDataFrame([(k, *v) for k, v in steps.items()], "cause string, cost double, quality double, speed double, after int")
+    alerts = (decisions.filter(F.col("handled") & ~F.col("skipped")).select("ts", F.col("anomaly_type").alias("cause")).join(F.broadcast(table), "cause")
+              .withColumn("kind", F.lit(1)))
+    back = alerts.filter("after is not null").select(
+        (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("after"))).alias("ts"), F.lit("restore").alias("cause"),
+        *[F.lit(0.0).alias(c) for c in ("cost", "quality", "speed")], F.lit(0).alias("kind"))
+    line = alerts.drop("after").unionByName(back)
+    order = [F.asc("ts"), F.asc("kind"), F.asc("cause")]
+    upto = Window.orderBy(*order)  # few rows, see above
+    line = (line.withColumn("part", F.sum(1 - F.col("kind")).over(upto))
+            .withColumn("spikes", F.sum((F.col("cause") == "cost_spike").cast("int")).over(upto)))
+    within = Window.partitionBy("part").orderBy(*order)
+    names = ("cost", "quality", "speed")
+    limits = {"cost": (0.1, 1), "quality": (0.7, -1), "speed": (0.6, -1)}  # fixed values: limit, and whether it is a lower (1) or an upper one (-1)
+    line = line.select("*", *[F.sum(n).over(within).alias(f"{n}_sum") for n in names])
+
+    def weights(rows: DataFrame, start: dict) -> DataFrame:
+        out = []
+        for n in names:
+            limit, sign = limits[n]
+            over = F.max(sign * (F.lit(limit) - start[n] - F.col(f"{n}_sum"))).over(within)
+            out.append((start[n] + F.col(f"{n}_sum") + sign * F.greatest(F.lit(0.0), over)).alias(f"{n}_weight"))
+        return rows.select("ts", "kind", "cause", "part", "spikes", *out)
+
+    first = {n: F.lit(float(b)) for n, b in zip(names, base)}
+    before = weights(line, first).filter("spikes = 0 and part = 0").agg(
+        F.max(F.struct("ts", "kind", "cause", *[f"{n}_weight" for n in names])).alias("saved"))
+    later = {n: F.when(F.col("part") == 0, first[n]).otherwise(F.coalesce(F.col(f"saved.{n}_weight"), first[n])) for n in names}
+    return (weights(line.crossJoin(before), later)
+            .select("ts", "cause", *[F.round(f"{n}_weight", 6).alias(f"{n}_weight") for n in names]))

@@ -39,6 +39,50 @@ def test_weight_timeline(spark):
     assert (restore["cost_weight"], restore["quality_weight"], restore["speed_weight"]) == (0.3, 0.5, 0.2)
 
 
+def test_weight_timeline_by_force(spark):
+    """Against one pass over the line: several spikes, errors and latency alerts around the limits."""
+    import random
+    rnd = random.Random(2)
+    rows = sorted({(T0 + dt.timedelta(seconds=rnd.randrange(20000)), rnd.choice(["cost_spike", "latency_spike", "error_rate_high", "error_rate_high", "dlp_burst"]))
+                   for _ in range(60)})
+    df = spark.createDataFrame([(t, a, True, False) for t, a in rows], "ts timestamp_ntz, anomaly_type string, handled boolean, skipped boolean")
+    got = sorted(map(tuple, RM.weight_timeline(df).collect()))
+    line = sorted([(t, 1, a) for t, a in rows if a != "dlp_burst"] + [(t + dt.timedelta(seconds=600), 0, "restore") for t, a in rows if a == "cost_spike"])
+    w, saved, expected = [0.3, 0.5, 0.2], None, []
+    for t, _, cause in line:
+        if cause == "restore":
+            w = list(saved)
+        elif cause == "cost_spike":
+            saved = saved or list(w)
+            w = [w[0] + 0.3, w[1] - 0.2, w[2]]
+        elif cause == "latency_spike":
+            w[2] = min(0.6, w[2] + 0.2)
+        else:
+            w = [max(0.1, w[0] - 0.1), min(0.7, w[1] + 0.1), w[2]]
+        expected.append((t, cause, *[round(x, 6) for x in w]))
+    assert [(a[0], a[1]) for a in got] == [(a[0], a[1]) for a in sorted(expected)]
+    assert all(abs(x - y) < 2e-6 for a, b in zip(got, sorted(expected)) for x, y in zip(a[2:], b[2:]))
+
+
+def test_cache_replay_by_force(spark):
+    import random
+
+    from tessera.operators import routing as RT
+    rnd = random.Random(6)
+    rows = [(f"r{k:03d}", T0 + dt.timedelta(seconds=rnd.randrange(300)), rnd.choice(["p", "q"]), "m", rnd.choice([0.0, 0.0, 0.7, None])) for k in range(200)]
+    got = {r["request_id"]: (r["cache_hit"], r["entry_written_at"]) for r in RT.exact_cache_replay(
+        spark.createDataFrame(rows, "request_id string, ts timestamp_ntz, prompt string, model string, temperature double"), ttl_seconds=40).collect()}
+    until, expected = {}, {}
+    for i, t, p, _, temp in sorted(rows, key=lambda r: (r[1], r[0])):
+        key = (p, temp or 0.0)
+        hit = key in until and t < until[key]
+        write = not hit and not (temp or 0.0) > 0
+        if write:
+            until[key] = t + dt.timedelta(seconds=40)
+        expected[i] = (hit, t if write else None)
+    assert got == expected
+
+
 def _write_parts(spark, rows, schema, n_parts):
     path = tempfile.mkdtemp(prefix="tessera-stream-")
     df = spark.createDataFrame(rows, schema)
