@@ -42,7 +42,7 @@ from tessera.llm.components import components
 from tessera.llm.spark_tools import bitmap, checkpoint, in_bitmap
 
 #: Shingles counted in one group of a hash range.
-RANGE_TOKENS = 3_000_000
+RANGE_TOKENS = 500_000
 #: Nodes whose shingles are counted and answered together.
 BATCH_NODES = 1500
 ROUNDS = 4
