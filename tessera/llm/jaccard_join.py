@@ -14,10 +14,8 @@ Method.
    Small sets enumerate the 2-subsets of that beginning (k = 2) and meet where they share one; sets from a boundary
    size on, and those small ones that can reach them, stand in inverted lists of single shingles (k = 1). The boundary
    is the size at which the sum of subsets enumerated and list entries scanned is least, from a table of costs by size.
-5. Nodes that meet are compared exactly. Within one meeting place not all pairs are compared: nodes are first compared
-   with one other node of it (in turns, another each time), linked ones are merged into components, and places
-   whose nodes are all connected are done. Whatever pairs of different components are left are then all compared, so
-   that no link between components is lost.
+5. Nodes that meet are compared exactly, by ``meeting``: with the hub of each place first, then blocks of the place's largest
+   component with blocks of what is left, so that no link between components is lost and not all pairs of a place are looked at.
 
 Sets are of 64-bit hashes of the words, so two texts are compared wrongly only if two of their own shingles collide.
 
@@ -38,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel as K
-from tessera.llm.components import components
+from tessera.llm.meeting import met, node_components
 from tessera.llm.spark_tools import bitmap, checkpoint, in_bitmap
 
 #: Shingles counted in one group of a hash range.
 RANGE_TOKENS = 500_000
 #: Nodes whose shingles are counted and answered together.
 BATCH_NODES = 1500
-ROUNDS = 4
+READS = 5
 
 
 def sets_of(blobs: list[bytes], words: int) -> list[np.ndarray]:
@@ -236,13 +234,13 @@ def least(n: int, percent: int) -> int:
 def boundary(nodes: DataFrame) -> int:
     """The size from which sets use inverted lists: least sum of 2-subsets below it and list entries scanned above.
 
-    A 2-subset is nearly always met once; an entry of a list is read again in each round of comparisons.
+    A 2-subset is nearly always met once; an entry of a list is read again in each round of comparisons (``READS`` in all).
 
     The costs are summed by logarithm of the size, at most a few hundred rows.
     """
     m = F.size("begin")
     costs = (nodes.select(F.floor(F.log(F.col("n").cast("double")) * 8).alias("bin"), "n", (m * (m - 1) / 2).alias("subsets"),
-                          (m * (ROUNDS + 1)).alias("entries"))
+                          (m * READS).alias("entries"))
              .groupBy("bin").agg(F.min("n").alias("n"), F.sum("subsets").alias("subsets"), F.sum("entries").alias("entries"))
              .orderBy("bin").collect())
     choices = [(sum(c["subsets"] for c in costs[:k]) + sum(c["entries"] for c in costs[k:]), costs[k]["n"] if k < len(costs) else 1 << 60)
@@ -281,66 +279,6 @@ def places(nodes: DataFrame, bound: int, percent: int) -> DataFrame:
     return nodes.select("node", "n", "begin", "places").mapInArrow(run, "g long, node long, n long, place long, small boolean")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that link."""
-    sets = nodes.select("node", "n", "shared")
-    both = (pairs.join(sets.toDF("b", "nb", "sb"), "b").join(sets.toDF("a", "na", "sa"), "a"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            keep = []
-            for na, nb, sa, sb in zip(*(t.column(i).to_pylist() for i in range(2, 6))):
-                x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (na + nb - common))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "u long, v long")
-
-
-def may_link(percent: int):
-    """Size and position filters of two entries x, y of one place: what is left of both sets must reach the overlap."""
-    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
-    return ((F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n"))
-            & (F.col("x.n") - F.col("x.place") >= need) & (F.col("y.n") - F.col("y.place") >= need))
-
-
-def node_components(meet: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of nodes with links; see step 5."""
-    links = None
-    comp = None
-    entry = F.struct("node", "n", "place", "comp")
-    active = checkpoint(meet.groupBy("g", "small").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
-                        .select("g", "small").join(meet, ["g", "small"]))
-    for turn in range(ROUNDS + 1):
-        now = active.withColumn("comp", F.col("node")) if comp is None else active.join(
-            comp.select("node", F.col("component").alias("c")), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c")
-        mixed = now.groupBy("g", "small").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("g", "small")
-        now = checkpoint(now.join(mixed, ["g", "small"]))
-        sizes = now.groupBy("g", "small", "comp").agg(F.count("*").alias("c")).groupBy("g", "small").agg(
-            F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(
-            F.sum(F.col("s") * F.col("s") - F.col("q")).alias("pairs"), F.sum("s").alias("entries")).first()
-        if not sizes["entries"]:
-            break
-        rest = turn == ROUNDS or sizes["pairs"] <= 16 * sizes["entries"]
-        if rest:  # all pairs of different components that still meet
-            pairs = now.alias("x").join(now.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.small") == F.col("y.small"))
-                                        & (F.col("x.comp") < F.col("y.comp")) & may_link(percent))
-        else:
-            lead = now.groupBy("g", "small").agg(F.min_by(entry, F.xxhash64("node", F.lit(turn))).alias("e")).select(
-                "g", "small", "e.*")
-            pairs = now.alias("x").join(lead.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.small") == F.col("y.small"))
-                                        & (F.col("x.comp") != F.col("y.comp")) & may_link(percent))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("b"), F.greatest("x.node", "y.node").alias("a")).distinct()
-        new = checkpoint(verified(pairs, nodes, percent))
-        links = new if links is None else links.unionByName(new)
-        comp = checkpoint(components(links))
-        active = now.drop("comp")
-        if rest:
-            break
-    return comp
-
-
 def linked(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links); one row per input row."""
     docs = df.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -355,13 +293,13 @@ def linked(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5
         sets = node_sets(docs, able, words)
         nodes = checkpoint(beginnings(sets, percent, 1 + size[0] // BATCH_NODES, 1 + size[1] // RANGE_TOKENS))
         bound = boundary(nodes)
-        meet = places(nodes, bound, percent)
-        comp = node_components(meet, nodes, percent)
+        meet = met(places(nodes, bound, percent).select(F.xxhash64("g", "small").alias("g"), "node"))
+        comp = node_components(meet, checkpoint(meet.select("node").distinct()), nodes.select("node", "n", F.col("shared").alias("tokens")), percent)
     else:
         comp = None
     if comp is not None:
-        lowest = (comp.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low")))
-        named = comp.join(lowest, "component").select("node", "low")
+        lowest = comp.join(classes.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("low"))
+        named = comp.join(lowest, "comp").select("node", "low")
         classes = classes.join(named, "node", "left").withColumn("rep", F.coalesce("low", "rep"))
     return (rows.join(classes.select("key", F.col("rep").alias("component_id")), "key", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))

@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from fixtures import empty, odd, prose, rows_of  # noqa: E402
 
-from tessera.llm import minmax_dedup  # noqa: E402
+from tessera.llm import meeting, minmax_dedup  # noqa: E402
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,9 +78,9 @@ def near_copies(n):
 
 @pytest.mark.parametrize("rounds", [1, 3])
 def test_places_in_small_blocks(spark, monkeypatch, rounds):
-    monkeypatch.setattr(minmax_dedup, "BLOCK", 4)
-    monkeypatch.setattr(minmax_dedup, "COLUMNS", 8)
-    monkeypatch.setattr(minmax_dedup, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(meeting, "BLOCK", 4)
+    monkeypatch.setattr(meeting, "COLUMNS", 8)
+    monkeypatch.setattr(meeting, "HUB_ROUNDS", rounds)
     check(spark.createDataFrame(near_copies(60), "doc_id long, text string").repartition(5))
 
 
