@@ -102,9 +102,9 @@ def catalog_table(spark) -> DataFrame:
     return spark.createDataFrame(MODEL_CATALOG, CATALOG_SCHEMA).withColumn("catalog_order", F.monotonically_increasing_id())
 
 
-def candidates(prompts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Every prompt paired with every catalog model (catalog size-checked, then broadcast)."""
-    return prompts.crossJoin(broadcast_if_small(catalog))
+def candidates(levels: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Every level (a handful of rows) paired with every catalog model; prompts never are, as a ranking depends on the level only."""
+    return levels.crossJoin(catalog)
 
 
 def route(df: DataFrame, catalog: DataFrame, weights=(0.3, 0.5, 0.2), max_cost: float | None = None,
@@ -124,7 +124,8 @@ def route(df: DataFrame, catalog: DataFrame, weights=(0.3, 0.5, 0.2), max_cost:
     if max_latency_ms is not None:
         cat = cat.filter(F.col("avg_latency_ms") <= max_latency_ms)
     minq = F.create_map(*[x for k, v in MIN_QUALITY.items() for x in (F.lit(k), F.lit(v))])
-    pairs = candidates(cls.select(id_col, "level"), cat).filter(F.col("quality_score") >= minq[F.col("level")])
+    levels = df.sparkSession.createDataFrame([(k,) for k in MIN_QUALITY], "level int")
+    pairs = candidates(levels, cat).filter(F.col("quality_score") >= minq[F.col("level")])
     hi, lo = F.col("level").isin(4, 5), F.col("level").isin(1, 2)
     aq = F.when(hi, wq * 1.3).when(lo, wq * 0.7).otherwise(wq)
     ac = F.when(hi, wc * 0.7).when(lo, wc * 1.3).otherwise(wc)
@@ -134,15 +135,15 @@ def route(df: DataFrame, catalog: DataFrame, weights=(0.3, 0.5, 0.2), max_cost:
     if preferred:
         pm = F.create_map(*[x for i, m in enumerate(preferred) for x in (F.lit(m), F.lit(i))])
         pref_rank = F.coalesce(pm[F.col("model")], F.lit(len(preferred)))
-    w = Window.partitionBy(id_col).orderBy(F.desc("score"), pref_rank, "catalog_order")
+    w = Window.partitionBy("level").orderBy(F.desc("score"), pref_rank, "catalog_order")
     ranked = pairs.withColumn("score", score).withColumn("_r", F.row_number().over(w)).filter("_r <= 2")
-    best = ranked.groupBy(id_col).agg(
+    best = ranked.groupBy("level").agg(
         F.max(F.when(F.col("_r") == 1, F.col("model"))).alias("selected_model"),
         F.max(F.when(F.col("_r") == 2, F.col("model"))).alias("fallback_model"),
         F.max(F.when(F.col("_r") == 1, F.col("score"))).alias("score"))
     strategy = ("quality_first" if wq > 0.6 else "cost_optimized" if wc > 0.5 else "speed_first" if ws > 0.4
                 else "balanced")
-    out = cls.join(best, id_col, "left")
+    out = cls.join(F.broadcast(best), "level", "left")  # a row per level
     cat_cost = catalog.select(F.col("model").alias("selected_model"), "input_cost_per_1k", "output_cost_per_1k",
                               "avg_latency_ms")
     out = (out.withColumn("selected_model", F.coalesce(F.col("selected_model"), F.lit("gpt-4o-mini")))
@@ -167,8 +168,7 @@ def route_by_strategy(df: DataFrame, catalog: DataFrame, strategy: str = "balanc
                                  "task_complexity string, cand_order int, model string")
     if available is not None:
         cand = cand.filter(F.col("model").isin(*available))
-    pairs = (t.select(id_col, "task_complexity").join(F.broadcast(cand), "task_complexity")
-             .join(broadcast_if_small(catalog.drop("catalog_order")), "model"))
+    pairs = cand.join(catalog.drop("catalog_order"), "model")
     if strategy == "cost":
         key = [F.asc("input_cost_per_1k")]
     elif strategy == "quality":
@@ -181,10 +181,10 @@ def route_by_strategy(df: DataFrame, catalog: DataFrame, strategy: str = "balanc
         key = [F.desc(bal)]
     else:
         raise ValueError("strategy must be cost, quality, speed or balanced")
-    w = Window.partitionBy(id_col).orderBy(*key, F.asc("cand_order"))
-    best = pairs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(id_col, F.col("model").alias(
-        "selected_model"))
-    return t.select(id_col, "task_complexity").join(best, id_col, "left").withColumn(
+    w = Window.partitionBy("task_complexity").orderBy(*key, F.asc("cand_order"))
+    best = pairs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("task_complexity", F.col("model").alias("selected_model"))
+    # a row per task complexity
+    return t.select(id_col, "task_complexity").join(F.broadcast(best), "task_complexity", "left").withColumn(
         "selected_model", F.coalesce(F.col("selected_model"), F.lit("gpt-4o-mini"))).withColumn(
         "strategy", F.lit(strategy))
 

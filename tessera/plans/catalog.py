@@ -627,6 +627,11 @@ def strategy_routing_cost(spark, d):
     return RT.route_by_strategy(B.prompts(spark, d), RT.catalog_table(spark), "cost")
 
 
+@query
+def strategy_routing_speed(spark, d):
+    return RT.route_by_strategy(B.prompts(spark, d), RT.catalog_table(spark), "speed")
+
+
 @query
 def prompt_cost_estimates(spark, d):
     p = RT.route_by_strategy(B.prompts(spark, d), RT.catalog_table(spark), "quality")

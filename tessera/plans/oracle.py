@@ -1064,6 +1064,7 @@ FROM task t LEFT JOIN best b USING (prompt_id)"""
 
 SQL["strategy_routing_balanced"] = _strategy_sql("balanced")
 SQL["strategy_routing_cost"] = _strategy_sql("cost")
+SQL["strategy_routing_speed"] = _strategy_sql("speed")
 
 SQL["prompt_cost_estimates"] = _strategy_sql("quality").replace(
     "SELECT t.prompt_id, t.task_complexity, coalesce(b.selected_model, 'gpt-4o-mini') AS selected_model,\n"
