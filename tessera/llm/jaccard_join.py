@@ -5,10 +5,9 @@
 
 Method.
 1. Texts with the same set form one class (128-bit hash of the sorted shingle hashes); a class is one node from here.
-2. A node can only link if ``percent`` of its shingles occur in another class. Shingles are counted by hash ranges:
-   a slice of texts sends each shingle once per range, those that it holds in several classes already merged, and gets
-   back how many of each class's shingles are shared. Counting uses 32 bits within a range, which may keep a node too
-   many, never too few.
+2. A node can only link if ``percent`` of its shingles occur in another class. Shingles are counted by hash ranges, which get
+   each one with its class (8 bytes in all) and give back how many of each class's shingles are shared. Counting uses 32 bits of the
+   shingle within a range and 32 bits of the class; agreement of two classes in these bits besides a shared shingle is ignored (2^-32).
 3. The nodes that are left are ordered shingle by shingle: rarest first, by the number of nodes that hold it.
 4. With overlap at least T(n) = ceil(percent * n / 100), two linked sets share k of their first n - T(n) + k shingles.
    Small sets enumerate the 2-subsets of that beginning (k = 2) and meet where they share one; sets from a boundary
@@ -32,6 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +41,8 @@ from tessera.llm.spark_tools import bitmap, checkpoint, in_bitmap
 
 #: Shingles counted in one group of a hash range.
 RANGE_TOKENS = 500_000
+#: Shingles that a task gathers before it sends them to their ranges.
+SENT_TOKENS = 1 << 20
 #: Nodes whose shingles are counted and answered together.
 BATCH_NODES = 1500
 READS = 5
@@ -90,68 +92,48 @@ def digests(df: DataFrame, words: int) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary, node long")
 
 
-def shared_counts(df: DataFrame, words: int, ranges: int) -> DataFrame:
-    """node -> how many of its shingles occur in another class (at least; see step 2)."""
+def shared_counts(df: DataFrame, words: int, ranges: int, parts: int) -> DataFrame:
+    """(low, shared): low 32 bits of a node -> how many of its shingles occur in another class (at least; see step 2)."""
+    half = np.uint64(32)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """Per distinct class of some slices, its shingles; (hash, low bits of the node)."""
+        held, size = {}, 0
         for _, blobs in K.slices(batches):
-            sets = [s for s in sets_of(blobs, words) if len(s)]
-            if not sets:
-                continue
-            nodes, at = np.unique(node_of([key_of(s) for s in sets]), return_index=True)
-            sets = [sets[k] for k in at]
-            h = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-            order = np.argsort(h, kind="stable")
-            h, owner = h[order], owner[order]
-            first, size = K.runs(h)
-            many = np.repeat(size > 1, size)
-            for r, hh, who, own in K.split_by(K.range_of(h, ranges), ranges, h, owner, many):
-                local, who1, low = np.unique(who[own], return_counts=True), who[~own], hh[~own].astype(np.uint32)
-                turn = np.argsort(who1, kind="stable")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r], pa.int32()),
-                     pa.array([nodes.tobytes()], pa.binary()),
-                     pa.array([np.bincount(who1, minlength=len(nodes)).astype(np.uint32).tobytes()], pa.binary()),
-                     pa.array([low[turn].tobytes()], pa.binary()),
-                     pa.array([np.bincount(local[0], local[1], len(nodes)).astype(np.uint32).tobytes()], pa.binary()),
-                     pa.array([np.unique(hh[own]).astype(np.uint32).tobytes()], pa.binary())],
-                    ["range", "nodes", "counts", "tokens", "credit", "dups"])
+            for s in sets_of(blobs, words):
+                if len(s) and (key := key_of(s)) not in held:
+                    held[key] = s
+                    size += len(s)
+            if size >= SENT_TOKENS:
+                yield held
+                held, size = {}, 0
+        if held:
+            yield held
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in pairs(batches):
+            h = np.concatenate(list(held.values()))
+            low = np.repeat(node_of(list(held)).view(np.uint64) & np.uint64(0xFFFFFFFF), [len(s) for s in held.values()])
+            sent = list(K.split_by(K.range_of(h, ranges), ranges, h << half | low))
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in sent], pa.int32()), pa.array([x.tobytes() for _, x in sent], pa.binary())], ["range", "pairs"])
 
     def count(table: pa.Table) -> pa.Table:
-        get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-        nodes_of, counts, tokens, credits, dups = (get(n, k) for n, k in (
-            ("nodes", np.int64), ("counts", np.uint32), ("tokens", np.uint32), ("credit", np.uint32), ("dups", np.uint32)))
-        every, number = np.unique(np.concatenate(nodes_of), return_inverse=True)
-        token = np.concatenate(tokens)
-        place = np.repeat(np.arange(len(number), dtype=np.int32), np.concatenate(counts))  # (slice, node)
-        order = np.argsort(token, kind="stable")
-        token, place = token[order], place[order]
-        first, size = K.runs(token)
-        who = number[place]
-        if len(token):
-            differ = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
-        else:
-            differ = np.zeros(0, bool)
-        shared = np.repeat(differ, size) | np.isin(token, np.concatenate(dups))
-        got = np.bincount(place[shared], minlength=len(number)) + np.concatenate(credits)
-        best = np.zeros(len(every), np.int64)
-        np.maximum.at(best, number, got)  # copies of a class in several slices have the same count
-        some = best > 0
-        parts = list(K.split_by(every[some] % ranges, ranges, every[some], best[some]))
-        return pa.table({"part": pa.array([p for p, _, _ in parts], pa.int64()),
-                         "nodes": pa.array([a.tobytes() for _, a, _ in parts], pa.binary()),
-                         "shared": pa.array([b.astype(np.int32).tobytes() for _, _, b in parts], pa.binary())})
+        pair = np.frombuffer(b"".join(table.column("pairs").to_pylist()), np.uint64).copy()
+        pair.sort()
+        pair = pair[K.runs(pair)[0]]  # copies of a class in several batches
+        _, size = K.runs(pair >> half)
+        low, shared = np.unique((pair & np.uint64(0xFFFFFFFF))[np.repeat(size > 1, size)], return_counts=True)
+        sent = list(K.split_by((low % np.uint64(parts)).astype(np.int64), parts, low.astype(np.uint32), shared.astype(np.uint32)))
+        return pa.table({"part": pa.array([p for p, _, _ in sent], pa.int64()), "nodes": pa.array([a.tobytes() for _, a, _ in sent], pa.binary()),
+                         "shared": pa.array([b.tobytes() for _, _, b in sent], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
-        every, at = np.unique(nodes, return_inverse=True)
-        shared = np.bincount(at, np.frombuffer(b"".join(table.column("shared").to_pylist()), np.int32), len(every))
-        return pa.table({"node": pa.array(every), "shared": pa.array(shared.astype(np.int64))})
+        get = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32)
+        low, at = np.unique(get("nodes"), return_inverse=True)
+        return pa.table({"low": pa.array(low.astype(np.int64)), "shared": pa.array(np.bincount(at, get("shared"), len(low)).astype(np.int64))})
 
-    blobs = df.select("text").mapInArrow(send, "range int, nodes binary, counts binary, tokens binary, credit binary, dups binary")
-    counted = blobs.groupBy("range").applyInArrow(count, "part long, nodes binary, shared binary")
-    return counted.groupBy("part").applyInArrow(add, "node long, shared long")
+    counted = df.select("text").mapInArrow(send, "range int, pairs binary").groupBy("range").applyInArrow(count, "part long, nodes binary, shared binary")
+    return counted.groupBy("part").applyInArrow(add, "low long, shared long")
 
 
 def node_sets(df: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -248,35 +230,31 @@ def boundary(nodes: DataFrame) -> int:
     return max(2, min(choices)[1]) if choices else 2
 
 
-def places(nodes: DataFrame, bound: int, percent: int) -> DataFrame:
-    """Meeting places: (g, node, n, place, small)."""
+def places(nodes: DataFrame, bound: int, percent: int, wanted: Broadcast | None = None) -> DataFrame:
+    """Meeting places (g, node); with a bitmap only those in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                g, node, size, where, small = [], [], [], [], []
+                g, node = [], []
                 part = b.slice(at, 512)
                 for k, n, begin, place in zip(*(part.column(i).to_pylist() for i in range(4))):
                     tokens = np.array(begin, np.int64).view(np.uint64)
-                    place = np.array(place, np.int64)
                     if n < bound and len(tokens) > 1:
                         pair = np.array(list(combinations(range(len(tokens)), 2)))
-                        x = K.mix(tokens[pair[:, 0]] ^ K.mix(tokens[pair[:, 1]]))
-                        g.append(x), where.append(place[pair[:, 0]])
-                        small.append(np.ones(len(x), bool))
-                        node.append(np.full(len(x), k)), size.append(np.full(len(x), n))
+                        g.append(K.mix(tokens[pair[:, 0]] ^ K.mix(tokens[pair[:, 1]])))
+                        node.append(np.full(len(pair), k))
                     if 100 * n >= percent * bound:
-                        single = place < n - least(n, percent) + 1
-                        x = tokens[single]
-                        g.append(x), where.append(place[single])
-                        small.append(np.zeros(len(x), bool))
-                        node.append(np.full(len(x), k)), size.append(np.full(len(x), n))
+                        g.append(tokens[np.array(place, np.int64) < n - least(n, percent) + 1])
+                        node.append(np.full(len(g[-1]), k))
                 if g:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(K.long_of(np.concatenate(g))), pa.array(np.concatenate(node)), pa.array(np.concatenate(size)),
-                         pa.array(np.concatenate(where)), pa.array(np.concatenate(small))], ["g", "node", "n", "place", "small"])
+                    met, who = K.long_of(np.concatenate(g)), np.concatenate(node)
+                    if wanted is not None:
+                        held = in_bitmap(wanted.value, met)
+                        met, who = met[held], who[held]
+                    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(who)], ["g", "node"])
 
-    return nodes.select("node", "n", "begin", "places").mapInArrow(run, "g long, node long, n long, place long, small boolean")
+    return nodes.select("node", "n", "begin", "places").mapInArrow(run, "g long, node long")
 
 
 def linked(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -286,14 +264,14 @@ def linked(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5
     classes = checkpoint(rows.filter("n_shingles > 0").groupBy("key", "node").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
     total = classes.agg(F.sum("n")).first()[0] or 0
-    shared = shared_counts(docs, words, 1 + total // RANGE_TOKENS)
-    able = checkpoint(classes.join(shared, "node").filter(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n")).select("node", "n", "rep"))
+    shared = shared_counts(docs, words, 1 + total // RANGE_TOKENS, 1 + total // (100 * RANGE_TOKENS))
+    able = checkpoint(classes.join(shared, F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("low")).filter(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n")).select("node", "n", "rep"))
     size = able.agg(F.count("*"), F.sum("n")).first()
     if size[0]:
         sets = node_sets(docs, able, words)
         nodes = checkpoint(beginnings(sets, percent, 1 + size[0] // BATCH_NODES, 1 + size[1] // RANGE_TOKENS))
         bound = boundary(nodes)
-        meet = met(places(nodes, bound, percent).select(F.xxhash64("g", "small").alias("g"), "node"))
+        meet = met(lambda wanted: places(nodes, bound, percent, wanted))
         comp = node_components(meet, checkpoint(meet.select("node").distinct()), nodes.select("node", "n", F.col("shared").alias("tokens")), percent)
     else:
         comp = None

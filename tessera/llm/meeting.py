@@ -8,16 +8,17 @@ another hub instead. No link between components is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel as K
 from tessera.llm.components import components
-from tessera.llm.spark_tools import checkpoint
+from tessera.llm.spark_tools import bitmap, checkpoint
 
 HUB_ROUNDS = 3
 #: Nodes of a block of a meeting place.
@@ -28,12 +29,15 @@ SPREAD = 8
 COLUMNS = 1 << 14
 
 
-def met(entries: DataFrame) -> DataFrame:
-    """(g, node, weight): the meeting places of two nodes or more; weight counts whom the node meets over all places."""
-    many = entries.groupBy("g").agg(F.count("*").alias("many")).filter("many > 1")
-    entries = checkpoint(entries.join(many, "g"))
-    weight = entries.groupBy("node").agg(F.sum("many").alias("weight"))
-    return checkpoint(entries.drop("many").join(weight, "node").select("g", "node", "weight"))
+def met(entries: Callable[[Broadcast | None], DataFrame]) -> DataFrame:
+    """(g, node, weight): the meeting places of two nodes or more; weight counts whom the node meets over all places.
+
+    ``entries`` gives (g, node), and with a bitmap only those whose place may be in it, so that places with one node, nearly all
+    of them, are shuffled once only, to be counted."""
+    many = checkpoint(entries(None).groupBy("g").agg(F.count("*").alias("many")).filter("many > 1"))
+    held = checkpoint(entries(bitmap(many, "g")).join(many, "g"))
+    weight = held.groupBy("node").agg(F.sum("many").alias("weight"))
+    return checkpoint(held.drop("many").join(weight, "node").select("g", "node", "weight"))
 
 
 def hub_links(now: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,15 +92,19 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary, node long, bands binary")
 
 
-def entries_of(classes: DataFrame) -> DataFrame:
-    """(g, node): each node in the places of its bands."""
+def entries_of(classes: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
+    """(g, node): each node in the places of its bands; with a bitmap only in those in it."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
                 g = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["g", "node"])
+                node = np.repeat(part.column(0).to_numpy(), BANDS)
+                if wanted is not None:
+                    held = in_bitmap(wanted.value, g)
+                    g, node = g[held], node[held]
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(node)], ["g", "node"])
 
     return classes.select("node", "bands").mapInArrow(spread, "g long, node long")
 
@@ -130,7 +135,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", words
     rows = checkpoint(signed(docs, words))
     classes = checkpoint(rows.filter("n_shingles > 0").groupBy("key", "node").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    meet = met(entries_of(classes))
+    meet = met(lambda wanted: entries_of(classes, wanted))
     if not meet.isEmpty():
         nodes = checkpoint(meet.select("node").distinct())
         sets = checkpoint(full_sets(docs, classes.select("node", "n", "rep"), nodes, words))

@@ -168,3 +168,28 @@ def test_frequent_lines_leave_the_text(spark):
     expected = [(d, [t, t[:60] + "\n\n" + t[60:], t][d % 3]) for d, t in plain]
     rare = [(100, "Rare line of the site\n" + prose(300, 40))]
     assert stage_texts(spark, "quality_rules", rows + rare) == sorted(expected + rare, key=repr)
+
+
+CLASHES = ["_row", "row", "doc", "_kept", "kept", "_lines", "lines", "_judged", "judged", "_maybe", "_gone", "of", "order", "component_id", "text_hash", "a.b"]
+
+
+@pytest.mark.parametrize("stage", ["quality_rules", "near_duplicates", "repeated_passages", "benchmark_leaks"])
+def test_stages_carry_columns_of_any_name(spark, tmp_path, stage):
+    import corpus_pipeline
+    spark.createDataFrame([(0, prose(70, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(k, prose(400 + k, 50), "en", "s", 0, *[f"{n}{k}" for n in CLASHES]) for k in range(6)]
+    rows.append((6, rows[0][1], "en", "s", 0, *["x"] * len(CLASHES)))
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in CLASHES))
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    assert out.columns == names
+    got = {r[0]: tuple(r)[5:] for r in out.collect()}
+    assert all(got[k] == tuple(f"{n}{k}" for n in CLASHES) for k in range(6)) and (6 in got) == (stage != "near_duplicates")
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+    from fixtures import empty
+    spark.createDataFrame([(0, prose(70, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
