@@ -1057,7 +1057,7 @@ def seasonal_naive_metrics(spark, d):
 def ridge_backtest_metrics(spark, d):
     s = B.weekly_series(spark, d)
     f = FC.seasonal_naive(s, ["store"], 13).unionByName(
-        FC.ridge_forecast(s, ["store"], 13).drop("lo", "hi"))
+        FC.ridge_forecast(s, ["store"], 13).drop("lo", "hi", "folds"))
     return FC.backtest_metrics(f, ["store"])
 
 
@@ -1068,12 +1068,14 @@ def ridge_backtest_summary(spark, d):
 
 @query
 def forecast_intervals(spark, d):
-    return FC.ridge_forecast(B.weekly_series(spark, d), ["store"], 13, level=0.9)
+    f = FC.ridge_forecast(B.weekly_series(spark, d), ["store"], 13, level=0.9)
+    return f.select("store", "week", "model", *[fround(c, 0).alias(c) for c in ("forecast", "actual")], "is_holiday",
+                    *[fround(c, 0).alias(c) for c in ("lo", "hi")], "folds")
 
 
 @query
 def forecast_interval_coverage(spark, d):
-    return FC.pi_coverage(forecast_intervals(spark, d), 0.9)
+    return FC.pi_coverage(FC.ridge_forecast(B.weekly_series(spark, d), ["store"], 13, level=0.9), 0.9)
 
 
 @query

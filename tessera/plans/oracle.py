@@ -1455,6 +1455,69 @@ SELECT store, model, round(avg(abs((actual - forecast) / actual)) * 100, 2) AS m
              / sum(CASE WHEN is_holiday THEN 5.0 ELSE 1.0 END), 0) AS wmae, count(*) AS weeks
 FROM naive WHERE forecast IS NOT NULL AND actual IS NOT NULL GROUP BY ALL""")
 
+def _ridge_sql(source: str) -> str:
+    """CTEs up to ``ridge`` (k, week, forecast, actual, lo, hi, folds) over the series of ``source`` (k, week, sales): standardised
+    normal equations per series and fold, solved by Gauss-Jordan steps of a recursion over the matrices."""
+    names = ["lag", "s1", "c1", "s2", "c2", "t"]
+    size = len(names)
+    stats = ", ".join(f"avg({n}) AS m_{n}, CASE WHEN stddev_pop({n}) = 0 THEN 1.0 ELSE stddev_pop({n}) END AS d_{n}" for n in names)
+    scaled = ", ".join(f"(r.{n} - x.m_{n}) / x.d_{n} AS z{i}" for i, n in enumerate(names))
+    rows = ", ".join("[" + ", ".join([f"sum(z{i} * z{j})" + (" + 1.0" if i == j else "") for j in range(size)] + [f"sum(z{i} * yc)"]) + "]" for i in range(size))
+    line = " + ".join([f"g.m[{i + 1}][{size + 1}] * (coalesce(r.{n}, 0.0) - x.m_{n}) / x.d_{n}" for i, n in enumerate(names)])
+    return f"""src AS ({source}),
+span AS (SELECT k, min(week) AS lo, max(week) AS hi FROM src GROUP BY k),
+weeks AS (SELECT k, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS week FROM span),
+num AS (SELECT w.k, w.week, s.sales, CASE WHEN s.sales > 0 THEN ln(s.sales) END AS y,
+               CAST(row_number() OVER (PARTITION BY w.k ORDER BY w.week) - 1 AS DOUBLE) AS t, count(*) OVER (PARTITION BY w.k) - 13 AS n_train
+        FROM weeks w LEFT JOIN src s ON s.k = w.k AND s.week = w.week),
+feat AS (SELECT *, lag(y, 52) OVER (PARTITION BY k ORDER BY t) AS lag, sin(2 * pi() * weekofyear(week) / 52.18) AS s1, cos(2 * pi() * weekofyear(week) / 52.18) AS c1,
+                sin(4 * pi() * weekofyear(week) / 52.18) AS s2, cos(4 * pi() * weekofyear(week) / 52.18) AS c2 FROM num),
+fit_rows AS MATERIALIZED (SELECT r.*, f.range AS fold FROM feat r, range(0, 5) f WHERE r.t < r.n_train - 13 * f.range AND r.y IS NOT NULL AND r.lag IS NOT NULL),
+moments AS MATERIALIZED (SELECT k, fold, avg(y) AS my, {stats} FROM fit_rows GROUP BY k, fold),
+z AS (SELECT r.k, r.fold, r.y - x.my AS yc, {scaled} FROM fit_rows r JOIN moments x ON x.k = r.k AND x.fold = r.fold),
+mats AS (SELECT k, fold, [{rows}] AS m FROM z GROUP BY k, fold),
+gj AS (SELECT k, fold, 1 AS step, m FROM mats
+       UNION ALL
+       SELECT k, fold, step + 1, list_transform(m, lambda row, i: CASE WHEN i = step THEN list_transform(row, lambda v: v / m[step][step])
+                                                     ELSE list_transform(row, lambda v, j: v - row[step] * m[step][j] / m[step][step]) END)
+       FROM gj WHERE step <= {size}),
+solved AS MATERIALIZED (SELECT * FROM gj WHERE step = {size + 1}),
+scored AS MATERIALIZED (
+  SELECT r.k, r.week, r.t, r.n_train, r.sales, r.y, g.fold, x.my + {line} AS line
+  FROM feat r JOIN solved g ON g.k = r.k JOIN moments x ON x.k = r.k AND x.fold = g.fold
+  WHERE CASE WHEN g.fold = 0 THEN r.t >= r.n_train
+             ELSE r.t >= r.n_train - 13 * g.fold AND r.t < r.n_train - 13 * (g.fold - 1) AND r.n_train - 13 * g.fold > 52 END),
+q AS (SELECT k, quantile_cont(y - line, 0.05) AS q_lo, quantile_cont(y - line, 0.95) AS q_hi, CAST(count(DISTINCT fold) AS INTEGER) AS folds
+      FROM scored WHERE fold > 0 AND y IS NOT NULL GROUP BY k),
+ridge AS (SELECT r.k, r.week, exp(s.line) AS forecast, r.sales AS actual, exp(s.line + q_lo) AS lo, exp(s.line + q_hi) AS hi, coalesce(q.folds, 0) AS folds
+          FROM feat r LEFT JOIN scored s ON s.k = r.k AND s.week = r.week AND s.fold = 0 LEFT JOIN q ON q.k = r.k WHERE r.t >= r.n_train)"""
+
+
+_METRICS = """round(avg(abs((actual - forecast) / actual)) * 100, 2) AS mape, round(avg(abs(actual - forecast)), 0) AS wmae, count(*) AS weeks"""
+_RIDGE = with_weekly(", " + _ridge_sql("SELECT store AS k, week, weekly_sales AS sales FROM series")).replace("WITH ", "WITH RECURSIVE ", 1)
+_BACKTEST = _RIDGE + f""",
+mix AS (SELECT store, model, forecast, actual FROM naive UNION ALL SELECT k, 'ridge', forecast, actual FROM ridge),
+metrics AS (SELECT store, model, {_METRICS} FROM mix WHERE forecast IS NOT NULL AND actual IS NOT NULL GROUP BY ALL)"""
+SQL["ridge_backtest_metrics"] = _BACKTEST + "\nSELECT * FROM metrics"
+SQL["ridge_backtest_summary"] = _BACKTEST + "\nSELECT model, round(avg(mape), 2) AS mape, round(avg(wmae), 0) AS wmae, count(*) AS series FROM metrics GROUP BY model"
+SQL["forecast_intervals"] = _RIDGE + """
+SELECT k AS store, week, 'ridge' AS model, round(forecast, 0) AS forecast, round(actual, 0) AS actual, false AS is_holiday, round(lo, 0) AS lo, round(hi, 0) AS hi, folds
+FROM ridge"""
+SQL["forecast_interval_coverage"] = _RIDGE + """
+SELECT round(avg(CASE WHEN actual BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 6) AS coverage, 0.9::DOUBLE AS level, count(*) AS weeks FROM ridge WHERE lo IS NOT NULL"""
+
+
+_DEPT = WEEKLY_CTE.replace("SELECT CAST(n_regionkey AS INTEGER) AS store,", "SELECT CAST(n_regionkey AS INTEGER) AS store, o_orderpriority AS dept,").replace(
+    "GROUP BY ALL),", "GROUP BY ALL),\ndepts AS (SELECT store, dept, week, sum(o_totalprice) AS weekly_sales FROM ws GROUP BY ALL),", 1).replace(
+    "SELECT store, week, sum(o_totalprice)", "SELECT store, week, sum(o_totalprice)")
+_BOTTOM = f"WITH RECURSIVE {_DEPT}, " + _ridge_sql("SELECT store || '|' || dept AS k, week, weekly_sales AS sales FROM depts")
+SQL["hierarchical_backtest"] = f"""WITH direct AS ({_RIDGE} SELECT k AS store, week, forecast, actual FROM ridge),
+dept AS ({_BOTTOM} SELECT CAST(split_part(k, '|', 1) AS INTEGER) AS store, week, sum(forecast) AS forecast FROM ridge GROUP BY ALL),
+mix AS (SELECT store, 'direct_total' AS model, forecast, actual FROM direct
+        UNION ALL SELECT a.store, 'bottom_up', d.forecast, a.actual FROM direct a LEFT JOIN dept d ON d.store = a.store AND d.week = a.week),
+metrics AS (SELECT store, model, {_METRICS} FROM mix WHERE forecast IS NOT NULL AND actual IS NOT NULL GROUP BY ALL)
+SELECT model, round(avg(mape), 2) AS mape, round(avg(wmae), 0) AS wmae, count(*) AS series FROM metrics GROUP BY model"""
+
 # --- streaming batch twins --------------------------------------------------------------------------
 SQL["windowed_cost_by_model"] = _llm("""
 SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, model, round(sum(cost_usd), 6) AS cost, count(*) AS calls
