@@ -1084,6 +1084,79 @@ def hierarchical_backtest(spark, d):
     return FC.backtest_summary(FC.backtest_metrics(f, ["store"]))
 
 
+# --- more of the operations hub ------------------------------------------------------------------------
+def _schedule(spark, d):
+    """Deliveries as schedule entries, and what an external calendar says about all even ones, a day later or earlier."""
+    o = B.hub_orders(spark, d)
+    number = F.col("id").cast("long")
+    stored = o.filter(F.pmod(number, F.lit(3)) != 0).select(F.col("id").alias("external_id"), F.col("status").alias("title"), F.col("created_at").alias("updated_at"))
+    moved = F.when(F.pmod(number, F.lit(4)) == 0, 1).otherwise(-1)
+    synced = o.filter(F.pmod(number, F.lit(2)) == 0).select(
+        F.col("id").alias("external_id"), F.concat(F.lit("synced "), F.col("status")).alias("title"),
+        (F.col("created_at") + F.make_dt_interval(moved)).alias("updated_at"))
+    return stored, synced
+
+
+@query
+def schedule_sync(spark, d):
+    return H.upsert(*_schedule(spark, d), "external_id", "lww").select("external_id", "title", "change")
+
+
+@query
+def schedule_sync_counts(spark, d):
+    return H.upsert(*_schedule(spark, d), "external_id").groupBy("change").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query
+def tool_statistics(spark, d):
+    """Clicks, signups and errors as calls of a tool of that name."""
+    e = B.table(spark, d, "events").filter(F.col("event_type").isin("click", "signup", "error"))
+    spans = B.spans_from_events(e).withColumn("span_type", F.lit("tool_call")).withColumn("name", F.regexp_replace("name", "^span-", "Tool: "))
+    return R.tool_statistics(TEL.spans_to_events(spans))
+
+
+@query
+def refund_postings(spark, d):
+    return H.refund_rows(B.hub_orders(spark, d).filter(F.col("status") == "in_production"))
+
+
+@query
+def owner_upsert(spark, d):
+    return H.set_owner(B.hub_owners(spark, d), "crm", "E1", "restricted", "moved")
+
+
+@query
+def followup_approvals(spark, d):
+    drafts = H.draft_followups(B.hub_orders(spark, d), B.hub_customers(spark, d))
+    sent = drafts.withColumn("status", F.when(F.pmod(F.col("order_id").cast("long"), F.lit(4)) == 0, "sent").otherwise(F.col("status")))
+    approvals = drafts.filter(F.pmod(F.col("order_id").cast("long"), F.lit(6)) == 0).select(F.col("id").alias("followup_id"))
+    return H.approve(sent, approvals).select("id", "status", "already", "newly_sent")
+
+
+@query
+def production_queue(spark, d):
+    state = F.when(F.col("status") == "placed", "queued").when(F.col("status") == "in_production", "in_progress").otherwise("done")
+    jobs = B.hub_orders(spark, d).select(F.concat(F.lit("job-"), "id").alias("id"), state.alias("status"), "created_at")
+    return H.work_queue(jobs, "production")
+
+
+@query
+def followup_queue(spark, d):
+    return H.work_queue(H.draft_followups(B.hub_orders(spark, d), B.hub_customers(spark, d)), "followup").select("id", "order_id", "status")
+
+
+@query
+def recent_knowledge(spark, d):
+    t = B.hub_tickets(spark, d).filter(F.col("status") == "resolved")
+    return H.work_queue(t, "knowledge").select("id", "summary", "created_at")
+
+
+@query
+def visible_documents(spark, d):
+    """Documents that an employee in sales may see."""
+    return SEC.trim(B.acl_documents(spark, d), ["grp:all", "grp:sales", "usr:E7"]).select("doc_id", "source")
+
+
 # --- streaming batch twins -------------------------------------------------------------------------
 from tessera.streaming import core as ST  # noqa: E402
 from tessera.streaming import remediation as RM  # noqa: E402

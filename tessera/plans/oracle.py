@@ -1508,8 +1508,7 @@ SELECT round(avg(CASE WHEN actual BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 6) A
 
 
 _DEPT = WEEKLY_CTE.replace("SELECT CAST(n_regionkey AS INTEGER) AS store,", "SELECT CAST(n_regionkey AS INTEGER) AS store, o_orderpriority AS dept,").replace(
-    "GROUP BY ALL),", "GROUP BY ALL),\ndepts AS (SELECT store, dept, week, sum(o_totalprice) AS weekly_sales FROM ws GROUP BY ALL),", 1).replace(
-    "SELECT store, week, sum(o_totalprice)", "SELECT store, week, sum(o_totalprice)")
+    "GROUP BY ALL),", "GROUP BY ALL),\ndepts AS (SELECT store, dept, week, sum(o_totalprice) AS weekly_sales FROM ws GROUP BY ALL),", 1)
 _BOTTOM = f"WITH RECURSIVE {_DEPT}, " + _ridge_sql("SELECT store || '|' || dept AS k, week, weekly_sales AS sales FROM depts")
 SQL["hierarchical_backtest"] = f"""WITH direct AS ({_RIDGE} SELECT k AS store, week, forecast, actual FROM ridge),
 dept AS ({_BOTTOM} SELECT CAST(split_part(k, '|', 1) AS INTEGER) AS store, week, sum(forecast) AS forecast FROM ridge GROUP BY ALL),
@@ -1518,6 +1517,40 @@ mix AS (SELECT store, 'direct_total' AS model, forecast, actual FROM direct
 metrics AS (SELECT store, model, {_METRICS} FROM mix WHERE forecast IS NOT NULL AND actual IS NOT NULL GROUP BY ALL)
 SELECT model, round(avg(mape), 2) AS mape, round(avg(wmae), 0) AS wmae, count(*) AS series FROM metrics GROUP BY model"""
 
+# --- more of the operations hub ---------------------------------------------------------------------------
+_SCHEDULE = """
+, stored AS (SELECT id AS external_id, status AS title, created_at AS updated_at FROM h_orders WHERE CAST(id AS BIGINT) % 3 <> 0),
+synced AS (SELECT id AS external_id, 'synced ' || status AS title, created_at + CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL (-1) DAY END AS updated_at
+           FROM h_orders WHERE CAST(id AS BIGINT) % 2 = 0)"""[1:]
+SQL["schedule_sync"] = with_hub(_SCHEDULE + """
+SELECT coalesce(t.external_id, s.external_id) AS external_id,
+       CASE WHEN t.external_id IS NULL OR s.updated_at >= t.updated_at THEN s.title ELSE t.title END AS title,
+       CASE WHEN t.external_id IS NULL THEN 'created' WHEN s.updated_at >= t.updated_at THEN 'updated' ELSE 'unchanged' END AS change
+FROM stored t FULL JOIN synced s ON s.external_id = t.external_id""")
+SQL["schedule_sync_counts"] = with_hub(_SCHEDULE + """
+SELECT CASE WHEN t.external_id IS NULL THEN 'created' WHEN s.external_id IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS change, count(*) AS entries
+FROM stored t FULL JOIN synced s ON s.external_id = t.external_id GROUP BY 1""")
+SQL["tool_statistics"] = """
+SELECT event_type AS tool_name, count(*) AS calls, round(avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END), 6) AS success_rate,
+       round(avg(coalesce(value, 0.0)), 6) AS avg_latency_ms
+FROM events WHERE event_type IN ('click', 'signup', 'error') GROUP BY 1"""
+SQL["refund_postings"] = with_hub("""
+SELECT id AS order_id, 'refund' AS kind, total_amount AS amount, -total_amount AS signed_amount, 'refund ' || id AS memo
+FROM h_orders WHERE status = 'in_production'""")
+SQL["owner_upsert"] = with_hub("""
+SELECT CASE role WHEN 'sales' THEN 'crm' WHEN 'production' THEN 'production' WHEN 'as' THEN 'as' WHEN 'accounting' THEN 'accounting' ELSE 'performance' END AS domain,
+       id AS owner_employee_id, 'internal' AS classification, CAST(NULL AS VARCHAR) AS notes FROM h_employees WHERE role <> 'sales'
+UNION ALL SELECT 'crm', 'E1', 'restricted', 'moved'""")
+SQL["followup_approvals"] = with_hub("""
+SELECT 'F-' || id AS id, CASE WHEN k % 4 = 0 OR k % 6 = 0 THEN 'sent' ELSE 'draft' END AS status, k % 12 = 0 AS already, k % 6 = 0 AND k % 4 <> 0 AS newly_sent
+FROM (SELECT id, CAST(id AS BIGINT) AS k FROM h_orders WHERE status = 'delivered')""")
+SQL["production_queue"] = with_hub("""
+SELECT 'job-' || id AS id, CASE status WHEN 'placed' THEN 'queued' ELSE 'in_progress' END AS status, created_at FROM h_orders WHERE status IN ('placed', 'in_production')""")
+SQL["followup_queue"] = with_hub("SELECT 'F-' || id AS id, id AS order_id, 'draft' AS status FROM h_orders WHERE status = 'delivered'")
+SQL["recent_knowledge"] = with_hub("SELECT id, summary, created_at FROM h_tickets WHERE status = 'resolved' ORDER BY created_at DESC, id DESC LIMIT 10")
+SQL["visible_documents"] = f"""WITH {ACL_DOCS_CTE}
+SELECT doc_id, source FROM adocs WHERE len(acl) = 0 OR list_has_any(acl, ['grp:all', 'grp:sales', 'usr:E7'])"""
+
 # --- streaming batch twins --------------------------------------------------------------------------
 SQL["windowed_cost_by_model"] = _llm("""
 SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, model, round(sum(cost_usd), 6) AS cost, count(*) AS calls
