@@ -1,6 +1,7 @@
 """Churn model: exact stratified split, named features, a model that learns."""
 
 import hashlib
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -49,3 +50,28 @@ def test_churn_features_have_names_and_the_model_learns(spark):
         assert names[0] in ("support_tickets", "contract=monthly", "contract=yearly")
         assert M.binary_metrics(test, label="churn", prob=f"p_{name}").first()["auc"] > 0.9
     assert M.score(df, models["logistic"]).filter(F.col("proba").between(0, 1)).count() == 600
+
+
+def test_sentiment_model_and_its_explanations(spark):
+    """Clear words decide; the contributions of a document add up to its logit; misclassified rows are those on the wrong side."""
+    rnd = random.Random(4)
+    rows = []
+    for k in range(240):
+        good = k % 2
+        words = [rnd.choice(["great", "lovely", "fine"] if good else ["awful", "broken", "bad"]) for _ in range(4)] + [rnd.choice(["box", "thing", "day", "house"]) for _ in range(6)]
+        rnd.shuffle(words)
+        rows.append((k, " ".join(words), good if k % 40 else 1 - good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model, vocab, pred, n_docs = M.fit_sentiment(docs)
+    pred = pred.cache()
+    assert pred.count() == sum(int(sum(r[2] == c for r in rows) * 0.25 + 0.5) for c in (0, 1))
+    clean = pred.filter(F.col("doc_id") % 40 != 0)
+    assert clean.filter("pred = label").count() >= 0.95 * clean.count()
+    wrong = {r["doc_id"] for r in M.misclassified(pred).collect()}
+    assert wrong == {r["doc_id"] for r in pred.collect() if (r["proba"] >= 0.5) != bool(r["label"])}
+    top = {(r["direction"], r["term"]) for r in M.top_ngrams(model, vocab, 3).collect()}
+    assert {t for d, t in top if d == "positive"} == {"great", "lovely", "fine"} and {t for d, t in top if d == "negative"} == {"awful", "broken", "bad"}
+    parts = M.explain_sentiment(model, vocab, pred.select("doc_id", "text"), n_docs, top=10_000).groupBy("doc_id").agg(F.sum("contribution").alias("s"))
+    for r in parts.join(pred, "doc_id").collect():
+        logit = math.log(r["proba"] / (1 - r["proba"]))
+        assert abs(r["s"] + model.intercept - logit) < 1e-3
