@@ -1938,3 +1938,22 @@ churners AS (SELECT c_custkey AS customer_id,
                     CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= (SELECT cut FROM cut)) THEN 0 ELSE 1 END AS churn
              FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate < (SELECT cut FROM cut))),""" + _SPLIT + """
 SELECT customer_id, CAST(churn AS INTEGER) AS churn, is_test FROM split"""
+
+# One row of the line after the other, with the weights and those saved at the first cost spike.
+SQL["router_weight_timeline"] = f"""WITH RECURSIVE outcomes AS ({SQL['remediation_outcomes']}),
+applied AS (SELECT ts, anomaly_type AS cause FROM outcomes WHERE handled AND NOT skipped AND anomaly_type IN ('cost_spike', 'latency_spike', 'error_rate_high')),
+line AS (SELECT *, row_number() OVER (ORDER BY ts, kind, cause) AS rn FROM (
+  SELECT ts, 1 AS kind, cause FROM applied
+  UNION ALL SELECT ts + INTERVAL 600 SECOND, 0, 'restore' FROM applied WHERE cause = 'cost_spike')),
+sim AS (
+  SELECT CAST(0 AS BIGINT) AS rn, 0.3::DOUBLE AS cost, 0.5::DOUBLE AS quality, 0.2::DOUBLE AS speed, NULL::DOUBLE AS c, NULL::DOUBLE AS q, NULL::DOUBLE AS s
+  UNION ALL
+  SELECT l.rn,
+         CASE l.cause WHEN 'restore' THEN sim.c WHEN 'cost_spike' THEN sim.cost + 0.3 WHEN 'error_rate_high' THEN greatest(0.1, sim.cost - 0.1) ELSE sim.cost END,
+         CASE l.cause WHEN 'restore' THEN sim.q WHEN 'cost_spike' THEN sim.quality - 0.2 WHEN 'error_rate_high' THEN least(0.7, sim.quality + 0.1) ELSE sim.quality END,
+         CASE l.cause WHEN 'restore' THEN sim.s WHEN 'latency_spike' THEN least(0.6, sim.speed + 0.2) ELSE sim.speed END,
+         CASE WHEN l.cause = 'cost_spike' THEN coalesce(sim.c, sim.cost) ELSE sim.c END,
+         CASE WHEN l.cause = 'cost_spike' THEN coalesce(sim.q, sim.quality) ELSE sim.q END,
+         CASE WHEN l.cause = 'cost_spike' THEN coalesce(sim.s, sim.speed) ELSE sim.s END
+  FROM sim JOIN line l ON l.rn = sim.rn + 1)
+SELECT l.ts, l.cause, round(cost, 6) AS cost_weight, round(quality, 6) AS quality_weight, round(speed, 6) AS speed_weight FROM sim JOIN line l USING (rn)"""
