@@ -80,7 +80,7 @@ def digests(df: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, key (binary, null for an empty set), node (long form of the key); one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, blobs in K.slices(batches):
+        for b, blobs in K.slices(batches, size=K.SMALL_SLICE):
             sets = sets_of(blobs, words)
             keys = [key_of(s) for s in sets]
             n = np.array([len(s) for s in sets])
@@ -99,7 +99,7 @@ def shared_counts(df: DataFrame, words: int, ranges: int, parts: int) -> DataFra
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         """Per distinct class of some slices, its shingles; (hash, low bits of the node)."""
         held, size = {}, 0
-        for _, blobs in K.slices(batches):
+        for _, blobs in K.slices(batches, size=K.SMALL_SLICE):
             for s in sets_of(blobs, words):
                 if len(s) and (key := key_of(s)) not in held:
                     held[key] = s
@@ -141,7 +141,7 @@ def node_sets(df: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     wanted = bitmap(nodes, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, blobs in K.slices(batches):
+        for b, blobs in K.slices(batches, size=K.SMALL_SLICE):
             sets = sets_of(blobs, words)
             at = node_of([key_of(s) for s in sets])
             keep = np.flatnonzero(in_bitmap(wanted.value, at))

@@ -19,7 +19,9 @@ SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: A slice of a batch holds this many bytes of text, or one longer text.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 20
+#: The same where several arrays of eight bytes for each byte of text are held: they fit the cache, and workers stay small.
+SMALL_SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,14 +94,15 @@ class Texts:
         return mix(out)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut Arrow batches into slices of about ``SLICE_BYTES`` of text; a null text is empty."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 0) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Cut Arrow batches into slices of about ``size`` (``SLICE_BYTES``) of text; a null text is empty."""
+    size = size or SLICE_BYTES
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         blobs = [b or b"" for b in column.cast(pa.binary()).to_pylist()]
         at = used = 0
         for k, b in enumerate(blobs):
-            if used and used + len(b) > SLICE_BYTES:
+            if used and used + len(b) > size:
                 yield batch.slice(at, k - at), blobs[at:k]
                 at, used = k, 0
             used += len(b) + 1

@@ -75,7 +75,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, key (binary, null for an empty set), node (long form of the key), bands (binary); one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, blobs in K.slices(batches):
+        for b, blobs in K.slices(batches, size=K.SMALL_SLICE):
             sets = sets_of(blobs, words)
             n = np.array([len(s) for s in sets])
             keys = [key_of(s) for s in sets]
@@ -114,7 +114,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int)
     wanted = bitmap(nodes, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, blobs in K.slices(batches):
+        for b, blobs in K.slices(batches, size=K.SMALL_SLICE):
             sets = sets_of(blobs, words)
             at = node_of([key_of(s) for s in sets])
             keep = np.flatnonzero(in_bitmap(wanted.value, at) & (np.array([len(s) for s in sets]) > 0))
