@@ -28,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     shuffle and join on the node, which adaptive execution splits where a node is hot.
     """
     edges = checkpoint(edges.select("u", "v").distinct())
-    before = None
+    before, rows = None, edges.count()
     while True:
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = checkpoint(_small_star(_large_star(edges)), rows)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(now) == before:
             break

@@ -129,12 +129,12 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 def node_components(meet: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) of all nodes that meet others; see step 4."""
-    comp = nodes.select("node", F.col("node").alias("comp"))
+    comp, count, entries = nodes.select("node", F.col("node").alias("comp")), nodes.count(), meet.count()
     now = meet.withColumn("comp", F.col("node"))
     for turn in range(HUB_ROUNDS + 1):
         rest = turn == HUB_ROUNDS
         if turn:
-            now = checkpoint(mixed_places(meet.join(comp, "node")))
+            now = checkpoint(mixed_places(meet.join(comp, "node")), entries)
             work = F.when(F.col("many"), F.col("small")).otherwise(F.col("big") + F.col("small"))
             left = now.agg(F.count("*").alias("rows"), F.sum(work).alias("work")).first()
             if not left["rows"]:
@@ -143,7 +143,7 @@ def node_components(meet: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
             meet = now.select("g", "node", "weight")
         links = checkpoint(block_links(now, sets, percent) if rest else hub_links(now, sets, percent, turn))
         if not links.isEmpty():
-            comp = checkpoint(merged(comp, links))
+            comp = checkpoint(merged(comp, links), count)
         if rest:
             break
     return comp

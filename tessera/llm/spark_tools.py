@@ -30,10 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared folder, which outlives executors."""
+#: Rows of a file of a small table's copy.
+FILE_ROWS = 200_000
+
+
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a copy in the shared folder, which outlives executors.
+
+    Where the number of rows is known, a small table takes few files instead of one per shuffle partition, since every file starts a
+    process on file systems without native code.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(4 + rows // FILE_ROWS)).checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
