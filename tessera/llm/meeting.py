@@ -22,11 +22,11 @@ from tessera.llm.spark_tools import bitmap, checkpoint
 
 HUB_ROUNDS = 3
 #: Nodes of a block of a meeting place.
-BLOCK = 64
+BLOCK = 256
 #: Blockwise comparison begins when it sends each entry so many times at most on average, or after the last round.
 SPREAD = 8
 #: Shared shingles of a group that are multiplied at a time.
-COLUMNS = 1 << 14
+COLUMNS = 1 << 13
 
 
 def met(entries: Callable[[Broadcast | None], DataFrame]) -> DataFrame:
