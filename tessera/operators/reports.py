@@ -90,8 +90,9 @@ def router_decisions(df: DataFrame, by=("query_complexity", "selected_model", "s
 
 
 # A07
-def agent_performance(df: DataFrame, event_type: str | None = tel.AGENT_COMPLETE) -> DataFrame:
-    return (_of(df, *([event_type] if event_type else []))
+def agent_performance(df: DataFrame, event_type: str | tuple[str, ...] | None = (tel.AGENT_COMPLETE, tel.AGENT_ERROR)) -> DataFrame:
+    """Averages and success rate over all traces that ended, failed ones included."""
+    return (_of(df, *([event_type] if isinstance(event_type, str) else event_type or []))
             .agg(fround(F.avg("duration_ms"), 6).alias("avg_duration"),
                  fround(F.avg("total_cost"), 6).alias("avg_cost"),
                  fround(F.avg("total_tokens"), 6).alias("avg_tokens"),

@@ -159,3 +159,14 @@ def test_failed_traces_become_agent_errors(spark):
     got = TEL.spans_to_events(spans_from_events(events)).filter(F.col("event_id").startswith("agent-")).collect()
     assert {(r["user_id"], r["event_type"], r["success"], r["error"]) for r in got} == {
         ("1", TEL.AGENT_ERROR, False, "error"), ("2", TEL.AGENT_COMPLETE, True, "")}
+
+
+def test_agent_performance_counts_failed_traces(spark):
+    from tessera.operators import reports as R
+    from tessera.sources import telemetry as TEL
+    from tessera.sources.bindings import spans_from_events
+    t0 = dt.datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, t0, 1, "view", 1.0, '{"k": 1}'), (2, t0, 1, "error", 2.0, '{"k": 2}'), (3, t0, 2, "view", 3.0, '{"k": 3}')],
+                                   "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    got = R.agent_performance(TEL.spans_to_events(spans_from_events(events))).first()
+    assert (got["success_count"], got["total_count"], got["success_rate"]) == (1, 2, 50.0)
