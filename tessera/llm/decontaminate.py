@@ -4,8 +4,8 @@
 
 Method. Texts are cut into blocks of ``BLOCK`` words; two neighbouring blocks are a passage. Words are hashed to ``FEATURES``
 TF-IDF features, weighted by how many blocks of all texts hold them. A randomised SVD of the block-feature matrix
-(Gaussian range finder with one power iteration; partial products summed in Spark) is fitted on a bounded sample of
-blocks (``SAMPLE_BLOCKS``, chosen by hash of the id) and the items' own blocks; every passage of every text is then projected and
+(Gaussian range finder with one power iteration; partial products summed in Spark) is fitted on the blocks of all texts
+and of the items; every passage of every text is then projected and
 compared by cosine with the projected parts of the items, except passages that hold none of the words that stand for an item: the
 rarest ones, without which the exact check below can't pass. Candidates are checked exactly: longest common subsequence of
 the item's words with the words around the passage. An item leaks if the subsequence covers ``direct`` of it, or ``reworded`` of it
@@ -29,17 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel as K
+from tessera.llm.spark_tools import checkpoint
 
 BLOCK = 24
 FEATURES = 1 << 15
 RANK = 48
 EXTRA = 8
-SAMPLE_BLOCKS = 60_000
 QUERY_BLOCK = 4000
 ANSWER_WEIGHT = 0.25
 COSINE = 0.15
 #: Columns of the features that are summed together in one group.
 STRIPE = 1024
+#: Rows that are added one after the other; longer runs are cut and their parts added up.
+RUN = 32
 SEPARATOR = ~np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
@@ -53,60 +55,90 @@ def blocks_of(blobs: list[bytes]) -> tuple[K.Texts, np.ndarray, np.ndarray, np.n
     return t, (t.word_hash % np.uint64(FEATURES)).astype(np.int32), first, owner
 
 
-def block_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Number of blocks that hold each feature, and of all blocks."""
+def features_of(texts: DataFrame) -> DataFrame:
+    """(words, sizes, held, blocks): for each slice of texts the features of their words and the words of each block, two bytes each;
+    for each task a row more: the number of blocks that hold each feature, and of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FEATURES + 1, np.int64)
+        total, blocks = np.zeros(FEATURES, np.int64), 0
+
+        def row(*values) -> pa.RecordBatch:
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["words", "sizes", "held", "blocks"])
+
         for _, blobs in K.slices(batches):
-            t, feature, first, _ = blocks_of(blobs)
+            _, feature, first, _ = blocks_of(blobs)
             if len(first):
-                block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(feature))))
-                once = np.unique(block * FEATURES + feature)
-                total[:FEATURES] += np.bincount(once % FEATURES, minlength=FEATURES)
-                total[FEATURES] += len(first)
+                size = np.diff(np.append(first, len(feature)))
+                once = np.unique(np.repeat(np.arange(len(first)), size) * FEATURES + feature)
+                total += np.bincount(once % FEATURES, minlength=FEATURES)
+                blocks += len(first)
+                yield row(feature.astype(np.uint16).tobytes(), size.astype(np.uint16).tobytes(), None, None)
+        yield row(None, None, total.tobytes(), blocks)
+
+    return texts.select("text").mapInArrow(run, "words binary, sizes binary, held binary, blocks long")
+
+
+def block_frequencies(features: DataFrame) -> tuple[np.ndarray, int]:
+    """Number of blocks that hold each feature, and of all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FEATURES + 1, np.int64)
+        for b in batches:
+            for held, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[:FEATURES] += np.frombuffer(held, np.int64)
+                total[FEATURES] += blocks
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["feature", "n"])
 
-    table = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    table = (features.filter("held is not null").select("held", "blocks").mapInArrow(run, "feature long, n long")
+             .groupBy("feature").agg(F.sum("n").alias("n")).toArrow())
     out = np.zeros(FEATURES + 1, np.int64)
     out[table.column("feature").to_numpy()] = table.column("n").to_numpy()
     return out[:FEATURES], int(out[FEATURES])
 
 
-def sums(matrix: np.ndarray, feature: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of the features' rows over each block, a few thousand blocks at a time."""
-    out = np.empty((len(first), matrix.shape[1]), np.float32)
-    ends = np.append(first, len(feature))
-    for a in range(0, len(first), 2048):
-        b = min(a + 2048, len(first))
-        out[a:b] = np.add.reduceat(matrix[feature[ends[a]:ends[b]]], first[a:b] - ends[a], axis=0)
+def sums(matrix: np.ndarray, at: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of the matrix's rows ``at[first:end]`` for each run [first, end), a row of all runs at a time."""
+    size = end - first
+    if len(size) and size.max() > RUN:
+        parts = -(-size // RUN)
+        stop = np.cumsum(parts)
+        start = np.repeat(first, parts) + RUN * (np.arange(stop[-1]) - np.repeat(stop - parts, parts))
+        part = sums(matrix, at, start, np.minimum(start + RUN, np.repeat(end, parts)))
+        return sums(part, np.arange(len(part)), stop - parts, stop)
+    longest = np.argsort(-size, kind="stable")
+    begin, size = first[longest], size[longest]
+    total = np.zeros((len(size), matrix.shape[1]), matrix.dtype)
+    for k in range(size[0] if len(size) else 0):
+        n = np.searchsorted(-size, -k, side="left")  # runs of more than k rows
+        total[:n] += matrix.take(at[begin[:n] + k], axis=0)
+    out = np.empty_like(total)
+    out[longest] = total
     return out
 
 
-def gram_product(sample: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+def gram_product(features: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A^T (A right) for the matrix A of unit TF-IDF blocks; partial products are summed by stripes of features."""
-    sc = sample.sparkSession.sparkContext
+    sc = features.sparkSession.sparkContext
     shared = sc.broadcast((idf.astype(np.float32), right.astype(np.float32)))
     width = right.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, right = shared.value
+        scaled = right * idf[:, None]
         out = np.zeros((FEATURES, width), np.float32)
-        for _, blobs in K.slices(batches):
-            _, feature, first, _ = blocks_of(blobs)
-            if not len(first):
-                continue
-            owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(feature))))
-            norm = np.sqrt(np.bincount(owner, idf[feature] ** 2, len(first))).astype(np.float32)
-            y = sums(right * idf[:, None], feature, first) / (norm ** 2)[:, None]
+        for words, sizes in ((w, s) for b in batches for w, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            feature, size = np.frombuffer(words, np.uint16), np.frombuffer(sizes, np.uint16).astype(np.int64)
+            end = np.cumsum(size)
+            first = end - size
+            owner = np.repeat(np.arange(len(first)), size)
+            norm = np.add.reduceat(idf[feature] ** 2, first)
+            y = sums(scaled, feature, first, end) / norm[:, None]
             order = np.argsort(feature, kind="stable")
-            start, _ = K.runs(feature[order])
-            for a in range(0, len(start), 2048):
-                s = start[a:a + 2048]
-                e = start[a + 2048] if a + 2048 < len(start) else len(order)
-                f = feature[order[s]]
-                out[f] += np.add.reduceat(y[owner[order[s[0]:e]]], s - s[0], axis=0) * idf[f][:, None]
+            start, n = K.runs(feature[order])
+            f = feature[order[start]]
+            out[f] += sums(y, owner[order], start, start + n) * idf[f][:, None]
         for k in range(0, FEATURES, STRIPE):
             part = out[k:k + STRIPE]
             if part.any():
@@ -116,7 +148,7 @@ def gram_product(sample: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.nd
         total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("part").to_pylist())
         return pa.table({"stripe": table.column("stripe").slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()])})
 
-    table = sample.mapInArrow(run, "stripe long, part binary").groupBy("stripe").applyInArrow(add, "stripe long, part binary").toArrow()
+    table = features.filter("words is not null").select("words", "sizes").mapInArrow(run, "stripe long, part binary").groupBy("stripe").applyInArrow(add, "stripe long, part binary").toArrow()
     out = np.zeros((FEATURES, width))
     for k, part in zip(table.column("stripe").to_pylist(), table.column("part").to_pylist()):
         out[k:k + STRIPE] = np.frombuffer(part, np.float32).reshape(-1, width)
@@ -124,14 +156,11 @@ def gram_product(sample: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.nd
     return out
 
 
-def latent_basis(docs: DataFrame, items: DataFrame, idf: np.ndarray, blocks: int, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (FEATURES x RANK) of the sample, by a randomised range finder."""
-    share = min(1.0, SAMPLE_BLOCKS / max(1, blocks))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    sample = sample.unionByName(items.select("text"))
+def latent_basis(features: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray:
+    """Right singular vectors (FEATURES x RANK) of the blocks of all texts and items, by a randomised range finder."""
     guess = np.random.default_rng(seed).standard_normal((FEATURES, RANK + EXTRA))
-    q, _ = np.linalg.qr(gram_product(sample, idf, guess))
-    z = gram_product(sample, idf, q)
+    q, _ = np.linalg.qr(gram_product(features, idf, guess))
+    z = gram_product(features, idf, q)
     _, w = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
     return q @ w[:, ::-1][:, :RANK]
 
@@ -201,17 +230,20 @@ class Items:
                 self.need[k] = min(ANSWER_WEIGHT * after[0], sum(list(self.rare[k].values())[spare(direct, len(w)) - 1:])) - 1e-6
         order = np.argsort(np.array(word, np.uint64), kind="stable")
         self.word, self.of = np.array(word, np.uint64)[order], np.array(of, np.int64)[order]
+        self.known = np.zeros(FEATURES, bool)
+        self.known[(self.word % np.uint64(FEATURES)).astype(np.int64)] = True
         self.stands, self.weighs = np.array(stands, bool)[order], np.array(weighs, np.float64)[order]
         self.first_part = np.searchsorted(owner, np.arange(len(rows)))
         self.has_part = np.bincount(owner, minlength=len(rows)) > 0
         self.vectors = unit(np.array([weighted[p].sum(axis=0) for p in parts], np.float32).reshape(len(parts), RANK))
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def hits(self, words: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places of rare words and of words that stand for an item; the items, whether they stand for them, and their weights."""
-        lo, hi = np.searchsorted(self.word, words, side="left"), np.searchsorted(self.word, words, side="right")
-        at = np.flatnonzero(hi > lo)
-        n = (hi - lo)[at]
-        entry = np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.flatnonzero(self.known[feature])
+        lo, hi = np.searchsorted(self.word, words[at], side="left"), np.searchsorted(self.word, words[at], side="right")
+        held = hi > lo
+        at, lo, n = at[held], lo[held], (hi - lo)[held]
+        entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(at, n), self.of[entry], self.stands[entry], self.weighs[entry]
 
     def closeness(self, passage: np.ndarray) -> np.ndarray:
@@ -251,7 +283,7 @@ def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, di
         size = np.array(q.size, np.int64)
         for b, blobs in K.slices(batches):
             t, feature, first, owner = blocks_of(blobs)
-            at, which, stands, weighs = q.hits(t.word_hash)
+            at, which, stands, weighs = q.hits(t.word_hash, feature)
             key = which * (len(t.word_hash) + 1) + at
             order = np.argsort(key, kind="stable")
             key, weight = key[order], np.concatenate([[0.0], np.cumsum(weighs[order])])
@@ -308,9 +340,10 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "do
     docs = df.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"),
                              (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("answer"))
-    frequency, blocks = block_frequencies(docs)
+    features = checkpoint(features_of(docs))
+    frequency, blocks = block_frequencies(features)
     idf = np.log((1.0 + blocks) / (1.0 + frequency)) + 1e-3
-    basis = latent_basis(docs, items, idf, blocks)
+    basis = latent_basis(features.unionByName(features_of(items)), idf)
     id_kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (items, "item_id")))
     out, rows = None, []
 

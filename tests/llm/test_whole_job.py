@@ -193,3 +193,34 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([(0, prose(70, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_latent_basis_from_all_blocks(spark, monkeypatch):
+    """The basis of the method comes from every block of every text, however many there are."""
+    import numpy as np
+    monkeypatch.setattr(decontaminate, "SAMPLE_BLOCKS", 20, raising=False)
+    texts = [prose(k, 100 + k) for k in range(60)] + ["", "same " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, None)], "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, prose(5, 30))], "item_id long, text string")
+    features = decontaminate.features_of(docs)
+    frequency, blocks = decontaminate.block_frequencies(features)
+    idf = np.log((1.0 + blocks) / (1.0 + frequency)) + 1e-3
+    got = decontaminate.latent_basis(features.unionByName(decontaminate.features_of(items)), idf)
+    _, feature, first, _ = decontaminate.blocks_of([t.encode() for t in [*texts, prose(5, 30)]])
+    a = np.zeros((len(first), decontaminate.FEATURES))
+    np.add.at(a, (np.searchsorted(first, np.arange(len(feature)), side="right") - 1, feature), idf[feature])
+    a /= np.sqrt([np.square(idf[feature[x:y]]).sum() for x, y in zip(first, np.append(first[1:], len(feature)))])[:, None]
+    q, _ = np.linalg.qr(a.T @ (a @ np.random.default_rng(11).standard_normal((decontaminate.FEATURES, decontaminate.RANK + decontaminate.EXTRA))))
+    _, w = np.linalg.eigh(q.T @ (a.T @ (a @ q)))
+    plain = q @ w[:, ::-1][:, :decontaminate.RANK]
+    assert np.linalg.svd(got.T @ plain)[1][:10].min() > 0.999
+
+
+def test_sums_of_runs():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    matrix, at = rng.standard_normal((50, 4)), rng.integers(0, 50, 5000)
+    end = np.cumsum([1, 31, 32, 33, 0, 3000, 7, 1100])
+    first = np.append(0, end[:-1])
+    plain = [matrix[at[a:b]].sum(axis=0) for a, b in zip(first, end)]
+    assert np.allclose(decontaminate.sums(matrix, at, first, end), plain)
