@@ -1,6 +1,7 @@
 """Retrieval invariants: trimming before ranking, exact-first semantic cache, chunk counts."""
 
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
@@ -129,3 +130,33 @@ def test_unusable_vectors(spark):
     assert got == [(1, "e", 2.0), (1, "a", 0.0)]
     assert V.top_k_similar(queries, items.limit(0), 5).count() == 0
     assert V.top_k_similar(queries.limit(0), items, 5).count() == 0
+
+
+def test_hash_weights_of_repeated_ids_and_shuffled_rows(spark):
+    """Rows of one id are one text; the shuffle carries a row per text, not one per token."""
+    df = spark.createDataFrame([("a", "one two Two"), ("a", "two three"), ("b", None), (None, "lost"), ("c", "!!")], "id string, text string")
+    got = {(r["id"], r["bucket"]): r["weight"] for r in V.hash_weights(df, dim=64).collect()}
+    want = {}
+    for word, n in (("one", 1), ("two", 3), ("three", 1)):
+        bucket = int(hashlib.md5(word.encode()).hexdigest(), 16) % 64
+        want["a", bucket] = want.get(("a", bucket), 0) + n
+    norm = np.sqrt(sum(n * n for n in want.values()))
+    assert got == {k: n / norm for k, n in want.items()}
+    plan = V.hash_weights(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate(keys=[id" in plan and "bucket" not in plan.split("Exchange hashpartitioning")[1].split("\n")[0]
+
+
+def _shuffled_rows(spark, n):
+    """Rows of the items' side that a search of n vectors against themselves sends through exchanges or explodes: plans hold no generator."""
+    x = _clustered(12, n)
+    items, queries = _frames(spark, x, x)
+    index = vector_index.build(items, "item_id")
+    blocks = vector_index._blocks(vector_index._prepared(queries, index, "query_id", "embedding", None), index)
+    return blocks.count(), index.parts.count()
+
+
+def test_search_sends_each_side_once(spark, small):
+    """Blocks and parts are a copy of each side each: their number grows with the rows, not with the pairs."""
+    blocks, parts = _shuffled_rows(spark, 300)
+    more_blocks, more_parts = _shuffled_rows(spark, 600)
+    assert 8 <= blocks <= 16 and blocks < more_blocks <= 31 and 5 <= parts < more_parts <= 4 * parts
