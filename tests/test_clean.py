@@ -2,9 +2,22 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators import clean
 from tessera.operators.clean import _title
 
 
 def test_title_case_capitalises_each_letter_run(spark):
     df = spark.createDataFrame([("  home-garden ",), ("3d print",), ("TOYS",), (None,), ("",)], "c string")
     assert [r[0] for r in df.select(_title(F.col("c"))).collect()] == ["Home-Garden", "3D Print", "Toys", None, ""]
+
+
+def test_duplicates_dropped_after_rows_are_dealt(spark, monkeypatch):
+    """As many partitions as rows ask for, one exchange, and no comparison before it."""
+    monkeypatch.setattr(clean, "TASK_ROWS", 10, raising=False)
+    df = spark.createDataFrame([(k % 300, "x", None if k % 3 else 0.0 * (-1) ** k) for k in range(900)], "order_id long, category string, unit_price double")
+    got = clean.distinct_rows(df)
+    assert got.rdd.getNumPartitions() == 90
+    assert sorted((r[0], r[1], r[2]) for r in got.collect() if r[2] is not None) == [(k, "x", 0.0) for k in range(0, 300, 3)]
+    assert got.count() == 300
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("RepartitionByExpression" if "RepartitionByExpression" in plan else "Exchange")
