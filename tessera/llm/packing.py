@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import kernel as K
 from tessera.llm.spark_tools import checkpoint
 from tessera.llm.tokens import encoder_of
 
@@ -56,8 +57,8 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 of, piece, start, length, crc, ids = [], [], [], [], [], []
-                for k, t in enumerate(b.column(1).to_pylist()):
-                    data = encoder.encode(t or "") + end
+                for k, data in enumerate(encoder.encode_all([t or "" for t in b.column(1).to_pylist()])):
+                    data += end
                     done = 0
                     for j, n in enumerate(cut_lengths(len(data) // 4, capacity)):
                         part = data[4 * done:4 * (done + n)]
@@ -67,6 +68,8 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
                 out = [b.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()),
                        *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.binary())] * with_ids, names)
+        encoder.clear()  # the worker lives on, beside those of later stages
+        K.release()
 
     return cols.mapInArrow(run, schema)
 

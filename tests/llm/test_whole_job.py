@@ -8,6 +8,7 @@ import re
 import sys
 import zlib
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -224,3 +225,55 @@ def test_sums_of_runs():
     first = np.append(0, end[:-1])
     plain = [matrix[at[a:b]].sum(axis=0) for a, b in zip(first, end)]
     assert np.allclose(decontaminate.sums(matrix, at, first, end), plain)
+
+
+def test_new_plain_words_are_merged_together(spark):
+    """The ids are the library's on awkward chunks, and words of letters that are new don't go to it one by one."""
+    from tessera.llm.tokens import Encoder
+    encoder = Encoder(queries.public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("etaoinshrdluETAéößñ", k=rnd.randint(1, 14)))
+    odd = ["don't", "'s", "it's.", "a1b2", "2024,", "x==y", "ﬁn", "日本", "ǅ", "ɐ", "...", "-", "🙂", "×", "÷a", "one\ttwo", "\r", "a" * 90, "é" * 40, "<|endoftext|>", "\x0b", "l'été!"]
+    texts = ["".join((word() if rnd.random() < 0.8 else rnd.choice(odd)) + rnd.choice([" ", " ", " ", ". ", "\n", ", ", "  ", " \n", "\n\n"]) for _ in range(60)) for _ in range(150)]
+    texts += ["", " ", "\n", "a", " a", "\na", "a\n", "a ", *odd, *[" ".join(word() for _ in range(30)) for _ in range(150)]]
+    whole = lambda t: np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    expected = [whole(t) for t in texts]
+    assert encoder.encode_all(texts) == expected and encoder.encode_all(texts) == expected and [encoder.encode(t) for t in texts] == expected
+    encoder.clear()
+
+    class Counted:
+        asked = 0
+
+        def __getattr__(self, name, of=encoder.tokenizer):
+            def call(texts, **options):
+                Counted.asked += 1 if isinstance(texts, str) else len(texts)
+                return getattr(of, name)(texts, **options)
+            return call
+
+    encoder.tokenizer = Counted()
+    plain = [" ".join("".join(rnd.choices("abcdefghijkl", k=9)) + rnd.choice(["", "", ".", ","]) for _ in range(200)) for _ in range(20)]
+    encoder.encode_all(plain)
+    assert Counted.asked <= 10
+
+
+def test_workers_forget_the_words_of_a_task(spark):
+    """Workers outlive their task: the words that it looked up don't stay in memory beside the next stage's."""
+    from tessera.llm import packing
+    path = queries.public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(k, " ".join(f"word{j}x" for j in range(k, k + 50))) for k in range(40)], "doc_id long, text string").coalesce(1)
+
+    class Held:  # what the task is given, called here, as in a worker
+        def select(self, *columns):
+            return self
+
+        schema = df.schema
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = packing.token_pieces(Held(), path)
+    import pyarrow as pa
+    from tessera.llm.tokens import encoder_of
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["some words", "more words"])], ["doc_id", "text"])
+    assert sum(b.num_rows for b in run(iter([batch]))) == 2
+    assert len(encoder_of(path)) == 0
