@@ -9,7 +9,9 @@ over the smallest even number of bits that holds all numbers, with rounds keyed
 beyond the last number is permuted again (cycle-walking) until it is one, so slots are 0..n-1, each once. Shard k holds
 the slots from k * shard_size on; shards are dealt to range partitions and sorted by slot, and record i of a shard starts at byte
 i * stride: the piece's ids as little-endian unsigned integers of ``width`` bytes, filled up with zeros. Slot, shard and place follow from each
-other, so a reader needs no index. The number of a piece depends on the partitions of the input, which a checkpoint fixes.
+other, so a reader needs no index. The number of a piece depends on the partitions of the input, which a copy fixes. The copy is
+compressed and ``stored`` writes the shards in ``PASSES`` passes, so that the disk holds the shards, the copy and the shuffle files of a
+pass at once.
 
 Defined cases: a null or empty text is the end id alone. Repeated rows are pieces of their own. An empty table gives no rows. Other
 columns are not looked at.
@@ -33,6 +35,10 @@ from tessera.llm.packing import token_pieces
 from tessera.llm.spark_tools import checkpoint, shared_dir
 
 ROUNDS = 6
+#: Passes in which all shards are written.
+PASSES = 4
+#: Bytes that a task holds before it writes a part of a file of the copy.
+GROUP_BYTES = 1 << 24
 
 
 def feistel(x: np.ndarray, bits: int, key: int) -> np.ndarray:
@@ -57,9 +63,19 @@ def slot_of(number: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def new_folder(df: DataFrame, name: str) -> str:
+    """A folder of its own in the shared one, as a URI."""
+    root = shared_dir(df.sparkSession)
+    return f"{root if '://' in root else 'file://' + root.removeprefix('file:')}/{name}-{uuid.uuid4().hex}"
+
+
 def numbered(rows: DataFrame, out: str = "number") -> tuple[DataFrame, int]:
-    """Dense numbers from 0 in the order of the partitions of a checkpointed table; the number of rows."""
-    at = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    """A compressed copy with dense numbers from 0 in the order of the partitions; the number of rows."""
+    folder = new_folder(rows, "pieces")
+    rows.withColumn("_at", F.monotonically_increasing_id()).write.option("compression", "zstd").option(
+        "parquet.block.size", GROUP_BYTES).parquet(folder)
+    copy = rows.sparkSession.read.schema(f"{schema_of(rows)}, _at long").parquet(folder)
+    at = copy.withColumn("_part", F.shiftright("_at", 33))
     sizes = at.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.sum("_n").over(Window.orderBy("_part")).alias("_end"), "_n")  # a row per partition
     starts = checkpoint(before.select("_part", (F.col("_end") - F.col("_n")).alias("_start"), "_n"))
@@ -68,8 +84,12 @@ def numbered(rows: DataFrame, out: str = "number") -> tuple[DataFrame, int]:
     return at.join(F.broadcast(starts.drop("_n")), "_part").withColumn(out, number).drop("_at", "_part", "_start"), total
 
 
-def order(pieces: DataFrame, key: int, shard_size: int) -> DataFrame:
-    """Add slot, shard and place (record of the shard)."""
+def schema_of(rows: DataFrame) -> str:
+    return ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema)
+
+
+def order(pieces: DataFrame, key: int, shard_size: int) -> tuple[DataFrame, int]:
+    """Add slot, shard and place (record of the shard); the number of shards."""
     rows, n = numbered(pieces)
 
     @F.pandas_udf("long")
@@ -77,7 +97,8 @@ def order(pieces: DataFrame, key: int, shard_size: int) -> DataFrame:
         return pd.Series(slot_of(number.to_numpy(), n, key))
 
     place = rows.withColumn("slot", slot("number")).drop("number")
-    return place.withColumn("shard", F.floor(F.col("slot") / shard_size).cast("long")).withColumn("place", F.col("slot") % shard_size)
+    return (place.withColumn("shard", F.floor(F.col("slot") / shard_size).cast("long")).withColumn("place", F.col("slot") % shard_size),
+            -(-n // shard_size))
 
 
 def laid(ordered: DataFrame) -> DataFrame:
@@ -94,6 +115,12 @@ def record(ids: bytes, capacity: int, width: int) -> bytes:
 def records(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, width: int = 2, key: int = 20_001,
             shard_size: int = 8192, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, slot, shard, byte_offset, record (binary, ``capacity * width`` bytes)."""
+    return recorded(placed(df, tokenizer, capacity, end_id, width, key, shard_size, text, id)[0], capacity * width)
+
+
+def placed(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, width: int = 2, key: int = 20_001,
+           shard_size: int = 8192, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, int]:
+    """Pieces with their slots, and ids of ``width`` bytes; the number of shards."""
     pieces = token_pieces(df, tokenizer, capacity, end_id, text, id, with_ids=True)
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
@@ -103,9 +130,12 @@ def records(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(short, pa.binary())], b.schema.names)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary"
-    rows = laid(order(checkpoint(pieces.mapInArrow(narrow, schema)), key, shard_size))
-    stride = capacity * width
-    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "slot", "shard", (F.col("place") * stride).alias("byte_offset"),
+    return order(pieces.mapInArrow(narrow, schema), key, shard_size)
+
+
+def recorded(pieces: DataFrame, stride: int) -> DataFrame:
+    """Placed pieces as records, whole shards in range partitions."""
+    return laid(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "slot", "shard", (F.col("place") * stride).alias("byte_offset"),
                        padded(F.col("ids"), stride).alias("record"))
 
 
@@ -169,15 +199,15 @@ def read_back(rows: DataFrame, folder: str, stride: int) -> DataFrame:
         if file:
             file.close()
 
-    kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema)
-    return rows.mapInArrow(run, f"{kinds}, record_crc32 long")
+    return rows.mapInArrow(run, f"{schema_of(rows)}, record_crc32 long")
 
 
 def stored(df: DataFrame, tokenizer: str, capacity: int = 1024, width: int = 2, **options) -> DataFrame:
     """The columns of ``records``, of the files: all shards are written to a new folder under the shared one, then each record
     is read at its offset; record_crc32 stands for the record. The files stay."""
-    root = shared_dir(df.sparkSession)
-    folder = f"{root if '://' in root else 'file://' + root.removeprefix('file:')}/shards-{uuid.uuid4().hex}"
-    rows = records(df, tokenizer, capacity, width=width, **options)
-    checkpoint(write_shards(rows, folder))
-    return read_back(rows.drop("record"), folder, capacity * width)
+    folder, stride = new_folder(df, "shards"), capacity * width
+    pieces, shards = placed(df, tokenizer, capacity, width=width, **options)
+    step = -(-shards // PASSES)
+    for first in range(0, shards, step or 1):
+        checkpoint(write_shards(recorded(pieces.filter(F.col("shard").between(first, first + step - 1)), stride), folder))
+    return read_back(recorded(pieces, stride).drop("record"), folder, stride)

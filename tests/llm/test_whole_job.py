@@ -256,6 +256,26 @@ def test_new_plain_words_are_merged_together(spark):
     assert Counted.asked <= 10
 
 
+def test_materialise_writes_in_passes(spark, monkeypatch):
+    """No pass holds more than its share of the shards in shuffle files, and the copy of the pieces is compressed."""
+    written = []
+
+    def write(rows, folder, write=materialise.write_shards):
+        written.append(sorted({r["shard"] for r in rows.select("shard").collect()}))
+        return write(rows, folder)
+
+    monkeypatch.setattr(materialise, "write_shards", write)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    copies = lambda: set(glob.glob(f"{shared.removeprefix('file:').replace('//', '/')}/**/pieces-*", recursive=True))
+    before = copies()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = rows_of(materialise.stored(docs, queries.public_tokenizers.path("byte_bpe_50k.json"), shard_size=16))
+    shards = sorted({r["shard"] for r in got})
+    assert len(shards) > 8 and sorted(sum(written, [])) == shards and max(map(len, written)) <= -(-len(shards) // 4)
+    (copy,) = copies() - before
+    assert sum(os.path.getsize(p) for p in glob.glob(f"{copy}/*.parquet")) < 2 * sum(r["length"] for r in got)
+
+
 def test_workers_forget_the_words_of_a_task(spark):
     """Workers outlive their task: the words that it looked up don't stay in memory beside the next stage's."""
     from tessera.llm import packing
