@@ -10,11 +10,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from fixtures import prose, rows_of  # noqa: E402
 
-from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, materialise, queries  # noqa: E402
+from tessera.llm import decontaminate, jaccard_join, kneser_ney, licenses, line_frequency, materialise, packing, queries, spark_tools, suffix_dedup  # noqa: E402
 
 
 @pytest.mark.parametrize("n", range(1, 9))
@@ -297,3 +298,20 @@ def test_workers_forget_the_words_of_a_task(spark):
     batch = pa.record_batch([pa.array([1, 2]), pa.array(["some words", "more words"])], ["doc_id", "text"])
     assert sum(b.num_rows for b in run(iter([batch]))) == 2
     assert len(encoder_of(path)) == 0
+
+
+def test_numbered_copy_is_compressed(spark):
+    """Numbered texts lie in the shared folder compressed, row by row as they were; types that Parquet doesn't know go as they are."""
+    rows = [(k // 2, None if k % 7 == 3 else " ".join([f"line {k % 5} of a text that comes again"] * 40), ("x", k)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` struct<c: string, d: long>").repartition(3)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    files = lambda: {p: os.path.getsize(p) for p in glob.glob(f"{shared.removeprefix('file:').replace('//', '/')}/**/*part-*", recursive=True)}
+    before = files()
+    got = spark_tools.numbered(docs, "row")
+    assert sum(n for p, n in files().items() if p not in before) < sum(len(t or "") for _, t, _ in rows) / 4
+    again = got.collect()
+    assert len({r["row"] for r in again}) == len(rows)
+    key = lambda x: (x[2][1],)
+    assert sorted(((r["doc_id"], r["text"], tuple(r["a.b"])) for r in again), key=key) == sorted(rows, key=key)
+    void = spark_tools.numbered(spark.createDataFrame([(1,), (2,)], "doc_id long").withColumn("none", F.lit(None)))
+    assert sorted((r["doc_id"], r["none"]) for r in void.collect()) == [(1, None), (2, None)]
