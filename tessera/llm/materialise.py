@@ -32,13 +32,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernel as K
 from tessera.llm.packing import token_pieces
-from tessera.llm.spark_tools import checkpoint, shared_dir
+from tessera.llm.spark_tools import checkpoint, new_folder, packed_copy
 
 ROUNDS = 6
 #: Passes in which all shards are written.
 PASSES = 4
-#: Bytes that a task holds before it writes a part of a file of the copy.
-GROUP_BYTES = 1 << 24
 
 
 def feistel(x: np.ndarray, bits: int, key: int) -> np.ndarray:
@@ -63,18 +61,9 @@ def slot_of(number: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def new_folder(df: DataFrame, name: str) -> str:
-    """A folder of its own in the shared one, as a URI."""
-    root = shared_dir(df.sparkSession)
-    return f"{root if '://' in root else 'file://' + root.removeprefix('file:')}/{name}-{uuid.uuid4().hex}"
-
-
 def numbered(rows: DataFrame, out: str = "number") -> tuple[DataFrame, int]:
     """A compressed copy with dense numbers from 0 in the order of the partitions; the number of rows."""
-    folder = new_folder(rows, "pieces")
-    rows.withColumn("_at", F.monotonically_increasing_id()).write.option("compression", "zstd").option(
-        "parquet.block.size", GROUP_BYTES).parquet(folder)
-    copy = rows.sparkSession.read.schema(f"{schema_of(rows)}, _at long").parquet(folder)
+    copy = packed_copy(rows.withColumn("_at", F.monotonically_increasing_id()), "pieces")
     at = copy.withColumn("_part", F.shiftright("_at", 33))
     sizes = at.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.sum("_n").over(Window.orderBy("_part")).alias("_end"), "_n")  # a row per partition
@@ -96,7 +85,8 @@ def order(pieces: DataFrame, key: int, shard_size: int) -> tuple[DataFrame, int]
     def slot(number: pd.Series) -> pd.Series:
         return pd.Series(slot_of(number.to_numpy(), n, key))
 
-    place = rows.withColumn("slot", slot("number")).drop("number")
+    # marked so that Spark keeps it in one place: a filter on the shard would compute it a second time
+    place = rows.withColumn("slot", slot.asNondeterministic()("number")).drop("number")
     return (place.withColumn("shard", F.floor(F.col("slot") / shard_size).cast("long")).withColumn("place", F.col("slot") % shard_size),
             -(-n // shard_size))
 
@@ -121,16 +111,8 @@ def records(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2
 def placed(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, width: int = 2, key: int = 20_001,
            shard_size: int = 8192, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, int]:
     """Pieces with their slots, and ids of ``width`` bytes; the number of shards."""
-    pieces = token_pieces(df, tokenizer, capacity, end_id, text, id, with_ids=True)
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            short = [np.frombuffer(x, "<u4").astype({2: "<u2", 4: "<u4"}[width]).tobytes() for x in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(short, pa.binary())], b.schema.names)
-
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary"
-    return order(pieces.mapInArrow(narrow, schema), key, shard_size)
+    pieces = token_pieces(df, tokenizer, capacity, end_id, text, id, with_ids=True, width=width)
+    return order(pieces, key, shard_size)
 
 
 def recorded(pieces: DataFrame, stride: int) -> DataFrame:

@@ -24,6 +24,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,8 +44,8 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
 
 
 def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, text: str = "text",
-                 id: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian uint32)."""
+                 id: str = "doc_id", with_ids: bool = False, width: int = 4) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian, of ``width`` bytes)."""
     cols = df.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = cols.schema["doc_id"].dataType.simpleString()
     schema = PIECES.format(id=kind) + (", ids binary" if with_ids else "")
@@ -59,11 +60,12 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
                 of, piece, start, length, crc, ids = [], [], [], [], [], []
                 for k, data in enumerate(encoder.encode_all([t or "" for t in b.column(1).to_pylist()])):
                     data += end
+                    form = data if width == 4 or not with_ids else np.frombuffer(data, "<u4").astype(f"<u{width}").tobytes()
                     done = 0
                     for j, n in enumerate(cut_lengths(len(data) // 4, capacity)):
                         part = data[4 * done:4 * (done + n)]
                         of.append(k), piece.append(j), start.append(done), length.append(n)
-                        crc.append(zlib.crc32(part)), ids.append(part if with_ids else None)
+                        crc.append(zlib.crc32(part)), ids.append(form[width * done:width * (done + n)] if with_ids else None)
                         done += n
                 out = [b.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()),
                        *(pa.array(x, pa.int64()) for x in (start, length, crc))]

@@ -315,3 +315,18 @@ def test_numbered_copy_is_compressed(spark):
     assert sorted(((r["doc_id"], r["text"], tuple(r["a.b"])) for r in again), key=key) == sorted(rows, key=key)
     void = spark_tools.numbered(spark.createDataFrame([(1,), (2,)], "doc_id long").withColumn("none", F.lit(None)))
     assert sorted((r["doc_id"], r["none"]) for r in void.collect()) == [(1, None), (2, None)]
+
+
+def python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_pieces_are_narrowed_where_they_are_made(spark):
+    """Texts go through one Python worker on their way to the copy, which holds ids of the width asked for."""
+    docs = spark.createDataFrame([(1, "some words " * 900), (2, None)], "doc_id long, text string")
+    path = queries.public_tokenizers.path("byte_bpe_50k.json")
+    wide, short = (packing.token_pieces(docs, path, with_ids=True, width=w) for w in (4, 2))
+    assert python_steps(short) == 1
+    ids = lambda df, kind: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"], np.frombuffer(r["ids"], kind).tolist()) for r in df.collect())
+    got = ids(short, "<u2")
+    assert got == ids(wide, "<u4") and all(len(x[4]) == x[2] for x in got) and len(got) == 3
