@@ -330,3 +330,18 @@ def test_pieces_are_narrowed_where_they_are_made(spark):
     ids = lambda df, kind: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"], np.frombuffer(r["ids"], kind).tolist()) for r in df.collect())
     got = ids(short, "<u2")
     assert got == ids(wide, "<u4") and all(len(x[4]) == x[2] for x in got) and len(got) == 3
+
+
+def test_passages_are_found_in_two_passes(spark):
+    """Units and anchors are counted in one pass; texts that nothing is cut from never go to Python again."""
+    copy = prose(500, 200)
+    rows = [(k, prose(501 + k, 60)) for k in range(5)] + [(9, copy), (6, copy), (7, copy + " and more"), (None, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = docs.selectExpr("coalesce(doc_id, 9223372036854775807) as ord", "0L as row", "text")
+    found = suffix_dedup.counted(table, 50, 3).collect()
+    units = [r for r in found if r["key"] is not None]
+    assert units and {r["low"] for r in units} == {6} and len({r["key"] for r in units}) == len(units)
+    assert all(r["token"] is None and int.from_bytes(r["key"][:8], "little", signed=True) == r["head"] for r in units)
+    out = suffix_dedup.removed(docs)
+    assert python_steps(out) == 1
+    assert {r["doc_id"]: r["n_removed"] for r in out.collect() if r["n_removed"]} == {k: len(copy) for k in (9, 7, None)}
