@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fround, safe_div, truthy
-from tessera.operators.common import with_one_row_if_empty
+from tessera.operators.common import checkpoint, with_one_row_if_empty
 from tessera.operators.selection import indexed, quantiles
 from tessera.sources import telemetry as tel
 
@@ -365,13 +365,14 @@ def trace_summary(spans: DataFrame, n: int | None = 20) -> DataFrame:
 # A24
 def dlp_statistics(violations: DataFrame, rule: str = "rule_name", action: str = "action_taken",
                    sensitivity: str = "sensitivity") -> DataFrame:
-    """Long form (dimension, key, count) plus totals: violations, blocked, masked."""
-    parts = [violations.groupBy(F.lit(d).alias("dimension"), F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("count"))
-             for d, c in (("rule", rule), ("action", action), ("sensitivity", sensitivity))]
+    """Long form (dimension, key, count) plus totals: violations, blocked, masked. The violations, each the work of all rules' patterns, are
+    read once: they are counted by all three columns, and these few counts, kept, give the distributions and totals."""
+    dims = {"rule": rule, "action": action, "sensitivity": sensitivity}
+    counts = checkpoint(violations.groupBy(*[F.col(c).alias(d) for d, c in dims.items()]).agg(F.count(F.lit(1)).alias("n")))
+    parts = [counts.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("key")).agg(F.sum("n").alias("count")) for d in dims]
     dist = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    tot = violations.agg(F.count(F.lit(1)).alias("total_violations"),
-                         _count_if(F.col(action) == "block").alias("blocked_count"),
-                         _count_if(F.col(action) == "mask").alias("masked_count"))
+    of = lambda value: F.sum(F.when(F.col("action") == value, F.col("n")).otherwise(0)).cast("long")
+    tot = counts.agg(F.sum("n").alias("total_violations"), of("block").alias("blocked_count"), of("mask").alias("masked_count"))
     return dist.crossJoin(F.broadcast(tot))
 
 
