@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import fround
-from tessera.operators.common import checkpoint
+from tessera.operators.common import checkpoint, packed_copy
 from tessera.operators.selection import quantiles
 
 LOG_SCHEMA = "step string, action string, rows_before long, rows_after long, cells_changed long"
@@ -38,10 +38,12 @@ TASK_ROWS = 500_000
 
 def distinct_rows(df: DataFrame) -> DataFrame:
     """Exact duplicates dropped, in as many partitions as the number of rows asks for. Rows are dealt before they are compared: most are
-    distinct, so a first comparison in the tasks that read them would hold all of what such a task reads and save nothing."""
+    distinct, so a first comparison in the tasks that read them would hold all of what such a task reads and save nothing. The rows are
+    counted in a copy of them, so that what they come from is computed once and leaves no shuffle files beside those of the comparison."""
     even = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "date", "byte", "short", "integer", "long", "boolean")]
     if not even:
         return df.dropDuplicates()
+    df = packed_copy(df)
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // TASK_ROWS)
     return df.repartition(parts, *even).dropDuplicates()
 
@@ -56,12 +58,12 @@ def clean_orders(df: DataFrame, iqr_k: float = 3.0):
     a0 = df.agg(F.count(F.lit(1)).alias("n0"),
                 _count_if(~F.col("category").eqNullSafe(norm)).alias("c1"),
                 _count_if(F.coalesce(F.col("order_date").contains("/"), F.lit(False))).alias("c2"))
-    s3 = checkpoint(distinct_rows(s1))  # the quartiles read it several times
+    s3 = packed_copy(distinct_rows(s1))  # the quartiles and the reports read it several times
     s4 = s3.filter(F.col("quantity") > 0)
     a1 = s3.agg(F.count(F.lit(1)).alias("n3"), _count_if(F.col("quantity") > 0).alias("n4"))
     q = quantiles(s4, ["category"], "unit_price", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     # capping at a fence above the third quartile leaves the median where it is
-    q = q.select(F.col("category").alias("_category"), (F.col("q3") + iqr_k * (F.col("q3") - F.col("q1"))).alias("_hi"), F.col("q2").alias("_med"))
+    q = checkpoint(q.select(F.col("category").alias("_category"), (F.col("q3") + iqr_k * (F.col("q3") - F.col("q1"))).alias("_hi"), F.col("q2").alias("_med")))
     s6 = (s4.join(q, F.col("category").eqNullSafe(F.col("_category")), "left").drop("_category").withColumn("_orig", F.col("unit_price"))
           .withColumn("unit_price", F.when(F.col("unit_price") > F.col("_hi"), F.col("_hi")).otherwise(F.col("unit_price"))))
     a2 = s6.agg(_count_if(F.col("_orig") > F.col("_hi")).alias("c5"),

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.common import checkpoint
+from tessera.operators.common import packed_copy
 
 DIGIT = 16
 PASSES = 4
@@ -60,8 +60,8 @@ def selected(df: DataFrame, by: list[str], value: str, ranks: dict[str, Callable
     """One row per group with a value: ``by``, n (values), and for each name of ``ranks`` the value of that 0-based rank, which is a function of n."""
     groups = [f"_g{i}" for i in range(len(by))]
     # kept, as each pass reads them: Catalyst would put the whole arithmetic of the bits into every key, filter and digit that uses them
-    keys = checkpoint(df.filter(F.col(value).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(by, groups)],
-                                                                 ordered_bits(F.col(value).cast("double")).alias("_bits")))
+    keys = packed_copy(df.filter(F.col(value).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(by, groups)],
+                                                                  ordered_bits(F.col(value).cast("double")).alias("_bits")))
     within = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank")) for name, rank in ranks.items()])
     state = None
